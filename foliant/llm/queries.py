@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.llm import quality, secrets
+from foliant.llm import langid, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +22,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs).select("doc_id", *counts, "base_failed", "kept")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
+    rows = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return langid.predict(rows, model, ["doc_id", "held_out"])
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = secrets.update_ledger(docs)
     return secrets.digest(secrets.findings(docs, ledger).drop("text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_quality_rules, op9_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_quality_rules, op6_language_id, op9_secret_scan)}
