@@ -31,8 +31,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def possible_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows of df whose key may be among ids (all that are, and some that aren't).
+def possible_ids(df: DataFrame, key: str, ids: DataFrame, mark: str | None = None) -> DataFrame:
+    """The rows of df whose key may be among ids (all that are, and some that aren't); with mark, all rows and that column.
 
     ids (one column named as key) are folded into a bitmap of PREFILTER_BITS
     bits, which is broadcast: its size doesn't depend on the data. With very
@@ -48,5 +48,7 @@ def possible_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     at = (slot % _BUCKET).cast("int")
     byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     kept = df.withColumn("_bucket", (slot / _BUCKET).cast("int")).join(F.broadcast(bits), "_bucket", "left")
-    test = F.when(F.col("_bits").isNull(), False).otherwise(F.getbit(byte, at % 8) == 1)
+    test = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
+    if mark:
+        return kept.withColumn(mark, test).drop("_bucket", "_bits")
     return kept.filter(test).drop("_bucket", "_bits")
