@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import langid, linedup, neardup, quality, secrets
+from foliant.llm import decontam, langid, linedup, neardup, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, model, ["doc_id", "held_out"])
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
+    return decontam.leaks(docs, items).withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = linedup.dedup_lines(docs)
@@ -47,4 +53,4 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.findings(docs, ledger).drop("text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_neardup, op4_quality_rules, op6_language_id, op8_line_dedup, op9_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_neardup, op4_quality_rules, op6_language_id, op7_decontamination, op8_line_dedup, op9_secret_scan)}

@@ -34,6 +34,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Everything but ASCII letters, digits and the bytes of other characters, for words without punctuation.
+_NO_WORD = np.zeros(256, bool)
+_NO_WORD[:128] = [not chr(c).isalnum() for c in range(128)]
 _BYTES = _splitmix(256, 1)
 _LOWER = _BYTES.copy()
 _LOWER[65:91] = _BYTES[97:123]
@@ -79,11 +82,11 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and for each row (n + 1) the number of its first word."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     first, last = np.empty_like(inside), np.empty_like(inside)
     first[0], first[1:] = True, ~inside[:-1]
     last[-1], last[:-1] = True, ~inside[1:]
@@ -104,10 +107,10 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * down[starts])
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (A-Z as a-z if lower), and for each row (n + 1) the number of its first word."""
-    starts, ends, rows = word_spans(data, offsets)
-    return span_hashes((_LOWER if lower else _BYTES)[data], starts, ends), rows
+def word_hashes(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z as a-z, and for each row (n + 1) the number of its first word; plain: without ASCII punctuation."""
+    starts, ends, rows = word_spans(data, offsets, _NO_WORD if plain else _SPACE)
+    return span_hashes(_LOWER[data], starts, ends), rows
 
 
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
