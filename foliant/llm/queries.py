@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontam, langid, linedup, neardup, quality, secrets
+from foliant.llm import decontam, langid, linedup, neardup, passages, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,4 +53,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.findings(docs, ledger).drop("text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_neardup, op4_quality_rules, op6_language_id, op7_decontamination, op8_line_dedup, op9_secret_scan)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return passages.repeated_passages(docs).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_neardup, op4_quality_rules, op6_language_id, op7_decontamination, op8_line_dedup, op9_secret_scan, op10_substring_dedup)}
