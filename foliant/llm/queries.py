@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontam, langid, linedup, neardup, passages, quality, secrets
+from foliant.llm import decontam, html, langid, linedup, neardup, passages, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     found = neardup.components(docs)
@@ -58,4 +62,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(docs).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_neardup, op4_quality_rules, op6_language_id, op7_decontamination, op8_line_dedup, op9_secret_scan, op10_substring_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op3_minhash_neardup, op4_quality_rules, op6_language_id, op7_decontamination, op8_line_dedup, op9_secret_scan, op10_substring_dedup)}
