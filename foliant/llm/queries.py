@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontam, html, langid, linedup, neardup, passages, quality, secrets
+from foliant.llm import decontam, html, langid, linedup, neardup, passages, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs).select("doc_id", *counts, "base_failed", "kept")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
+    chain = toxicity.train(docs.withColumnRenamed("doc_id", "id"), labels)
+    return toxicity.score(docs, chain, ["doc_id"])
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
@@ -62,4 +69,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(docs).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op3_minhash_neardup, op4_quality_rules, op6_language_id, op7_decontamination, op8_line_dedup, op9_secret_scan, op10_substring_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op3_minhash_neardup, op4_quality_rules, op5_toxicity, op6_language_id, op7_decontamination, op8_line_dedup, op9_secret_scan, op10_substring_dedup)}
