@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontam, html, langid, linedup, neardup, passages, quality, secrets, toxicity
+from foliant.llm import decontam, html, langid, linedup, neardup, passages, pieces, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,15 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+#: A public model of 32,000 pieces; its path is a parameter of the operator.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, PIECE_MODEL, ["doc_id"])
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     found = neardup.components(docs)
@@ -69,4 +78,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(docs).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op3_minhash_neardup, op4_quality_rules, op5_toxicity, op6_language_id, op7_decontamination, op8_line_dedup, op9_secret_scan, op10_substring_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_sentencepiece, op3_minhash_neardup, op4_quality_rules, op5_toxicity, op6_language_id, op7_decontamination, op8_line_dedup, op9_secret_scan, op10_substring_dedup)}
