@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.components import connected_components
+from foliant.llm.groups import further_pairs
 from foliant.llm.shared import materialize, possible_ids
 from foliant.llm.textops import U64, _splitmix, chunks, mix, span_hashes
 
 SHINGLE_CHARS = 10
-#: Lines of similarity 0.75 share a band with 1 - (1 - 0.75^3)^10 = 0.996, those of 0.85 with 0.9999.
-BANDS, ROWS = 10, 3
+#: Lines of similarity 0.75 share a band with 1 - (1 - 0.75^4)^12 = 0.99, those of 0.8 with 0.998 and those of 0.9 surely.
+BANDS, ROWS = 12, 4
 LEAST = 0.75
 
 _SALT = (_splitmix(BANDS * ROWS, 21) >> U64(32)).astype(np.uint32)
@@ -132,13 +133,15 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 def line_decisions(docs: DataFrame) -> DataFrame:
     """(id, removed) of the documents (id, text) that lose lines: the numbers, from 0, of the lines to remove."""
     lines = materialize(docs.filter("id is not null and text is not null").select("id", "text").mapInArrow(_sign, "id long, line int, node long, mark long, bands array<long>"), "signed")
-    classes = lines.groupBy("node", "mark").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands"))
+    classes = lines.groupBy("node", "mark").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
     classes = materialize(classes, "classes")
 
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    heads = materialize(banded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n"), "heads")
-    groups = materialize(possible_ids(banded, "band", heads.select("band")).join(heads, "band"), "groups")
-    first = materialize(groups.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    banded = lines.select("node", F.explode("bands").alias("band"))
+    heads = banded.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("high")).filter("leader <> high")
+    heads = materialize(heads.drop("high"), "heads")
+    groups = materialize(possible_ids(banded, "band", heads.select("band")).distinct().join(heads, "band"), "groups")
+    stars = groups.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    first = materialize(stars.union(further_pairs(groups, "band", "node")).distinct(), "pairs")
     links = materialize(_confirm(first, classes, docs), "links")
     joined = connected_components(links)
 

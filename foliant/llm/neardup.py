@@ -7,7 +7,8 @@ of LEAST_DEPTH or more form a region, and a region with more than REGION
 members descends to longer prefixes. Candidates are confirmed on full sets.
 
 Candidates come in two rounds, so that no group emits all its pairs:
-1. every member of a region with the region's least member;
+1. every member of a region with the region's least member, and in crowded
+   regions with a few further leaders;
 2. in each region that then still holds more than one component, the pairs
    between different components.
 Round 2 has no caps: a pair of similar documents that share a region in any
@@ -24,18 +25,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.components import connected_components
+from foliant.llm.groups import further_pairs
 from foliant.llm.shared import materialize, possible_ids
 from foliant.llm.textops import U64, _splitmix, chunks, shingle_hashes, word_hashes
 
 TREES = 20
 #: Depth of the prefixes that make a region: two sets of similarity 0.75 share one in some tree with 1 - (1 - 0.75^3)^20 = 0.99998.
 LEAST_DEPTH = 3
-MOST_DEPTH = 8
+#: Longer prefixes that crowded regions descend to.
+DEPTHS = (LEAST_DEPTH, 5, 8)
+MOST_DEPTH = DEPTHS[-1]
 #: Members beyond which a region descends.
 REGION = 64
 HASHES = TREES * LEAST_DEPTH
-#: Pairs whose min-hashes agree at fewer places are not compared on full sets: at similarity 0.75, 45 of 60 are expected, 27 is five deviations less.
-LEAST_AGREEING = 27
+#: Pairs whose min-hashes agree at fewer places are not compared on full sets: at similarity 0.75, 45 of 60 are expected, 33 is 3.6 deviations less.
+LEAST_AGREEING = 33
+#: The same for one bit of each min-hash: at similarity 0.75, 7.5 of 60 differ, 20 is five deviations more.
+MOST_UNLIKE_BITS = 20
 
 _SALT = (_splitmix(HASHES, 11) >> U64(32)).astype(np.uint32)
 _ODD = (_splitmix(HASHES, 12) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -72,22 +78,24 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.diff(starts)
             marks = np.zeros((j - i, 2), np.int64)
             signs: list[bytes | None] = [None] * (j - i)
+            bits = np.zeros(j - i, np.int64)
             if len(full):
                 heads = np.append(starts[:-1][full], starts[-1])
                 marks[full, 0] = np.add.reduceat(hashes, heads[:-1]).view(np.int64)
                 marks[full, 1] = np.bitwise_xor.reduceat(hashes * U64(0x9E3779B97F4A7C15), heads[:-1]).view(np.int64)
                 values = min_hashes(hashes, heads)
+                bits[full] = (values & np.uint32(1)).astype(np.int64) @ (1 << np.arange(HASHES, dtype=np.int64))
                 for r, row in zip(full, values):
                     signs[r] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(i, j - i), pa.array(sizes), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(signs, pa.binary())],
-                ["id", "n_shingles", "m1", "m2", "sign"],
+                [batch.column("id").slice(i, j - i), pa.array(sizes), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(signs, pa.binary()), pa.array(bits)],
+                ["id", "n_shingles", "m1", "m2", "sign", "bits"],
             )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, n_shingles, m1, m2, sign) of documents (id, text): set size, 128-bit mark of the set, min-hashes (null if empty)."""
-    return docs.select("id", "text").mapInArrow(_sign, "id long, n_shingles long, m1 long, m2 long, sign binary")
+    """(id, n_shingles, m1, m2, sign, bits) of documents (id, text): set size, 128-bit mark of the set, min-hashes (null if empty) and one bit of each."""
+    return docs.select("id", "text").mapInArrow(_sign, "id long, n_shingles long, m1 long, m2 long, sign binary, bits long")
 
 
 def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,13 +125,14 @@ def _regions(orders: DataFrame) -> DataFrame:
     well, with the least member of each as leader.
     """
     out, rest = None, orders
-    for depth in range(LEAST_DEPTH, MOST_DEPTH + 1):
+    for depth in DEPTHS:
         rows = rest.withColumn("region", _prefix(depth))
         heads = rows.groupBy("region").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
         heads = materialize(heads, "heads")
         if heads.isEmpty() and out is not None:
             break
         members = possible_ids(rows, "region", heads.select("region")).join(heads, "region")
+        members = materialize(members.select("tree", "key", "id", "region", "leader", "n"), "members")
         listed = members.select(F.lit(depth).alias("depth"), "region", "id", "leader")
         out = listed if out is None else out.union(listed)
         rest = members.filter(F.col("n") > REGION).select("tree", "key", "id")
@@ -155,11 +164,14 @@ def confirm(pairs: DataFrame, docs: DataFrame, least: float = 0.75) -> DataFrame
     return both.filter(F.lit(100) * common >= F.lit(round(100 * least)) * union).select("a", "b")
 
 
-def _agreeing(x: Column, y: Column) -> Column:
-    """The number of equal min-hashes of two signatures."""
+def _alike(x: str, y: str, least: float) -> Column:
+    """Whether two sets can have similarity least by their sizes, and their signatures agree at LEAST_AGREEING places; most other pairs fail a cheap test on one bit a hash first."""
     at = F.sequence(F.lit(0), F.lit(HASHES - 1))
-    same = F.filter(at, lambda i: F.substring(x, i * 4 + 1, F.lit(4)) == F.substring(y, i * 4 + 1, F.lit(4)))
-    return F.size(same)
+    part = lambda k, i: F.substring(f"sign{k}", i * 4 + 1, F.lit(4))
+    same = F.filter(at, lambda i: part(x, i) == part(y, i))
+    nx, ny = F.col(f"size{x}"), F.col(f"size{y}")
+    sizes = F.lit(round(100 * least)) * F.greatest(nx, ny) <= F.lit(100) * F.least(nx, ny)  # else the similarity can't be least
+    return sizes & (F.bit_count(F.col(f"bits{x}").bitwiseXOR(F.col(f"bits{y}"))) <= MOST_UNLIKE_BITS) & (F.size(same) >= LEAST_AGREEING)
 
 
 def components(docs: DataFrame, least: float = 0.75) -> DataFrame:
@@ -174,17 +186,17 @@ def components(docs: DataFrame, least: float = 0.75) -> DataFrame:
     rows = docs.select(F.col("id").cast("long").alias("id"), "text")
     signed = materialize(signatures(rows), "signatures")
     full = signed.filter("n_shingles > 0 and id is not null")
-    classes = full.groupBy("m1", "m2").agg(F.min("id").alias("rep"), F.first("sign").alias("sign"))
-    reps = materialize(classes.select(F.col("rep").alias("id"), "sign", "m1", "m2"), "classes")
+    classes = full.groupBy("m1", "m2").agg(F.min("id").alias("rep"), F.first("sign").alias("sign"), F.first("bits").alias("bits"), F.first("n_shingles").alias("size"))
+    reps = materialize(classes.select(F.col("rep").alias("id"), "sign", "bits", "size", "m1", "m2"), "classes")
 
     orders = reps.select("id", "sign").mapInArrow(_order, "tree int, key binary, id long")
-    regions = materialize(_regions(orders), "members")
-    stars = regions.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    signs = reps.select("id", "sign")
-    sign_of = lambda k: signs.select(F.col("id").alias(k), F.col("sign").alias(f"s{k}"))
-    alike = _agreeing(F.col("sa"), F.col("sb")) >= LEAST_AGREEING
-    first = stars.join(sign_of("a"), "a").join(sign_of("b"), "b").filter(alike).select("a", "b")
-    links = materialize(confirm(materialize(first, "pairs"), rows, least), "links")
+    regions = _regions(orders)
+    stars = regions.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    stars = stars.union(further_pairs(regions.filter(F.col("depth") == LEAST_DEPTH), "region", "id")).distinct()
+    signs = reps.select("id", "sign", "bits", "size")
+    sign_of = lambda k: signs.toDF(k, f"sign{k}", f"bits{k}", f"size{k}")
+    first = materialize(stars.join(sign_of("a"), "a").join(sign_of("b"), "b").filter(_alike("a", "b", least)).select("a", "b"), "pairs")
+    links = materialize(confirm(first, rows, least), "links")
     joined = connected_components(links).withColumnsRenamed({"node": "id", "component": "c"})
 
     # Round 2: the regions (of least depth, which contain the deeper ones) that hold several components.
@@ -193,9 +205,9 @@ def components(docs: DataFrame, least: float = 0.75) -> DataFrame:
     open_rows = placed.join(mixed.select("region"), "region", "left_semi").join(signs, "id")
     open_rows = materialize(open_rows, "open")
     if not open_rows.isEmpty():
-        x, y = (open_rows.select("region", *[F.col(c).alias(f"{c}{k}") for c in ("id", "c", "sign")]) for k in "xy")
+        x, y = (open_rows.select("region", *[F.col(c).alias(f"{c}{k}") for c in ("id", "c", "sign", "bits", "size")]) for k in "xy")
         across = x.join(y, "region").filter((F.col("idx") < F.col("idy")) & (F.col("cx") != F.col("cy")))
-        across = across.filter(_agreeing(F.col("signx"), F.col("signy")) >= LEAST_AGREEING)
+        across = across.filter(_alike("x", "y", least))
         more = across.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
         more = materialize(more.join(first, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():

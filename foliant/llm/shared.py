@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the id prefilter: 2^26 bits are 8 MB, whatever the size of the corpus.
-PREFILTER_BITS = 1 << 26
+#: Bits of the id prefilter: 2^25 bits are 4 MB, whatever the size of the corpus.
+PREFILTER_BITS = 1 << 25
 _BUCKET = 32768
 
 
