@@ -317,7 +317,7 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", fx.url_host(F.col("url")).alias("host"), fx.url_section(F.col("url")).alias("section"))
 
 
-@query(f"WITH {RECORDS} SELECT source, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(length(text)) * 13 / 10 AS BIGINT) AS n_output FROM records WHERE state = 'awaiting_screening' GROUP BY 1")
+@query(f"WITH {RECORDS} SELECT source, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(length(text)) * 13 // 10 AS BIGINT) AS n_output FROM records WHERE state = 'awaiting_screening' GROUP BY 1")
 def spend_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir).filter("state = 'awaiting_screening'").groupBy("source").agg(F.sum(F.length("text")).cast("long").alias("n_chars"))
-    return rows.withColumn("n_output", F.round(F.col("n_chars") * 13 / 10).cast("long"))
+    return rows.withColumn("n_output", F.floor(F.col("n_chars") * 13 / 10))
