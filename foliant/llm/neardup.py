@@ -38,10 +38,13 @@ MOST_DEPTH = DEPTHS[-1]
 #: Members beyond which a region descends.
 REGION = 64
 HASHES = TREES * LEAST_DEPTH
-#: Pairs whose min-hashes agree at fewer places are not compared on full sets: at similarity 0.75, 45 of 60 are expected, 33 is 3.6 deviations less.
-LEAST_AGREEING = 33
-#: The same for one bit of each min-hash: at similarity 0.75, 7.5 of 60 differ, 20 is five deviations more.
-MOST_UNLIKE_BITS = 20
+#: Pairs whose min-hashes differ in their lowest four bits at more places are not compared further: at similarity 0.75, 14 of 60 are expected, 28 is four deviations more.
+MOST_UNLIKE = 27
+NIBBLES, _LOWEST = 15, int("1" * 15, 16)
+#: Least shingle hashes of a document that round 2 compares before full sets; smaller sets are compared whole.
+SKETCH = 512
+#: What a comparison of sketches leaves open: 4.5 deviations, at similarity 0.75, of the hashes that two of them share.
+SKETCH_SLACK = 48
 
 _SALT = (_splitmix(HASHES, 11) >> U64(32)).astype(np.uint32)
 _ODD = (_splitmix(HASHES, 12) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -71,6 +74,10 @@ def _sets(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield i, j, (np.concatenate(parts) if parts else hashes), np.concatenate([[0], np.cumsum(sizes)])
 
 
+#: The lowest bits of the min-hashes, NIBBLES to a long.
+_NEAR = [f"near{k}" for k in range(HASHES // NIBBLES)]
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, hashes, starts in _sets(batch.column("text")):
@@ -78,24 +85,24 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.diff(starts)
             marks = np.zeros((j - i, 2), np.int64)
             signs: list[bytes | None] = [None] * (j - i)
-            bits = np.zeros(j - i, np.int64)
+            near = np.zeros((j - i, HASHES // NIBBLES), np.int64)
             if len(full):
                 heads = np.append(starts[:-1][full], starts[-1])
                 marks[full, 0] = np.add.reduceat(hashes, heads[:-1]).view(np.int64)
                 marks[full, 1] = np.bitwise_xor.reduceat(hashes * U64(0x9E3779B97F4A7C15), heads[:-1]).view(np.int64)
                 values = min_hashes(hashes, heads)
-                bits[full] = (values & np.uint32(1)).astype(np.int64) @ (1 << np.arange(HASHES, dtype=np.int64))
+                near[full] = (values & np.uint32(15)).astype(np.int64).reshape(len(full), -1, NIBBLES) @ (1 << 4 * np.arange(NIBBLES, dtype=np.int64))
                 for r, row in zip(full, values):
                     signs[r] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(i, j - i), pa.array(sizes), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(signs, pa.binary()), pa.array(bits)],
-                ["id", "n_shingles", "m1", "m2", "sign", "bits"],
+                [batch.column("id").slice(i, j - i), pa.array(sizes), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(signs, pa.binary()), *map(pa.array, near.T)],
+                ["id", "n_shingles", "m1", "m2", "sign", *_NEAR],
             )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, n_shingles, m1, m2, sign, bits) of documents (id, text): set size, 128-bit mark of the set, min-hashes (null if empty) and one bit of each."""
-    return docs.select("id", "text").mapInArrow(_sign, "id long, n_shingles long, m1 long, m2 long, sign binary, bits long")
+    """(id, n_shingles, m1, m2, sign, near0..) of documents (id, text): set size, 128-bit mark of the set, min-hashes (null if empty) and four bits of each."""
+    return docs.select("id", "text").mapInArrow(_sign, "id long, n_shingles long, m1 long, m2 long, sign binary, " + ", ".join(f"{c} long" for c in _NEAR))
 
 
 def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,15 +154,22 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), sets], ["id", "items"])
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, least: float = 0.75) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets have 100 * intersection >= 100 * least * union.
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j, hashes, starts in _sets(batch.column("text")):
+            parts = [(hashes[a : min(b, a + SKETCH)] >> U64(33)).astype(np.int32) for a, b in zip(starts[:-1], starts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(parts, pa.list_(pa.int32()))], ["id", "sketch"])
 
-    Only the texts of ids in pairs move: ids are screened by a bitmap of fixed
-    size before the join.
-    """
+
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of ids, one row each. Only their texts move: ids are screened by a bitmap of fixed size before the join."""
+    return possible_ids(docs.select("id", "text"), "id", ids).join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, least: float = 0.75) -> DataFrame:
+    """The pairs (a, b) of ids whose full shingle sets have 100 * intersection >= 100 * least * union."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = possible_ids(docs.select("id", "text"), "id", ids).join(ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = materialize(some.mapInArrow(_full_sets, "id long, items array<long>"), "sets")
+    sets = materialize(_of(docs, ids).mapInArrow(_full_sets, "id long, items array<long>"), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
@@ -165,13 +179,29 @@ def confirm(pairs: DataFrame, docs: DataFrame, least: float = 0.75) -> DataFrame
 
 
 def _alike(x: str, y: str, least: float) -> Column:
-    """Whether two sets can have similarity least by their sizes, and their signatures agree at LEAST_AGREEING places; most other pairs fail a cheap test on one bit a hash first."""
-    at = F.sequence(F.lit(0), F.lit(HASHES - 1))
-    part = lambda k, i: F.substring(f"sign{k}", i * 4 + 1, F.lit(4))
-    same = F.filter(at, lambda i: part(x, i) == part(y, i))
+    """Whether two sets can have similarity least by their sizes and by four bits of each min-hash."""
+    nx, ny = F.col(f"size{x}"), F.col(f"size{y}")
+    sizes = F.lit(round(100 * least)) * F.greatest(nx, ny) <= F.lit(100) * F.least(nx, ny)
+    unlike = F.lit(0)
+    for c in _NEAR:
+        bits = F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))
+        bits = bits.bitwiseOR(F.shiftright(bits, 1))
+        bits = bits.bitwiseOR(F.shiftright(bits, 2)).bitwiseAND(F.lit(_LOWEST))
+        unlike = unlike + F.bit_count(bits)
+    return sizes & (unlike <= MOST_UNLIKE)
+
+
+def _sketches_alike(x: str, y: str, least: float) -> Column:
+    """Whether two sets can have similarity least by their sketches; exact, but for two hashes, where both sets are whole in them."""
+    one, other = F.col(f"sketch{x}"), F.col(f"sketch{y}")
     nx, ny = F.col(f"size{x}"), F.col(f"size{y}")
-    sizes = F.lit(round(100 * least)) * F.greatest(nx, ny) <= F.lit(100) * F.least(nx, ny)  # else the similarity can't be least
-    return sizes & (F.bit_count(F.col(f"bits{x}").bitwiseXOR(F.col(f"bits{y}"))) <= MOST_UNLIKE_BITS) & (F.size(same) >= LEAST_AGREEING)
+    whole = (nx <= SKETCH) & (ny <= SKETCH)
+    end = lambda s, n: F.when(n > SKETCH, F.get(s, F.lit(SKETCH - 1)))
+    known = F.least(end(one, nx), end(other, ny))  # both sketches hold all hashes up to here
+    below = lambda s: F.size(F.filter(s, lambda h: h <= known))
+    total = F.when(whole, nx + ny).otherwise(below(one) + below(other))
+    slack = F.when(whole, 2).otherwise(SKETCH_SLACK)
+    return F.size(F.array_intersect(one, other)) * (1 + least) >= total * least - slack * (1 + least)
 
 
 def components(docs: DataFrame, least: float = 0.75) -> DataFrame:
@@ -186,15 +216,15 @@ def components(docs: DataFrame, least: float = 0.75) -> DataFrame:
     rows = docs.select(F.col("id").cast("long").alias("id"), "text")
     signed = materialize(signatures(rows), "signatures")
     full = signed.filter("n_shingles > 0 and id is not null")
-    classes = full.groupBy("m1", "m2").agg(F.min("id").alias("rep"), F.first("sign").alias("sign"), F.first("bits").alias("bits"), F.first("n_shingles").alias("size"))
-    reps = materialize(classes.select(F.col("rep").alias("id"), "sign", "bits", "size", "m1", "m2"), "classes")
+    classes = full.groupBy("m1", "m2").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("sign", *_NEAR)], F.first("n_shingles").alias("size"))
+    reps = materialize(classes.withColumnRenamed("rep", "id"), "classes")
 
     orders = reps.select("id", "sign").mapInArrow(_order, "tree int, key binary, id long")
     regions = _regions(orders)
     stars = regions.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
     stars = stars.union(further_pairs(regions.filter(F.col("depth") == LEAST_DEPTH), "region", "id")).distinct()
-    signs = reps.select("id", "sign", "bits", "size")
-    sign_of = lambda k: signs.toDF(k, f"sign{k}", f"bits{k}", f"size{k}")
+    signs = reps.select("id", "size", *_NEAR)
+    sign_of = lambda k: signs.toDF(k, *[f"{c}{k}" for c in ("size", *_NEAR)])
     first = materialize(stars.join(sign_of("a"), "a").join(sign_of("b"), "b").filter(_alike("a", "b", least)).select("a", "b"), "pairs")
     links = materialize(confirm(first, rows, least), "links")
     joined = connected_components(links).withColumnsRenamed({"node": "id", "component": "c"})
@@ -202,12 +232,13 @@ def components(docs: DataFrame, least: float = 0.75) -> DataFrame:
     # Round 2: the regions (of least depth, which contain the deeper ones) that hold several components.
     placed = regions.filter(F.col("depth") == LEAST_DEPTH).select("region", "id").join(joined, "id", "left").withColumn("c", F.coalesce("c", "id"))
     mixed = placed.groupBy("region").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-    open_rows = placed.join(mixed.select("region"), "region", "left_semi").join(signs, "id")
-    open_rows = materialize(open_rows, "open")
+    open_rows = materialize(placed.join(mixed.select("region"), "region", "left_semi"), "open")
     if not open_rows.isEmpty():
-        x, y = (open_rows.select("region", *[F.col(c).alias(f"{c}{k}") for c in ("id", "c", "sign", "bits", "size")]) for k in "xy")
+        sketches = _of(rows, open_rows.select("id").distinct()).mapInArrow(_sketch, "id long, sketch array<int>")
+        sketched = materialize(open_rows.join(signs, "id").join(sketches, "id"), "sketched")
+        x, y = (sketched.select("region", *[F.col(c).alias(f"{c}{k}") for c in ("id", "c", "size", *_NEAR, "sketch")]) for k in "xy")
         across = x.join(y, "region").filter((F.col("idx") < F.col("idy")) & (F.col("cx") != F.col("cy")))
-        across = across.filter(_alike("x", "y", least))
+        across = across.filter(_alike("x", "y", least) & _sketches_alike("x", "y", least))
         more = across.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
         more = materialize(more.join(first, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
