@@ -2,12 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Groups with more members get LEADERS further leaders: where only two thirds of a group are similar to its first leader, some of these reach the rest.
 CROWD, LEADERS = 16, 3
 
+#: Least hashes of a set that sketches hold; smaller sets are whole in them.
+SKETCH = 512
+#: What a comparison of sketches leaves open: 4.5 deviations, at similarity 0.75, of the hashes that two of them share.
+SKETCH_SLACK = 48
+
+#: Members that the left side of a comparison inside a group holds in one block.
+BLOCK = 256
+
+
+def blocks(members: DataFrame, node: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a comparison inside groups, members (with n, the size of their group) with a column block.
+
+    Joined by group and block, each ordered pair meets once. The right side
+    comes once for each block of the left one, so that a large group is many
+    tasks of at most BLOCK left members or so.
+    """
+    more = (F.col("n") / BLOCK).cast("int")
+    left = members.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), node), more + 1).cast("int"))
+    return left.drop("n"), members.withColumn("block", F.explode(F.sequence(F.lit(0), more))).drop("n")
+
+
+def few_unlike(names: list[str], x: str, y: str, most: int) -> Column:
+    """Whether at most so many of the four-bit values packed in the long columns differ between the sides x and y."""
+    unlike = F.lit(0)
+    for c in names:
+        bits = F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))
+        bits = bits.bitwiseOR(F.shiftright(bits, 1))
+        bits = bits.bitwiseOR(F.shiftright(bits, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        unlike = unlike + F.bit_count(bits)
+    return unlike <= most
+
+
+def sizes_alike(x: str, y: str, least: float) -> Column:
+    nx, ny = F.col(f"size{x}"), F.col(f"size{y}")
+    return F.lit(round(100 * least)) * F.greatest(nx, ny) <= F.lit(100) * F.least(nx, ny)
+
+
+def sketches_alike(x: str, y: str, least: float) -> Column:
+    """Whether two sets can have similarity least by their sketches; exact, but for two hashes, where both sets are whole in them."""
+    one, other = F.col(f"sketch{x}"), F.col(f"sketch{y}")
+    nx, ny = F.col(f"size{x}"), F.col(f"size{y}")
+    whole = (nx <= SKETCH) & (ny <= SKETCH)
+    end = lambda s, n: F.when(n > SKETCH, F.get(s, F.lit(SKETCH - 1)))
+    known = F.least(end(one, nx), end(other, ny))  # both sketches hold all hashes up to here
+    below = lambda s: F.size(F.filter(s, lambda h: h <= known))
+    total = F.when(whole, nx + ny).otherwise(below(one) + below(other))
+    slack = F.when(whole, 2).otherwise(SKETCH_SLACK)
+    return F.size(F.array_intersect(one, other)) * (1 + least) >= total * least - slack * (1 + least)
+
 
 def further_pairs(members: DataFrame, group: str, node: str) -> DataFrame:
     """(a, b) of the members of crowded groups with further leaders: a leader and another member.

@@ -5,7 +5,7 @@ are one class, named by a 64-bit hash of the line (two lines must also agree
 in a mark of their min-hashes). Classes that share a band are a group; as with
 near-duplicate documents, the members of a group are first compared with its
 least member and then, where a group still holds several components, across
-components. Of every component the first line by (document, line) stays.
+components where signatures and sketches allow similarity. Of every component the first line by (document, line) stays.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.components import connected_components
-from foliant.llm.groups import further_pairs
+from foliant.llm.groups import SKETCH, blocks, few_unlike, further_pairs, sizes_alike, sketches_alike
 from foliant.llm.shared import materialize, possible_ids
 from foliant.llm.textops import U64, _splitmix, chunks, mix, span_hashes
 
@@ -26,9 +26,15 @@ SHINGLE_CHARS = 10
 #: Lines of similarity 0.75 share a band with 1 - (1 - 0.75^4)^12 = 0.99, those of 0.8 with 0.998 and those of 0.9 surely.
 BANDS, ROWS = 12, 4
 LEAST = 0.75
+#: Classes whose FURTHER min-hashes differ in their lowest four bits at more places aren't compared further in round 2: at similarity 0.75, 45 of 192 are expected, 69 is four deviations more.
+FURTHER, MOST_UNLIKE = 192, 68
+NIBBLES = 16
+_NEAR = [f"near{k}" for k in range(FURTHER // NIBBLES)]
 
 _SALT = (_splitmix(BANDS * ROWS, 21) >> U64(32)).astype(np.uint32)
 _ODD = (_splitmix(BANDS * ROWS, 22) >> U64(32)).astype(np.uint32) | np.uint32(1)
+_FURTHER_SALT = (_splitmix(FURTHER, 24) >> U64(32)).astype(np.uint32)
+_FURTHER_ODD = (_splitmix(FURTHER, 25) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _MIXERS = _splitmix(BANDS * ROWS, 23) | U64(1)
 _BLANK = (32, 9, 10, 11, 12, 13)
 
@@ -64,36 +70,60 @@ def _lines(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows[own], number[own], at[a[own]], at[b[own] - 1] + 1
 
 
+def _shingles(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of lines: (row of the text, number in its text, hash, shingle hashes line by line, n + 1 starts in these)."""
+    for i, _, data, offsets in chunks(text):
+        codes, heads = _code_points(data, offsets)
+        rows, number, starts, ends = _lines(codes, heads)
+        if not len(rows):
+            continue
+        upper = (codes >= 65) & (codes <= 90)
+        marks = mix((codes + (upper * np.uint32(32))).astype(U64) * U64(0x9E3779B97F4A7C15))
+        # Shingles: one for each place of a line that begins a full one, or the whole line where it is shorter.
+        n = np.maximum(1, ends - starts - SHINGLE_CHARS + 1)
+        first = np.concatenate([[0], np.cumsum(n)])
+        begin = np.repeat(starts - first[:-1], n) + np.arange(first[-1])
+        short = (span_hashes(marks, begin, np.minimum(begin + SHINGLE_CHARS, np.repeat(ends, n))) >> U64(32)).astype(np.uint32)
+        yield rows + i, number, span_hashes(marks, starts, ends), short, first
+
+
+def _min_hashes(short: np.ndarray, first: np.ndarray, salts: np.ndarray, odds: np.ndarray) -> Iterator[np.ndarray]:
+    """The least value of each hash function over the shingles of each line."""
+    for salt, odd in zip(salts, odds):
+        x = short ^ salt
+        x *= odd
+        yield np.minimum.reduceat(x, first[:-1])
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("id")
-        for i, _, data, offsets in chunks(batch.column("text")):
-            codes, heads = _code_points(data, offsets)
-            rows, number, starts, ends = _lines(codes, heads)
-            if not len(rows):
-                continue
-            upper = (codes >= 65) & (codes <= 90)
-            marks = mix((codes + (upper * np.uint32(32))).astype(U64) * U64(0x9E3779B97F4A7C15))
-            line = span_hashes(marks, starts, ends)
-            # Shingles: one for each place of a line that begins a full one, or the whole line where it is shorter.
-            n = np.maximum(1, ends - starts - SHINGLE_CHARS + 1)
-            first = np.concatenate([[0], np.cumsum(n)])
-            begin = np.repeat(starts - first[:-1], n) + np.arange(first[-1])
-            short = (span_hashes(marks, begin, np.minimum(begin + SHINGLE_CHARS, np.repeat(ends, n))) >> U64(32)).astype(np.uint32)
+        for rows, number, line, short, first in _shingles(batch.column("text")):
             bands = np.zeros((len(rows), BANDS), U64)
-            for k in range(BANDS * ROWS):
-                x = short ^ _SALT[k]
-                x *= _ODD[k]
-                bands[:, k // ROWS] += np.minimum.reduceat(x, first[:-1]).astype(U64) * _MIXERS[k]
+            for k, least in enumerate(_min_hashes(short, first, _SALT, _ODD)):
+                bands[:, k // ROWS] += least.astype(U64) * _MIXERS[k]
             bands = mix(bands + np.arange(1, BANDS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
             mark = np.bitwise_xor.reduce(bands, axis=1)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows + i)), pa.array(number.astype(np.int32)), pa.array(line.view(np.int64)), pa.array(mark.view(np.int64)), lists],
+                [ids.take(pa.array(rows)), pa.array(number.astype(np.int32)), pa.array(line.view(np.int64)), pa.array(mark.view(np.int64)), lists],
                 ["id", "line", "node", "mark", "bands"],
             )
 
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, size, sketch, near0..) of lines (node, x): set size, least shingle hashes and four bits of each min-hash."""
+    for batch in batches:
+        for rows, _, _, short, first in _shingles(batch.column("x")):
+            sets = [np.unique(short[a:b]) for a, b in zip(first[:-1], first[1:])]
+            near = np.zeros((len(rows), len(_NEAR)), U64)
+            for k, least in enumerate(_min_hashes(short, first, _FURTHER_SALT, _FURTHER_ODD)):
+                near[:, k // NIBBLES] |= ((least ^ (least >> np.uint32(15))) & np.uint32(15)).astype(U64) << U64(4 * (k % NIBBLES))
+            sketches = pa.array([(x[:SKETCH] >> np.uint32(1)).astype(np.int32) for x in sets], pa.list_(pa.int32()))
+            sizes = pa.array([len(x) for x in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(rows)), sizes, sketches, *map(pa.array, near.view(np.int64).T)], ["node", "size", "sketch", *_NEAR])
+
+
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -114,9 +144,8 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose lines have exact Jaccard similarity LEAST or more on character shingles."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _lines_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, x) of the first line of each class."""
     wanted = possible_ids(classes.select("node", "first"), "node", nodes).join(nodes, "node", "left_semi")
     by_doc = wanted.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct("first.line", "node")).alias("wanted"))
     by_doc = materialize(by_doc, "wanted")
@@ -124,7 +153,12 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     lines = texts.withColumn("lines", F.split("text", "\n")).select(
         F.explode(F.transform("wanted", lambda w: F.struct(w["node"].alias("node"), F.get("lines", w["line"]).alias("x")))).alias("w")
     )
-    lines = materialize(lines.select("w.node", "w.x"), "lines").dropDuplicates(["node"])
+    return materialize(lines.select("w.node", "w.x"), "lines").dropDuplicates(["node"])
+
+
+def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose lines have exact Jaccard similarity LEAST or more on character shingles."""
+    lines = _lines_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs)
     left = lines.select(F.col("node").alias("a"), "x")
     right = lines.select(F.col("node").alias("b"), F.col("x").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long")
@@ -146,11 +180,14 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     joined = connected_components(links)
 
     placed = groups.select("band", "node").join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-    open_rows = materialize(placed.join(mixed.select("band"), "band", "left_semi").select("band", "node", "c"), "open")
+    mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    open_rows = materialize(placed.join(mixed.select("band", "n"), "band").select("band", "n", "node", "c"), "open")
     if not open_rows.isEmpty():
-        x, y = (open_rows.select("band", F.col("node").alias(f"n{k}"), F.col("c").alias(f"c{k}")) for k in "xy")
-        across = x.join(y, "band").filter("nx < ny and cx <> cy").select(F.col("nx").alias("a"), F.col("ny").alias("b")).distinct()
+        sketches = _lines_of(open_rows.select("node").distinct(), classes, docs).mapInArrow(_sketch, "node long, size int, sketch array<int>, " + ", ".join(f"{c} long" for c in _NEAR))
+        sketched = materialize(open_rows.join(sketches, "node"), "sketched")
+        x, y = (side.select("band", "block", F.col("node").alias(f"n{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("c", "size", "sketch", *_NEAR)]) for side, k in zip(blocks(sketched, "node"), "xy"))
+        alike = sizes_alike("x", "y", LEAST) & few_unlike(_NEAR, "x", "y", MOST_UNLIKE) & sketches_alike("x", "y", LEAST)
+        across = x.join(y, ["band", "block"]).filter((F.col("nx") < F.col("ny")) & (F.col("cx") != F.col("cy")) & alike).select(F.col("nx").alias("a"), F.col("ny").alias("b")).distinct()
         more = materialize(across.join(first, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             joined = connected_components(links.union(materialize(_confirm(more, classes, docs), "links")))

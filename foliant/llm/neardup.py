@@ -10,7 +10,8 @@ Candidates come in two rounds, so that no group emits all its pairs:
 1. every member of a region with the region's least member, and in crowded
    regions with a few further leaders;
 2. in each region that then still holds more than one component, the pairs
-   between different components.
+   between different components that can be similar by their signatures and by
+   sketches of their sets.
 Round 2 has no caps: a pair of similar documents that share a region in any
 tree is in one component after round 1 or is compared in round 2.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.components import connected_components
-from foliant.llm.groups import further_pairs
+from foliant.llm.groups import SKETCH, blocks, few_unlike, further_pairs, sizes_alike, sketches_alike
 from foliant.llm.shared import materialize, possible_ids
 from foliant.llm.textops import U64, _splitmix, chunks, shingle_hashes, word_hashes
 
@@ -40,11 +41,7 @@ REGION = 64
 HASHES = TREES * LEAST_DEPTH
 #: Pairs whose min-hashes differ in their lowest four bits at more places are not compared further: at similarity 0.75, 14 of 60 are expected, 28 is four deviations more.
 MOST_UNLIKE = 27
-NIBBLES, _LOWEST = 15, int("1" * 15, 16)
-#: Least shingle hashes of a document that round 2 compares before full sets; smaller sets are compared whole.
-SKETCH = 512
-#: What a comparison of sketches leaves open: 4.5 deviations, at similarity 0.75, of the hashes that two of them share.
-SKETCH_SLACK = 48
+NIBBLES = 15
 
 _SALT = (_splitmix(HASHES, 11) >> U64(32)).astype(np.uint32)
 _ODD = (_splitmix(HASHES, 12) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -178,32 +175,6 @@ def confirm(pairs: DataFrame, docs: DataFrame, least: float = 0.75) -> DataFrame
     return both.filter(F.lit(100) * common >= F.lit(round(100 * least)) * union).select("a", "b")
 
 
-def _alike(x: str, y: str, least: float) -> Column:
-    """Whether two sets can have similarity least by their sizes and by four bits of each min-hash."""
-    nx, ny = F.col(f"size{x}"), F.col(f"size{y}")
-    sizes = F.lit(round(100 * least)) * F.greatest(nx, ny) <= F.lit(100) * F.least(nx, ny)
-    unlike = F.lit(0)
-    for c in _NEAR:
-        bits = F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))
-        bits = bits.bitwiseOR(F.shiftright(bits, 1))
-        bits = bits.bitwiseOR(F.shiftright(bits, 2)).bitwiseAND(F.lit(_LOWEST))
-        unlike = unlike + F.bit_count(bits)
-    return sizes & (unlike <= MOST_UNLIKE)
-
-
-def _sketches_alike(x: str, y: str, least: float) -> Column:
-    """Whether two sets can have similarity least by their sketches; exact, but for two hashes, where both sets are whole in them."""
-    one, other = F.col(f"sketch{x}"), F.col(f"sketch{y}")
-    nx, ny = F.col(f"size{x}"), F.col(f"size{y}")
-    whole = (nx <= SKETCH) & (ny <= SKETCH)
-    end = lambda s, n: F.when(n > SKETCH, F.get(s, F.lit(SKETCH - 1)))
-    known = F.least(end(one, nx), end(other, ny))  # both sketches hold all hashes up to here
-    below = lambda s: F.size(F.filter(s, lambda h: h <= known))
-    total = F.when(whole, nx + ny).otherwise(below(one) + below(other))
-    slack = F.when(whole, 2).otherwise(SKETCH_SLACK)
-    return F.size(F.array_intersect(one, other)) * (1 + least) >= total * least - slack * (1 + least)
-
-
 def components(docs: DataFrame, least: float = 0.75) -> DataFrame:
     """(id, n_shingles, component_id) of documents (id, text).
 
@@ -225,20 +196,20 @@ def components(docs: DataFrame, least: float = 0.75) -> DataFrame:
     stars = stars.union(further_pairs(regions.filter(F.col("depth") == LEAST_DEPTH), "region", "id")).distinct()
     signs = reps.select("id", "size", *_NEAR)
     sign_of = lambda k: signs.toDF(k, *[f"{c}{k}" for c in ("size", *_NEAR)])
-    first = materialize(stars.join(sign_of("a"), "a").join(sign_of("b"), "b").filter(_alike("a", "b", least)).select("a", "b"), "pairs")
+    first = materialize(stars.join(sign_of("a"), "a").join(sign_of("b"), "b").filter(sizes_alike("a", "b", least) & few_unlike(_NEAR, "a", "b", MOST_UNLIKE)).select("a", "b"), "pairs")
     links = materialize(confirm(first, rows, least), "links")
     joined = connected_components(links).withColumnsRenamed({"node": "id", "component": "c"})
 
     # Round 2: the regions (of least depth, which contain the deeper ones) that hold several components.
     placed = regions.filter(F.col("depth") == LEAST_DEPTH).select("region", "id").join(joined, "id", "left").withColumn("c", F.coalesce("c", "id"))
-    mixed = placed.groupBy("region").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-    open_rows = materialize(placed.join(mixed.select("region"), "region", "left_semi"), "open")
+    mixed = placed.groupBy("region").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    open_rows = materialize(placed.join(mixed.select("region", "n"), "region"), "open")
     if not open_rows.isEmpty():
         sketches = _of(rows, open_rows.select("id").distinct()).mapInArrow(_sketch, "id long, sketch array<int>")
         sketched = materialize(open_rows.join(signs, "id").join(sketches, "id"), "sketched")
-        x, y = (sketched.select("region", *[F.col(c).alias(f"{c}{k}") for c in ("id", "c", "size", *_NEAR, "sketch")]) for k in "xy")
-        across = x.join(y, "region").filter((F.col("idx") < F.col("idy")) & (F.col("cx") != F.col("cy")))
-        across = across.filter(_alike("x", "y", least) & _sketches_alike("x", "y", least))
+        x, y = (side.select("region", "block", *[F.col(c).alias(f"{c}{k}") for c in ("id", "c", "size", *_NEAR, "sketch")]) for side, k in zip(blocks(sketched, "id"), "xy"))
+        across = x.join(y, ["region", "block"]).filter((F.col("idx") < F.col("idy")) & (F.col("cx") != F.col("cy")))
+        across = across.filter(sizes_alike("x", "y", least) & few_unlike(_NEAR, "x", "y", MOST_UNLIKE) & sketches_alike("x", "y", least))
         more = across.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
         more = materialize(more.join(first, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
