@@ -5,12 +5,15 @@ are one class, named by a 64-bit hash of the line (two lines must also agree
 in a mark of their min-hashes). Classes that share a band are a group; as with
 near-duplicate documents, the members of a group are first compared with its
 least member and then, where a group still holds several components, across
-components where signatures and sketches allow similarity. Of every component the first line by (document, line) stays.
+components where signatures and sketches allow similarity. Of every component
+the first line by (document, line) stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,7 @@ LEAST = 0.75
 FURTHER, MOST_UNLIKE = 192, 68
 NIBBLES = 16
 _NEAR = [f"near{k}" for k in range(FURTHER // NIBBLES)]
+_BANDS = [f"band{k}" for k in range(BANDS)]
 
 _SALT = (_splitmix(BANDS * ROWS, 21) >> U64(32)).astype(np.uint32)
 _ODD = (_splitmix(BANDS * ROWS, 22) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -95,14 +99,18 @@ def _min_hashes(short: np.ndarray, first: np.ndarray, salts: np.ndarray, odds: n
         yield np.minimum.reduceat(x, first[:-1])
 
 
+def _bands(short: np.ndarray, first: np.ndarray) -> np.ndarray:
+    bands = np.zeros((len(first) - 1, BANDS), U64)
+    for k, least in enumerate(_min_hashes(short, first, _SALT, _ODD)):
+        bands[:, k // ROWS] += least.astype(U64) * _MIXERS[k]
+    return mix(bands + np.arange(1, BANDS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("id")
         for rows, number, line, short, first in _shingles(batch.column("text")):
-            bands = np.zeros((len(rows), BANDS), U64)
-            for k, least in enumerate(_min_hashes(short, first, _SALT, _ODD)):
-                bands[:, k // ROWS] += least.astype(U64) * _MIXERS[k]
-            bands = mix(bands + np.arange(1, BANDS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
+            bands = _bands(short, first)
             mark = np.bitwise_xor.reduce(bands, axis=1)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -112,7 +120,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, size, sketch, near0..) of lines (node, x): set size, least shingle hashes and four bits of each min-hash."""
+    """(node, size, sketch, near0.., band0..) of lines (node, x): set size, least shingle hashes, four bits of each further min-hash, bands."""
     for batch in batches:
         for rows, _, _, short, first in _shingles(batch.column("x")):
             sets = [np.unique(short[a:b]) for a, b in zip(first[:-1], first[1:])]
@@ -121,7 +129,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near[:, k // NIBBLES] |= ((least ^ (least >> np.uint32(15))) & np.uint32(15)).astype(U64) << U64(4 * (k % NIBBLES))
             sketches = pa.array([(x[:SKETCH] >> np.uint32(1)).astype(np.int32) for x in sets], pa.list_(pa.int32()))
             sizes = pa.array([len(x) for x in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(rows)), sizes, sketches, *map(pa.array, near.view(np.int64).T)], ["node", "size", "sketch", *_NEAR])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(rows)), sizes, sketches, *map(pa.array, np.hstack([near, _bands(short, first)]).view(np.int64).T)], ["node", "size", "sketch", *_NEAR, *_BANDS])
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +191,13 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("low <> high")
     open_rows = materialize(placed.join(mixed.select("band", "n"), "band").select("band", "n", "node", "c"), "open")
     if not open_rows.isEmpty():
-        sketches = _lines_of(open_rows.select("node").distinct(), classes, docs).mapInArrow(_sketch, "node long, size int, sketch array<int>, " + ", ".join(f"{c} long" for c in _NEAR))
-        sketched = materialize(open_rows.join(sketches, "node"), "sketched")
-        x, y = (side.select("band", "block", F.col("node").alias(f"n{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("c", "size", "sketch", *_NEAR)]) for side, k in zip(blocks(sketched, "node"), "xy"))
-        alike = sizes_alike("x", "y", LEAST) & few_unlike(_NEAR, "x", "y", MOST_UNLIKE) & sketches_alike("x", "y", LEAST)
+        sketches = _lines_of(open_rows.select("node").distinct(), classes, docs).mapInArrow(_sketch, "node long, size int, sketch array<int>, " + ", ".join(f"{c} long" for c in [*_NEAR, *_BANDS]))
+        place = F.array_position(F.array(*_BANDS), F.col("band")) - 1
+        sketched = materialize(open_rows.join(sketches, "node").withColumn("place", place), "sketched")
+        x, y = (side.select("band", "block", F.col("node").alias(f"n{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("c", "place", "size", "sketch", *_NEAR, *_BANDS)]) for side, k in zip(blocks(sketched, "node"), "xy"))
+        # A pair that shares several bands is compared in the first: an earlier one holds the same two components and is open too.
+        earlier = reduce(or_, [(F.col("placex") > k) & (F.col(f"{c}x") == F.col(f"{c}y")) for k, c in enumerate(_BANDS)])
+        alike = ~earlier & sizes_alike("x", "y", LEAST) & few_unlike(_NEAR, "x", "y", MOST_UNLIKE) & sketches_alike("x", "y", LEAST)
         across = x.join(y, ["band", "block"]).filter((F.col("nx") < F.col("ny")) & (F.col("cx") != F.col("cy")) & alike).select(F.col("nx").alias("a"), F.col("ny").alias("b")).distinct()
         more = materialize(across.join(first, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
