@@ -32,14 +32,14 @@ def append_unseen(stream: DataFrame, store: str, checkpoint: str, key: str) -> S
 
 
 def _epochs(spark: SparkSession, store: str) -> list[int]:
-    """The batches in a store, by its folder names as Spark's own file source lists them."""
+    """The batches in a store, by its folder names as Spark's own file source lists their files (it hides _SUCCESS)."""
     try:
-        names = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", "true").load(store).select("path").collect()
+        names = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(store).select("path").collect()
     except Exception as error:  # the store isn't there before the first batch
         if "PATH_NOT_FOUND" in str(error) or "does not exist" in str(error):
             return []
         raise
-    return sorted(int(r["path"].rpartition("/")[0].rpartition("epoch=")[2]) for r in names)
+    return sorted({int(r["path"].rpartition("/")[0].rpartition("epoch=")[2]) for r in names})
 
 
 def event_windows(events: DataFrame, size: str = "1 day", slide: str | None = None, late: str = "6 days") -> DataFrame:
