@@ -3,7 +3,9 @@
 Words are runs of letters and digits, A-Z as a-z. The test items go through in
 blocks of a bounded number of words, so that a block's seeds can be broadcast
 whatever the benchmark's size; the documents are scanned twice for each block:
-once to count the seeds over all documents, once to align what rare seeds point to.
+once to count the seeds over all documents, once to align what seeds point to.
+A rare seed is enough for that; where common ones stand alone, enough of the
+item's words must stand around them for the least score, which no listed pair fails.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from foliant.llm.textops import U64, chunks, shingle_hashes, word_hashes
 SEED_WORDS = 3
 #: Test words in a block: its seeds take some 20 MB at most.
 BLOCK_WORDS = 500_000
-#: A seed is rare if it stands in the corpus at most once in so many words, or is in the rarer half of its item's seeds.
+#: A seed is rare if it stands in the corpus at most once in so many words, or is in the rarer half of those of its item's seeds that the corpus has.
 RARE_ONCE_IN = 1_000_000
 #: Alignment: a match counts 1, a mismatch or a gap of one word costs 1.
 LEAST_SHARE, LEAST_SCORE = 0.4, 8
@@ -65,7 +67,8 @@ class Block:
         by_item: dict[int, list[int]] = defaultdict(list)
         for seed, places in self.places.items():
             for item, _ in places:
-                by_item[item].append(seed)
+                if counts[seed]:
+                    by_item[item].append(seed)
         for seeds in by_item.values():
             rarer = sorted(set(seeds), key=lambda x: (counts[x], x))
             rare[rarer[: (len(rarer) + 1) // 2]] = True
@@ -124,21 +127,26 @@ def _search(block: Block, rare: np.ndarray, batches: Iterator[pa.RecordBatch]) -
         rows_out, found = [], []
         for i, j, words, rows, hashes, heads in _seeds_of(batch.column("text")):
             at, seed = block.hits(hashes)
-            keep = rare[seed] if len(seed) else np.zeros(0, bool)
-            at, seed = at[keep], seed[keep]
             owner = np.searchsorted(heads, at, "right") - 1
             for r in np.unique(owner):
                 own = words[rows[r] : rows[r + 1]]
                 begin: dict[int, list[int]] = defaultdict(list)
+                sure: set[int] = set()
                 for p, k in zip((at[owner == r] - heads[r]).tolist(), seed[owner == r].tolist()):
                     for item, q in block.places[k]:
                         begin[item].append(p - q)
+                        if rare[k]:
+                            sure.add(item)
                 for item, starts in begin.items():
                     target, best = block.words[item], (0, 0, 0)
+                    least = max(LEAST_SCORE, LEAST_SHARE * len(target))
                     for a, b in _windows(starts, len(target), len(own)):
+                        # A word of the item adds 1 to a score at most, and only if it stands in the window.
+                        if item not in sure and np.isin(target, own[a:b]).sum() < least:
+                            continue
                         score, end = align(target, own[a:b])
                         best = max(best, (score, -a, a + end))
-                    if best[0] >= max(LEAST_SCORE, LEAST_SHARE * len(target)):
+                    if best[0] >= least:
                         rows_out.append(i + r)
                         found.append((item, best[0] / len(target), -best[1], best[2]))
         if found:

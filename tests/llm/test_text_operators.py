@@ -87,6 +87,17 @@ def test_decontamination(spark):
     assert decontam.leaks(d, i.limit(0)).count() == 0 and decontam.leaks(d.limit(0), i).count() == 0
 
 
+def test_decontamination_of_edited_copies(spark):
+    items = spark.createDataFrame([(0, text(300, 30)), (1, text(301, 30)), (2, text(302, 30))], "item long, text string")
+    edited = [" ".join(w if k % 4 else f"changed{k}" for k, w in enumerate(text(300 + i, 30).split())) for i in range(3)]
+    rows = [(1, edited[0])]  # under half of the seeds survive, in one document
+    rows += [(1000 + k, f"{text(5000 + k, 8)} {edited[1]}") for k in range(2000)]  # in thousands
+    rows += [(2, edited[2]), (3, f"{text(302, 30)} {text(303, 9)}")]  # beside a whole copy, whose other seeds are rarer
+    got = decontam.leaks(spark.createDataFrame(rows, "id long, text string"), items).collect()
+    assert {(r.id, r.item) for r in got} == {(1, 0), (2, 2), (3, 2)} | {(1000 + k, 1) for k in range(2000)}
+    assert {round(r.score * 30) for r in got if r.id != 3} == {15}
+
+
 def test_alignment_is_smith_waterman():
     import numpy as np
 
