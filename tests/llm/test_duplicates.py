@@ -107,3 +107,16 @@ def test_passages(spark):
     for k in range(20, 26):
         assert got[k].spans[0].start <= 40 and got[k].spans[-1].end >= 100
     assert passages.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_edited_passages(spark):
+    rng, rows = random.Random(9), []
+    for k in range(120):
+        words = text(9000 + k, (50, 55, 60)[k % 3]).split()
+        changed = [w if j != (k // 3) % len(words) else f"changed{k}" for j, w in enumerate(words)]
+        for side, own in enumerate((words, changed)):
+            around = [" ".join(f"own{rng.randrange(10**9)}" for _ in range(rng.randrange(25, 60))) for _ in range(2)]
+            rows.append((2 * k + side, f"{around[0]} {' '.join(own)} {around[1]}"))
+    got = {r.id: r for r in passages.repeated_passages(spark.createDataFrame(rows, "id long, text string")).collect()}
+    whole = [k for k in range(120) if 2 * k in got and 2 * k + 1 in got and got[2 * k].class_id == got[2 * k + 1].class_id == 2 * k]
+    assert len(whole) >= 110
