@@ -120,3 +120,23 @@ def test_edited_passages(spark):
     got = {r.id: r for r in passages.repeated_passages(spark.createDataFrame(rows, "id long, text string")).collect()}
     whole = [k for k in range(120) if 2 * k in got and 2 * k + 1 in got and got[2 * k].class_id == got[2 * k + 1].class_id == 2 * k]
     assert len(whole) >= 110
+
+
+def test_second_passage_of_linked_texts(spark):
+    rng, rows, places = random.Random(10), [], {}
+    license_words = text(70, 60)
+
+    def own(n: int) -> str:
+        return " ".join(f"own{rng.randrange(10**9)}" for _ in range(n))
+
+    for p in range(4):
+        words = text(7100 + p, 60).split()
+        for k in range(2):  # the license links all texts, a second passage these two alone
+            places[1000 * p + k] = 130 + k
+            rows.append((1000 * p + k, f"{license_words} {own(70 + k)} {' '.join(words)} {own(30)}"))
+        for k in range(60):  # others have parts of it, too short for a passage, with the same signatures
+            rows.append((1000 * p + 10 + k, f"{license_words} {own(60)} {' '.join(words[k % 3 * 11 :][:38])} {own(60)}"))
+    got = {r.id: r for r in passages.repeated_passages(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert len(got) == len(rows) and {r.class_id for r in got.values()} == {0}
+    for i, at in places.items():
+        assert any(s.start <= at and at + 60 <= s.end for s in got[i].spans)
