@@ -14,7 +14,7 @@ import heapq
 import re
 from bisect import insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,8 @@ class Vocabulary:
         across = {c for p in pieces for a, b in zip(p, p[1:]) if SPACE not in (a, b) and a.isalnum() != b.isalnum() for c in (a, b) if c.isalnum()}
         odd = re.escape("_" + "".join(sorted(across)))
         self.chunk = re.compile(f"{SPACE}*[^\\W{odd}]+|{SPACE}*(?:[^\\w{SPACE}]|[{odd}])+|{SPACE}+")
-        #: Of chunks: the best score, its ids, what the second best loses, and what each of the n best loses.
-        self.known: dict[str, tuple[float, tuple[int, ...], float, list[float]]] = {}
+        #: Of chunks: the best score, its ids, what the second best loses, and of each of the n best what it loses and its ids.
+        self.known: dict[str, tuple[float, tuple[int, ...], float, list[tuple[float, tuple[int, ...]]]]] = {}
 
     @classmethod
     def load(cls, model_file: str) -> Vocabulary:
@@ -120,10 +120,10 @@ class Vocabulary:
                     del queue[room:]
         return out
 
-    def part(self, chunk: str, n: int) -> tuple[float, tuple[int, ...], float, list[float]]:
+    def part(self, chunk: str, n: int) -> tuple[float, tuple[int, ...], float, list[tuple[float, tuple[int, ...]]]]:
         best = self.n_best(chunk, n)
-        losses = [best[0][0] - s for s, _ in best]
-        found = (*best[0], losses[1] if len(losses) > 1 else float("inf"), losses)
+        losses = [(best[0][0] - s, ids) for s, ids in best]
+        found = (*best[0], losses[1][0] if len(losses) > 1 else float("inf"), losses)
         if len(chunk) <= 64:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -132,18 +132,33 @@ class Vocabulary:
 
     def encode(self, text: str, n: int = N_BEST) -> tuple[list[int], list[float]]:
         """The ids of the best segmentation of a text and the scores of the n best, best first."""
+        best = self.encode_n_best(text, n)
+        return (best[0][1] if best else []), [score for score, _ in best]
+
+    def encode_n_best(self, text: str, n: int = N_BEST) -> list[tuple[float, list[int]]]:
+        """The n best segmentations of a text as (score, ids), best first."""
         if not text:
-            return [], []
+            return []
         normal = SPACE + text.replace(" ", SPACE)
         get, part = self.known.get, self.part
         parts = [get(c) or part(c, n) for c in ([normal] if self.whole else self.chunk.findall(normal))]
         best = sum([p[0] for p in parts])
+        own = list(chain.from_iterable([p[1] for p in parts]))
         # Only the n - 1 chunks whose second best costs least can differ among the n best.
         bound = sorted([p[2] for p in parts])[: n - 1][-1:]
-        losses = [0.0]
-        for p in sorted([p for p in parts if bound and p[2] <= bound[0]], key=lambda p: p[2])[: n - 1]:
-            losses = heapq.nsmallest(n, [a + x for a in losses for x in p[3]])
-        return list(chain.from_iterable([p[1] for p in parts])), [best - x for x in losses]
+        #: What a segmentation loses, and the (chunk, which of its n best) in which it differs from the best.
+        ways: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+        for k in sorted([k for k, p in enumerate(parts) if bound and p[2] <= bound[0]], key=lambda k: parts[k][2])[: n - 1]:
+            more = [(a + x, (*way, (k, m)) if m else way) for a, way in ways for m, (x, _) in enumerate(parts[k][3])]
+            ways = heapq.nsmallest(n, more, key=lambda w: w[0])
+        at = list(accumulate([len(p[1]) for p in parts], initial=0)) if len(ways) > 1 else []
+        out = []
+        for loss, way in ways:
+            ids = own[:] if way else own
+            for k, m in sorted(way, reverse=True):
+                ids[at[k] : at[k + 1]] = parts[k][3][m][1]
+            out.append((best - loss, ids))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces and bytes joined, spaces restored, the leading one dropped."""
@@ -155,22 +170,26 @@ def _encode(vocabulary: Vocabulary, n: int, batches: Iterator[pa.RecordBatch]) -
     for whole in batches:
         for i in range(0, whole.num_rows, ROWS):
             batch = whole.slice(i, ROWS)
-            ids, scores, exact = [], [], []
+            ids, scores, exact, others, ends = [], [], [], [], [0]
             for text in batch.column("text").to_pylist():
-                own, best = vocabulary.encode(text or "", n)
+                best = vocabulary.encode_n_best(text or "", n)
+                own = best[0][1] if best else []
                 ids.append(np.array(own, np.int32))
-                scores.append(best)
+                scores.append([score for score, _ in best])
+                others += [np.array(x, np.int32) for _, x in best]
+                ends.append(len(others))
                 exact.append(vocabulary.decode(own) == (text or "").replace(SPACE, " "))
             lists = pa.array(ids, pa.list_(pa.int32()))
+            n_best = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(others, pa.list_(pa.int32())))
             keep = [c for c in batch.schema.names if c != "text"]
             sizes = pa.array([len(x) for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], sizes, lists, pa.array(scores, pa.list_(pa.float64())), pa.array(exact)], [*keep, "n_pieces", "ids", "scores", "exact"]
+                [*[batch.column(c) for c in keep], sizes, lists, pa.array(scores, pa.list_(pa.float64())), pa.array(exact), n_best], [*keep, "n_pieces", "ids", "scores", "exact", "n_best"]
             )
 
 
 def encode(docs: DataFrame, model_file: str, keys: list[str], text: str = "text", n: int = N_BEST) -> DataFrame:
-    """The columns keys of each row with ids, n_pieces, scores (of the n best segmentations) and exact.
+    """The columns keys of each row with ids, n_pieces, exact, and the n best segmentations: scores and n_best (their ids; the first are ids).
 
     exact: whether the ids decode to the text (U+2581 reads as a space). A null
     or empty text has no pieces and no scores. Repeated rows are encoded each.
@@ -179,7 +198,7 @@ def encode(docs: DataFrame, model_file: str, keys: list[str], text: str = "text"
     rows = docs.select(*keys, F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(lambda it: _encode(shared.value, n, it), f"{schema}, n_pieces long, ids array<int>, scores array<double>, exact boolean")
+    return rows.mapInArrow(lambda it: _encode(shared.value, n, it), f"{schema}, n_pieces long, ids array<int>, scores array<double>, exact boolean, n_best array<array<int>>")
 
 
 def decode(encoded: DataFrame, model_file: str, keys: list[str], ids: str = "ids") -> DataFrame:

@@ -155,6 +155,30 @@ def test_n_best_against_all_segmentations():
             assert v.decode(ids) == t
 
 
+def test_n_best_ids():
+    v = pieces.Vocabulary(VOCABULARY, {b: 100 + b for b in range(256)}, 99)
+    score = {i: s for i, s in VOCABULARY.values()}
+    for t in map("".join, itertools.product("ab ", repeat=5)):
+        found = v.encode_n_best(t, 4)
+        assert (found[0][1], [s for s, _ in found]) == v.encode(t, 4)
+        assert len({tuple(ids) for _, ids in found}) == len(found)
+        for s, ids in found:
+            assert v.decode(ids) == t and sum(score[i] for i in ids) == pytest.approx(s)
+
+
+def test_n_best_column(spark):
+    model = "/opt/tokenizers/piece_bpe_32k.model"
+    if not os.path.exists(model):
+        pytest.skip("no vocabulary here")
+    rows = spark.createDataFrame([(1, "Hello  world again"), (2, None), (3, text(5, 300))], "doc_id long, text string")
+    got = pieces.encode(rows, model, ["doc_id"]).collect()
+    v = pieces.Vocabulary.load(model)
+    for r in got:
+        assert len(r.n_best) == len(r.scores) == (0 if r.doc_id == 2 else 4)
+        assert not r.n_best or r.n_best[0] == r.ids
+        assert len({tuple(x) for x in r.n_best}) == len(r.n_best) and len({v.decode(x) for x in r.n_best}) <= 1
+
+
 def test_encode_round_trip(spark):
     model = "/opt/tokenizers/piece_bpe_32k.model"
     if not os.path.exists(model):
