@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.shared import materialize
+from foliant.llm.shared import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.filter("a <> b").select("a", "b").distinct(), "edges")
     before = _state(edges)
     while before[0]:
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        older, edges = edges, materialize(_small_star(_large_star(edges)), "edges")
+        release(older)
         after = _state(edges)
         if after == before:
             break

@@ -1,72 +1,202 @@
-"""Candidate pairs inside groups of any size, a bounded number for each member."""
+"""Comparisons inside groups of any size: links to leaders first, then exact blocks, never all pairs as rows.
 
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+A group (of lines that share a band, of documents in one region of an order)
+is kept as a tree: one row (group, node, leader) for every member but the
+first. Members that meet in one task are numbered there, so that only one row
+of a task's share of a hot group is dealt by the group's key.
+"""
 
-#: Groups with more members get LEADERS further leaders: where only two thirds of a group are similar to its first leader, some of these reach the rest.
-CROWD, LEADERS = 16, 3
-
-#: Least hashes of a set that sketches hold; smaller sets are whole in them.
-SKETCH = 512
-#: What a comparison of sketches leaves open: 4.5 deviations, at similarity 0.75, of the hashes that two of them share.
-SKETCH_SLACK = 48
-
-#: Members that the left side of a comparison inside a group holds in one block.
-BLOCK = 256
+from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 
-def blocks(members: DataFrame, node: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a comparison inside groups, members (with n, the size of their group) with a column block.
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-    Joined by group and block, each ordered pair meets once. The right side
-    comes once for each block of the left one, so that a large group is many
-    tasks of at most BLOCK left members or so.
+#: Members of a group that one side of a block comparison holds.
+BLOCK = 512
+#: Tokens that a comparison counts at a time.
+_STRIP = 4096
+
+TREE = "band long, node long, leader long"
+
+
+def tree_rows(band: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """Memberships (band, node) as rows of a tree: the least node of each band here leads itself, other distinct ones follow it."""
+    order = np.lexsort((node, band))
+    band, node = band[order], node[order]
+    first = np.ones(len(band), bool)
+    first[1:] = band[1:] != band[:-1]
+    again = ~first
+    again[1:] &= node[1:] == node[:-1]
+    leader = node[first][np.cumsum(first) - 1] if len(band) else node
+    keep = ~again
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (band, node, leader)], ["band", "node", "leader"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of bands: those that lead themselves follow the first of their band; a band's first gives no row."""
+    last_band, last_leader = None, 0
+    for batch in batches:
+        band, node, leader = (batch.column(c).to_numpy() for c in ("band", "node", "leader"))
+        own = np.flatnonzero(node == leader)
+        heads, nodes = band[own], node[own]
+        first = np.ones(len(own), bool)
+        first[1:] = heads[1:] != heads[:-1]
+        if len(own) and last_band is not None and heads[0] == last_band:
+            first[0] = False
+        at = np.cumsum(first) - 1
+        starts = nodes[first]
+        leads = np.where(at >= 0, starts[np.maximum(at, 0)] if len(starts) else 0, last_leader)
+        if len(own):
+            last_band, last_leader = heads[-1], leads[-1]
+        leader = leader.copy()
+        leader[own] = leads
+        keep = np.flatnonzero(node != leader)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (band, node, leader)], ["band", "node", "leader"])
+
+
+def group_trees(rows: DataFrame) -> DataFrame:
+    """(band, node, leader) of all groups with two members or more, from the rows of tree_rows of all tasks.
+
+    Rows that follow a leader of their own task are dealt by band and node, so
+    that a band with a third of all rows is spread out; one row for each
+    task's share meets the others of its band, in order, a batch at a time.
     """
-    more = (F.col("n") / BLOCK).cast("int")
-    left = members.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), node), more + 1).cast("int"))
-    return left.drop("n"), members.withColumn("block", F.explode(F.sequence(F.lit(0), more))).drop("n")
-
+    deal = F.when(F.col("node") == F.col("leader"), F.xxhash64("band")).otherwise(F.xxhash64("band", "node"))
+    return rows.repartition(deal).sortWithinPartitions("band", "node").mapInArrow(_merge, TREE)
 
-def few_unlike(names: list[str], x: str, y: str, most: int) -> Column:
-    """Whether at most so many of the four-bit values packed in the long columns differ between the sides x and y."""
-    unlike = F.lit(0)
-    for c in names:
-        bits = F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))
-        bits = bits.bitwiseOR(F.shiftright(bits, 1))
-        bits = bits.bitwiseOR(F.shiftright(bits, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        unlike = unlike + F.bit_count(bits)
-    return unlike <= most
 
+def star_pairs(trees: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b), a < b, of members and their leaders."""
+    return trees.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
-def sizes_alike(x: str, y: str, least: float) -> Column:
-    nx, ny = F.col(f"size{x}"), F.col(f"size{y}")
-    return F.lit(round(100 * least)) * F.greatest(nx, ny) <= F.lit(100) * F.least(nx, ny)
 
+def open_members(trees: DataFrame, apart: DataFrame, joined: DataFrame) -> DataFrame:
+    """(band, n, node, c) of the groups with three members or more of which some are apart.
 
-def sketches_alike(x: str, y: str, least: float) -> Column:
-    """Whether two sets can have similarity least by their sketches; exact, but for two hashes, where both sets are whole in them."""
-    one, other = F.col(f"sketch{x}"), F.col(f"sketch{y}")
-    nx, ny = F.col(f"size{x}"), F.col(f"size{y}")
-    whole = (nx <= SKETCH) & (ny <= SKETCH)
-    end = lambda s, n: F.when(n > SKETCH, F.get(s, F.lit(SKETCH - 1)))
-    known = F.least(end(one, nx), end(other, ny))  # both sketches hold all hashes up to here
-    below = lambda s: F.size(F.filter(s, lambda h: h <= known))
-    total = F.when(whole, nx + ny).otherwise(below(one) + below(other))
-    slack = F.when(whole, 2).otherwise(SKETCH_SLACK)
-    return F.size(F.array_intersect(one, other)) * (1 + least) >= total * least - slack * (1 + least)
+    apart: the pairs of star_pairs that different components hold; joined:
+    (node, component). As a group's rows are a tree, it holds one component
+    alone if none of its pairs is apart.
+    """
+    pair = trees.withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")})
+    bands = pair.join(apart.select("a", "b"), ["a", "b"], "left_semi").select("band").distinct()
+    rows = trees.join(bands, "band", "left_semi")
+    large = rows.groupBy("band").agg((F.count("*") + 1).alias("n")).filter("n > 2")
+    members = rows.select("band", F.explode(F.array("node", "leader")).alias("node")).distinct().join(large, "band")
+    return members.join(joined, "node", "left").select("band", "n", "node", F.coalesce("component", "node").alias("c"))
 
 
-def further_pairs(members: DataFrame, group: str, node: str) -> DataFrame:
-    """(a, b) of the members of crowded groups with further leaders: a leader and another member.
+def in_units(members: DataFrame, node: str = "node") -> DataFrame:
+    """members (band, n, ...) with own (their block) and unit, once for each pair of blocks that theirs is in, dealt and sorted by unit.
 
-    The leaders are the least members in LEADERS pseudo-random orders, which
-    are the same for all groups, so that overlapping groups share them.
+    A group with more than BLOCK members is many units, each of about two
+    blocks, so that no task holds a group whole.
     """
-    rows = members.select(group, node)
-    orders = [F.min_by(node, F.xxhash64(node, F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
-    heads = rows.groupBy(group).agg(F.count("*").alias("n"), *orders).filter(F.col("n") > CROWD)
-    heads = heads.select(group, F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(LEADERS)]))).alias("leader"))
-    met = rows.join(heads, group).filter(F.col(node) != F.col("leader"))
-    return met.select(F.least(node, "leader").alias("a"), F.greatest(node, "leader").alias("b")).distinct()
+    more = F.floor((F.col("n") - 1) / BLOCK).cast("int")
+    rows = members.withColumn("own", F.pmod(F.xxhash64(node, F.lit(7)), more + 1).cast("int"))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), more)))
+    rows = rows.withColumn("unit", F.least("own", "block").cast("long") * (more + 1) + F.greatest("own", "block")).drop("block")
+    return rows.repartition("band", "unit").sortWithinPartitions("band", "unit")
+
+
+def unit_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (band, unit) of batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        band, unit = batch.column("band").to_numpy(), batch.column("unit").to_numpy()
+        cuts = np.flatnonzero((band[1:] != band[:-1]) | (unit[1:] != unit[:-1])) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(band)]):
+            if last != (band[a], unit[a]) and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = (band[a], unit[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def comparable(table: pa.Table) -> np.ndarray:
+    """Which pairs of a unit's rows are in different components and, but for a block with itself, in different blocks."""
+    c, own = table.column("c").to_numpy(), table.column("own").to_numpy()
+    able = c[:, None] != c[None, :]
+    if own.min() != own.max():
+        able &= own[:, None] != own[None, :]
+    return able
+
+
+def common_counts(tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(n, n) numbers of common tokens of n sets, given as tokens and the set of each; exact."""
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    new = np.ones(len(tokens), bool)
+    new[1:] = tokens[1:] != tokens[:-1]
+    number = np.cumsum(new) - 1
+    count = np.bincount(number)
+    shared = count > 1
+    keep = shared[number] if len(number) else np.zeros(0, bool)
+    number, owner = (np.cumsum(shared) - 1)[number[keep]], owner[keep]
+    common = np.zeros((n, n), np.float32)
+    for a in range(0, int(shared.sum()), _STRIP):
+        low, high = np.searchsorted(number, [a, a + _STRIP])
+        part = np.zeros((n, _STRIP), np.float32)
+        part[owner[low:high], number[low:high] - a] = 1
+        common += part @ part.T
+    return common.astype(np.int64)
+
+
+def linked(common: np.ndarray, sizes: np.ndarray, able: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The places i < j of able pairs with 100 * common >= 100 * least * union."""
+    union = sizes[:, None] + sizes[None, :] - common
+    return np.nonzero(np.triu(able & (100 * common >= round(100 * least) * union), 1))
+
+
+def spanning(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which links (i, j) are enough to join the same components c: a forest."""
+    if not len(i):
+        return np.zeros(0, np.int64)
+    _, code = np.unique(c, return_inverse=True)
+    x, y = np.minimum(code[i], code[j]), np.maximum(code[i], code[j])
+    _, first = np.unique(x * (code.max() + 1) + y, return_index=True)
+    root = list(range(code.max() + 1))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    keep = []
+    for at in first.tolist():
+        p, q = find(int(x[at])), find(int(y[at]))
+        if p != q:
+            root[p] = q
+            keep.append(at)
+    return np.array(keep, np.int64)
+
+
+def block_links(sets: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow on in_units(): links (a, b) that join the components of each unit by exact similarity.
+
+    sets gives the tokens of the distinct sets of a unit's rows and the row of each token.
+    """
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in unit_tables(batches):
+            able = comparable(table)
+            if not able.any():
+                continue
+            tokens, owner = sets(table)
+            n = table.num_rows
+            i, j = linked(common_counts(tokens, owner, n), np.bincount(owner, minlength=n), able, least)
+            keep = spanning(i, j, table.column("c").to_numpy())
+            node = table.column("node").to_numpy()
+            x, y = node[i[keep]], node[j[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return links

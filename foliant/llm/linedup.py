@@ -2,18 +2,17 @@
 
 Lines are compared without outer white space and with A-Z as a-z. Equal lines
 are one class, named by a 64-bit hash of the line (two lines must also agree
-in a mark of their min-hashes). Classes that share a band are a group; as with
-near-duplicate documents, the members of a group are first compared with its
-least member and then, where a group still holds several components, across
-components where signatures and sketches allow similarity. Of every component
-the first line by (document, line) stays.
+in a second one to be equal). A line's signature holds the least shingle hash
+of each of BANDS * ROWS bins of one hash function; an empty bin takes the value
+of the first full one in an order of its own. Classes that share a band are a
+group. Its members are compared with a leader first and then, where a group of
+three or more still holds several components, across components in exact
+blocks. Of every component the first line by (document, line) stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -21,26 +20,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.components import connected_components
-from foliant.llm.groups import SKETCH, blocks, few_unlike, further_pairs, sizes_alike, sketches_alike
-from foliant.llm.shared import materialize, possible_ids
+from foliant.llm.groups import TREE, block_links, group_trees, in_units, open_members, star_pairs, tree_rows
+from foliant.llm.shared import materialize, possible_ids, release
 from foliant.llm.textops import U64, _splitmix, chunks, mix, span_hashes
 
-SHINGLE_CHARS = 10
-#: Lines of similarity 0.75 share a band with 1 - (1 - 0.75^4)^12 = 0.99, those of 0.8 with 0.998 and those of 0.9 surely.
-BANDS, ROWS = 12, 4
+#: One changed character inside a line kills six shingles: lines of 47 characters or more stay linked.
+SHINGLE_CHARS = 6
+#: Lines of similarity 0.75 share a band with 1 - (1 - 0.75^5)^16 = 0.987, those of 0.8 with 0.998; of 0.1, with 0.0002.
+BANDS, ROWS = 16, 5
+BINS = BANDS * ROWS
 LEAST = 0.75
-#: Classes whose FURTHER min-hashes differ in their lowest four bits at more places aren't compared further in round 2: at similarity 0.75, 45 of 192 are expected, 69 is four deviations more.
-FURTHER, MOST_UNLIKE = 192, 68
-NIBBLES = 16
-_NEAR = [f"near{k}" for k in range(FURTHER // NIBBLES)]
-_BANDS = [f"band{k}" for k in range(BANDS)]
-
-_SALT = (_splitmix(BANDS * ROWS, 21) >> U64(32)).astype(np.uint32)
-_ODD = (_splitmix(BANDS * ROWS, 22) >> U64(32)).astype(np.uint32) | np.uint32(1)
-_FURTHER_SALT = (_splitmix(FURTHER, 24) >> U64(32)).astype(np.uint32)
-_FURTHER_ODD = (_splitmix(FURTHER, 25) >> U64(32)).astype(np.uint32) | np.uint32(1)
-_MIXERS = _splitmix(BANDS * ROWS, 23) | U64(1)
+#: Bits of a shingle's hash.
+TOKEN_BITS = 44
+#: Shingles that a comparison of pairs sorts at a time.
+_AT_ONCE = 1 << 22
+
+_MIXERS = _splitmix(BINS, 23) | U64(1)
+_FACTORS = _splitmix(SHINGLE_CHARS, 26) | U64(1)
 _BLANK = (32, 9, 10, 11, 12, 13)
+#: For each bin the order in which it looks for a full one.
+_DONORS = np.argsort(_splitmix(BINS * BINS, 27).reshape(BINS, BINS), axis=1)
 
 
 def _code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,143 +73,190 @@ def _lines(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows[own], number[own], at[a[own]], at[b[own] - 1] + 1
 
 
-def _shingles(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of lines: (row of the text, number in its text, hash, shingle hashes line by line, n + 1 starts in these)."""
-    for i, _, data, offsets in chunks(text):
-        codes, heads = _code_points(data, offsets)
-        rows, number, starts, ends = _lines(codes, heads)
-        if not len(rows):
-            continue
-        upper = (codes >= 65) & (codes <= 90)
-        marks = mix((codes + (upper * np.uint32(32))).astype(U64) * U64(0x9E3779B97F4A7C15))
-        # Shingles: one for each place of a line that begins a full one, or the whole line where it is shorter.
-        n = np.maximum(1, ends - starts - SHINGLE_CHARS + 1)
-        first = np.concatenate([[0], np.cumsum(n)])
-        begin = np.repeat(starts - first[:-1], n) + np.arange(first[-1])
-        short = (span_hashes(marks, begin, np.minimum(begin + SHINGLE_CHARS, np.repeat(ends, n))) >> U64(32)).astype(np.uint32)
-        yield rows + i, number, span_hashes(marks, starts, ends), short, first
-
-
-def _min_hashes(short: np.ndarray, first: np.ndarray, salts: np.ndarray, odds: np.ndarray) -> Iterator[np.ndarray]:
-    """The least value of each hash function over the shingles of each line."""
-    for salt, odd in zip(salts, odds):
-        x = short ^ salt
-        x *= odd
-        yield np.minimum.reduceat(x, first[:-1])
-
-
-def _bands(short: np.ndarray, first: np.ndarray) -> np.ndarray:
-    bands = np.zeros((len(first) - 1, BANDS), U64)
-    for k, least in enumerate(_min_hashes(short, first, _SALT, _ODD)):
-        bands[:, k // ROWS] += least.astype(U64) * _MIXERS[k]
-    return mix(bands + np.arange(1, BANDS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
-
-
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _folded(codes: np.ndarray) -> np.ndarray:
+    """64-bit marks of code points, A-Z as a-z."""
+    upper = (codes >= 65) & (codes <= 90)
+    return mix((codes + upper * np.uint32(32)).astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+def _sets(marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, token) of the distinct shingles of lines, sorted; a line shorter than a shingle has itself as the one."""
+    n = np.maximum(0, ends - starts - SHINGLE_CHARS + 1)
+    full = np.zeros(max(0, len(marks) - SHINGLE_CHARS + 1), U64)
+    for k in range(SHINGLE_CHARS):
+        full += marks[k : k + len(full)] * _FACTORS[k]
+    first = np.cumsum(n) - n
+    at = np.repeat(starts - first, n) + np.arange(n.sum())
+    line = np.repeat(np.arange(len(n)), n)
+    short = np.flatnonzero(n == 0)
+    tokens = np.concatenate([mix(full[at]), span_hashes(marks, starts[short], ends[short])]) >> U64(64 - TOKEN_BITS)
+    packed = np.sort((np.concatenate([line, short]).astype(U64) << U64(TOKEN_BITS)) | tokens)
+    new = np.ones(len(packed), bool)
+    new[1:] = packed[1:] != packed[:-1]
+    packed = packed[new]
+    return (packed >> U64(TOKEN_BITS)).astype(np.int64), packed & U64((1 << TOKEN_BITS) - 1)
+
+
+def _bands(line: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
+    """(n, BANDS) keys of the bands of n lines with their sorted sets."""
+    place = line * BINS + ((token * U64(BINS)) >> U64(TOKEN_BITS)).astype(np.int64)
+    new = np.ones(len(place), bool)
+    new[1:] = place[1:] != place[:-1]
+    values = np.zeros(n * BINS, U64)
+    values[place[new]] = mix(token[new] + U64(1)) | U64(1)
+    values = values.reshape(n, BINS)
+    own = values.copy()
+    at, bin_ = np.nonzero(values == 0)
+    for k in range(BINS):
+        if not len(at):
+            break
+        there = own[at, _DONORS[bin_, k]]
+        values[at, bin_] = there
+        empty = there == 0
+        at, bin_ = at[empty], bin_[empty]
+    keys = (values * _MIXERS).reshape(n, BANDS, ROWS).sum(axis=2, dtype=U64)
+    return mix(keys + np.arange(1, BANDS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
+
+
+def _names(marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each line: its class, and what equal lines agree in besides."""
+    return span_hashes(marks, starts, ends), span_hashes(mix(marks ^ U64(0xA0761D6478BD642F)), starts, ends)
+
+
+def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, line, node, mark) of the lines of each text."""
     for batch in batches:
-        ids = batch.column("id")
-        for rows, number, line, short, first in _shingles(batch.column("text")):
-            bands = _bands(short, first)
-            mark = np.bitwise_xor.reduce(bands, axis=1)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+        for i, _, data, offsets in chunks(batch.column("text")):
+            codes, heads = _code_points(data, offsets)
+            rows, number, starts, ends = _lines(codes, heads)
+            node, mark = _names(_folded(codes), starts, ends)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows)), pa.array(number.astype(np.int32)), pa.array(line.view(np.int64)), pa.array(mark.view(np.int64)), lists],
-                ["id", "line", "node", "mark", "bands"],
+                [batch.column("id").take(pa.array(rows + i)), pa.array(number.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(mark.view(np.int64))], ["id", "line", "node", "mark"]
             )
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, size, sketch, near0.., band0..) of lines (node, x): set size, least shingle hashes, four bits of each further min-hash, bands."""
+def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, x) of the lines of each text, trimmed; of equal ones of a chunk, the first."""
     for batch in batches:
-        for rows, _, _, short, first in _shingles(batch.column("x")):
-            sets = [np.unique(short[a:b]) for a, b in zip(first[:-1], first[1:])]
-            near = np.zeros((len(rows), len(_NEAR)), U64)
-            for k, least in enumerate(_min_hashes(short, first, _FURTHER_SALT, _FURTHER_ODD)):
-                near[:, k // NIBBLES] |= ((least ^ (least >> np.uint32(15))) & np.uint32(15)).astype(U64) << U64(4 * (k % NIBBLES))
-            sketches = pa.array([(x[:SKETCH] >> np.uint32(1)).astype(np.int32) for x in sets], pa.list_(pa.int32()))
-            sizes = pa.array([len(x) for x in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(rows)), sizes, sketches, *map(pa.array, np.hstack([near, _bands(short, first)]).view(np.int64).T)], ["node", "size", "sketch", *_NEAR, *_BANDS])
+        for _, _, data, offsets in chunks(batch.column("text")):
+            codes, heads = _code_points(data, offsets)
+            _, _, starts, ends = _lines(codes, heads)
+            node, first = np.unique(span_hashes(_folded(codes), starts, ends), return_index=True)
+            places = np.arange(len(codes) + 1) if len(codes) == len(data) else np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+            raw = data.tobytes()
+            texts = [raw[a:b] for a, b in zip(places[starts[first]].tolist(), places[ends[first]].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(texts, pa.binary()).cast(pa.string())], ["node", "x"])
+
+
+def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of tree_rows of the bands of a batch's distinct lines."""
+    for batch in batches:
+        bands, nodes = [], []
+        for _, _, data, offsets in chunks(batch.column("text")):
+            codes, heads = _code_points(data, offsets)
+            _, _, starts, ends = _lines(codes, heads)
+            marks = _folded(codes)
+            node, first = np.unique(span_hashes(marks, starts, ends), return_index=True)
+            if len(node):
+                keys = _bands(*_sets(marks, starts[first], ends[first]), len(node))
+                bands.append(keys.ravel().view(np.int64))
+                nodes.append(np.repeat(node.view(np.int64), BANDS))
+        if nodes:
+            yield tree_rows(np.concatenate(bands), np.concatenate(nodes))
+
+
+def _sets_of(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(line, token) of the distinct shingles of texts of one trimmed line each, sorted by both."""
+    out_line, out_token = [], []
+    for i, _, data, offsets in chunks(lines, 1 << 22):
+        codes, heads = _code_points(data, offsets)
+        line, token = _sets(_folded(codes), heads[:-1], heads[1:])
+        out_line.append(line + i)
+        out_token.append(token)
+    return (np.concatenate(out_line), np.concatenate(out_token)) if out_line else (np.zeros(0, np.int64), np.zeros(0, U64))
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-
-    def shingles(x: str) -> set[str]:
-        x = x.strip(" \t\n\x0b\x0c\r").translate(lower)
-        return {x[i : i + SHINGLE_CHARS] for i in range(max(1, len(x) - SHINGLE_CHARS + 1))}
-
+    """The pairs (a, b) of lines (x, y) with exact similarity LEAST or more on their whole sets."""
     for batch in batches:
-        kept = []
-        before, left = None, set()
-        for r, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
-            if x != before:
-                before, left = x, shingles(x)
-            right = shingles(y)
-            common = len(left & right)
-            if 100 * common >= round(100 * LEAST) * (len(left) + len(right) - common):
-                kept.append(r)
-        yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
-
-
-def _lines_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, x) of the first line of each class."""
-    wanted = possible_ids(classes.select("node", "first"), "node", nodes).join(nodes, "node", "left_semi")
-    by_doc = wanted.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct("first.line", "node")).alias("wanted"))
-    by_doc = materialize(by_doc, "wanted")
-    texts = possible_ids(docs.select("id", "text"), "id", by_doc.select("id")).join(by_doc, "id").dropDuplicates(["id"])
-    lines = texts.withColumn("lines", F.split("text", "\n")).select(
-        F.explode(F.transform("wanted", lambda w: F.struct(w["node"].alias("node"), F.get("lines", w["line"]).alias("x")))).alias("w")
-    )
-    return materialize(lines.select("w.node", "w.x"), "lines").dropDuplicates(["node"])
-
-
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+        n = batch.num_rows
+        if not n:
+            continue
+        both = pa.chunked_array([batch.column("x"), batch.column("y")]).combine_chunks().dictionary_encode()
+        which = both.indices.to_numpy()
+        line, token = _sets_of(both.dictionary)
+        starts = np.searchsorted(line, np.arange(len(both.dictionary) + 1))
+        sizes = np.diff(starts)
+        x, y = which[:n], which[n:]
+        able = 100 * np.minimum(sizes[x], sizes[y]) >= round(100 * LEAST) * np.maximum(sizes[x], sizes[y])
+        pairs = np.flatnonzero(able)
+        cuts = np.cumsum(sizes[x[pairs]] + sizes[y[pairs]]) // _AT_ONCE
+        kept = [np.zeros(0, np.int64)]
+        for part in np.split(pairs, np.flatnonzero(np.diff(cuts)) + 1) if len(pairs) else []:
+            sides = np.concatenate([x[part], y[part]])
+            lengths = sizes[sides]
+            at = np.repeat(starts[sides] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            pair = np.repeat(np.tile(np.arange(len(part)), 2), lengths)
+            packed = np.sort((pair.astype(U64) << U64(TOKEN_BITS)) | token[at])
+            again = packed[1:][packed[1:] == packed[:-1]] >> U64(TOKEN_BITS)
+            common = np.bincount(again.astype(np.int64), minlength=len(part))
+            union = sizes[x[part]] + sizes[y[part]] - common
+            kept.append(part[100 * common >= round(100 * LEAST) * union])
+        yield batch.select(["a", "b"]).take(pa.array(np.concatenate(kept)))
+
+
+def _unit_sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    line, token = _sets_of(table.column("x").combine_chunks())
+    return token, line
+
+
+def _confirm(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose lines have exact Jaccard similarity LEAST or more on character shingles."""
-    lines = _lines_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs)
     left = lines.select(F.col("node").alias("a"), "x")
     right = lines.select(F.col("node").alias("b"), F.col("x").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long")
 
 
-def line_decisions(docs: DataFrame) -> DataFrame:
-    """(id, removed) of the documents (id, text) that lose lines: the numbers, from 0, of the lines to remove."""
-    lines = materialize(docs.filter("id is not null and text is not null").select("id", "text").mapInArrow(_sign, "id long, line int, node long, mark long, bands array<long>"), "signed")
-    classes = lines.groupBy("node", "mark").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
-    classes = materialize(classes, "classes")
-
-    banded = lines.select("node", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("high")).filter("leader <> high")
-    heads = materialize(heads.drop("high"), "heads")
-    groups = materialize(possible_ids(banded, "band", heads.select("band")).distinct().join(heads, "band"), "groups")
-    stars = groups.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    first = materialize(stars.union(further_pairs(groups, "band", "node")).distinct(), "pairs")
-    links = materialize(_confirm(first, classes, docs), "links")
+def _components(texts: DataFrame) -> DataFrame:
+    """(node, component) of the classes of lines of texts (id, text) that are linked with others."""
+    trees = materialize(group_trees(texts.select("text").mapInArrow(_band_rows, TREE)), "trees")
+    pairs = materialize(star_pairs(trees), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = materialize(nodes, "nodes")
+    found = texts.select("text").mapInArrow(_line_texts, "node long, x string")
+    lines = possible_ids(found, "node", nodes).join(nodes, "node", "left_semi").groupBy("node").agg(F.min("x").alias("x"))
+    lines = materialize(lines, "lines")
+    links = materialize(_confirm(pairs, lines), "links")
     joined = connected_components(links)
 
-    placed = groups.select("band", "node").join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    open_rows = materialize(placed.join(mixed.select("band", "n"), "band").select("band", "n", "node", "c"), "open")
-    if not open_rows.isEmpty():
-        sketches = _lines_of(open_rows.select("node").distinct(), classes, docs).mapInArrow(_sketch, "node long, size int, sketch array<int>, " + ", ".join(f"{c} long" for c in [*_NEAR, *_BANDS]))
-        place = F.array_position(F.array(*_BANDS), F.col("band")) - 1
-        sketched = materialize(open_rows.join(sketches, "node").withColumn("place", place), "sketched")
-        x, y = (side.select("band", "block", F.col("node").alias(f"n{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("c", "place", "size", "sketch", *_NEAR, *_BANDS)]) for side, k in zip(blocks(sketched, "node"), "xy"))
-        # A pair that shares several bands is compared in the first: an earlier one holds the same two components and is open too.
-        earlier = reduce(or_, [(F.col("placex") > k) & (F.col(f"{c}x") == F.col(f"{c}y")) for k, c in enumerate(_BANDS)])
-        alike = ~earlier & sizes_alike("x", "y", LEAST) & few_unlike(_NEAR, "x", "y", MOST_UNLIKE) & sketches_alike("x", "y", LEAST)
-        across = x.join(y, ["band", "block"]).filter((F.col("nx") < F.col("ny")) & (F.col("cx") != F.col("cy")) & alike).select(F.col("nx").alias("a"), F.col("ny").alias("b")).distinct()
-        more = materialize(across.join(first, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            joined = connected_components(links.union(materialize(_confirm(more, classes, docs), "links")))
+    side = lambda k: joined.toDF(k, f"c{k}")
+    failed = pairs.join(links, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    apart = failed.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    members = materialize(open_members(trees, materialize(apart.select("a", "b"), "apart"), joined), "open")
+    if not members.isEmpty():
+        units = in_units(members.join(lines, "node"))
+        more = materialize(units.select("band", "unit", "own", "node", "c", "x").mapInArrow(block_links(_unit_sets, LEAST), "a long, b long"), "links")
+        joined = connected_components(links.union(more))
+    release(trees, pairs, nodes, lines)
+    return joined
+
 
+def line_decisions(docs: DataFrame) -> DataFrame:
+    """(id, removed) of the documents (id, text) that lose lines: the numbers, from 0, of the lines to remove."""
+    texts = docs.filter("id is not null and text is not null").select("id", "text")
+    joined = _components(texts)
+    lines = materialize(texts.mapInArrow(_line_rows, "id long, line int, node long, mark long"), "lines")
     # A class matters if it has several lines or is linked; the first line of its component stays.
-    named = classes.select("node", "mark", "first", "n").join(joined, "node", "left").filter("n > 1 or component is not null")
-    named = named.withColumn("c", F.coalesce("component", "node"))
+    classes = lines.groupBy("node", "mark").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
+    named = classes.join(joined, "node", "left").filter("n > 1 or component is not null")
+    named = materialize(named.withColumn("c", F.coalesce("component", "node")).select("node", "mark", "first", "c"), "named")
     keepers = named.groupBy("c").agg(F.min("first").alias("keep"))
     fates = materialize(named.join(keepers, "c").select("node", "mark", "keep"), "fates")
-    hit = possible_ids(lines.select("id", "line", "node", "mark"), "node", fates.select("node")).join(fates, ["node", "mark"])
+    hit = possible_ids(lines, "node", fates.select("node")).join(fates, ["node", "mark"])
     gone = hit.filter(F.struct("id", "line") != F.col("keep"))
-    return gone.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    removed = materialize(gone.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
+    release(lines, named, fates)
+    return removed
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,7 +269,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     docs = docs.drop("removed")
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    gone = materialize(line_decisions(plain), "removed").withColumnRenamed("id", "_id")
+    gone = line_decisions(plain).withColumnRenamed("id", "_id")
     # Documents that surely keep all lines don't move; the others meet their decisions.
     rows = docs.withColumn("_id", F.col(key).cast("long"))
     touched = possible_ids(rows, "_id", gone.select("_id"), mark="_touched")

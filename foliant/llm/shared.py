@@ -14,21 +14,35 @@ _BUCKET = 32768
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a local folder only where it is unset."""
+    """spark.checkpoint.dir as the session has it; a local folder only in local mode where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read back: the lineage ends there.
 
-    A lost executor costs its own tasks alone, since the written files stay.
-    The folder is named after the application, for the cluster to purge.
+    A lost executor costs its own tasks alone, since the written files stay
+    until release() or, for what the result still reads, until the cluster
+    purges the folder, which is named after the application.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of materialized tables that nothing reads any more."""
+    for df in tables:
+        session = df.sparkSession
+        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def possible_ids(df: DataFrame, key: str, ids: DataFrame, mark: str | None = None) -> DataFrame:

@@ -68,9 +68,12 @@ def test_lines(spark):
     near = ["".join("#" if rng.random() < 0.01 else c for c in line) for _ in range(25)]
     rows = [(k, "\n".join([text(1000 + k, 12), near[k], "", "Same line", text(2000 + k, 3)])) for k in range(25)]
     rows += [(50, None), (51, ""), (52, "\n\n"), (53, "same line\n  SAME LINE \nown"), (54, "x"), (55, text(77, 9000))]
+    for k in range(30):  # lines of 60 to 90 characters and a copy with one changed character
+        x = text(4000 + k, 20)[: 60 + k]
+        rows += [(100 + 2 * k, x), (101 + 2 * k, f"{x[:20]}#{x[21:]}")]
     flat = [(i, k, x.strip(" \t\n\x0b\x0c\r").translate(LOWER)) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
     flat = [x for x in flat if x[2]]
-    sets = {(i, k): {x[j : j + 10] for j in range(max(1, len(x) - 9))} for i, k, x in flat}
+    sets = {(i, k): {x[j : j + linedup.SHINGLE_CHARS] for j in range(max(1, len(x) - linedup.SHINGLE_CHARS + 1))} for i, k, x in flat}
     known = Union()
     for a in sets:
         known.find(a)
