@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as fx
+from foliant.operators.views import numbered
 from foliant.sources.snapshots import checkpointed
 
 #: Rank of an authority tier (fixed values); unknown sources rank 0.
@@ -13,31 +14,43 @@ TIER_RANK = {"A": 400, "B": 300, "C": 200, "D": 100}
 DEFAULT_SECTION, NO_SECTION = 70, 50
 
 
-def canonical_key(tiers: dict[str, str], sections: dict[str, int], slug: str = "source", url: str = "url") -> Column:
-    """The total order of copies, the greatest first: tier, source, section, shorter URL, URL."""
-    rank = fx.mapped({s: TIER_RANK[t] for s, t in tiers.items() if t in TIER_RANK}, F.col(slug), 0)
-    section = fx.url_section(F.col(url))
+def authority(slug: Column, url: Column, hosts: dict[str, str]) -> Column:
+    """The source of an article: its trimmed slug, or where that is blank the one of its URL's host; '' if neither is known."""
+    own = fx.collapse(F.coalesce(slug, F.lit("")))
+    return F.when(own != "", own).otherwise(fx.mapped(hosts, fx.url_host(url), ""))
+
+
+def canonical_key(tiers: dict[str, str], sections: dict[str, int], slug: str = "source", url: str = "url", section_hosts: tuple[str, ...] = (), hosts: dict[str, str] | None = None) -> Column:
+    """The total order of copies, the greatest first: tier, source, section, shorter URL, URL.
+
+    Only URLs of section_hosts have a section; hosts names the source of a host
+    for articles without one.
+    """
+    source = authority(F.col(slug), F.col(url), hosts or {})
+    rank = fx.mapped({s: TIER_RANK[t] for s, t in tiers.items() if t in TIER_RANK}, source, 0)
+    section = fx.url_section(F.col(url), list(section_hosts))
     priority = F.when(section == "", NO_SECTION).otherwise(fx.mapped(sections, section, DEFAULT_SECTION))
     link = F.coalesce(F.col(url), F.lit(""))
-    return F.struct(rank.alias("rank"), F.coalesce(slug, F.lit("")).alias("slug"), priority.alias("priority"), (-F.length(link)).alias("length"), link.alias("link"))
+    return F.struct(rank.alias("rank"), source.alias("slug"), priority.alias("priority"), (-F.length(link)).alias("length"), link.alias("link"))
 
 
-def canonical(articles: DataFrame, key: Column, group: str = "title_hash") -> DataFrame:
+def canonical(articles: DataFrame, key: Column, group: str = "title_hash", id: str = "id") -> DataFrame:
     """One row for each non-empty group, the one with the greatest key; rows with an empty group all stay.
 
-    The winner is a maximum that is combined before the shuffle, so a group of
-    any size costs one row a task; rows without a group aren't shuffled at all.
+    The winner's id is a maximum that is combined before the shuffle, so a
+    group of any size costs one row a task. Only the columns that the caller
+    uses meet the winners' ids; rows without a group aren't shuffled at all.
     """
     grouped = articles.filter(F.coalesce(group, F.lit("")) != "")
-    best = grouped.groupBy(group).agg(F.max(F.struct(key.alias("_key"), F.struct(*articles.columns).alias("_row"))).alias("_best"))
+    best = grouped.groupBy(group).agg(F.max(F.struct(key.alias("_key"), F.col(id).alias("_id"))).alias("_best"))
     alone = articles.filter(F.coalesce(group, F.lit("")) == "")
-    return best.select("_best._row.*").unionByName(alone)
+    return grouped.join(best.select(F.col("_best._id").alias(id)), id, "left_semi").unionByName(alone)
 
 
 def ranked(articles: DataFrame, key: Column, group: str = "title_hash") -> DataFrame:
-    """All rows of non-empty groups with their rank in the group, the winner 1."""
+    """All rows of non-empty groups with their rank in the group, the winner 1; a group of any size is many tasks."""
     rows = articles.filter(F.coalesce(group, F.lit("")) != "").withColumn("_key", key)
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("_key")))).drop("_key")
+    return numbered(rows, [F.desc("_key")], group, "rank").drop("_key")
 
 
 def refused_groups(articles: DataFrame, tiers: dict[str, str], group: str = "title_hash", slug: str = "source") -> DataFrame:

@@ -54,10 +54,12 @@ def search(
     if q.strip():
         names = [c for c in ("title", "title_english", "summary") if c in records.columns]
         tests.append(F.contains(F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in names])), F.lit(q.strip().lower())))
+    # Literals of the column's own type: a filter on a date column reaches the scan.
+    kind = records.schema["published_date"].dataType
     if since:
-        tests.append(F.col("published_date").cast("string") >= since)
+        tests.append(F.col("published_date") >= F.lit(since).cast(kind))
     if until:
-        tests.append(F.col("published_date").cast("string") <= until)
+        tests.append(F.col("published_date") <= F.lit(until).cast(kind))
     if flagged:
         tests.append(F.col("significant"))
     if categories:
@@ -70,7 +72,7 @@ def search(
 
 def rolling_window(records: DataFrame, as_of: str, days: int, column: str = "published_date") -> DataFrame:
     """Records of the last days to as_of, both included; texts that are no date don't count."""
-    day = fx.calendar_date(F.col(column).cast("string"))
+    day = F.col(column) if records.schema[column].dataType.typeName() == "date" else fx.calendar_date(F.col(column).cast("string"))
     return records.filter(day.between(F.date_sub(F.lit(as_of).cast("date"), days), F.lit(as_of).cast("date")))
 
 

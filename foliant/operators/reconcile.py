@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from foliant.sources.snapshots import checkpointed
 
-#: Columns of a decided analysis that a backfill copies; prompt_version stays behind unless asked for.
-ANALYSIS = ["score", "passed", "title_english", "text_english", "summary_english", "analyzed_at", "significant", "reasoning", "model_id", "scored_at"]
+#: Columns of a decided analysis that a backfill copies (fixed values); prompt_version stays behind unless asked for.
+ANALYSIS = [
+    "relevance_score", "relevance_reasoning", "passed_relevance", "title_english", "text_english",
+    "summary_english", "analyzed_at", "is_significant", "significance_reasoning", "model_id",
+]
 
 
 def renumbered(rows: DataFrame, start: DataFrame, key: str = "id") -> DataFrame:
@@ -34,23 +37,78 @@ def local_only(local: DataFrame, origin: DataFrame, url: str = "url") -> DataFra
     return local.join(origin.select(url).distinct(), url, "left_anti")
 
 
-def reconcile_articles(origin: DataFrame, local: DataFrame, url: str = "url", prompt_version: bool = False) -> DataFrame:
+def _first_by_url(local: DataFrame, url: str) -> DataFrame:
+    """local with one row for each URL, the one of the least id."""
+    first = local.groupBy(url).agg(F.min("id").alias("id"))
+    return local.join(first, [url, "id"], "left_semi")
+
+
+def reconcile_articles(origin: DataFrame, local: DataFrame, url: str = "url", fields: list[str] = ANALYSIS) -> DataFrame:
     """origin with the decisions that only local has, and local's own rows with ids above origin's.
 
-    A shared row takes local's analysis columns where local decided and origin
-    is pending, by analyzed_at or by passed.
+    A shared row takes local's fields where local decided and origin is
+    pending, by analyzed_at or by passed_relevance. Both sides must have all
+    fields. Of rows of local with one URL, that of the least id counts.
     """
-    fields = [c for c in [*ANALYSIS, *(["prompt_version"] if prompt_version else [])] if c in origin.columns]
-    decided = lambda p: F.col(f"{p}.analyzed_at").isNotNull() | F.col(f"{p}.passed").isNotNull()
-    pending = F.col("o.analyzed_at").isNull() & F.col("l.analyzed_at").isNotNull() | F.col("o.passed").isNull() & F.col("l.passed").isNotNull()
-    o, loc = origin.alias("o"), local.alias("l")
-    joined = o.join(loc, F.col(f"o.{url}") == F.col(f"l.{url}"), "left")
-    take = decided("l") & pending
-    shared = joined.select(*[F.when(take, F.col(f"l.{c}")).otherwise(F.col(f"o.{c}")).alias(c) if c in fields else F.col(f"o.{c}") for c in origin.columns])
+    for side, df in (("origin", origin), ("local", local)):
+        if lacking := [c for c in fields if c not in df.columns]:
+            raise ValueError(f"{side} lacks the analysis columns {lacking}")
+    local = _first_by_url(local, url)
+    pending = F.col("o.analyzed_at").isNull() & F.col("l.analyzed_at").isNotNull() | F.col("o.passed_relevance").isNull() & F.col("l.passed_relevance").isNotNull()
+    joined = origin.alias("o").join(local.alias("l"), F.col(f"o.{url}") == F.col(f"l.{url}"), "left")
+    shared = joined.select(*[F.when(pending, F.col(f"l.{c}")).otherwise(F.col(f"o.{c}")).alias(c) if c in fields else F.col(f"o.{c}") for c in origin.columns])
     new = renumbered(local_only(local, origin, url), origin).withColumn("id", F.col("new_id")).select(origin.columns)
     return shared.union(new)
 
 
+def run_map(base: DataFrame, origin: DataFrame, local: DataFrame) -> DataFrame:
+    """(scrape_run_id, new_run): the runs that local wrote itself, numbered above origin's."""
+    own = local.select("id").join(base.select("id"), "id", "left_anti")
+    return renumbered(own, origin).select(F.col("id").alias("scrape_run_id"), F.col("new_id").alias("new_run"))
+
+
+def in_terms_of(local: DataFrame, runs: DataFrame, local_sources: DataFrame, sources: DataFrame) -> DataFrame:
+    """local articles with the run ids of run_map and, by slug, the source ids of the other snapshot; source_slug is added.
+
+    A slug that the other snapshot lacks gives a null source_id: unresolved() lists those.
+    """
+    own = local_sources.select(F.col("id").alias("source_id"), F.col("slug").alias("source_slug"))
+    other = sources.select(F.col("slug").alias("source_slug"), F.col("id").alias("_source"))
+    rows = local.join(own, "source_id", "left").join(other, "source_slug", "left").join(runs, "scrape_run_id", "left")
+    moved = rows.withColumns({"source_id": F.col("_source"), "scrape_run_id": F.coalesce("new_run", "scrape_run_id")})
+    return moved.select(*local.columns, "source_slug")
+
+
+def unresolved(local: DataFrame) -> DataFrame:
+    """(url, source_slug) of articles of in_terms_of() without a source in the other snapshot; must be empty."""
+    return local.filter("source_id is null").select("url", "source_slug")
+
+
+def merged_links(origin_links: DataFrame, local_links: DataFrame, local: DataFrame, origin: DataFrame, merged: DataFrame) -> DataFrame:
+    """origin's category links, and local's for the articles that are local's own or were backfilled, by URL."""
+    taken = origin.select("url", F.col("analyzed_at").alias("_a"), F.col("passed_relevance").alias("_p")).alias("o")
+    now = merged.select("url", F.col("id").alias("_id"), "analyzed_at", "passed_relevance").join(taken, "url", "left")
+    fresh = now.filter("_a is null and analyzed_at is not null or _p is null and passed_relevance is not null")
+    ids = local.select(F.col("id").alias("article_id"), "url").join(fresh.select("url", "_id"), "url")
+    own = now.join(origin.select("url"), "url", "left_anti")
+    ids = ids.union(local.select(F.col("id").alias("article_id"), "url").join(own.select("url", "_id"), "url").select(ids.columns)).distinct()
+    moved = local_links.join(ids, "article_id").select(F.col("_id").alias("article_id"), "category")
+    return origin_links.select("article_id", "category").union(moved).distinct()
+
+
+def placed_results(local: DataFrame, base_runs: DataFrame, local_runs: DataFrame, runs: DataFrame) -> DataFrame:
+    """local per-source results with their run in the merge, mapped; unmapped where its lineage can't be proven (null)."""
+    inherited = base_runs.select("id").join(local_runs.select("id"), "id").select(F.col("id").alias("scrape_run_id"), F.col("id").alias("_same"))
+    rows = local.join(runs, "scrape_run_id", "left").join(inherited, "scrape_run_id", "left")
+    return rows.withColumn("mapped", F.coalesce("new_run", "_same")).drop("new_run", "_same")
+
+
+def merged_results(origin: DataFrame, placed: DataFrame, keys: tuple[str, str] = ("scrape_run_id", "source_slug")) -> DataFrame:
+    """origin's results and local's (placed) under keys that origin lacks; origin wins where both have one."""
+    moved = placed.filter("mapped is not null").withColumn("scrape_run_id", F.col("mapped"))
+    return origin.union(moved.join(origin.select(*keys), list(keys), "left_anti").select(origin.columns))
+
+
 def attribution_conflicts(origin: DataFrame, local: DataFrame, url: str = "url", source: str = "source") -> DataFrame:
     """Shared URLs that the two snapshots give to different sources; must be empty."""
     pair = origin.select(url, F.col(source).alias("origin_source")).join(local.select(url, F.col(source).alias("local_source")), url)
@@ -77,22 +135,76 @@ def accounting(before: DataFrame, after: DataFrame, key: list[str], payload: lis
     )
 
 
-def gates(origin: DataFrame, local: DataFrame, merged: DataFrame, url: str = "url") -> DataFrame:
-    """(name, violations) of the merged articles; all must be 0 before they are published."""
-    one = lambda name, df: df.agg(F.lit(name).alias("name"), F.count("*").alias("violations"))
+def _one(name: str, df: DataFrame) -> DataFrame:
+    return df.agg(F.lit(name).alias("name"), F.count("*").alias("violations"))
+
+
+def gates(base: DataFrame, origin: DataFrame, local: DataFrame, merged: DataFrame, url: str = "url", source: str = "source_slug") -> DataFrame:
+    """(name, violations) of the merged articles; all must be 0 before they are published. Ids may not move against base."""
     keys = merged.select(url)
-    moved = origin.select(url, F.col("id").alias("a")).join(merged.select(url, F.col("id").alias("b")), url).filter("a <> b")
-    lost = lambda df: df.filter("passed is not null").select(url, F.col("passed").alias("p")).join(merged.select(url, "passed"), url).filter("passed is null")
+    moved = base.select(url, F.col("id").alias("a")).join(merged.select(url, F.col("id").alias("b")), url).filter("a <> b")
+    lost = lambda df: df.filter("passed_relevance is not null").select(url).join(merged.filter("passed_relevance is null").select(url), url)
+    own = local.join(origin.select(url), url, "left_anti")
+    return reduce(
+        DataFrame.union,
+        [
+            _one("duplicate_url", merged.groupBy(url).count().filter("count > 1")),
+            _one("duplicate_id", merged.groupBy("id").count().filter("count > 1")),
+            _one("id_drift", moved),
+            _one("origin_url_lost", origin.join(keys, url, "left_anti")),
+            _one("local_url_lost", local.join(keys, url, "left_anti")),
+            _one("origin_decision_lost", lost(origin)),
+            _one("local_decision_lost", lost(local)),
+            _one("source_conflict", attribution_conflicts(origin, local, url, source)),
+            _one("origin_source_changed", attribution_conflicts(origin, merged, url, source)),
+            _one("local_source_changed", attribution_conflicts(own, merged, url, source)),
+        ],
+    )
+
+
+def result_gates(origin: DataFrame, placed: DataFrame, merged: DataFrame, runs: DataFrame, payload: list[str], keys: tuple[str, str] = ("scrape_run_id", "source_slug")) -> DataFrame:
+    """(name, violations) of the merged per-source results against both inputs and the merged runs."""
+    on = list(keys)
+    packed = lambda df, name: df.select(*on, F.struct(*payload).alias(name))
+    proven = placed.filter("mapped is not null").withColumn("scrape_run_id", F.col("mapped"))
+    both = packed(origin, "a").join(packed(merged, "b"), on)
+    theirs = packed(proven, "a").join(origin.select(*on), on, "left_anti").join(packed(merged, "b"), on)
+    known = origin.select(*on).union(proven.select(*on)).distinct()
     return reduce(
         DataFrame.union,
         [
-            one("duplicate_url", merged.groupBy(url).count().filter("count > 1")),
-            one("duplicate_id", merged.groupBy("id").count().filter("count > 1")),
-            one("id_drift", moved),
-            one("origin_url_lost", origin.join(keys, url, "left_anti")),
-            one("local_url_lost", local.join(keys, url, "left_anti")),
-            one("origin_decision_lost", lost(origin)),
-            one("local_decision_lost", lost(local)),
-            one("source_conflict", attribution_conflicts(origin, merged, url)),
+            _one("origin_result_lost", origin.join(merged.select(*on), on, "left_anti")),
+            _one("origin_result_altered", both.filter(~F.col("a").eqNullSafe(F.col("b")))),
+            _one("local_result_unproven", placed.filter("mapped is null")),
+            _one("local_result_lost", proven.join(merged.select(*on), on, "left_anti")),
+            _one("local_result_altered", theirs.filter(~F.col("a").eqNullSafe(F.col("b")))),
+            _one("result_of_neither", merged.join(known, on, "left_anti")),
+            _one("duplicate_result", merged.groupBy(*on).count().filter("count > 1")),
+            _one("result_without_run", merged.join(runs.select(F.col("id").alias("scrape_run_id")), "scrape_run_id", "left_anti")),
         ],
     )
+
+
+def preflight(snapshots: dict[str, dict[str, DataFrame]], required: dict[str, list[str]], references: list[tuple[str, str, str]]) -> DataFrame:
+    """(snapshot, problem, n) of all inputs: tables and columns that are missing, repeated ids, and references (table, column, table) to no row.
+
+    A missing table is a problem, never an empty one.
+    """
+    spark = next(df for tables in snapshots.values() for df in tables.values()).sparkSession
+    found: list[tuple[str, str, int]] = []
+    counted: list[DataFrame] = []
+    for name, tables in snapshots.items():
+        for wanted, columns in required.items():
+            if wanted not in tables:
+                found.append((name, f"no table {wanted}", 1))
+                continue
+            found += [(name, f"no column {wanted}.{c}", 1) for c in columns if c not in tables[wanted].columns]
+            if "id" in columns and "id" in tables[wanted].columns:
+                again = tables[wanted].groupBy("id").count().filter("count > 1")
+                counted.append(again.agg(F.lit(name).alias("snapshot"), F.lit(f"repeated {wanted}.id").alias("problem"), F.count("*").alias("n")))
+        for a, column, b in references:
+            if a in tables and b in tables and column in tables[a].columns:
+                lost = tables[a].filter(F.col(column).isNotNull()).join(tables[b].select(F.col("id").alias(column)), column, "left_anti")
+                counted.append(lost.agg(F.lit(name).alias("snapshot"), F.lit(f"{a}.{column} without {b}").alias("problem"), F.count("*").alias("n")))
+    fixed = spark.createDataFrame(found, "snapshot string, problem string, n long")
+    return reduce(DataFrame.union, counted, fixed).filter("n > 0")

@@ -43,21 +43,23 @@ def attribution(results: DataFrame, counts: DataFrame, source: str = "source") -
     return rows.withColumn("status", F.coalesce(status, "status")).drop("scraped", "fresh", "inserted", "rejected")
 
 
-def run_status(results: DataFrame, run: str = "run_id") -> DataFrame:
-    """(run, n_sources, n_failed, status) of runs with results (run, status, is_failure).
+def run_status(results: DataFrame, runs: DataFrame, run: str = "run_id") -> DataFrame:
+    """(run, n_sources, n_failed, status) of runs (run) by their results (run, status, is_failure).
 
-    failed: all collectible sources failed; degraded: some did, or none was
-    collectible; else completed. (A run without any result has failed; it has
-    no row here.)
+    failed: all collectible sources failed, or the run has no result at all;
+    degraded: some failed, or none was collectible; else completed.
     """
     open_to = ~F.col("status").isin(NEUTRAL)
-    rows = results.groupBy(run).agg(
+    found = results.groupBy(run).agg(
         F.count("*").alias("n_sources"),
         F.count_if(open_to).alias("_open"),
         F.count_if(open_to & F.col("is_failure")).alias("n_failed"),
     )
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_sources", "n_failed", "_open")}
+    rows = runs.select(run).distinct().join(found, run, "left").withColumns(zero)
     status = (
-        F.when(F.col("_open") == 0, "degraded")
+        F.when(F.col("n_sources") == 0, "failed")
+        .when(F.col("_open") == 0, "degraded")
         .when(F.col("n_failed") == F.col("_open"), "failed")
         .when(F.col("n_failed") > 0, "degraded")
         .otherwise("completed")
@@ -90,11 +92,18 @@ def last_success(results: DataFrame, source: str = "source", at: str = "complete
 
 
 def upsert_results(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
-    """old with the rows of new by key; where both have one, the columns keep are old's and the others new's."""
-    a, b = old.alias("a"), new.alias("b")
+    """old with the rows of new by key; where both have one, the columns keep are old's, nulls too, and the others new's."""
+    a, b = old.withColumn("_old", F.lit(True)).alias("a"), new.withColumn("_new", F.lit(True)).alias("b")
     joined = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "full_outer")
-    there = F.col(f"b.{keys[0]}").isNotNull()
-    pick = lambda c: F.coalesce(f"a.{c}", f"b.{c}") if c in keep or c in keys else F.when(there, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
+    older, there = F.col("a._old").isNotNull(), F.col("b._new").isNotNull()
+
+    def pick(c: str) -> Column:
+        if c in keys:
+            return F.coalesce(f"a.{c}", f"b.{c}")
+        if c in keep:
+            return F.when(older, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}"))
+        return F.when(there, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
+
     return joined.select(*[pick(c).alias(c) for c in old.columns])
 
 

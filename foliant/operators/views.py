@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as fx
+from foliant.sources.snapshots import checkpointed
 
 STATES = ["analyzed", "not_selected", "awaiting_screening", "analysis_incomplete"]
 TRAIL = 13
@@ -56,11 +57,12 @@ def daily_series(records: DataFrame, as_of: str, days: int = 30, date: str = "pu
     return spine.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def collection_gaps(days: DataFrame, least: int = 2, day: str = "day") -> DataFrame:
-    """(gap_from, gap_to, n_days) of runs of least days or more without one; days are few (one a day of operation)."""
-    single = days.select(F.col(day).cast("date").alias("a")).filter("a is not null").distinct()
-    rows = single.withColumn("b", F.lead("a").over(Window.orderBy("a"))).withColumn("n_days", F.datediff("b", "a") - 1)
-    return rows.filter(F.col("n_days") >= least).select(F.date_add("a", 1).alias("gap_from"), F.date_sub("b", 1).alias("gap_to"), "n_days")
+def collection_gaps(days: DataFrame, least: int = 2, day: str = "day", group: str | None = None) -> DataFrame:
+    """(gap_from, gap_to, n_days) of runs of least days or more without one, by group if given; the distinct days of a store are few (one a day of operation)."""
+    keys = [group] if group else []
+    single = days.select(*keys, F.col(day).cast("date").alias("a")).filter("a is not null").distinct()
+    rows = single.withColumn("b", F.lead("a").over(Window.partitionBy(*keys).orderBy("a"))).withColumn("n_days", F.datediff("b", "a") - 1)
+    return rows.filter(F.col("n_days") >= least).select(*keys, F.date_add("a", 1).alias("gap_from"), F.date_sub("b", 1).alias("gap_to"), "n_days")
 
 
 def cadence_gaps(editions: DataFrame, days: int = 7, date: str = "date") -> DataFrame:
@@ -107,10 +109,28 @@ def article_order(flag: Column, categories: Column, score: Column, priority: dic
     return [F.desc(F.coalesce(flag, F.lit(False))), F.coalesce(ranks, F.lit(99)).asc(), F.coalesce(score, F.lit(0.0)).desc(), tie.asc()]
 
 
+def numbered(records: DataFrame, order: list[Column], group: str | None = None, name: str = "place") -> DataFrame:
+    """records with their place in order from 1, by group if given.
+
+    Ranges of (group, order) are numbered apart and shifted by what their
+    group has in the ranges before. Only groups that go on from one range to
+    the next need that: at most one row a range, which is broadcast.
+    """
+    parts = max(1, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = records.withColumn("_g", F.col(group) if group else F.lit(0))
+    # A checkpoint fixes the ranges: both uses below must see the same partitions.
+    placed = checkpointed(rows.repartitionByRange(parts, "_g", *order).withColumn("_p", F.spark_partition_id()))
+    placed = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p", "_g").orderBy(*order)).cast("long"))
+    sizes = placed.groupBy("_p", "_g").agg(F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.withColumn("_before", ahead).filter("_before is not null").select("_p", "_g", "_before")
+    out = placed.join(F.broadcast(before), ["_p", "_g"], "left")
+    return out.withColumn(name, F.col("_r") + F.coalesce("_before", F.lit(0))).drop("_p", "_g", "_r", "_before")
+
+
 def pages(records: DataFrame, order: list[Column], size: int = 50, group: str | None = None) -> DataFrame:
     """Records with place and page from 1, size to a page (by group if given)."""
-    w = Window.partitionBy(group).orderBy(*order) if group else Window.orderBy(*order)
-    return records.withColumn("place", F.row_number().over(w)).withColumn("page", F.ceil(F.col("place") / size).cast("int"))
+    return numbered(records, order, group).withColumn("page", F.ceil(F.col("place") / size))
 
 
 def budgeted_pages(records: DataFrame, order: list[Column], group: str, size_of: Column, budget: int = 120_000, size: int = 50) -> DataFrame:

@@ -2,35 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as fx
 from foliant.operators import dedup, extraction, filters, gates, queue, reconcile, runs, views
 from foliant.plans.corpus import EDITIONS, RECORDS, RESULTS, SNAPSHOTS, editions, records, results, snapshots
+from foliant.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from foliant.sources.snapshots import fingerprint, table
 from foliant.streaming import intake
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 AS_OF = "2024-04-20"
+#: Analysis columns of the stand-in snapshots.
+DECIDED = ["relevance_score", "passed_relevance", "analyzed_at"]
 TIERS = {"src1": "A", "src2": "B", "src3": "B", "src4": "C", "src5": "D"}
 _RANK = "CASE source WHEN 'src1' THEN 400 WHEN 'src2' THEN 300 WHEN 'src3' THEN 300 WHEN 'src4' THEN 200 WHEN 'src5' THEN 100 ELSE 0 END"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).withColumn("title_hash", fx.title_hash(F.col("title")))
 
@@ -63,7 +51,7 @@ def title_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _canonical(spark, sf_dir).select("id", "title_hash", "source", "url")
 
 
-@query(f"WITH {TITLED} SELECT id, title_hash, CAST(row_number() OVER (PARTITION BY title_hash ORDER BY {_RANK} DESC, source DESC, length(url), url DESC) AS INTEGER) AS rank FROM titled WHERE title_hash <> ''")
+@query(f"WITH {TITLED} SELECT id, title_hash, row_number() OVER (PARTITION BY title_hash ORDER BY {_RANK} DESC, source DESC, length(url), url DESC) AS rank FROM titled WHERE title_hash <> ''")
 def title_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.ranked(_titled(spark, sf_dir), dedup.canonical_key(TIERS, {})).select("id", "title_hash", "rank")
 
@@ -98,7 +86,10 @@ def store_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.unseen(rows.filter("doc_id % 2 <> 0"), rows.filter("doc_id % 2 = 0"), ["h"]).select("doc_id")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, sha1(split_part(text, chr(10), 1)) AS a, sha1(string_split(text, chr(10))[-1]) AS b FROM documents),
+r(k, doc_id, kept, sa, sb) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+UNION ALL SELECT d.k, d.doc_id, ok, CASE WHEN ok THEN list_append(sa, a) ELSE sa END, CASE WHEN ok THEN list_append(sb, b) ELSE sb END FROM r JOIN d ON d.k = r.k + 1 CROSS JOIN LATERAL (SELECT NOT list_contains(sa, a) AND NOT list_contains(sb, b) AS ok))
+SELECT doc_id FROM r WHERE kept""")
 def store_dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.sha1(F.element_at(F.split("text", "\n"), 1)).alias("first_key"), F.sha1(F.element_at(F.split("text", "\n"), -1)).alias("second_key"))
     return dedup.greedy_unique(rows, "doc_id", "first_key", "second_key").select("doc_id")
@@ -128,11 +119,12 @@ def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(p, li["l_partkey"] == p["p_partkey"]).select(F.col("l_orderkey").alias("id"), F.col("p_brand").alias("category")).distinct()
 
 
-@query(f"WITH {ARTICLES} SELECT a.id, published_date, source, institution, significant, coalesce(categories, '') AS categories FROM articles a LEFT JOIN (SELECT id, string_agg(category, ',' ORDER BY category) AS categories FROM cats GROUP BY 1) c ON a.id = c.id WHERE analyzed")
+@query(f"WITH {ARTICLES} SELECT a.id, published_date, source, institution, significant, coalesce(categories, '') AS categories FROM articles a LEFT JOIN (SELECT id, string_agg(category, ',' ORDER BY category) AS categories FROM cats GROUP BY 1) c ON a.id = c.id WHERE analyzed ORDER BY published_date DESC, significant DESC, score DESC")
 def analyzed_with_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _articles(spark, sf_dir).filter("analyzed")
     folded = _categories(spark, sf_dir).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("category")), ",").alias("categories"))
-    return rows.join(folded, "id", "left").select("id", "published_date", "source", "institution", "significant", F.coalesce("categories", F.lit("")).alias("categories"))
+    rows = rows.join(folded, "id", "left").orderBy(F.desc("published_date"), F.desc("significant"), F.desc("score"))
+    return rows.select("id", "published_date", "source", "institution", "significant", F.coalesce("categories", F.lit("")).alias("categories"))
 
 
 @query(f"WITH {ARTICLES} SELECT id, published_date, source FROM articles WHERE analyzed AND published_date BETWEEN DATE '1996-03-01' AND DATE '1996-03-31'")
@@ -161,9 +153,15 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.daily_series(records(spark, sf_dir), AS_OF)
 
 
-@query("WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS a FROM orders WHERE o_orderkey % 97 = 0), l AS (SELECT a, lead(a) OVER (ORDER BY a) AS b FROM d) SELECT a + 1 AS gap_from, b - 1 AS gap_to, CAST(b - a - 1 AS INTEGER) AS n_days FROM l WHERE b - a - 1 >= 2")
+@query("WITH d AS (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS a FROM orders), l AS (SELECT *, lead(a) OVER (PARTITION BY o_custkey ORDER BY a) AS b FROM d) SELECT o_custkey AS source, a + 1 AS gap_from, b - 1 AS gap_to, CAST(b - a - 1 AS INTEGER) AS n_days FROM l WHERE b - a - 1 >= 2")
 def run_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.collection_gaps(table(spark, sf_dir, "orders").filter("o_orderkey % 97 = 0").select(F.col("o_orderdate").alias("day")))
+    days = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), F.col("o_orderdate").alias("day"))
+    return views.collection_gaps(days, group="source")
+
+
+@query("WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS a FROM orders), l AS (SELECT a, lead(a) OVER (ORDER BY a) AS b FROM d) SELECT a + 1 AS gap_from, b - 1 AS gap_to, CAST(b - a - 1 AS INTEGER) AS n_days FROM l WHERE b - a - 1 >= 1")
+def store_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.collection_gaps(table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("day")), least=1)
 
 
 @query(f"WITH {EDITIONS}, l AS (SELECT date, lag(date) OVER (ORDER BY date) AS previous FROM editions) SELECT date, previous, CAST(date - previous AS INTEGER) AS gap FROM l WHERE date - previous <> 7")
@@ -187,9 +185,11 @@ def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.window_stats(records(spark, sf_dir), AS_OF)
 
 
-@query(f"WITH {RESULTS}, c AS (SELECT run_id, count(*) AS n_sources, count(*) FILTER (is_failure) AS n_failed FROM results GROUP BY 1) SELECT run_id, n_sources, n_failed, CASE WHEN n_failed = n_sources THEN 'failed' WHEN n_failed > 0 THEN 'degraded' ELSE 'completed' END AS status FROM c")
+@query(f"WITH {RESULTS}, c AS (SELECT run_id, count(*) AS n_sources, count(*) FILTER (is_failure) AS n_failed FROM results GROUP BY 1) SELECT run_id, n_sources, n_failed, CASE WHEN n_failed = n_sources THEN 'failed' WHEN n_failed > 0 THEN 'degraded' ELSE 'completed' END AS status FROM c UNION ALL SELECT DATE '2024-02-01', 0, 0, 'failed'")
 def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.run_status(results(spark, sf_dir))
+    found = results(spark, sf_dir)
+    empty = spark.range(1).select(F.lit("2024-02-01").cast("date").alias("run_id"))  # a run without any result
+    return runs.run_status(found, found.select("run_id").union(empty))
 
 
 @query(f"WITH {RESULTS} SELECT source, max(completed_at) FILTER (new_documents > 0) AS last_new, max(completed_at) FILTER (NOT is_failure) AS last_ok, arg_max(status, (completed_at, result_id)) AS latest_status FROM results GROUP BY 1")
@@ -242,7 +242,7 @@ def source_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.source_trail(_articles(spark, sf_dir), "institution").select("institution", "id", "place", "truncated")
 
 
-@query(f"WITH {RECORDS} SELECT id, title, CAST(place AS INTEGER) AS place, CAST(ceil(place / 50.0) AS INTEGER) AS page FROM (SELECT id, title, row_number() OVER (ORDER BY published_date DESC, id DESC) AS place FROM records WHERE contains(lower(title), 'the') AND language = 'en' AND published_date >= DATE '2024-01-15' AND published_date <= DATE '2024-03-31')")
+@query(f"WITH {RECORDS} SELECT id, title, place, CAST(ceil(place / 50.0) AS BIGINT) AS page FROM (SELECT id, title, row_number() OVER (ORDER BY published_date DESC, id DESC) AS place FROM records WHERE contains(lower(title), 'the') AND language = 'en' AND published_date >= DATE '2024-01-15' AND published_date <= DATE '2024-03-31')")
 def search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = filters.search(records(spark, sf_dir), "The ", since="2024-01-15", until="2024-03-31", language="en")
     return views.pages(found, [F.desc("published_date"), F.desc("id")]).select("id", "title", "place", "page")
@@ -250,7 +250,7 @@ def search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SNAPSHOTS} SELECT * FROM merged")
 def reconcile_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.reconcile_articles(*snapshots(spark, sf_dir))
+    return reconcile.reconcile_articles(*snapshots(spark, sf_dir), fields=DECIDED)
 
 
 @query(f"""WITH {SNAPSHOTS} SELECT 'duplicate_url' AS name, count(*) AS violations FROM (SELECT url FROM merged GROUP BY 1 HAVING count(*) > 1)
@@ -258,18 +258,20 @@ UNION ALL SELECT 'duplicate_id', count(*) FROM (SELECT id FROM merged GROUP BY 1
 UNION ALL SELECT 'id_drift', count(*) FROM origin o JOIN merged m USING (url) WHERE o.id <> m.id
 UNION ALL SELECT 'origin_url_lost', count(*) FROM origin WHERE url NOT IN (SELECT url FROM merged)
 UNION ALL SELECT 'local_url_lost', count(*) FROM loc WHERE url NOT IN (SELECT url FROM merged)
-UNION ALL SELECT 'origin_decision_lost', count(*) FROM origin o JOIN merged m USING (url) WHERE o.passed IS NOT NULL AND m.passed IS NULL
-UNION ALL SELECT 'local_decision_lost', count(*) FROM loc o JOIN merged m USING (url) WHERE o.passed IS NOT NULL AND m.passed IS NULL
-UNION ALL SELECT 'source_conflict', count(*) FROM origin o JOIN merged m USING (url) WHERE o.source IS DISTINCT FROM m.source""")
+UNION ALL SELECT 'origin_decision_lost', count(*) FROM origin o JOIN merged m USING (url) WHERE o.passed_relevance IS NOT NULL AND m.passed_relevance IS NULL
+UNION ALL SELECT 'local_decision_lost', count(*) FROM loc o JOIN merged m USING (url) WHERE o.passed_relevance IS NOT NULL AND m.passed_relevance IS NULL
+UNION ALL SELECT 'source_conflict', count(*) FROM origin o JOIN loc m USING (url) WHERE o.source IS DISTINCT FROM m.source
+UNION ALL SELECT 'origin_source_changed', count(*) FROM origin o JOIN merged m USING (url) WHERE o.source IS DISTINCT FROM m.source
+UNION ALL SELECT 'local_source_changed', count(*) FROM loc o JOIN merged m USING (url) WHERE o.source IS DISTINCT FROM m.source AND url NOT IN (SELECT url FROM origin)""")
 def reconcile_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     origin, local = snapshots(spark, sf_dir)
-    return reconcile.gates(origin, local, reconcile.reconcile_articles(origin, local))
+    return reconcile.gates(origin, origin, local, reconcile.reconcile_articles(origin, local, fields=DECIDED), source="source")
 
 
-@query(f"WITH {SNAPSHOTS} SELECT count(*) FILTER (m.id IS NULL) AS missing, count(*) FILTER (o.id IS NULL) AS extra, count(*) FILTER (o.id IS NOT NULL AND m.id IS NOT NULL AND (o.passed IS DISTINCT FROM m.passed OR o.analyzed_at IS DISTINCT FROM m.analyzed_at)) AS altered FROM origin o FULL OUTER JOIN merged m ON o.url = m.url")
+@query(f"WITH {SNAPSHOTS} SELECT count(*) FILTER (m.id IS NULL) AS missing, count(*) FILTER (o.id IS NULL) AS extra, count(*) FILTER (o.id IS NOT NULL AND m.id IS NOT NULL AND (o.passed_relevance IS DISTINCT FROM m.passed_relevance OR o.analyzed_at IS DISTINCT FROM m.analyzed_at)) AS altered FROM origin o FULL OUTER JOIN merged m ON o.url = m.url")
 def reconcile_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     origin, local = snapshots(spark, sf_dir)
-    return reconcile.accounting(origin, reconcile.reconcile_articles(origin, local), ["url"], ["passed", "analyzed_at"])
+    return reconcile.accounting(origin, reconcile.reconcile_articles(origin, local, fields=DECIDED), ["url"], ["passed_relevance", "analyzed_at"])
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -289,9 +291,13 @@ def guide_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.guide_stats(records(spark, sf_dir))
 
 
-@query()
+_FIELDS = ["id", "source", "language", "url", "title", "text", "published_date", "passed", "state", "significant"]
+
+
+@query(f"""WITH {RECORDS}, c AS (SELECT sha256({" || chr(31) || ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in sorted(_FIELDS))}) AS d FROM records)
+SELECT count(*) AS n, {", ".join(f"CAST(sum(CAST(('0x' || substr(d, {1 + 12 * k}, 12)) AS BIGINT)) % 281474976710656 AS BIGINT) AS h{k}" for k in range(4))} FROM c""")
 def snapshot_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint(records(spark, sf_dir).drop("text"), "id")
+    return fingerprint(records(spark, sf_dir).select(_FIELDS))
 
 
 @query()
@@ -312,12 +318,15 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, coalesce(regexp_extract(url, '^https?://[^/]+/([^/?#]+)/', 1), '') AS section FROM pages")
+@query("WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM pages) SELECT page_id, host, regexp_extract(url, '^https?://[^/]+/([^/?#]+)/', 1) AS own_section, CASE WHEN host = 'thther.example.org' THEN regexp_extract(url, '^https?://[^/]+/([^/?#]+)/', 1) ELSE '' END AS section FROM p")
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", fx.url_host(F.col("url")).alias("host"), fx.url_section(F.col("url")).alias("section"))
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", fx.url_host(url).alias("host"), fx.first_directory(url).alias("own_section"), fx.url_section(url, ["thther.example.org"]).alias("section"))
 
 
 @query(f"WITH {RECORDS} SELECT source, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(length(text)) * 13 // 10 AS BIGINT) AS n_output FROM records WHERE state = 'awaiting_screening' GROUP BY 1")
 def spend_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir).filter("state = 'awaiting_screening'").groupBy("source").agg(F.sum(F.length("text")).cast("long").alias("n_chars"))
     return rows.withColumn("n_output", F.floor(F.col("n_chars") * 13 / 10))
+
+from foliant.plans import reconcile_queries, site_queries, store_queries  # noqa: E402, F401  they register their queries

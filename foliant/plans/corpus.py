@@ -71,11 +71,11 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.col("o_orderkey").alias("id"),
         F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("url"),
         F.concat(F.lit("c"), (F.col("o_custkey") % 7).cast("string")).alias("source"),
-        F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "P", False).alias("passed"),
+        F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "P", False).alias("passed_relevance"),
         F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("date")).alias("analyzed_at"),
-        F.col("o_totalprice").alias("score"),
+        F.col("o_totalprice").alias("relevance_score"),
     )
-    pending = {c: F.when(F.col("id") % 5 != 0, F.col(c)) for c in ("passed", "analyzed_at")}
+    pending = {c: F.when(F.col("id") % 5 != 0, F.col(c)) for c in ("passed_relevance", "analyzed_at")}
     origin = base.filter("id % 4 <> 1").withColumns(pending)
     local = base.filter("id % 4 <> 2")
     return origin, local
@@ -83,26 +83,25 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 SNAPSHOTS = """base AS (
   SELECT o_orderkey AS id, 'u' || o_orderkey AS url, 'c' || (o_custkey % 7) AS source,
-    CASE o_orderstatus WHEN 'F' THEN true WHEN 'P' THEN false END AS passed,
-    CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) END AS analyzed_at, o_totalprice AS score FROM orders),
-origin AS (SELECT id, url, source, CASE WHEN id % 5 <> 0 THEN passed END AS passed, CASE WHEN id % 5 <> 0 THEN analyzed_at END AS analyzed_at, score FROM base WHERE id % 4 <> 1),
+    CASE o_orderstatus WHEN 'F' THEN true WHEN 'P' THEN false END AS passed_relevance,
+    CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) END AS analyzed_at, o_totalprice AS relevance_score FROM orders),
+origin AS (SELECT id, url, source, CASE WHEN id % 5 <> 0 THEN passed_relevance END AS passed_relevance, CASE WHEN id % 5 <> 0 THEN analyzed_at END AS analyzed_at, relevance_score FROM base WHERE id % 4 <> 1),
 loc AS (SELECT * FROM base WHERE id % 4 <> 2),
 merged AS (
   SELECT o.id, o.url, o.source,
-    CASE WHEN t THEN l.passed ELSE o.passed END AS passed, CASE WHEN t THEN l.analyzed_at ELSE o.analyzed_at END AS analyzed_at, CASE WHEN t THEN l.score ELSE o.score END AS score
+    CASE WHEN t THEN l.passed_relevance ELSE o.passed_relevance END AS passed_relevance, CASE WHEN t THEN l.analyzed_at ELSE o.analyzed_at END AS analyzed_at, CASE WHEN t THEN l.relevance_score ELSE o.relevance_score END AS relevance_score
   FROM origin o LEFT JOIN loc l ON o.url = l.url
-  CROSS JOIN LATERAL (SELECT coalesce((o.analyzed_at IS NULL AND l.analyzed_at IS NOT NULL) OR (o.passed IS NULL AND l.passed IS NOT NULL), false) AS t)
+  CROSS JOIN LATERAL (SELECT coalesce((o.analyzed_at IS NULL AND l.analyzed_at IS NOT NULL) OR (o.passed_relevance IS NULL AND l.passed_relevance IS NOT NULL), false) AS t)
   UNION ALL
-  SELECT (SELECT max(id) FROM origin) + row_number() OVER (ORDER BY id), url, source, passed, analyzed_at, score FROM loc WHERE url NOT IN (SELECT url FROM origin))"""
+  SELECT (SELECT max(id) FROM origin) + row_number() OVER (ORDER BY id), url, source, passed_relevance, analyzed_at, relevance_score FROM loc WHERE url NOT IN (SELECT url FROM origin))"""
 
 
 def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders by week as editions, those weeks that are a multiple of nine left out."""
+    """orders by week as editions: all weeks of the table."""
     day = F.col("o_orderdate").cast("date")
-    rows = table(spark, sf_dir, "orders").groupBy(fx.saturday_ending(day).alias("date")).agg(F.count("*").alias("n_articles"))
-    return rows.filter(F.floor(F.datediff("date", F.lit("1990-01-06").cast("date")) / 7) % 9 != 0)
+    return table(spark, sf_dir, "orders").groupBy(fx.saturday_ending(day).alias("date")).agg(F.count("*").alias("n_articles"))
 
 
+#: A Monday's orders and those to the Saturday after belong together; a Sunday's belong to the day before.
 EDITIONS = """editions AS (
-  SELECT CAST(date_trunc('week', o_orderdate) AS DATE) + 5 AS date, count(*) AS n_articles FROM orders GROUP BY 1
-  HAVING floor((CAST(date_trunc('week', o_orderdate) AS DATE) + 5 - DATE '1990-01-06') / 7) % 9 <> 0)"""
+  SELECT CAST(date_trunc('week', o_orderdate) AS DATE) + 5 AS date, count(*) AS n_articles FROM orders GROUP BY 1)"""
