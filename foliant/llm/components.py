@@ -51,3 +51,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     linked = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("node")).union(loops).distinct().join(linked, "node", "left_anti")
     return linked.union(roots.select("node", F.col("node").alias("component")))
+
+
+def joined_further(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of connected_components() after links (a, b) between components, or single nodes, are added."""
+    again = connected_components(links).toDF("component", "_to")
+    moved = joined.join(again, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    alone = again.join(joined.select(F.col("node").alias("component")), "component", "left_anti")
+    return moved.union(alone.select(F.col("component").alias("node"), F.col("_to").alias("component")))

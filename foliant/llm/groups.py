@@ -24,16 +24,13 @@ TREE = "band long, node long, leader long"
 
 
 def tree_rows(band: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-    """Memberships (band, node) as rows of a tree: the least node of each band here leads itself, other distinct ones follow it."""
-    order = np.lexsort((node, band))
+    """Memberships (band, node) as rows of a tree: the least node of each band here leads itself, other ones follow it."""
+    order = np.argsort(band)
     band, node = band[order], node[order]
     first = np.ones(len(band), bool)
     first[1:] = band[1:] != band[:-1]
-    again = ~first
-    again[1:] &= node[1:] == node[:-1]
-    leader = node[first][np.cumsum(first) - 1] if len(band) else node
-    keep = ~again
-    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (band, node, leader)], ["band", "node", "leader"])
+    leader = np.minimum.reduceat(node, np.flatnonzero(first))[np.cumsum(first) - 1] if len(band) else node
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (band, node, leader)], ["band", "node", "leader"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +178,7 @@ def spanning(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def block_links(sets: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow on in_units(): links (a, b) that join the components of each unit by exact similarity.
+    """A function for mapInArrow on in_units(): links (a, b) between components of each unit by exact similarity of members.
 
     sets gives the tokens of the distinct sets of a unit's rows and the row of each token.
     """
@@ -195,8 +192,8 @@ def block_links(sets: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], least
             n = table.num_rows
             i, j = linked(common_counts(tokens, owner, n), np.bincount(owner, minlength=n), able, least)
             keep = spanning(i, j, table.column("c").to_numpy())
-            node = table.column("node").to_numpy()
-            x, y = node[i[keep]], node[j[keep]]
+            c = table.column("c").to_numpy()
+            x, y = c[i[keep]], c[j[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     return links

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.components import connected_components
+from foliant.llm.components import connected_components, joined_further
 from foliant.llm.groups import TREE, block_links, group_trees, in_units, open_members, star_pairs, tree_rows
-from foliant.llm.shared import materialize, possible_ids, release
+from foliant.llm.shared import PREFILTER_BITS, bitmap, materialize, possible_ids, release
 from foliant.llm.textops import U64, _splitmix, chunks, mix, span_hashes
 
 #: One changed character inside a line kills six shingles: lines of 47 characters or more stay linked.
@@ -32,6 +32,8 @@ BINS = BANDS * ROWS
 LEAST = 0.75
 #: Bits of a shingle's hash.
 TOKEN_BITS = 44
+#: Bytes of text that are signed at a time: arrays of eight bytes for each stay in a core's cache.
+CHUNK = 1 << 17
 #: Shingles that a comparison of pairs sorts at a time.
 _AT_ONCE = 1 << 22
 
@@ -42,6 +44,25 @@ _BLANK = (32, 9, 10, 11, 12, 13)
 _DONORS = np.argsort(_splitmix(BINS * BINS, 27).reshape(BINS, BINS), axis=1)
 
 
+class _Seen:
+    """Hashes that a task has had; it forgets them all when there are more than LIMIT (they are then given again)."""
+
+    LIMIT = 1 << 21
+
+    def __init__(self) -> None:
+        self.known = np.zeros(0, U64)
+
+    def first(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of the hashes that are new, the first of each."""
+        new, at = np.unique(hashes, return_index=True)
+        there = np.searchsorted(self.known, new)
+        old = np.zeros(len(new), bool)
+        inside = there < len(self.known)
+        old[inside] = self.known[there[inside]] == new[inside]
+        self.known = np.insert(self.known, there[~old], new[~old]) if len(self.known) < self.LIMIT else new
+        return np.sort(at[~old])
+
+
 def _code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The code points of UTF-8 bytes, and the offsets of the rows in them."""
     if not len(data):
@@ -123,42 +144,39 @@ def _names(marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return span_hashes(marks, starts, ends), span_hashes(mix(marks ^ U64(0xA0761D6478BD642F)), starts, ends)
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, line, node, mark) of the lines of each text."""
+def _line_rows(bits: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, line, node, mark, x) of the lines of each text; x, the trimmed line, where bits have its hash and this task hasn't given it yet."""
+    seen = _Seen()
     for batch in batches:
-        for i, _, data, offsets in chunks(batch.column("text")):
+        for i, _, data, offsets in chunks(batch.column("text"), CHUNK):
             codes, heads = _code_points(data, offsets)
             rows, number, starts, ends = _lines(codes, heads)
             node, mark = _names(_folded(codes), starts, ends)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(rows + i)), pa.array(number.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(mark.view(np.int64))], ["id", "line", "node", "mark"]
-            )
-
-
-def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, x) of the lines of each text, trimmed; of equal ones of a chunk, the first."""
-    for batch in batches:
-        for _, _, data, offsets in chunks(batch.column("text")):
-            codes, heads = _code_points(data, offsets)
-            _, _, starts, ends = _lines(codes, heads)
-            node, first = np.unique(span_hashes(_folded(codes), starts, ends), return_index=True)
+            at = (node & U64(PREFILTER_BITS - 1)).astype(np.int64)
+            wanted = np.flatnonzero((bits[at >> 3] >> (at & 7)) & 1)
+            wanted = wanted[seen.first(node[wanted])]
             places = np.arange(len(codes) + 1) if len(codes) == len(data) else np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-            raw = data.tobytes()
-            texts = [raw[a:b] for a, b in zip(places[starts[first]].tolist(), places[ends[first]].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(texts, pa.binary()).cast(pa.string())], ["node", "x"])
+            x: list[str | None] = [None] * len(node)
+            for k, a, b in zip(wanted.tolist(), places[starts[wanted]].tolist(), places[ends[wanted]].tolist()):
+                x[k] = data[a:b].tobytes().decode()
+            columns = [batch.column("id").take(pa.array(rows + i)), pa.array(number.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(mark.view(np.int64)), pa.array(x, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "line", "node", "mark", "x"])
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of tree_rows of the bands of a batch's distinct lines."""
+    """Rows of tree_rows of the bands of a task's distinct lines, a batch at a time."""
+    seen = _Seen()
     for batch in batches:
         bands, nodes = [], []
-        for _, _, data, offsets in chunks(batch.column("text")):
+        for _, _, data, offsets in chunks(batch.column("text"), CHUNK):
             codes, heads = _code_points(data, offsets)
             _, _, starts, ends = _lines(codes, heads)
             marks = _folded(codes)
-            node, first = np.unique(span_hashes(marks, starts, ends), return_index=True)
+            node = span_hashes(marks, starts, ends)
+            first = seen.first(node)
+            node, starts, ends = node[first], starts[first], ends[first]
             if len(node):
-                keys = _bands(*_sets(marks, starts[first], ends[first]), len(node))
+                keys = _bands(*_sets(marks, starts, ends), len(node))
                 bands.append(keys.ravel().view(np.int64))
                 nodes.append(np.repeat(node.view(np.int64), BANDS))
         if nodes:
@@ -217,42 +235,40 @@ def _confirm(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long")
 
 
-def _components(texts: DataFrame) -> DataFrame:
-    """(node, component) of the classes of lines of texts (id, text) that are linked with others."""
+def _linked(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, joined): all lines (id, line, node, mark, x) and the (node, component) of their classes that are linked with others."""
     trees = materialize(group_trees(texts.select("text").mapInArrow(_band_rows, TREE)), "trees")
     pairs = materialize(star_pairs(trees), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    nodes = materialize(nodes, "nodes")
-    found = texts.select("text").mapInArrow(_line_texts, "node long, x string")
-    lines = possible_ids(found, "node", nodes).join(nodes, "node", "left_semi").groupBy("node").agg(F.min("x").alias("x"))
-    lines = materialize(lines, "lines")
-    links = materialize(_confirm(pairs, lines), "links")
+    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    bits = texts.sparkSession.sparkContext.broadcast(bitmap(nodes, "node"))
+    found = texts.mapInArrow(lambda it: _line_rows(np.frombuffer(bits.value, np.uint8), it), "id long, line int, node long, mark long, x string")
+    lines = materialize(found, "lines")
+    given = materialize(lines.filter("x is not null").select("node", "x").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    links = materialize(_confirm(pairs, given), "links")
     joined = connected_components(links)
 
     side = lambda k: joined.toDF(k, f"c{k}")
     failed = pairs.join(links, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    apart = failed.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    members = materialize(open_members(trees, materialize(apart.select("a", "b"), "apart"), joined), "open")
+    apart = materialize(failed.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "apart")
+    members = materialize(open_members(trees, apart, joined), "open")
     if not members.isEmpty():
-        units = in_units(members.join(lines, "node"))
+        units = in_units(members.join(given, "node"))
         more = materialize(units.select("band", "unit", "own", "node", "c", "x").mapInArrow(block_links(_unit_sets, LEAST), "a long, b long"), "links")
-        joined = connected_components(links.union(more))
-    release(trees, pairs, nodes, lines)
-    return joined
+        joined = joined_further(joined, more)
+    release(trees, pairs, nodes, given, apart, members)
+    return lines, joined
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:
     """(id, removed) of the documents (id, text) that lose lines: the numbers, from 0, of the lines to remove."""
-    texts = docs.filter("id is not null and text is not null").select("id", "text")
-    joined = _components(texts)
-    lines = materialize(texts.mapInArrow(_line_rows, "id long, line int, node long, mark long"), "lines")
+    lines, joined = _linked(docs.filter("id is not null and text is not null").select("id", "text"))
     # A class matters if it has several lines or is linked; the first line of its component stays.
     classes = lines.groupBy("node", "mark").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
     named = classes.join(joined, "node", "left").filter("n > 1 or component is not null")
     named = materialize(named.withColumn("c", F.coalesce("component", "node")).select("node", "mark", "first", "c"), "named")
     keepers = named.groupBy("c").agg(F.min("first").alias("keep"))
     fates = materialize(named.join(keepers, "c").select("node", "mark", "keep"), "fates")
-    hit = possible_ids(lines, "node", fates.select("node")).join(fates, ["node", "mark"])
+    hit = possible_ids(lines.drop("x"), "node", fates.select("node")).join(fates, ["node", "mark"])
     gone = hit.filter(F.struct("id", "line") != F.col("keep"))
     removed = materialize(gone.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
     release(lines, named, fates)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.components import connected_components
+from foliant.llm.components import connected_components, joined_further
 from foliant.llm.groups import TREE, _merge, block_links, in_units, open_members
 from foliant.llm.shared import materialize, possible_ids, release
 from foliant.llm.textops import U64, _splitmix, chunks, mix, shingle_hashes, word_hashes
@@ -209,7 +209,7 @@ def _linked(reps: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     if not members.isEmpty():
         units = in_units(members.join(sets.withColumnRenamed("id", "node"), "node"))
         more = materialize(units.select("band", "unit", "own", "node", "c", "items").mapInArrow(block_links(_unit_sets, least), "a long, b long"), "links")
-        joined = connected_components(links.union(more))
+        joined = joined_further(joined, more)
     release(forest, parts, pairs, sets, apart, members)
     return joined.toDF("id", "c")
 

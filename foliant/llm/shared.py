@@ -66,3 +66,14 @@ def possible_ids(df: DataFrame, key: str, ids: DataFrame, mark: str | None = Non
     if mark:
         return kept.withColumn(mark, test).drop("_bucket", "_bits")
     return kept.filter(test).drop("_bucket", "_bits")
+
+
+def bitmap(hashes: DataFrame, key: str) -> bytes:
+    """Which of the PREFILTER_BITS values of their last bits the hashes take: PREFILTER_BITS / 8 bytes, however many there are."""
+    last = F.col(key).bitwiseAND(F.lit(PREFILTER_BITS - 1))
+    parts = hashes.select((last / _BUCKET).cast("int").alias("bucket"), (last % _BUCKET).cast("int").alias("at"))
+    out = bytearray(PREFILTER_BITS // 8)
+    size = _BUCKET // 8
+    for row in parts.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect():  # at most PREFILTER_BITS / _BUCKET rows
+        out[row["bucket"] * size : (row["bucket"] + 1) * size] = row["bits"]
+    return bytes(out)
