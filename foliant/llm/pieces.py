@@ -3,18 +3,25 @@
 A text is a lattice of pieces. The forward Viterbi scores are exact heuristics
 for an A-star search from the lattice's end, which yields the N best
 segmentations in order. No piece crosses the beginning of a run of spaces, so
-the lattice falls into chunks there; the N best of a text are the N best sums
-over its chunks. The scores are those of the model's vocabulary; a character
-that it lacks is spelled by its byte pieces at the vocabulary's least score less 10.
+the lattice falls into chunks there. A forward pass that carries the two best
+scores gives a chunk's best segmentation and what the second best loses; only
+the N - 1 chunks of a text that lose least can differ among its N best, and
+these are searched. The N best of a text are the N best sums over its chunks.
+
+Scores are log probabilities. A model of merges has none, only an order of its
+pieces, so they are Zipf's for the place in that order; a unigram model's own
+scores can be taken instead. A character that the vocabulary lacks is spelled by its byte pieces at the
+least score less 10. The ids differ from those of a merge model's own encoder, which merges greedily.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
+from array import array
 from bisect import insort
 from collections.abc import Iterator
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +30,20 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 N_BEST = 4
-#: Chunks that a worker remembers; it forgets them all when there are more.
-REMEMBERED = 500_000
+#: Chunks and their ids that a worker remembers; it forgets them all, between batches, when there are more.
+REMEMBERED, REMEMBERED_IDS = 500_000, 4_000_000
 PENALTY = 10.0
+#: Zipf's law of places: the probability of the piece at place k is in proportion to 1 / (k + ZIPF_SHIFT).
+ZIPF_SHIFT = 2.7
 ROWS = 128
 
 
+def zipf_scores(order: list[int]) -> dict[int, float]:
+    """Log probabilities of ids from their order, the most frequent first."""
+    total = math.log(sum(1 / (k + ZIPF_SHIFT) for k in range(len(order))) or 1.0)
+    return {i: -math.log(k + ZIPF_SHIFT) - total for k, i in enumerate(order)}
+
+
 class Vocabulary:
     """Pieces with their scores, read once on the driver (its size is the model's) and sent to the executors."""
 
@@ -44,11 +59,17 @@ class Vocabulary:
         across = {c for p in pieces for a, b in zip(p, p[1:]) if SPACE not in (a, b) and a.isalnum() != b.isalnum() for c in (a, b) if c.isalnum()}
         odd = re.escape("_" + "".join(sorted(across)))
         self.chunk = re.compile(f"{SPACE}*[^\\W{odd}]+|{SPACE}*(?:[^\\w{SPACE}]|[{odd}])+|{SPACE}+")
-        #: Of chunks: the best score, its ids, what the second best loses, and of each of the n best what it loses and its ids.
-        self.known: dict[str, tuple[float, tuple[int, ...], float, list[tuple[float, tuple[int, ...]]]]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Of known segmentations of chunks, by number: their ids' place in flat, score, what the second best loses, and whether the ids give the chunk back."""
+        self.known: dict[str, int] = {}
+        self.others: dict[str, list[tuple[float, int]]] = {}  # of a chunk's n best, what each loses and its number
+        self.flat, self.start, self.score, self.loss, self.exact = array("i"), array("q", [0]), array("d"), array("d"), array("b")
 
     @classmethod
-    def load(cls, model_file: str) -> Vocabulary:
+    def load(cls, model_file: str, scores: str = "zipf") -> Vocabulary:
+        """The vocabulary of a model file; scores: 'zipf' from the order of its pieces, 'model' for a unigram model's own."""
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=model_file)
@@ -58,10 +79,11 @@ class Vocabulary:
                 byte_ids[int(model.id_to_piece(i)[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 pieces[model.id_to_piece(i)] = (i, model.get_score(i))
-        scores = [s for _, s in pieces.values() if s > -1e8]  # runs of spaces may have a score of minus a thousand million
-        own = cls(pieces, byte_ids, model.unk_id())
-        own.fallback = min(scores, default=0.0) - PENALTY
-        return own
+        if scores == "zipf":
+            order = sorted((i for i, _ in pieces.values()), key=lambda i: (-model.get_score(i), i))
+            own = zipf_scores(order)
+            pieces = {p: (i, own[i]) for p, (i, _) in pieces.items()}
+        return cls(pieces, byte_ids, model.unk_id())
 
     def edges(self, chunk: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """For each end in the chunk the (start, score, ids) of the pieces that end there, and its best score from the start."""
@@ -120,16 +142,98 @@ class Vocabulary:
                     del queue[room:]
         return out
 
-    def part(self, chunk: str, n: int) -> tuple[float, tuple[int, ...], float, list[tuple[float, tuple[int, ...]]]]:
-        best = self.n_best(chunk, n)
-        losses = [(best[0][0] - s, ids) for s, ids in best]
-        found = (*best[0], losses[1][0] if len(losses) > 1 else float("inf"), losses)
-        if len(chunk) <= 64:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[chunk] = found
+    def two_best(self, chunk: str) -> tuple[float, tuple[int, ...], float]:
+        """(score, ids, score of the second best) by one forward pass that carries two scores."""
+        n, get = len(chunk), self.table.get
+        low = float("-inf")
+        first, second = [0.0] + [low] * n, [low] * (n + 1)
+        back: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (n + 1)
+        for i in range(n):
+            j, best, other = i + 1, first[i], second[i]
+            found = get(chunk[i])
+            entry = found or (self.fallback, self.spelled(chunk[i]))
+            while True:
+                if entry:
+                    score, ids = entry
+                    x = best + score
+                    if x > first[j]:
+                        second[j], first[j], back[j] = first[j], x, (i, ids)
+                    elif x > second[j]:
+                        second[j] = x
+                    x = other + score
+                    if x > second[j]:
+                        second[j] = x
+                j += 1
+                if found is None or j > n:  # no piece begins so
+                    break
+                entry = found = get(chunk[i:j])
+        at, parts = n, []
+        while at:
+            at, ids = back[at]
+            parts.append(ids)
+        return first[n], tuple([i for ids in reversed(parts) for i in ids]), second[n]
+
+    def add(self, chunk: str, score: float, ids: tuple[int, ...], loss: float) -> int:
+        """The number of a segmentation, which is new."""
+        self.flat.extend(ids)
+        self.start.append(len(self.flat))
+        self.score.append(score)
+        self.loss.append(loss)
+        self.exact.append(b"".join([self.text.get(i, b"") for i in ids]) == chunk.encode("utf-8", "surrogatepass"))
+        return len(self.score) - 1
+
+    def number(self, chunk: str) -> int:
+        """The number of a chunk's best segmentation."""
+        score, ids, second = self.two_best(chunk)
+        self.known[chunk] = k = self.add(chunk, score, ids, score - second)
+        return k
+
+    def alternatives(self, chunk: str, n: int) -> list[tuple[float, int]]:
+        """What each of the n best segmentations of a chunk loses, and its number, best first."""
+        found = self.others.get(chunk)
+        if found is None:
+            best = self.n_best(chunk, n)
+            found = self.others[chunk] = [(best[0][0] - s, self.add(chunk, s, ids, math.inf)) for s, ids in best]
         return found
 
+    def ways(self, text: str, n: int) -> list[tuple[float, np.ndarray]]:
+        """The n best segmentations of a text, best first: the score, and the numbers of the chunks' segmentations."""
+        if not text:
+            return []
+        normal = SPACE + text.replace(" ", SPACE)
+        chunks = [normal] if self.whole else self.chunk.findall(normal)
+        get, number = self.known.get, self.number
+        own = np.array([number(c) if (k := get(c)) is None else k for c in chunks], np.int64)
+        best = float(np.frombuffer(self.score)[own].sum())
+        loss = np.frombuffer(self.loss)[own]
+        # Only the n - 1 chunks whose second best costs least can differ among the n best.
+        few = np.argpartition(loss, n - 2)[: n - 1] if 1 < n <= len(loss) else np.arange(len(loss) if n > 1 else 0)
+        few = few[np.isfinite(loss[few])]
+        #: What a segmentation loses, and the (chunk, number) in which it differs from the best.
+        found: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+        for k in few[np.argsort(loss[few], kind="stable")].tolist():
+            more = [(a + x, (*way, (k, m)) if j else way) for a, way in found for j, (x, m) in enumerate(self.alternatives(chunks[k], n))]
+            found = heapq.nsmallest(n, more, key=lambda w: w[0])
+        for k in few.tolist():  # of equal ones the search's first counts
+            own[k] = self.alternatives(chunks[k], n)[0][1]
+        out = []
+        for lost, way in found:
+            numbers = own.copy() if way else own
+            for k, m in way:
+                numbers[k] = m
+            out.append((best - lost, numbers))
+        return out
+
+    def ids_of(self, numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of segmentations given by numbers, one after the other, and their n + 1 starts."""
+        flat, start = np.frombuffer(self.flat, np.int32) if len(self.flat) else np.zeros(0, np.int32), np.frombuffer(self.start, np.int64)
+        every = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        n = start[every + 1] - start[every]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(start[every] - ends[:-1], n) + np.arange(ends[-1])
+        sizes = np.cumsum([0, *map(len, numbers)])
+        return flat[at], ends[sizes]
+
     def encode(self, text: str, n: int = N_BEST) -> tuple[list[int], list[float]]:
         """The ids of the best segmentation of a text and the scores of the n best, best first."""
         best = self.encode_n_best(text, n)
@@ -137,28 +241,9 @@ class Vocabulary:
 
     def encode_n_best(self, text: str, n: int = N_BEST) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text as (score, ids), best first."""
-        if not text:
-            return []
-        normal = SPACE + text.replace(" ", SPACE)
-        get, part = self.known.get, self.part
-        parts = [get(c) or part(c, n) for c in ([normal] if self.whole else self.chunk.findall(normal))]
-        best = sum([p[0] for p in parts])
-        own = list(chain.from_iterable([p[1] for p in parts]))
-        # Only the n - 1 chunks whose second best costs least can differ among the n best.
-        bound = sorted([p[2] for p in parts])[: n - 1][-1:]
-        #: What a segmentation loses, and the (chunk, which of its n best) in which it differs from the best.
-        ways: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        for k in sorted([k for k, p in enumerate(parts) if bound and p[2] <= bound[0]], key=lambda k: parts[k][2])[: n - 1]:
-            more = [(a + x, (*way, (k, m)) if m else way) for a, way in ways for m, (x, _) in enumerate(parts[k][3])]
-            ways = heapq.nsmallest(n, more, key=lambda w: w[0])
-        at = list(accumulate([len(p[1]) for p in parts], initial=0)) if len(ways) > 1 else []
-        out = []
-        for loss, way in ways:
-            ids = own[:] if way else own
-            for k, m in sorted(way, reverse=True):
-                ids[at[k] : at[k + 1]] = parts[k][3][m][1]
-            out.append((best - loss, ids))
-        return out
+        found = self.ways(text, n)
+        ids, starts = self.ids_of([w for _, w in found])
+        return [(score, ids[a:b].tolist()) for (score, _), a, b in zip(found, starts[:-1], starts[1:])]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces and bytes joined, spaces restored, the leading one dropped."""
@@ -170,31 +255,35 @@ def _encode(vocabulary: Vocabulary, n: int, batches: Iterator[pa.RecordBatch]) -
     for whole in batches:
         for i in range(0, whole.num_rows, ROWS):
             batch = whole.slice(i, ROWS)
-            ids, scores, exact, others, ends = [], [], [], [], [0]
-            for text in batch.column("text").to_pylist():
-                best = vocabulary.encode_n_best(text or "", n)
-                own = best[0][1] if best else []
-                ids.append(np.array(own, np.int32))
-                scores.append([score for score, _ in best])
-                others += [np.array(x, np.int32) for _, x in best]
-                ends.append(len(others))
-                exact.append(vocabulary.decode(own) == (text or "").replace(SPACE, " "))
-            lists = pa.array(ids, pa.list_(pa.int32()))
-            n_best = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(others, pa.list_(pa.int32())))
+            if len(vocabulary.known) > REMEMBERED or len(vocabulary.flat) > REMEMBERED_IDS:
+                vocabulary.forget()
+            found = [vocabulary.ways(text or "", n) for text in batch.column("text").to_pylist()]
+            counts = [len(x) for x in found]
+            ends = np.cumsum([0, *counts]).astype(np.int32)
+            ids, starts = vocabulary.ids_of([w for x in found for _, w in x])
+            every = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
+            first = np.where(np.diff(ends) > 0, ends[:-1], -1)
+            best = every.take(pa.array(first, mask=first < 0)).fill_null(pa.scalar([], pa.list_(pa.int32()))) if len(every) else pa.array([[]] * batch.num_rows, pa.list_(pa.int32()))
+            marks = np.frombuffer(vocabulary.exact, np.int8)
+            exact = [bool(marks[x[0][1]].all()) if x else True for x in found]
+            scores = pa.ListArray.from_arrays(pa.array(ends), pa.array([s for x in found for s, _ in x], pa.float64()))
+            sizes = pa.array(np.where(first >= 0, np.diff(starts)[first] if len(every) else 0, 0).astype(np.int64))
             keep = [c for c in batch.schema.names if c != "text"]
-            sizes = pa.array([len(x) for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], sizes, lists, pa.array(scores, pa.list_(pa.float64())), pa.array(exact), n_best], [*keep, "n_pieces", "ids", "scores", "exact", "n_best"]
+                [*[batch.column(c) for c in keep], sizes, best, scores, pa.array(exact), pa.ListArray.from_arrays(pa.array(ends), every)], [*keep, "n_pieces", "ids", "scores", "exact", "n_best"]
             )
 
 
-def encode(docs: DataFrame, model_file: str, keys: list[str], text: str = "text", n: int = N_BEST) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, keys: list[str], text: str = "text", n: int = N_BEST, scores: str = "zipf") -> DataFrame:
     """The columns keys of each row with ids, n_pieces, exact, and the n best segmentations: scores and n_best (their ids; the first are ids).
 
     exact: whether the ids decode to the text (U+2581 reads as a space). A null
-    or empty text has no pieces and no scores. Repeated rows are encoded each.
+    or empty text has no pieces and no scores. Very long texts are encoded
+    whole, chunk by chunk. Of equal segmentations the one that the search finds
+    first comes first. Repeated rows are encoded each; columns other than keys
+    go, whatever their names; an empty table gives an empty one.
     """
-    vocabulary = Vocabulary.load(model_file)
+    vocabulary = Vocabulary.load(model_file, scores)
     rows = docs.select(*keys, F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
@@ -202,7 +291,7 @@ def encode(docs: DataFrame, model_file: str, keys: list[str], text: str = "text"
 
 
 def decode(encoded: DataFrame, model_file: str, keys: list[str], ids: str = "ids") -> DataFrame:
-    """The columns keys of each row with the text of its ids; null ids give an empty text."""
+    """The columns keys of each row with the text of its ids; null ids give an empty text, unknown ids nothing; an empty table gives an empty one."""
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model_file))
     rows = encoded.select(*keys, F.col(ids).alias("_ids"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_ids")
