@@ -1,14 +1,14 @@
 """Quality rules: a threshold table compiled into one Spark projection.
 
 No user functions: every measure is a built-in expression, and each row of
-THRESHOLDS becomes one term of the verdict. Repeated windows are found by a
-hash set over the window hashes of a text; only texts that have any sort
-their window hashes to count the words covered.
+THRESHOLDS becomes one term of the verdict. Measures are computed in steps,
+each a column that the next ones read, so that words and windows are made once
+a row. Repeated windows are found by a hash set over the window hashes of a
+text; only texts that have any sort them to count the words covered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,6 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 GAP = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
-POSITION_BITS = 24
 
 #: Frequent function words of the supported languages (fixed values).
 STOP_WORDS = (
@@ -39,68 +38,41 @@ THRESHOLDS: list[tuple[str, float | None, float | None]] = [
 ]
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value evaluated once a row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _shifted(x: Column) -> tuple[Column, Column]:
+    """An array without its last and without its first item."""
+    n = F.greatest(F.size(x) - 1, F.lit(0))
+    return F.slice(x, F.lit(1), n), F.slice(x, F.lit(2), n)
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words that stand in a window of WINDOW words which the text has twice or more."""
-
-    def covered(wins: Column) -> Column:
-        # Upper 40 bits of the hash with the position below: plain longs sort several times faster than structs.
-        # Neighbours up to two places away are compared by their full hashes.
-        packed = F.sort_array(F.transform(wins, lambda h, i: h.bitwiseAND(F.lit(-1 << POSITION_BITS)) + i))
-        full = F.array_sort(F.transform(wins, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        order = F.when(
-            F.size(wins) < (1 << POSITION_BITS),
-            F.transform(packed, lambda x: x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")),
-        ).otherwise(F.transform(full, lambda x: x["i"]))
-
-        def repeated(o: Column) -> Column:
-            own = lambda k: F.get(wins, F.get(o, k))
-            flagged = F.filter(o, lambda i, k: (own(k - 1) == F.get(wins, i)) | (own(k + 1) == F.get(wins, i)) | (own(k - 2) == F.get(wins, i)) | (own(k + 2) == F.get(wins, i)))
-            return _let(
-                F.sort_array(flagged),
-                lambda at: F.aggregate(
-                    F.transform(at, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - i, F.lit(WINDOW)))),
-                    F.lit(0).cast("long"),
-                    lambda a, x: a + x,
-                ),
-            )
-
-        return F.when(F.size(F.array_distinct(wins)) == F.size(wins), F.lit(0).cast("long")).otherwise(_let(order, repeated))
-
-    at = F.sequence(F.lit(0), F.size(words) - WINDOW)
-    wins = F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
-    return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).otherwise(_let(wins, covered))
-
-
-def measures(text: Column) -> Column:
-    """Counts of a text as one struct; a null text counts as empty."""
+def with_measures(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the counts of a text in columns _n.. ; a null text counts as empty."""
     forms = list(dict.fromkeys(x for w in STOP_WORDS for x in (w, w.capitalize(), w.upper())))
-
-    def of_words(words: Column) -> Column:
-        return F.struct(
-            F.size(words).cast("long").alias("n_words"),
-            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-            _repeat_words(words).alias("n_repeat_words"),
-            F.size(F.filter(words, lambda w: w.isin(forms))).cast("long").alias("n_stop_words"),
-        )
-
-    def of_lines(lines: Column) -> Column:
-        n = F.size(lines)
-        return F.struct(n.alias("n_lines"), (n - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
-
-    def of(t: Column) -> Column:
-        return F.struct(
-            _let(F.filter(F.split(t, GAP), lambda w: w != ""), of_words).alias("w"),
-            _let(F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)), of_lines).alias("l"),
-            F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-            F.regexp_count(t, F.lit("[A-Z\u00c0-\u00de]")).alias("n_upper"),
-        )
-
-    return _let(F.coalesce(text, F.lit("")), of)
+    col, none = F.col, F.array().cast("array<long>")
+    rows = docs.withColumn("_text", F.coalesce(text, F.lit("")))
+    rows = rows.withColumn("_words", F.array_remove(F.split("_text", GAP), ""))
+    rows = rows.withColumns({"_n": F.size("_words"), "_lines": F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD))})
+    windows = F.transform(F.sequence(F.lit(0), col("_n") - WINDOW), lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(WINDOW)]))
+    rows = rows.withColumn("_wins", F.when(col("_n") > WINDOW, windows).otherwise(none))
+    # Only texts with a repeated window go on with theirs; others have nothing to sort.
+    rows = rows.withColumn("_wins", F.when(F.size(F.array_distinct("_wins")) < F.size("_wins"), col("_wins")).otherwise(none))
+    rows = rows.withColumn("_order", F.sort_array(F.transform("_wins", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    rows = rows.withColumn("_same", F.zip_with(*_shifted(col("_order.h")), lambda a, b: a == b))
+    in_run = lambda k: F.coalesce(F.get("_same", k - 1), F.lit(False)) | F.coalesce(F.get("_same", k), F.lit(False))
+    rows = rows.withColumn("_places", F.sort_array(F.filter(col("_order.i"), lambda i, k: in_run(k))))
+    # A window covers its words up to the next repeated one; the last covers all of its own.
+    steps = F.zip_with(*_shifted(col("_places")), lambda a, b: F.least(F.lit(WINDOW), b - a))
+    covered = F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x) + F.when(F.size("_places") > 0, WINDOW).otherwise(0)
+    return rows.select(
+        *docs.columns,
+        col("_n").cast("long").alias("_n_words"),
+        F.length(F.array_join("_words", "")).cast("long").alias("_word_chars"),
+        covered.alias("_n_repeat_words"),
+        F.size(F.filter("_words", lambda w: w.isin(forms))).cast("long").alias("_n_stop_words"),
+        F.size("_lines").alias("_n_lines"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_n_dup_lines"),
+        F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("_n_symbols"),
+        F.regexp_count("_text", F.lit("[A-Z\u00c0-\u00de]")).alias("_n_upper"),
+    )
 
 
 def compile_rules(thresholds: list[tuple[str, float | None, float | None]], columns: dict[str, Column]) -> Column:
@@ -122,27 +94,22 @@ def quality_rules(
     Words are runs of other characters than space and x09-x0D. base_failed: fewer
     than 10 words, or more than a fifth of the words in repeated windows. kept: not
     base_failed and within all thresholds. Null and empty texts have no words and
-    fail; repeated rows each get their own verdict; an empty table gives an empty one.
+    fail; very long texts are counted whole; repeated rows each get their own verdict,
+    and equal windows or lines count alike whatever their order; an empty table gives
+    an empty one.
     """
-    row = docs.withColumn("_q", measures(F.col(text)))
-    w, line = F.col("_q.w"), F.col("_q.l")
-    n = w["n_words"]
-    counts = {
-        "n_words": n,
-        "word_chars": w["word_chars"],
-        "n_symbols": F.col("_q.n_symbols"),
-        "n_dup_lines": line["n_dup_lines"],
-        "n_repeat_words": w["n_repeat_words"],
-    }
-    per = lambda part, whole: F.when(whole > 0, part / whole)
+    row = with_measures(docs, text)
+    n = F.col("_n_words")
+    counts = {c: F.col(f"_{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    per = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole))
     ratios = {
-        "mean_word_chars": per(w["word_chars"], n),
-        "symbols_per_word": per(F.col("_q.n_symbols"), n),
-        "stop_word_share": per(w["n_stop_words"], n),
-        "dup_line_share": per(line["n_dup_lines"], line["n_lines"]),
-        "upper_share": per(F.col("_q.n_upper"), w["word_chars"]),
+        "mean_word_chars": per("_word_chars", "_n_words"),
+        "symbols_per_word": per("_n_symbols", "_n_words"),
+        "stop_word_share": per("_n_stop_words", "_n_words"),
+        "dup_line_share": per("_n_dup_lines", "_n_lines"),
+        "upper_share": per("_n_upper", "_word_chars"),
     }
-    base = (n < 10) | (100 * w["n_repeat_words"] > 20 * n)
+    base = (n < 10) | (100 * F.col("_n_repeat_words") > 20 * n)
     verdict = compile_rules(thresholds or THRESHOLDS, counts | ratios)
-    out = row.withColumns(counts | ratios | {"base_failed": base, "kept": ~base & verdict})
-    return out.drop("_q")
+    new = counts | ratios | {"base_failed": base, "kept": ~base & verdict}
+    return row.select(*[c for c in docs.columns if c not in new], *[x.alias(c) for c, x in new.items()])
