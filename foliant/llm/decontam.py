@@ -139,7 +139,7 @@ def _search(block: Block, rare: np.ndarray, batches: Iterator[pa.RecordBatch]) -
                             sure.add(item)
                 for item, starts in begin.items():
                     target, best = block.words[item], (0, 0, 0)
-                    least = max(LEAST_SCORE, LEAST_SHARE * len(target))
+                    least = max(min(LEAST_SCORE, len(target)), LEAST_SHARE * len(target))
                     for a, b in _windows(starts, len(target), len(own)):
                         # A word of the item adds 1 to a score at most, and only if it stands in the window.
                         if item not in sure and np.isin(target, own[a:b]).sum() < least:
@@ -160,9 +160,12 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     score is the best local alignment's over the number of the item's words:
     1 for an exact copy. A pair is listed if it is LEAST_SHARE and the alignment
     counts LEAST_SCORE or more; the words given are the part of the document
-    that was aligned, up to the alignment's end. Null and empty texts hold nothing; items of fewer than
-    LEAST_SCORE words can't be listed; repeated rows are listed each; tables
-    without rows give none.
+    that was aligned, up to the alignment's end. An item of fewer than
+    LEAST_SCORE words is found as an exact copy; one of fewer than SEED_WORDS
+    words is no passage and never found. Null and empty texts hold nothing;
+    very long texts are searched whole, around their seeds; of several best
+    places the first counts; repeated rows are listed each; further columns are
+    ignored, whatever their names; tables without rows give none.
     """
     spark = docs.sparkSession
     n_words = items.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "[^0-9A-Za-z\\u0080-\\x{10ffff}]+")))).first()[0] or 0
