@@ -1,8 +1,9 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into flat blocks at its block-level tags. A block is described by
-its own word count and link density, those of its neighbours, and what encloses
-it; a decision tree, trained on the small labelled table below, keeps or drops it.
+its own word count and link density, those of its neighbours, and, as minor
+features, what encloses it; a decision tree, trained on the small table of
+labelled blocks that layouts.pages() gives, keeps or drops it.
 """
 
 from __future__ import annotations
@@ -17,42 +18,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm import layouts
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Elements whose content is no text of the page (fixed values).
 _SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "title", "math", "audio", "video"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label img br input".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_BOILER_TAGS = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset", "head"}
-#: Parts of class, id and role names that mark menus, adverts, notices and the like (fixed values).
-_BOILER_NAMES = set(
+_BOILER_TAGS = {"nav", "footer", "aside", "button", "select", "dialog", "menu", "fieldset", "head"}
+#: Parts of class, id and role names that mark adverts, menus, comments and the like (fixed values).
+_STRONG_NAMES = set(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead "
-    "comment comments commentlist disqus reply replies cookie cookies consent gdpr notice notices notification alert promo promotion sponsor sponsored share sharing social related "
-    "recommended recommendations subscribe subscription newsletter signup login popup modal overlay widget toolbar pagination pager copyright legal disclaimer "
-    "complementary contentinfo search".split()
+    "comment comments commentlist disqus reply replies cookie cookies consent gdpr sponsor sponsored newsletter signup login popup modal overlay pagination pager copyright "
+    "complementary contentinfo".split()
 )
+#: Of these, the names of adverts: inline elements with one are no text, as hidden ones are none.
+_ADVERT_NAMES = {x for x in _STRONG_NAMES if x.startswith(("ad", "sponsor"))}
+#: Names that often mark such parts, and often main text too (fixed values).
+_WEAK_NAMES = set("notice notices notification alert promo promotion share sharing social related recommended recommendations subscribe subscription widget toolbar legal disclaimer search form".split())
+#: Beginnings of names that tell what a page has, not what an element is (fixed values).
+_STATES = ("has-", "has_", "no-", "no_", "with-", "with_", "is-", "is_", "not-")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
-#: (words, link density, words before, link density before, words after, link density after, boilerplate around, article around, main text)
-LABELLED = [
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (2, 1.0, 1, 1.0, 8, 0.0, 1, 0, 0), (8, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0),
-    (12, 0.0, 9, 0.0, 40, 0.0, 1, 0, 0), (40, 0.0, 2, 1.0, 50, 0.0, 1, 0, 0), (6, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0), (5, 0.2, 45, 0.0, 0, 0.0, 1, 0, 0),
-    (30, 0.1, 80, 0.0, 25, 0.0, 1, 0, 0), (120, 0.0, 70, 0.0, 3, 0.3, 1, 0, 0), (7, 0.0, 44, 0.0, 38, 0.0, 1, 1, 0), (15, 0.6, 50, 0.0, 60, 0.0, 1, 1, 0),
-    (3, 1.0, 70, 0.0, 4, 1.0, 1, 1, 0), (60, 0.0, 12, 0.0, 45, 0.0, 1, 1, 0), (25, 0.0, 90, 0.0, 0, 0.0, 1, 1, 0), (2, 0.0, 30, 0.0, 30, 0.0, 1, 1, 0),
-    (9, 0.0, 8, 0.0, 40, 0.0, 0, 1, 1), (40, 0.0, 9, 0.0, 55, 0.0, 0, 1, 1), (1, 0.0, 60, 0.0, 1, 0.0, 0, 1, 1), (2, 0.0, 1, 0.0, 33, 0.0, 0, 1, 1),
-    (55, 0.1, 2, 0.0, 70, 0.0, 0, 1, 1), (90, 0.3, 40, 0.0, 10, 0.0, 0, 1, 1), (14, 0.0, 20, 0.0, 5, 0.2, 0, 1, 1), (200, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1),
-    (3, 0.0, 8, 0.0, 4, 0.0, 0, 1, 1), (6, 0.5, 30, 0.0, 30, 0.0, 0, 1, 1), (1, 1.0, 40, 0.0, 35, 0.0, 0, 1, 1), (12, 0.0, 1, 1.0, 5, 0.0, 0, 1, 1),
-    (4, 0.0, 20, 0.0, 1, 1.0, 0, 1, 1), (3, 0.0, 1, 1.0, 2, 1.0, 0, 1, 1), (10, 0.0, 50, 0.0, 3, 1.0, 0, 1, 1), (2, 0.0, 5, 0.8, 1, 1.0, 0, 1, 1),
-    (6, 1.0, 2, 1.0, 3, 1.0, 0, 1, 1), (5, 0.8, 40, 0.0, 3, 1.0, 0, 1, 1), (1, 0.0, 1, 1.0, 1, 1.0, 0, 1, 1), (16, 0.0, 1, 1.0, 12, 0.9, 0, 1, 1),
-    (45, 0.0, 10, 0.0, 60, 0.0, 0, 0, 1), (60, 0.1, 45, 0.0, 30, 0.0, 0, 0, 1), (30, 0.0, 60, 0.1, 4, 0.5, 0, 0, 1), (110, 0.0, 3, 1.0, 2, 1.0, 0, 0, 1),
-    (18, 0.0, 50, 0.0, 40, 0.0, 0, 0, 1), (5, 0.0, 60, 0.0, 50, 0.0, 0, 0, 1), (8, 0.0, 2, 1.0, 70, 0.0, 0, 0, 1), (12, 0.0, 80, 0.0, 20, 0.0, 0, 0, 1),
-    (25, 0.0, 25, 0.0, 3, 1.0, 0, 0, 1), (7, 0.0, 40, 0.0, 90, 0.0, 0, 0, 1), (2, 0.0, 35, 0.0, 60, 0.0, 0, 0, 1), (16, 0.2, 18, 0.0, 22, 0.0, 0, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (3, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0), (2, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0), (4, 0.9, 40, 0.0, 4, 1.0, 0, 0, 0),
-    (20, 0.9, 3, 1.0, 50, 0.0, 0, 0, 0), (12, 0.8, 60, 0.0, 2, 1.0, 0, 0, 0), (9, 0.7, 5, 1.0, 8, 0.9, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0),
-    (4, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0), (5, 0.3, 3, 0.5, 0, 0.0, 0, 0, 0), (2, 0.0, 4, 0.8, 0, 0.0, 0, 0, 0), (6, 0.0, 3, 1.0, 4, 0.6, 0, 0, 0),
-    (4, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0), (5, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0), (3, 0.0, 12, 0.0, 0, 0.0, 0, 0, 0), (6, 0.0, 1, 1.0, 0, 0.0, 0, 0, 0),
-    (2, 0.0, 1, 1.0, 4, 0.0, 0, 0, 0), (3, 0.0, 4, 0.0, 2, 1.0, 0, 0, 0), (7, 0.2, 2, 1.0, 3, 1.0, 0, 0, 0), (1, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0),
-]
+#: Pages of each layout in the table that the tree is trained on.
+TRAINED_PAGES = 24
+#: What a block is described by.
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "tag", "name", "name outside the article", "article")
 
 
 @dataclass
@@ -72,7 +64,7 @@ class Node:
         return node.keep
 
 
-def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 8) -> Node:
+def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 12) -> Node:
     """A decision tree by Gini impurity; among equal splits the first feature and least threshold."""
     node = Node(bool(labels.mean() >= 0.5))
     if depth == 0 or labels.min() == labels.max():
@@ -93,8 +85,19 @@ def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 8) -> Node:
     return node
 
 
-def train(labelled: list[tuple] = LABELLED) -> Node:
-    table = np.array(labelled, float)
+def labelled_blocks(made: list[tuple[str, list[tuple[str, bool]]]]) -> list[tuple]:
+    """(features.., main text) of the blocks of labelled pages."""
+    out = []
+    for page, labelled in made:
+        found = blocks(page)
+        label = dict(labelled)
+        out += [(*x, label[b[0]]) for b, x in zip(found, described(found)) if b[0] in label]
+    return out
+
+
+def train(labelled: list[tuple] | None = None) -> Node:
+    """The tree of a table of labelled blocks; without one, of TRAINED_PAGES pages of each layout."""
+    table = np.array(labelled or labelled_blocks(layouts.pages(1, TRAINED_PAGES)), float)
     return grow(table[:, :-1], table[:, -1])
 
 
@@ -105,26 +108,44 @@ def _names(attributes: str) -> tuple[set[str], bool]:
     for name, value in _ATTR.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
-            parts.update(_SPLIT.split(value))
+            for token in value.split():
+                if not token.startswith(_STATES):
+                    parts.update(_SPLIT.split(token))
         hidden |= name == "hidden" or (name == "style" and "display:none" in value.replace(" ", ""))
     return parts, hidden
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, linked words, boilerplate around, article around) of the flat blocks of a page, in order."""
-    out: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block elements with what they and their ancestors are
+def blocks(page: str) -> list[tuple[str, int, int, bool, int, int, bool]]:
+    """(text, words, linked words, tag, name, name outside, article) of the flat blocks of a page, in order.
+
+    tag: a menu, footer, side or hidden element is around; name: the strongest
+    name (1 weak, 2 strong) around it inside the innermost article; name
+    outside: the strongest one around that; article: one is around.
+    """
+    out: list[tuple[str, int, int, bool, int, int, bool]] = []
+    plain = (False, 0, 0, False)
+    stack: list[tuple[str, tuple[bool, int, int, bool]]] = []  # open block elements with what is around their content
     pieces: list[str] = []
     linked, in_link = 0, False
+    unclosed: set[str] = set()  # inline elements of which one was never closed
+
+    def end_of(name: str, at: int) -> int:
+        """The end of an inline element that began before at; at itself if it is never closed."""
+        depth = 1
+        for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+            depth += -1 if m[1] else 1
+            if not depth:
+                return m.end()
+        unclosed.add(name)
+        return at
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
-            _, boiler, article = stack[-1] if stack else ("", False, False)
             words = text.count(" ") + 1
-            out.append((text, words, min(linked, words), boiler, article))
+            out.append((text, words, min(linked, words), *(stack[-1][1] if stack else plain)))
         linked = 0
 
     def text(part: str) -> None:
@@ -160,11 +181,12 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if name == "br":
             pieces.append(" ")
         if name in _INLINE:
-            names, hidden = _names(attributes) if not close and attributes and name in ("span", "label", "small") else (set(), False)
-            if not hidden and not names & _BOILER_NAMES:
-                continue
-            if f"</{name}" not in page[at:].lower()[:10000]:
-                continue
+            if attributes and not close and name not in _VOID and name not in unclosed:
+                names, hidden = _names(attributes)
+                if hidden or names & _ADVERT_NAMES:
+                    at = end_of(name, at)
+                    pieces.append(" ")
+            continue
         flush()
         if close:
             for k in range(len(stack) - 1, -1, -1):
@@ -178,25 +200,29 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             stack.pop()
         if name in _VOID:
             continue
-        _, boiler, article = stack[-1] if stack else ("", False, False)
+        tag, strength, outside, article = stack[-1][1] if stack else plain
         names, hidden = _names(attributes) if attributes else (set(), False)
-        marked = bool(names & _BOILER_NAMES) and name not in ("html", "body", "main")
-        boiler |= name in _BOILER_TAGS or hidden or marked or (not article and (name == "header" or ("header" in names and name not in ("html", "body"))))
-        article |= name in ("article", "main") or "main" in names or bool(names & {"articlebody", "article"}) and name not in ("html", "body")
-        stack.append((name, boiler, article))
+        top = name in ("html", "body")
+        if not top and (name in ("article", "main") or names & {"main", "articlebody", "article"}):
+            article, outside, strength = True, max(outside, strength), 0
+        if not top and name != "main":
+            strength = max(strength, 2 if names & _STRONG_NAMES else 1 if names & _WEAK_NAMES or name == "form" else 0)
+        header = not article and (name == "header" or ("header" in names and not top))
+        stack.append((name, (tag or name in _BOILER_TAGS or hidden or header, strength, outside, article)))
     flush()
     return out
 
 
+def described(found: list[tuple]) -> list[tuple]:
+    """The FEATURES of each block of a page."""
+    shape = [(0, 0.0)] + [(b[1], b[2] / b[1]) for b in found] + [(0, 0.0)]
+    return [(*shape[k], *shape[k - 1], *shape[k + 1], *b[3:]) for k, b in enumerate(found, 1)]
+
+
 def main_text(page: str | None, tree: Node) -> str:
     """The kept blocks joined by line breaks; empty for a null or blank page."""
     found = blocks(page or "")
-    shape = [(0, 0.0)] + [(n, linked / n) for _, n, linked, _, _ in found] + [(0, 0.0)]
-    kept = []
-    for k, (text, _, _, boiler, article) in enumerate(found, 1):
-        if tree.verdict((*shape[k], *shape[k - 1], *shape[k + 1], boiler, article)):
-            kept.append(text)
-    return "\n".join(kept)
+    return "\n".join(b[0] for b, x in zip(found, described(found)) if tree.verdict(x))
 
 
 def _extract(tree: Node, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,11 +234,13 @@ def _extract(tree: Node, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         )
 
 
-def extract(pages: DataFrame, keys: list[str], html_column: str = "html", labelled: list[tuple] = LABELLED) -> DataFrame:
+def extract(pages: DataFrame, keys: list[str], html_column: str = "html", labelled: list[tuple] | None = None) -> DataFrame:
     """The columns keys of each page with text (its main text) and n_chars (its code points).
 
-    A null or blank page, and one without main text, has an empty text. Repeated
-    rows are extracted each; other columns, also such named text or n_chars, go.
+    A null or blank page, and one without main text, has an empty text. Very
+    long pages are read whole. Repeated rows are extracted each, equal blocks
+    of a page too; other columns, also such named text or n_chars, go; an empty
+    table gives an empty one.
     """
     tree = train(labelled)
     rows = pages.select(*keys, F.col(html_column).alias("html"))
