@@ -215,7 +215,16 @@ def _bare(p: Page) -> None:
     p.block(True, 10, 80)
 
 
-LAYOUTS: list[Callable[[Page], None]] = [_news, _wrapped, _divs, _table, _cards, _comments, _notices, _inner, _named_main, _page_form, _short, _bare]
+def _ending(p: Page) -> None:
+    """An article that ends the page with a short block."""
+    p.raw(f"<{p.rng.choice(['article', 'main'])}>")
+    p.block(True, 1, 12, "h1")
+    for _ in range(p.rng.randint(0, 3)):
+        p.block(True, 1, p.rng.choice([12, 140, 2000]))
+    p.block(True, 1, p.rng.choice([4, 12, 30]), links=p.rng.choice([0.0, 0.0, 0.2]))
+
+
+LAYOUTS: list[Callable[[Page], None]] = [_news, _wrapped, _divs, _table, _cards, _comments, _notices, _inner, _named_main, _page_form, _short, _bare, _ending]
 
 
 def pages(seed: int, each: int, layouts: list[Callable[[Page], None]] = LAYOUTS) -> list[tuple[str, list[tuple[str, bool]]]]:
