@@ -94,7 +94,13 @@ def url_key(url: Column) -> Column:
 def url_canonical(url: Column) -> Column:
     """Scheme, host and path of a URL with a final slash, without query and fragment; null for other schemes."""
     path = F.regexp_extract(url, "^(https://[^/?#]+[^?#]*)", 1)
-    return F.when(path != "", F.regexp_replace(path, "/*$", "/"))
+    return F.when(path != "", F.concat(F.regexp_replace(path, "/+$", ""), F.lit("/")))
+
+
+def url_allowed(url: Column, host: str, path: str) -> Column:
+    """The canonical form of a URL of one https host whose path matches a pattern; null for any other."""
+    own = url_canonical(F.trim(url))
+    return F.when((url_host(own) == host) & F.regexp_extract(own, "^https://[^/]+(/.*)$", 1).rlike(path), own)
 
 
 def excerpt(x: Column, n: int = 300, tail: str = "...") -> Column:

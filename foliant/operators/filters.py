@@ -55,11 +55,9 @@ def search(
         names = [c for c in ("title", "title_english", "summary") if c in records.columns]
         tests.append(F.contains(F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in names])), F.lit(q.strip().lower())))
     # Literals of the column's own type: a filter on a date column reaches the scan.
-    kind = records.schema["published_date"].dataType
-    if since:
-        tests.append(F.col("published_date") >= F.lit(since).cast(kind))
-    if until:
-        tests.append(F.col("published_date") <= F.lit(until).cast(kind))
+    for bound, reached in ((since, F.col("published_date").__ge__), (until, F.col("published_date").__le__)):
+        if bound:
+            tests.append(reached(F.lit(bound).cast(records.schema["published_date"].dataType)))
     if flagged:
         tests.append(F.col("significant"))
     if categories:

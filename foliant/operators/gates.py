@@ -56,10 +56,11 @@ def unrendered(texts: DataFrame, column: str = "value") -> DataFrame:
     return texts.filter(F.col(column).rlike("\\{\\{|\\}\\}|\\{%|%\\}"))
 
 
-def declared_snapshot(fingerprint: DataFrame, expected_records: int | None, expected_digest: str | None) -> DataFrame:
-    """(name, violations) of a fingerprint (n, digest) against what was declared; a declared null opts out."""
-    checks = [("record_count", F.lit(expected_records).isNotNull() & (F.col("n") != F.lit(expected_records))), ("digest", F.lit(expected_digest).isNotNull() & (F.col("digest") != F.lit(expected_digest)))]
-    return reduce(DataFrame.union, [fingerprint.select(F.lit(name).alias("name"), F.coalesce(test, F.lit(False)).cast("long").alias("violations")) for name, test in checks])
+def declared_snapshot(fingerprint: DataFrame, expected_records: int | None, expected_words: list[int] | None) -> DataFrame:
+    """(name, violations) of a fingerprint (n, h0..h3) against what was declared; a declared null opts out."""
+    words = [F.col(f"h{k}") != F.lit(w) for k, w in enumerate(expected_words or [])]
+    checks = [("record_count", F.col("n") != F.lit(expected_records) if expected_records is not None else F.lit(False)), ("fingerprint", reduce(lambda x, y: x | y, words, F.lit(False)))]
+    return reduce(DataFrame.union, [fingerprint.select(F.lit(name).alias("name"), test.cast("int").cast("long").alias("violations")) for name, test in checks])
 
 
 def prose_findings(text: Column, words: int = 30) -> Column:
@@ -77,6 +78,6 @@ def manifest_rules(sources: DataFrame, institutions: DataFrame) -> DataFrame:
         sources.join(institutions.select("institution_id"), "institution_id", "left_anti").select(F.lit("unknown_institution"), "slug"),
         sources.filter("expected_cadence_days <= 0").select(F.lit("cadence_not_positive"), "slug"),
         sources.filter(~fx.is_language_tag(F.col("language_tag"))).select(F.lit("language_tag"), "slug"),
-        institutions.join(institutions.select(F.col("institution_id").alias("parent_id")), "parent_id", "left_anti").filter("parent_id is not null").select(F.lit("unknown_parent"), "institution_id"),
+        institutions.join(institutions.select(F.col("institution_id").alias("parent_id")), "parent_id", "left_anti").filter("parent_id is not null").select(F.lit("unknown_parent"), F.col("institution_id").cast("string")),
     ]
     return reduce(DataFrame.union, parts)

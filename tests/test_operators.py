@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import text as fx
-from foliant.operators import dedup, extraction, filters, gates, queue, reconcile, runs, views
+from foliant.operators import dedup, extraction, filters, gates, queue, reconcile, runs, store, views
 from foliant.sources import snapshots
 
 
@@ -97,30 +97,94 @@ def test_queue(spark, new, old, cap, want):
 
 def test_run_status_ladder(spark):
     rows = [(1, "OK", False), (1, "LISTING_FAILURE", True), (2, "LISTING_FAILURE", True), (2, "NOT_IMPLEMENTED", False), (3, "OK", False), (4, "SKIPPED_DISABLED", False)]
-    got = runs.run_status(spark.createDataFrame(rows, "run_id int, status string, is_failure boolean")).collect()
-    assert {r.run_id: r.status for r in got} == {1: "degraded", 2: "failed", 3: "completed", 4: "degraded"}
+    every = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5)], "run_id int")
+    got = runs.run_status(spark.createDataFrame(rows, "run_id int, status string, is_failure boolean"), every).collect()
+    assert {r.run_id: r.status for r in got} == {1: "degraded", 2: "failed", 3: "completed", 4: "degraded", 5: "failed"}
 
 
 def test_upsert_keeps_what_it_must_and_is_idempotent(spark):
     schema = "run int, slug string, started string, status string"
-    old, new = spark.createDataFrame([(1, "a", "s0", "x"), (1, "b", "s0", "x")], schema), spark.createDataFrame([(1, "a", "s1", "y"), (2, "a", "s2", "z")], schema)
+    old, new = spark.createDataFrame([(1, "a", "s0", "x"), (1, "b", None, "x")], schema), spark.createDataFrame([(1, "a", "s1", "y"), (1, "b", "s9", "y"), (2, "a", "s2", "z")], schema)
     once = runs.upsert_results(old, new, ["run", "slug"], ["started"])
-    assert sorted(map(tuple, once.collect())) == [(1, "a", "s0", "y"), (1, "b", "s0", "x"), (2, "a", "s2", "z")]
-    assert sorted(map(tuple, runs.upsert_results(once, new, ["run", "slug"], ["started"]).collect())) == sorted(map(tuple, once.collect()))
+    assert sorted(map(tuple, once.collect()), key=repr) == [(1, "a", "s0", "y"), (1, "b", None, "y"), (2, "a", "s2", "z")]
+    assert sorted(map(tuple, runs.upsert_results(once, new, ["run", "slug"], ["started"]).collect()), key=repr) == sorted(map(tuple, once.collect()), key=repr)
 
 
 def test_reconcile_and_tampering(spark):
-    schema = "id long, url string, source string, passed boolean, analyzed_at string"
+    schema, fields = "id long, url string, source string, passed_relevance boolean, analyzed_at string", ["passed_relevance", "analyzed_at"]
     origin = spark.createDataFrame([(1, "a", "s", None, None), (2, "b", "s", True, "d"), (9, "c", "s", False, None)], schema)
-    local = spark.createDataFrame([(1, "a", "s", True, "d1"), (2, "x", "t", None, None), (3, "b", "s", False, "d9"), (7, "y", "t", True, None)], schema)
-    merged = reconcile.reconcile_articles(origin, local)
+    local = spark.createDataFrame([(1, "a", "s", True, "d1"), (2, "x", "t", None, None), (3, "b", "s", False, "d9"), (5, "a", "s", False, "later"), (7, "y", "t", True, None)], schema)
+    merged = reconcile.reconcile_articles(origin, local, fields=fields)
     assert sorted(map(tuple, merged.collect())) == [(1, "a", "s", True, "d1"), (2, "b", "s", True, "d"), (9, "c", "s", False, None), (10, "x", "t", None, None), (11, "y", "t", True, None)]
-    assert all(r.violations == 0 for r in reconcile.gates(origin, local, merged).collect())
-    bad = {r.name for r in reconcile.gates(origin, local, merged.filter("url <> 'y'").withColumn("id", F.lit(1))).filter("violations > 0").collect()}
-    assert {"local_url_lost", "duplicate_id", "id_drift", "local_decision_lost"} <= bad
-    assert tuple(reconcile.accounting(origin, merged, ["url"], ["passed"]).first()) == (0, 2, 1)
+    gates_of = lambda m: {r.name for r in reconcile.gates(origin, origin, local, m, source="source").filter("violations > 0").collect()}
+    assert gates_of(merged) == set()
+    assert gates_of(merged.filter("url <> 'y'").withColumn("id", F.lit(1))) == {"local_url_lost", "duplicate_id", "id_drift"}
+    undecided = F.when(F.col("url") != "y", F.col("passed_relevance"))
+    assert gates_of(merged.withColumn("passed_relevance", undecided)) == {"local_decision_lost"}
+    assert gates_of(merged.withColumn("source", F.when(F.col("url") == "c", "t").otherwise(F.col("source")))) == {"origin_source_changed"}
+    with pytest.raises(ValueError, match="relevance_score"):
+        reconcile.reconcile_articles(origin, local)
+    assert tuple(reconcile.accounting(origin, merged, ["url"], ["passed_relevance"]).first()) == (0, 2, 1)
     pairs = reconcile.nth_match(origin.select("id", "source"), local.select("id", "source"), ["source"], "id").collect()
-    assert {(r.left_id, r.right_id) for r in pairs} == {(1, 1), (2, 3)}
+    assert {(r.left_id, r.right_id) for r in pairs} == {(1, 1), (2, 3), (9, 5)}
+
+
+def test_canonical_sections_and_hosts(spark):
+    """Only the hosts that have sections rank by them, and a blank source takes the one of its host."""
+    rows = [
+        (1, "g", "p", "http://www.own.example/minor/a.html"), (2, "g", "p", "http://www.own.example/top/a-longer-address.html"), (3, "g", "p", "http://other.example/top/a.html"),
+        (4, "h", " ", "http://www.own.example/x.html"), (5, "h", "q", "http://q.example/top/x.html"), (6, "", "p", "http://www.own.example/top/z.html"),
+    ]
+    df = spark.createDataFrame(rows, "id int, title_hash string, source string, url string")
+    key = dedup.canonical_key({"p": "A", "q": "B"}, {"top": 100}, section_hosts=("www.own.example",), hosts={"www.own.example": "p"})
+    assert {r.id for r in dedup.canonical(df, key).collect()} == {2, 4, 6}
+    ranks = {r.id: r["rank"] for r in dedup.ranked(df, key).collect()}
+    assert ranks == {2: 1, 1: 2, 3: 3, 4: 1, 5: 2}
+
+
+def test_reconcile_preflight_and_publishing(spark):
+    a = spark.createDataFrame([(1, 5), (1, 6)], "id long, source_id long")
+    s = spark.createDataFrame([(5, "x")], "id long, slug string")
+    found = reconcile.preflight({"base": {"articles": a}, "local": {"articles": a, "sources": s}}, {"articles": ["id", "url"], "sources": ["id"]}, [("articles", "source_id", "sources")])
+    assert {(r.snapshot, r.problem, r.n) for r in found.collect()} == {
+        ("base", "no table sources", 1), ("base", "no column articles.url", 1), ("local", "no column articles.url", 1),
+        ("base", "repeated articles.id", 1), ("local", "repeated articles.id", 1), ("local", "articles.source_id without sources", 1),
+    }
+
+
+def test_synced_registry(spark):
+    current = spark.createDataFrame([("a", "A", 1, True), ("b", "B", 2, False)], "slug string, name string, desk int, active boolean")
+    declared = spark.createDataFrame([("a", "A2", 1), ("c", "C", 1)], "slug string, name string, desk int")
+    got = store.synced(current, declared, "slug", "desk")
+    assert sorted(map(tuple, got.collect())) == [("a", "A2", 1, True), ("b", "B", 2, False), ("c", "C", 1, None)]
+    with pytest.raises(Exception, match="two owners"):
+        store.synced(current, spark.createDataFrame([("b", "B", 1)], "slug string, name string, desk int"), "slug", "desk").collect()
+
+
+def test_texts_that_may_not_lack_a_value(spark):
+    df = spark.createDataFrame([("A", "T", "2026-05-07", "u")], "author string, title string, day string, url string")
+    cite = fx.citation(F.col("author"), F.col("title"), F.col("day").cast("date"), F.col("url"))
+    assert df.select(cite).first()[0] == "A, “T,” 7 May 2026, u."
+    with pytest.raises(Exception, match="missing title"):
+        df.withColumn("title", F.lit(" ")).select(cite).collect()
+    said = spark.createDataFrame([('He said \\"so: yes\\", :then',)], "v string").select(F.to_json(F.struct("v", F.lit(1).alias("n"))).alias("j"))
+    assert said.select(fx.json_strings(F.col("j"))).first()[0] == ['He said \\"so: yes\\", :then']
+    x = F.lit("One two. Three? Four!")
+    assert spark.range(1).select(fx.sentences(x), fx.n_words(x), fx.repeats_headline(x, F.lit("ONE two."))).first()[:] == (["One two.", "Three?", "Four!"], 4, True)
+
+
+def test_captures_and_sitemaps(spark, tmp_path):
+    (tmp_path / "a.html").write_bytes(b"<meta charset='GB2312'>" + b"x" * 50)
+    (tmp_path / "b.html").write_bytes(b"y" * 200)
+    got = {r.path.rpartition("/")[2]: r for r in snapshots.captures(spark, str(tmp_path / "*.html"), ceiling=100).collect()}
+    assert (got["a.html"].charset, got["a.html"].status, got["b.html"].charset, got["b.html"].status) == ("gb2312", "OK", "utf-8", "OVERSIZED")
+    (tmp_path / "s.xml").write_text("<urlset><url><loc>http://x/1</loc><lastmod>2026-01-02</lastmod></url><url><loc>http://x/2</loc></url></urlset>")
+    assert sorted(map(tuple, snapshots.sitemap(spark, str(tmp_path / "s.xml")).collect()), key=repr) == [("http://x/1", "2026-01-02"), ("http://x/2", None)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "2.json").write_text('{"date": "2026-01-09"}')
+    (tmp_path / "d" / "1.json").write_text("{broken")
+    cards = {r.file_name: (r.date, r.corrupt is None) for r in snapshots.sidecars(spark, str(tmp_path / "d"), "date string").collect()}
+    assert cards == {"2.json": ("2026-01-09", True), "1.json": (None, False)}
 
 
 def test_views(spark):
@@ -147,8 +211,9 @@ def test_extraction_and_gates(spark):
 
 def test_snapshots(spark, tmp_path):
     df = spark.createDataFrame([(k, f"v{k}") for k in range(50)], "id long, v string")
-    a = snapshots.fingerprint(df, "id").first()
-    assert a == snapshots.fingerprint(df.repartition(5), "id").first() != snapshots.fingerprint(df.filter("id > 0"), "id").first()
+    a = snapshots.fingerprint(df).first()
+    assert a == snapshots.fingerprint(df.repartition(5)).first() != snapshots.fingerprint(df.filter("id > 0")).first()
+    assert a != snapshots.fingerprint(df.withColumn("v", F.when(F.col("id") > 0, F.col("v")))).first()
     open_gate = spark.createDataFrame([("g", 1)], "name string, violations long")
     with pytest.raises(ValueError, match="g"):
         snapshots.publish({"t": df}, str(tmp_path), open_gate)
