@@ -20,13 +20,17 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
-#: A public model of 32,000 pieces; its path is a parameter of the operator.
+#: A public model of 32,000 pieces, unless the session names another in spark.foliant.pieceModel.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def piece_model(spark: SparkSession) -> str:
+    return spark.conf.get("spark.foliant.pieceModel", PIECE_MODEL)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.encode(docs, PIECE_MODEL, ["doc_id"])
+    return pieces.encode(docs, piece_model(spark), ["doc_id"])
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
