@@ -34,8 +34,8 @@ LEAST = 0.75
 TOKEN_BITS = 44
 #: Bytes of text that are signed at a time: arrays of eight bytes for each stay in a core's cache.
 CHUNK = 1 << 17
-#: Shingles that a comparison of pairs sorts at a time.
-_AT_ONCE = 1 << 22
+#: Memberships that are put into trees at a time, and pairs, and shingles of pairs, that are compared at a time.
+MEMBERS, PAIRS, _AT_ONCE = 1 << 19, 1 << 12, 1 << 20
 
 _MIXERS = _splitmix(BINS, 23) | U64(1)
 _FACTORS = _splitmix(SHINGLE_CHARS, 26) | U64(1)
@@ -94,12 +94,20 @@ def _lines(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows[own], number[own], at[a[own]], at[b[own] - 1] + 1
 
 
-def _folded(codes: np.ndarray) -> np.ndarray:
-    """64-bit marks of code points, A-Z as a-z."""
+def _mark_of(codes: np.ndarray) -> np.ndarray:
     upper = (codes >= 65) & (codes <= 90)
     return mix((codes + upper * np.uint32(32)).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
+#: The marks of the first code points, looked up rather than computed.
+_MARKS = _mark_of(np.arange(1 << 14, dtype=np.uint32))
+
+
+def _folded(codes: np.ndarray) -> np.ndarray:
+    """64-bit marks of code points, A-Z as a-z."""
+    return _MARKS[codes] if not len(codes) or codes.max() < len(_MARKS) else _mark_of(codes)
+
+
 def _sets(marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(line, token) of the distinct shingles of lines, sorted; a line shorter than a shingle has itself as the one."""
     n = np.maximum(0, ends - starts - SHINGLE_CHARS + 1)
@@ -139,9 +147,12 @@ def _bands(line: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
     return mix(keys + np.arange(1, BANDS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
 
 
-def _names(marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each line: its class, and what equal lines agree in besides."""
-    return span_hashes(marks, starts, ends), span_hashes(mix(marks ^ U64(0xA0761D6478BD642F)), starts, ends)
+def _names(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line the hash that names its class, and what equal lines agree in besides: their length and the sum of their folded code points."""
+    upper = (codes >= 65) & (codes <= 90)
+    total = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(codes + upper * np.uint32(32), out=total[1:])
+    return span_hashes(_folded(codes), starts, ends), ((ends - starts) << 40) ^ (total[ends] - total[starts])
 
 
 def _line_rows(bits: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +162,7 @@ def _line_rows(bits: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[
         for i, _, data, offsets in chunks(batch.column("text"), CHUNK):
             codes, heads = _code_points(data, offsets)
             rows, number, starts, ends = _lines(codes, heads)
-            node, mark = _names(_folded(codes), starts, ends)
+            node, mark = _names(codes, starts, ends)
             at = (node & U64(PREFILTER_BITS - 1)).astype(np.int64)
             wanted = np.flatnonzero((bits[at >> 3] >> (at & 7)) & 1)
             wanted = wanted[seen.first(node[wanted])]
@@ -159,7 +170,7 @@ def _line_rows(bits: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[
             x: list[str | None] = [None] * len(node)
             for k, a, b in zip(wanted.tolist(), places[starts[wanted]].tolist(), places[ends[wanted]].tolist()):
                 x[k] = data[a:b].tobytes().decode()
-            columns = [batch.column("id").take(pa.array(rows + i)), pa.array(number.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(mark.view(np.int64)), pa.array(x, pa.string())]
+            columns = [batch.column("id").take(pa.array(rows + i)), pa.array(number.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(mark), pa.array(x, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "line", "node", "mark", "x"])
 
 
@@ -179,53 +190,55 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = _bands(*_sets(marks, starts, ends), len(node))
                 bands.append(keys.ravel().view(np.int64))
                 nodes.append(np.repeat(node.view(np.int64), BANDS))
+                if sum(map(len, nodes)) >= MEMBERS:
+                    yield tree_rows(np.concatenate(bands), np.concatenate(nodes))
+                    bands, nodes = [], []
         if nodes:
             yield tree_rows(np.concatenate(bands), np.concatenate(nodes))
 
 
 def _sets_of(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(line, token) of the distinct shingles of texts of one trimmed line each, sorted by both."""
-    out_line, out_token = [], []
-    for i, _, data, offsets in chunks(lines, 1 << 22):
+    """The sorted distinct shingles of texts of one trimmed line each, line by line, and the n + 1 starts of the lines in them."""
+    tokens, sizes = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for i, j, data, offsets in chunks(lines, CHUNK):
         codes, heads = _code_points(data, offsets)
         line, token = _sets(_folded(codes), heads[:-1], heads[1:])
-        out_line.append(line + i)
-        out_token.append(token)
-    return (np.concatenate(out_line), np.concatenate(out_token)) if out_line else (np.zeros(0, np.int64), np.zeros(0, U64))
+        tokens.append(token)
+        sizes.append(np.bincount(line, minlength=j - i))
+    return np.concatenate(tokens), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) of lines (x, y) with exact similarity LEAST or more on their whole sets."""
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        both = pa.chunked_array([batch.column("x"), batch.column("y")]).combine_chunks().dictionary_encode()
-        which = both.indices.to_numpy()
-        line, token = _sets_of(both.dictionary)
-        starts = np.searchsorted(line, np.arange(len(both.dictionary) + 1))
-        sizes = np.diff(starts)
-        x, y = which[:n], which[n:]
-        able = 100 * np.minimum(sizes[x], sizes[y]) >= round(100 * LEAST) * np.maximum(sizes[x], sizes[y])
-        pairs = np.flatnonzero(able)
-        cuts = np.cumsum(sizes[x[pairs]] + sizes[y[pairs]]) // _AT_ONCE
-        kept = [np.zeros(0, np.int64)]
-        for part in np.split(pairs, np.flatnonzero(np.diff(cuts)) + 1) if len(pairs) else []:
-            sides = np.concatenate([x[part], y[part]])
-            lengths = sizes[sides]
-            at = np.repeat(starts[sides] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            pair = np.repeat(np.tile(np.arange(len(part)), 2), lengths)
-            packed = np.sort((pair.astype(U64) << U64(TOKEN_BITS)) | token[at])
-            again = packed[1:][packed[1:] == packed[:-1]] >> U64(TOKEN_BITS)
-            common = np.bincount(again.astype(np.int64), minlength=len(part))
-            union = sizes[x[part]] + sizes[y[part]] - common
-            kept.append(part[100 * common >= round(100 * LEAST) * union])
-        yield batch.select(["a", "b"]).take(pa.array(np.concatenate(kept)))
+    for whole in batches:
+        for i in range(0, whole.num_rows, PAIRS):
+            batch = whole.slice(i, PAIRS)
+            n = batch.num_rows
+            both = pa.chunked_array([batch.column("x"), batch.column("y")]).combine_chunks().dictionary_encode()
+            which = both.indices.to_numpy()
+            token, starts = _sets_of(both.dictionary)
+            sizes = np.diff(starts)
+            x, y = which[:n], which[n:]
+            able = 100 * np.minimum(sizes[x], sizes[y]) >= round(100 * LEAST) * np.maximum(sizes[x], sizes[y])
+            pairs = np.flatnonzero(able)
+            cuts = np.cumsum(sizes[x[pairs]] + sizes[y[pairs]]) // _AT_ONCE
+            kept = [np.zeros(0, np.int64)]
+            for part in np.split(pairs, np.flatnonzero(np.diff(cuts)) + 1) if len(pairs) else []:
+                sides = np.concatenate([x[part], y[part]])
+                lengths = sizes[sides]
+                at = np.repeat(starts[sides] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+                pair = np.repeat(np.tile(np.arange(len(part)), 2), lengths)
+                packed = np.sort((pair.astype(U64) << U64(TOKEN_BITS)) | token[at])
+                again = packed[1:][packed[1:] == packed[:-1]] >> U64(TOKEN_BITS)
+                common = np.bincount(again.astype(np.int64), minlength=len(part))
+                union = sizes[x[part]] + sizes[y[part]] - common
+                kept.append(part[100 * common >= round(100 * LEAST) * union])
+            yield batch.select(["a", "b"]).take(pa.array(np.concatenate(kept)))
 
 
 def _unit_sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    line, token = _sets_of(table.column("x").combine_chunks())
-    return token, line
+    token, starts = _sets_of(table.column("x").combine_chunks())
+    return token, np.repeat(np.arange(table.num_rows), np.diff(starts))
 
 
 def _confirm(pairs: DataFrame, lines: DataFrame) -> DataFrame:
