@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as fx
-from foliant.operators import site, store, views
+from foliant.operators import extraction, site, store, views
 from foliant.plans import store as t
 from foliant.plans.corpus import EDITIONS, editions
 from foliant.plans.registry import query
@@ -299,3 +299,32 @@ def title_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.struct(F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("a"), F.array(F.struct(F.lit("two").alias("b"), F.lit(3).alias("c"))).alias("d"), F.col("event_type").alias("e"))
     return table(spark, sf_dir, "events").select("event_id", fx.json_strings(F.to_json(inner)).alias("strings"))
+
+
+_PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_RUNGS = [("article", "(?is)<article>(.*)</article>", "(?is)<p>([^<]*)</p>", 400), ("long", "", "(?is)<p>([^<]*)</p>", 60), ("any", "", "(?is)<p>([^<]*)", 1)]
+
+
+def _rung(name: str, container: str, paragraph: str, least: int) -> str:
+    inside = f"regexp_extract(page, '{container}', 1)" if container else "page"
+    texts = f"list_transform(regexp_extract_all({inside}, '{paragraph}', 1), lambda x: {_PLAIN.format(x='x')})"
+    return f"array_to_string(list_filter({texts}, lambda x: length(x) >= {least} AND NOT contains(x, 'Copyright') AND NOT contains(x, 'thereon')), chr(10)) AS {name}_body"
+
+
+@query(f"""WITH p AS (SELECT page_id, html, regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g') AS page FROM pages), b AS (SELECT *, {", ".join(_rung(*r) for r in _RUNGS)} FROM p)
+SELECT page_id, nullif({_PLAIN.format(x="coalesce(nullif(regexp_extract(page, '(?is)<h2>(.*?)</h2>', 1), ''), regexp_extract(page, '(?is)<h1>(.*?)</h1>', 1))")}, '') AS title,
+CASE WHEN article_body <> '' THEN 'article' WHEN long_body <> '' THEN 'long' WHEN any_body <> '' THEN 'any' END AS rung, CASE WHEN article_body <> '' THEN article_body WHEN long_body <> '' THEN long_body WHEN any_body <> '' THEN any_body END AS body,
+regexp_extract(html, 'track\\((\\d+)\\)', 1) AS published FROM b""")
+def ladder_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    titles = ["(?is)<h2>(.*?)</h2>", "(?is)<h1>(.*?)</h1>"]
+    return extraction.by_ladder(pages, titles, _RUNGS, ["Copyright", "thereon"], "track\\((\\d+)\\)").drop("html")
+
+
+@query("""SELECT o_custkey AS page_id, strftime(o_orderdate, '/%Y/%-m/%-d/n') || o_orderkey || '.html' AS href, CAST(o_orderdate AS DATE) AS day, 'Item ' || o_orderkey AS label FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1999-05-26' AND DATE '1999-06-01'""")
+def listing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day, key = F.col("o_orderdate").cast("date"), F.col("o_orderkey").cast("string")
+    address = F.concat(F.date_format(day, "/yyyy/M/d/'n'"), key, F.lit(".html"))
+    anchors = F.concat(F.lit('<a href="'), address, F.lit('"> </a><a href="'), address, F.lit('"><b>Item</b> '), key, F.lit("</a>"))
+    pages = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_join(F.collect_list(anchors), "\n").alias("html"))
+    return extraction.dated_links(pages, "^/(\\d{4})/(\\d{1,2})/(\\d{1,2})/", "1999-06-01")
