@@ -234,6 +234,10 @@ class Vocabulary:
         sizes = np.cumsum([0, *map(len, numbers)])
         return flat[at], ends[sizes]
 
+    def gives_back(self, numbers: np.ndarray) -> bool:
+        """Whether the ids of segmentations decode to their chunks. (Views of the arrays must not outlive a call: they keep them from growing.)"""
+        return bool(np.frombuffer(self.exact, np.int8)[numbers].all())
+
     def encode(self, text: str, n: int = N_BEST) -> tuple[list[int], list[float]]:
         """The ids of the best segmentation of a text and the scores of the n best, best first."""
         best = self.encode_n_best(text, n)
@@ -264,8 +268,7 @@ def _encode(vocabulary: Vocabulary, n: int, batches: Iterator[pa.RecordBatch]) -
             every = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
             first = np.where(np.diff(ends) > 0, ends[:-1], -1)
             best = every.take(pa.array(first, mask=first < 0)).fill_null(pa.scalar([], pa.list_(pa.int32()))) if len(every) else pa.array([[]] * batch.num_rows, pa.list_(pa.int32()))
-            marks = np.frombuffer(vocabulary.exact, np.int8)
-            exact = [bool(marks[x[0][1]].all()) if x else True for x in found]
+            exact = [vocabulary.gives_back(x[0][1]) if x else True for x in found]
             scores = pa.ListArray.from_arrays(pa.array(ends), pa.array([s for x in found for s, _ in x], pa.float64()))
             sizes = pa.array(np.where(first >= 0, np.diff(starts)[first] if len(every) else 0, 0).astype(np.int64))
             keep = [c for c in batch.schema.names if c != "text"]

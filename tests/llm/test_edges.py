@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 
 from foliant.llm import decontam, html, langid, pieces, quality, secrets, toxicity
@@ -39,6 +40,19 @@ def test_pieces(docs):
     assert empty.count() == 0 and pieces.decode(empty, MODEL, ["doc_id"]).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="no vocabulary here")
+def test_pieces_of_many_rows_and_a_small_memory(monkeypatch):
+    """Segmentations that a worker forgets and makes again are the same."""
+    v = pieces.Vocabulary.load(MODEL)
+    rows = [text(k, 40) + f" é{k}x" for k in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows)], ["text"])
+    many = pa.Table.from_batches(pieces._encode(v, 4, iter([batch]))).to_pylist()
+    monkeypatch.setattr(pieces, "REMEMBERED", 50)
+    again = pa.Table.from_batches(pieces._encode(pieces.Vocabulary.load(MODEL), 4, iter([batch]))).to_pylist()
+    assert many == again and all(r["exact"] and len(r["n_best"]) == 4 and r["n_best"][0] == r["ids"] for r in many)
+    assert [v.decode(r["ids"]) for r in many] == rows and all(r["n_pieces"] == len(r["ids"]) for r in many)
+
+
 def test_languages(spark, docs):
     learned = spark.createDataFrame([("the plain words of the first text", "en"), ("die einfachen Wörter des ersten Textes", "de"), (None, "fr"), ("x", None)], "text string, lang string")
     model = langid.train(learned)
