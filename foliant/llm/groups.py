@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.shared import possible_ids
+
 #: Members of a group that one side of a block comparison holds.
 BLOCK = 512
 #: Tokens that a comparison counts at a time.
@@ -78,9 +80,11 @@ def open_members(trees: DataFrame, apart: DataFrame, joined: DataFrame) -> DataF
     (node, component). As a group's rows are a tree, it holds one component
     alone if none of its pairs is apart.
     """
-    pair = trees.withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")})
+    pair = trees.withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader"), "_ab": F.xxhash64(F.least("node", "leader"), F.greatest("node", "leader"))})
+    # Most rows are of closed groups and don't move: both joins are screened by bitmaps of fixed size.
+    pair = possible_ids(pair, "_ab", apart.select(F.xxhash64("a", "b").alias("_ab")))
     bands = pair.join(apart.select("a", "b"), ["a", "b"], "left_semi").select("band").distinct()
-    rows = trees.join(bands, "band", "left_semi")
+    rows = possible_ids(trees, "band", bands).join(bands, "band", "left_semi")
     large = rows.groupBy("band").agg((F.count("*") + 1).alias("n")).filter("n > 2")
     members = rows.select("band", F.explode(F.array("node", "leader")).alias("node")).distinct().join(large, "band")
     return members.join(joined, "node", "left").select("band", "n", "node", F.coalesce("component", "node").alias("c"))

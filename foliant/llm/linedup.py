@@ -277,7 +277,8 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     lines, joined = _linked(docs.filter("id is not null and text is not null").select("id", "text"))
     # A class matters if it has several lines or is linked; the first line of its component stays.
     classes = lines.groupBy("node", "mark").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
-    named = classes.join(joined, "node", "left").filter("n > 1 or component is not null")
+    some = possible_ids(classes, "node", joined.select("node"), mark="_maybe").filter("n > 1 or _maybe").drop("_maybe")
+    named = some.join(joined, "node", "left").filter("n > 1 or component is not null")
     named = materialize(named.withColumn("c", F.coalesce("component", "node")).select("node", "mark", "first", "c"), "named")
     keepers = named.groupBy("c").agg(F.min("first").alias("keep"))
     fates = materialize(named.join(keepers, "c").select("node", "mark", "keep"), "fates")
