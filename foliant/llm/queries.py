@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontam, html, langid, linedup, neardup, passages, pieces, quality, secrets, toxicity
+from foliant.llm import decontam, fim, html, langid, linedup, neardup, passages, pieces, quality, resample, secrets, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,4 +82,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(docs).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_sentencepiece, op3_minhash_neardup, op4_quality_rules, op5_toxicity, op6_language_id, op7_decontamination, op8_line_dedup, op9_secret_scan, op10_substring_dedup)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"]
+    return fim.transform(table(spark, sf_dir, "documents"), ["doc_id"], columns=columns)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.records(table(spark, sf_dir, "pages"))
+    written = warc.write(rows, warc.archive_folder(spark))
+    found = warc.read(written)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resample.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_sentencepiece, op3_minhash_neardup, op4_quality_rules, op5_toxicity, op6_language_id, op7_decontamination, op8_line_dedup, op9_secret_scan, op10_substring_dedup, op11_fill_in_middle, op12_warc, op13_resample)}

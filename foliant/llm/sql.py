@@ -5,7 +5,7 @@ from __future__ import annotations
 from foliant.llm.quality import STOP_WORDS, THRESHOLDS
 from foliant.llm.secrets import BASE_RULES, MORE_RULES
 
-_WORD = "[^\\x20\\x09-\\x0D]+"
+_WORD, _SPACES = "[^\\x20\\x09-\\x0D]+", "[\\x20\\x09-\\x0D]"
 
 
 def _text(x: str) -> str:
@@ -67,4 +67,52 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(m, d.doc_id), d.
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY 1) r ON d.doc_id = r.a"""
 
 
-ORACLES: dict[str, str] = {"op3_minhash_neardup": _near_duplicates(), "op4_quality_rules": _quality(), "op9_secret_scan": _secrets()}
+def _fill_in_middle() -> str:
+    """Cuts by summed lengths of units and substrings of the text."""
+    draw = lambda k: f"CAST('0x' || substr(h, {8 * k - 7}, 8) AS UBIGINT)"
+    chars = lambda k: f"CAST(coalesce(list_sum(list_transform(u[1:{k}], lambda x: length(x))), 0) AS BIGINT)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '{_SPACES}*{_WORD}|{_SPACES}+') AS u FROM documents),
+c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST({draw(1)} % (len(u) + 1) AS BIGINT) AS x, CAST({draw(2)} % (len(u) + 1) AS BIGINT) AS y,
+  CASE WHEN t = '' OR t LIKE '%<P>%' OR t LIKE '%<S>%' OR t LIKE '%<M>%' OR {draw(3)} % 100 >= 50 THEN 'plain' WHEN {draw(4)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT doc_id, t, n, form, {chars("least(x, y)")} AS a, {chars("greatest(x, y)")} AS b FROM c),
+o AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', pre, '<S>', suf, '<M>', mid) ELSE concat('<S>', suf, '<P>', pre, '<M>', mid) END) AS output_sha256, sha256(t) AS restored_sha256 FROM o"""
+
+
+def _warc() -> str:
+    five = lambda k: f"CAST('0x' || substr(h, {5 * k + 1}, 5) AS BIGINT)"
+    digit = lambda k, shift: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (({five(k)} >> {shift}) & 31), 1)"
+    base32 = " || ".join(digit(k, shift) for k in range(8) for shift in (15, 10, 5, 0))
+    return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {base32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, true AS intact FROM f"""
+
+
+def _resample() -> str:
+    """CRC-32 by its table over the bytes of distinct words; gains, weights and one global ranking."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    words = lambda key, name: f"SELECT {key} AS k, unnest(regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{word}')) AS w FROM {name}"
+    bytes_of = "list_transform(range(strlen(w)), lambda i: CAST('0x' || substr(hex(w), 2 * i + 1, 2) AS BIGINT))"
+    return f"""WITH d AS ({words("doc_id", "documents")}), b AS ({words("item_id", "benchmark")}),
+tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+v AS (SELECT w, xor(list_reduce(list_prepend(4294967295, {bytes_of}), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) % 10000 AS slot FROM (SELECT w FROM d UNION SELECT w FROM b), tab),
+s AS (SELECT slot, count(*) AS n FROM d JOIN v USING (w) GROUP BY 1), t AS (SELECT slot, count(*) AS n FROM b JOIN v USING (w) GROUP BY 1),
+g AS (SELECT s.slot, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000) / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)))) AS gain FROM s LEFT JOIN t ON s.slot = t.slot),
+x AS (SELECT k, count(*) AS n, sum(gain) AS weight FROM d JOIN v USING (w) JOIN g USING (slot) GROUP BY 1),
+r AS (SELECT doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS UBIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM documents LEFT JOIN x ON doc_id = k),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS pos, count(*) FILTER (n_features >= 20) OVER () AS eligible FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND pos <= (10 * eligible) // 100 THEN pos END AS rank FROM o"""
+
+
+ORACLES: dict[str, str] = {
+    "op3_minhash_neardup": _near_duplicates(),
+    "op4_quality_rules": _quality(),
+    "op9_secret_scan": _secrets(),
+    "op11_fill_in_middle": _fill_in_middle(),
+    "op12_warc": _warc(),
+    "op13_resample": _resample(),
+}
