@@ -86,8 +86,8 @@ def url_section(url: Column, hosts: list[str]) -> Column:
 
 
 def url_key(url: Column) -> Column:
-    """A URL without scheme, and without 'www.' or else without its last slashes."""
-    bare = F.regexp_replace(F.coalesce(url, F.lit("")), "^https?://", "")
+    """A URL in lower case without scheme, and without 'www.' or else without its last slashes."""
+    bare = F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(url, F.lit("")), "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")), "^https?://", "")
     return F.when(bare.startswith("www."), F.substr(bare, F.lit(5))).otherwise(F.regexp_replace(bare, "/+$", ""))
 
 

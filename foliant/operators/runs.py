@@ -12,11 +12,16 @@ DEFAULT_SILENCE_DAYS = 7
 
 
 def outcome(enabled: Column, implemented: Column, listed: Column, references: Column, fetched: Column, extracted: Column, failed: Column) -> Column:
-    """The outcome of one source: which kind of nothing it was, if nothing came."""
+    """The outcome of one source: which kind of nothing it was, if nothing came.
+
+    A listing that broke off is a failure; with references the listing was
+    right, whatever else failed and whether or not the source is a stub; without
+    any, failed fetches come before being a stub.
+    """
     return (
         F.when(~enabled, "SKIPPED_DISABLED")
-        .when(~implemented, "NOT_IMPLEMENTED")
         .when(~listed | ((references == 0) & (failed > 0)), "LISTING_FAILURE")
+        .when((references == 0) & ~implemented, "NOT_IMPLEMENTED")
         .when(references == 0, "OK_NO_PUBLICATIONS")
         .when(fetched == 0, "FETCH_FAILURE")
         .when(extracted == 0, "EXTRACTION_FAILURE")
@@ -108,8 +113,12 @@ def upsert_results(old: DataFrame, new: DataFrame, keys: list[str], keep: list[s
 
 
 def day_clock(runs: DataFrame, ok: str = "ok", at: str = "finished_at") -> DataFrame:
-    """Runs with day_zero (the first success, never moved by failures or later runs) and the day number since."""
-    zero = runs.filter(F.col(ok)).agg(F.min(at).alias("day_zero"))
-    rows = runs.join(F.broadcast(zero))  # one row
-    day = F.when(F.col(at) >= F.col("day_zero"), F.datediff(F.col(at), F.col("day_zero")))
-    return rows.withColumn("day", day)
+    """Runs with day_zero (the first success, never moved by failures or later runs) and the whole days since.
+
+    A failed run has no day, and no day_zero before the first success.
+    """
+    zero = runs.filter(F.col(ok)).agg(F.min(at).alias("_zero"))
+    rows = runs.drop("_zero").join(F.broadcast(zero))  # one row
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    day = F.when(F.coalesce(ok, F.lit(False)), F.floor((micros(at) - micros("_zero")) / 86_400_000_000))
+    return rows.withColumns({"day_zero": F.when(F.col(at) >= F.col("_zero"), F.col("_zero")), "day": day}).drop("_zero")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,11 @@ from foliant.plans.corpus import EDITIONS, RECORDS, editions, records
 from foliant.plans.registry import query
 from foliant.plans.store import with_tables as w
 from foliant.sources.snapshots import table
+from foliant.streaming import clock
 
 
 @query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 7 AS refs, c_custkey % 5 AS fetched, c_custkey % 3 AS extracted, c_custkey % 2 AS failed FROM customer)
-SELECT k AS source, CASE WHEN k % 11 = 0 THEN 'SKIPPED_DISABLED' WHEN k % 13 = 0 THEN 'NOT_IMPLEMENTED' WHEN k % 17 = 0 OR (refs = 0 AND failed > 0) THEN 'LISTING_FAILURE' WHEN refs = 0 THEN 'OK_NO_PUBLICATIONS'
+SELECT k AS source, CASE WHEN k % 11 = 0 THEN 'SKIPPED_DISABLED' WHEN k % 17 = 0 THEN 'LISTING_FAILURE' WHEN refs = 0 THEN CASE WHEN failed > 0 THEN 'LISTING_FAILURE' WHEN k % 13 = 0 THEN 'NOT_IMPLEMENTED' ELSE 'OK_NO_PUBLICATIONS' END
 WHEN fetched = 0 THEN 'FETCH_FAILURE' WHEN extracted = 0 THEN 'EXTRACTION_FAILURE' ELSE 'OK' END AS status FROM c""")
 def source_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
@@ -46,7 +49,7 @@ def licence_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT page_id, 'https' || substr(url, strpos(url, ':')) AS u FROM pages) SELECT page_id, regexp_replace(regexp_extract(u, '^https://[^?#]*'), '/*$', '/') AS canonical,
 CASE WHEN split_part(split_part(u, '/', 3), ':', 1) = 'thther.example.org' AND regexp_matches(u, '^https://[^/]+/en/') THEN regexp_replace(regexp_extract(u, '^https://[^?#]*'), '/*$', '/') END AS allowed,
-CASE WHEN starts_with(substr(u, 9), 'www.') THEN substr(u, 13) ELSE regexp_replace(substr(u, 9), '/+$', '') END AS key FROM p""")
+CASE WHEN starts_with(lower(substr(u, 9)), 'www.') THEN lower(substr(u, 13)) ELSE lower(regexp_replace(substr(u, 9), '/+$', '')) END AS key FROM p""")
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.regexp_replace("url", "^[a-z]+:", "https:")
     return table(spark, sf_dir, "pages").select("page_id", fx.url_canonical(url).alias("canonical"), fx.url_allowed(url, "thther.example.org", "^/en/").alias("allowed"), fx.url_key(url).alias("key"))
@@ -97,7 +100,7 @@ def budgeted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.budgeted_pages(rows, [F.asc("id")], "week", F.length("text_original"), budget=3000).select("id", "week", "per_page", "page")
 
 
-@query(f"{w('runs')}, z AS (SELECT min(completed_at) AS zero FROM runs WHERE articles_new % 3 = 0) SELECT id, zero AS day_zero, CASE WHEN completed_at >= zero THEN CAST(CAST(completed_at AS DATE) - CAST(zero AS DATE) AS INTEGER) END AS day FROM runs, z")
+@query(f"{w('runs')}, z AS (SELECT min(completed_at) AS zero FROM runs WHERE articles_new % 3 = 0) SELECT id, CASE WHEN completed_at >= zero THEN zero END AS day_zero, CASE WHEN articles_new % 3 = 0 THEN CAST(floor(epoch(completed_at - zero) / 86400) AS BIGINT) END AS day FROM runs, z")
 def day_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.runs(spark, sf_dir).select("id", F.col("completed_at").alias("finished_at"), (F.col("articles_new") % 3 == 0).alias("ok"))
     return runs.day_clock(rows).select("id", "day_zero", "day")
@@ -167,3 +170,22 @@ def declared_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.sources.snapshots import fingerprint
 
     return gates.declared_snapshot(fingerprint(records(spark, sf_dir).select("id", "url")), 1, None)
+
+
+#: Runs by user: every event is a run of its user, a purchase a success.
+_USER_RUNS = """runs AS (SELECT user_id AS source, event_id AS run_id, ts AS "at", event_type = 'purchase' AS ok FROM events)"""
+
+
+def _user_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "purchase").alias("ok"))
+
+
+@query(f"""WITH {_USER_RUNS}, z AS (SELECT *, min("at") FILTER (ok) OVER (PARTITION BY source ORDER BY "at" RANGE UNBOUNDED PRECEDING) AS zero FROM runs),
+s AS (SELECT source, "at" + INTERVAL 5 DAY AS due, zero, lead("at") OVER (PARTITION BY source ORDER BY "at") AS next FROM z WHERE ok)
+SELECT CAST(source AS VARCHAR) AS source, 'run' AS kind, run_id, "at", ok, zero AS day_zero, CASE WHEN ok THEN CAST(floor(epoch("at" - zero) / 86400) AS BIGINT) END AS day FROM z
+UNION ALL SELECT CAST(source AS VARCHAR), 'overdue', NULL, due, false, zero, CAST(floor(epoch(due - zero) / 86400) AS BIGINT) FROM s WHERE (next IS NULL OR next > due) AND due <= TIMESTAMP '2024-01-29'""")
+def source_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day numbers of runs and silences of more than five days, by source."""
+    rows = _user_runs(spark, sf_dir)
+    found = clock.day_rows(rows).unionByName(clock.overdue_rows(rows, 5, datetime(2024, 1, 29)))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("at", "day_zero")})

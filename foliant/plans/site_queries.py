@@ -197,12 +197,16 @@ def archive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.grouped_counts(t.articles(spark, sf_dir), F.col("is_significant"))
 
 
-_TRAILS = """trails AS (SELECT CAST(date_trunc('week', published_date) AS DATE) AS date, list(source_slug ORDER BY id) AS names, list('https://www.' || substr(url, 8) || '/' ORDER BY id) AS urls FROM named WHERE is_significant GROUP BY 1)"""
+#: The key of a URL, from its rule: trimmed, in lower case, without scheme, then without www. or else without last slashes.
+_KEY = "CASE WHEN regexp_matches(lower(trim({u})), '^(https?://)?www\\.') THEN regexp_replace(lower(trim({u})), '^(https?://)?www\\.', '') ELSE rtrim(regexp_replace(lower(trim({u})), '^https?://', ''), '/') END"
+_TRAILS = """trails AS (SELECT CAST(date_trunc('week', published_date) AS DATE) AS date, list(source_slug ORDER BY id) AS names, list(CASE WHEN id % 2 = 0 THEN ' HTTPS://' || upper(substr(url, 8)) || '/' ELSE 'https://www.' || substr(url, 8) || '/' END ORDER BY id) AS urls FROM named WHERE is_significant GROUP BY 1)"""
 
 
 def _trails(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _named(spark, sf_dir).filter("is_significant")
-    entry = F.struct("id", F.col("source_slug").alias("source"), F.concat(F.lit("https://www."), F.substr("url", F.lit(8)), F.lit("/")).alias("url"))
+    rest = F.substr("url", F.lit(8))
+    url = F.when(F.col("id") % 2 == 0, F.concat(F.lit(" HTTPS://"), F.upper(rest), F.lit("/"))).otherwise(F.concat(F.lit("https://www."), rest, F.lit("/")))
+    entry = F.struct("id", F.col("source_slug").alias("source"), url.alias("url"))
     return rows.groupBy(fx.monday(F.col("published_date")).alias("date")).agg(F.array_sort(F.collect_list(entry)).alias("source_trail"))
 
 
@@ -211,9 +215,9 @@ def edition_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.edition_sources(_trails(spark, sf_dir))
 
 
-@query(f"{w('articles', 'sources')}, {_NAMED}, {_TRAILS}, u AS (SELECT date, unnest(urls) AS url FROM trails) SELECT date, u.url, id FROM u LEFT JOIN articles a ON regexp_replace(u.url, '^https://www\\.|/$', '', 'g') || '/' = substr(a.url, 8)")
+@query(f"{w('articles', 'sources')}, {_NAMED}, {_TRAILS}, u AS (SELECT date, unnest(urls) AS url FROM trails) SELECT date, u.url, id FROM u LEFT JOIN articles a ON {_KEY.format(u="u.url")} = {_KEY.format(u="a.url")}")
 def edition_trail_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """www. URLs keep their last slash in the key, so that they match no article here."""
+    """www. URLs keep their last slash in the key, so that they match no article; the others do, in any case."""
     return site.trail_matches(_trails(spark, sf_dir), t.articles(spark, sf_dir))
 
 

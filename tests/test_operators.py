@@ -23,7 +23,7 @@ def test_text_functions(spark):
     assert check(fx.date_stamp, [("2026-13-45 x", "2026-13-45"), ("x 2026-01-01", ""), (None, "")])
     assert [one(spark, x, fx.calendar_date) is None for x in ("2026-13-45", "2026-02-28", "")] == [True, False, True]
     assert check(fx.url_host, [("HTTPS://WWW.Example.org:80/a", "www.example.org"), ("no url", ""), (None, "")])
-    assert check(fx.url_key, [("http://www.a.b/c/", "a.b/c/"), ("https://a.b/c//", "a.b/c")])
+    assert check(fx.url_key, [("http://www.a.b/c/", "a.b/c/"), ("https://a.b/c//", "a.b/c"), (" HTTPS://Example.org/A \n", "example.org/a"), ("Http://WWW.a.b/", "a.b/"), (None, "")])
     assert check(fx.url_canonical, [("https://a.b/c?x=1#y", "https://a.b/c/"), ("http://a.b/c", None)])
     assert str(one(spark, "2026-08-16", lambda x: fx.saturday_ending(x.cast("date")))) == "2026-08-15"  # a Sunday
     assert str(one(spark, "2026-08-15", lambda x: fx.saturday_ending(x.cast("date")))) == "2026-08-15"
