@@ -122,3 +122,18 @@ def day_clock(runs: DataFrame, ok: str = "ok", at: str = "finished_at") -> DataF
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     day = F.when(F.coalesce(ok, F.lit(False)), F.floor((micros(at) - micros("_zero")) / 86_400_000_000))
     return rows.withColumns({"day_zero": F.when(F.col(at) >= F.col("_zero"), F.col("_zero")), "day": day}).drop("_zero")
+
+
+def run_rows(entries: DataFrame) -> DataFrame:
+    """The runs of a ledger (versions.LEDGER): started_at, completed_at, counts, errors as a JSON list, status.
+
+    A run that wasn't closed is 'running', with null counts, errors and end; one
+    that was closed without being opened has no start. Of repeated entries the
+    earliest of each event counts. Null ids are one run like others.
+    """
+    closing = F.when(F.col("event") == "closed", F.col("at"))
+    last = ["articles_scraped", "articles_new", "articles_analyzed", "errors", "status"]
+    body = F.struct(*[F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c) if c == "errors" else F.col(c) for c in last])
+    found = entries.groupBy("run_id").agg(F.min(F.when(F.col("event") == "opened", F.col("at"))).alias("started_at"), F.min(closing).alias("completed_at"), F.min_by(body, closing).alias("c"))
+    counts = [F.col(f"c.{c}").alias(c) for c in last[:3]]
+    return found.select("run_id", "started_at", "completed_at", *counts, F.to_json("c.errors").alias("errors"), F.when(F.col("completed_at").isNull(), "running").otherwise(F.col("c.status")).alias("status"))
