@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.sources.snapshots import checkpointed
+from foliant.operators.lineage import numbered
 
 #: Columns of a decided analysis that a backfill copies (fixed values); prompt_version stays behind unless asked for.
 ANALYSIS = [
@@ -17,20 +17,10 @@ ANALYSIS = [
 
 
 def renumbered(rows: DataFrame, start: DataFrame, key: str = "id") -> DataFrame:
-    """rows with new_id: numbers above the greatest key of start, in key order.
-
-    Ranges of keys are numbered apart and shifted by the sizes of those
-    before, so that no task sorts all rows.
-    """
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # A checkpoint fixes the ranges: both uses below must see the same partitions.
-    placed = checkpointed(rows.repartitionByRange(parts, key).withColumn("_p", F.spark_partition_id()))
-    placed = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))  # one row a partition
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
-    top = start.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    out = placed.join(F.broadcast(before.select("_p", F.coalesce("_before", F.lit(0)).alias("_before"))), "_p").join(F.broadcast(top))
-    return out.withColumn("new_id", F.col("_top") + F.col("_before") + F.col("_r")).drop("_p", "_r", "_before", "_top")
+    """rows with new_id: numbers above the greatest key of start, in key order."""
+    top = start.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))  # one row
+    out = numbered(rows, order=key, into="new_id").join(F.broadcast(top))
+    return out.withColumn("new_id", F.col("_top") + F.col("new_id")).drop("_top")
 
 
 def local_only(local: DataFrame, origin: DataFrame, url: str = "url") -> DataFrame:
@@ -115,14 +105,6 @@ def attribution_conflicts(origin: DataFrame, local: DataFrame, url: str = "url",
     return pair.filter(~F.col("origin_source").eqNullSafe(F.col("local_source")))
 
 
-def nth_match(left: DataFrame, right: DataFrame, payload: list[str], order: str) -> DataFrame:
-    """(left id, right id) of equal payloads, the first with the first, and so on; nulls equal nulls."""
-    number = F.row_number().over(Window.partitionBy(*payload).orderBy(order))
-    a = left.withColumn("_n", number).select(F.struct(*payload).alias("_p"), "_n", F.col(order).alias("left_id"))
-    b = right.withColumn("_n", number).select(F.struct(*payload).alias("_p"), "_n", F.col(order).alias("right_id"))
-    return a.join(b, a["_p"].eqNullSafe(b["_p"]) & (a["_n"] == b["_n"])).select("left_id", "right_id")
-
-
 def accounting(before: DataFrame, after: DataFrame, key: list[str], payload: list[str]) -> DataFrame:
     """(missing, extra, altered) counts of after against before by key."""
     a = before.select(*key, F.xxhash64(*payload).alias("_a"), F.lit(1).alias("_l"))
@@ -135,54 +117,87 @@ def accounting(before: DataFrame, after: DataFrame, key: list[str], payload: lis
     )
 
 
-def _one(name: str, df: DataFrame) -> DataFrame:
-    return df.agg(F.lit(name).alias("name"), F.count("*").alias("violations"))
+def _counted(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(name, violations): the sums of the rules' figures over rows, in one pass."""
+    cells = [F.struct(F.lit(k).alias("name"), F.coalesce(F.sum(v.cast("long")), F.lit(0)).alias("violations")) for k, v in rules.items()]
+    return rows.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
+def _sides(sides: dict[str, DataFrame], keys: list[str], values: list[Column]) -> DataFrame:
+    """All sides' keys and values below one another, with the side's name: one shuffle by key serves every comparison."""
+    return reduce(DataFrame.unionByName, [df.select(*keys, F.lit(name).alias("side"), *values) for name, df in sides.items()])
+
+
+def _differ(a: str, b: str) -> Column:
+    """Whether the values v of two sides are not one and the same, nulls equal (an absent side has no row to differ)."""
+    return ~(F.col(f"least_{a}").eqNullSafe(F.col(f"least_{b}")) & F.col(f"most_{a}").eqNullSafe(F.col(f"most_{b}")))
 
 
 def gates(base: DataFrame, origin: DataFrame, local: DataFrame, merged: DataFrame, url: str = "url", source: str = "source_slug") -> DataFrame:
-    """(name, violations) of the merged articles; all must be 0 before they are published. Ids may not move against base."""
-    keys = merged.select(url)
-    moved = base.select(url, F.col("id").alias("a")).join(merged.select(url, F.col("id").alias("b")), url).filter("a <> b")
-    lost = lambda df: df.filter("passed_relevance is not null").select(url).join(merged.filter("passed_relevance is null").select(url), url)
-    own = local.join(origin.select(url), url, "left_anti")
-    return reduce(
-        DataFrame.union,
-        [
-            _one("duplicate_url", merged.groupBy(url).count().filter("count > 1")),
-            _one("duplicate_id", merged.groupBy("id").count().filter("count > 1")),
-            _one("id_drift", moved),
-            _one("origin_url_lost", origin.join(keys, url, "left_anti")),
-            _one("local_url_lost", local.join(keys, url, "left_anti")),
-            _one("origin_decision_lost", lost(origin)),
-            _one("local_decision_lost", lost(local)),
-            _one("source_conflict", attribution_conflicts(origin, local, url, source)),
-            _one("origin_source_changed", attribution_conflicts(origin, merged, url, source)),
-            _one("local_source_changed", attribution_conflicts(own, merged, url, source)),
-        ],
-    )
+    """(name, violations) of the merged articles; all must be 0 before they are published. Ids may not move against base.
+
+    Violations count URLs (duplicate_id: ids). The four snapshots are grouped
+    by URL once, with what each has there; a null source is a source of its own.
+    """
+    names = ["base", "origin", "local", "merged"]
+    no_source = lambda df: df if source in df.columns else df.withColumn(source, F.lit(None).cast("string"))
+    sides = {k: no_source(df) for k, df in zip(names, (base, origin, local, merged))}
+    every = _sides(sides, [url], [F.col("id"), F.col("passed_relevance").isNotNull().alias("decided"), F.struct(F.col(source).cast("string").alias("s")).alias("v")])
+    at = lambda side, x: F.when(F.col("side") == side, x)
+    figures = [f for k in names for f in (F.count(at(k, F.lit(1))).alias(f"n_{k}"), F.min(at(k, F.col("v"))).alias(f"least_{k}"), F.max(at(k, F.col("v"))).alias(f"most_{k}"))]
+    figures += [f for k in ("base", "merged") for f in (F.min(at(k, F.col("id"))).alias(f"least_id_{k}"), F.max(at(k, F.col("id"))).alias(f"most_id_{k}"))]
+    figures += [F.count_if((F.col("side") == k) & F.col("decided")).alias(f"decided_{k}") for k in names]
+    by_url = every.groupBy(url).agg(*figures)
+    has = {k: F.col(f"n_{k}") > 0 for k in names}
+    undecided = F.col("decided_merged") < F.col("n_merged")
+    rules = {
+        "duplicate_url": F.col("n_merged") > 1,
+        "id_drift": has["base"] & has["merged"] & ((F.col("least_id_base") != F.col("least_id_merged")) | (F.col("most_id_base") != F.col("most_id_merged"))),
+        "origin_url_lost": has["origin"] & ~has["merged"],
+        "local_url_lost": has["local"] & ~has["merged"],
+        "origin_decision_lost": has["merged"] & (F.col("decided_origin") > 0) & undecided,
+        "local_decision_lost": has["merged"] & (F.col("decided_local") > 0) & undecided,
+        "source_conflict": has["origin"] & has["local"] & _differ("origin", "local"),
+        "origin_source_changed": has["origin"] & has["merged"] & _differ("origin", "merged"),
+        "local_source_changed": has["local"] & ~has["origin"] & has["merged"] & _differ("local", "merged"),
+    }
+    repeated = merged.groupBy("id").agg(F.count("*").alias("n"))
+    return _counted(by_url, rules).union(_counted(repeated, {"duplicate_id": F.col("n") > 1}))
 
 
 def result_gates(origin: DataFrame, placed: DataFrame, merged: DataFrame, runs: DataFrame, payload: list[str], keys: tuple[str, str] = ("scrape_run_id", "source_slug")) -> DataFrame:
-    """(name, violations) of the merged per-source results against both inputs and the merged runs."""
+    """(name, violations) of the merged per-source results against both inputs and the merged runs; rows, by one grouping of all three."""
     on = list(keys)
-    packed = lambda df, name: df.select(*on, F.struct(*payload).alias(name))
-    proven = placed.filter("mapped is not null").withColumn("scrape_run_id", F.col("mapped"))
-    both = packed(origin, "a").join(packed(merged, "b"), on)
-    theirs = packed(proven, "a").join(origin.select(*on), on, "left_anti").join(packed(merged, "b"), on)
-    known = origin.select(*on).union(proven.select(*on)).distinct()
-    return reduce(
-        DataFrame.union,
-        [
-            _one("origin_result_lost", origin.join(merged.select(*on), on, "left_anti")),
-            _one("origin_result_altered", both.filter(~F.col("a").eqNullSafe(F.col("b")))),
-            _one("local_result_unproven", placed.filter("mapped is null")),
-            _one("local_result_lost", proven.join(merged.select(*on), on, "left_anti")),
-            _one("local_result_altered", theirs.filter(~F.col("a").eqNullSafe(F.col("b")))),
-            _one("result_of_neither", merged.join(known, on, "left_anti")),
-            _one("duplicate_result", merged.groupBy(*on).count().filter("count > 1")),
-            _one("result_without_run", merged.join(runs.select(F.col("id").alias("scrape_run_id")), "scrape_run_id", "left_anti")),
-        ],
-    )
+    moved = placed.filter("mapped is not null").withColumn("scrape_run_id", F.col("mapped"))
+    every = _sides({"origin": origin, "local": moved, "merged": merged}, on, [F.struct(*payload).alias("v")])
+    at = lambda side, x: F.when(F.col("side") == side, x)
+    names = ["origin", "local", "merged"]
+    by_key = every.groupBy(*on).agg(*[f for k in names for f in (F.count(at(k, F.lit(1))).alias(f"n_{k}"), F.min(at(k, F.col("v"))).alias(f"least_{k}"), F.max(at(k, F.col("v"))).alias(f"most_{k}"))])
+    known = runs.select(F.col("id").alias(on[0])).distinct().withColumn("_run", F.lit(True))
+    by_key = by_key.join(known, on[0], "left")
+    n = {k: F.col(f"n_{k}") for k in names}
+    there = n["merged"] > 0
+    rules = {
+        "origin_result_lost": F.when(~there, n["origin"]),
+        "origin_result_altered": (n["origin"] > 0) & there & _differ("origin", "merged"),
+        "local_result_lost": F.when(~there, n["local"]),
+        "local_result_altered": (n["local"] > 0) & (n["origin"] == 0) & there & _differ("local", "merged"),
+        "result_of_neither": F.when((n["origin"] == 0) & (n["local"] == 0), n["merged"]),
+        "duplicate_result": n["merged"] > 1,
+        "result_without_run": F.when(F.col("_run").isNull(), n["merged"]),
+    }
+    return _counted(by_key, rules).union(_counted(placed, {"local_result_unproven": F.col("mapped").isNull()}))
+
+
+def schema_gates(merged: dict[str, DataFrame], required: list[str], migrations: DataFrame, ledger: list[str], accepted: list[str], inputs: list[DataFrame]) -> DataFrame:
+    """(name, violations) of the merge as a whole: missing tables, migrations that its ledger (version) lacks, statuses of the inputs' runs that it doesn't accept."""
+    spark = migrations.sparkSession
+    wanted = spark.createDataFrame([(x,) for x in ledger], "version string")
+    lacking = wanted.join(migrations.select(F.col("version").cast("string")), "version", "left_anti").agg(F.lit("migration_missing").alias("name"), F.count("*").alias("violations"))
+    statuses = reduce(DataFrame.union, [df.select("status").distinct() for df in inputs]).distinct()
+    refused = statuses.agg(F.lit("status_not_accepted").alias("name"), F.count_if(F.col("status").isNotNull() & ~F.col("status").isin(accepted)).alias("violations"))
+    absent = spark.createDataFrame([("table_missing", sum(t not in merged for t in required))], "name string, violations long")
+    return absent.union(lacking).union(refused)
 
 
 def preflight(snapshots: dict[str, dict[str, DataFrame]], required: dict[str, list[str]], references: list[tuple[str, str, str]]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as fx
-from foliant.operators import filters, gates, reconcile, runs, views
+from foliant.operators import filters, gates, lineage, reconcile, runs, views
 from foliant.plans import store as t
 from foliant.plans.corpus import EDITIONS, RECORDS, editions, records
 from foliant.plans.registry import query
@@ -120,7 +120,40 @@ b AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_orderpriority AS p, row_num
 SELECT a.id AS left_id, b.id AS right_id FROM a JOIN b USING (s, p, n)""")
 def payload_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_orderpriority")
-    return reconcile.nth_match(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"), ["o_orderstatus", "o_orderpriority"], "id")
+    return lineage.nth_match(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"), ["o_orderstatus", "o_orderpriority"], "id")
+
+
+#: orders as runs of three snapshots; the merge keeps origin's ids and numbers local's own runs above them.
+_RUN_SIDES = """o AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_orderpriority AS p FROM orders), own AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM o WHERE id % 3 = 2),
+moved AS (SELECT id, s, p, k + (SELECT max(id) FROM o WHERE id % 3 <> 2) AS new_id FROM own)"""
+
+
+def _run_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
+    base, origin, local = rows.filter("id % 3 = 0"), rows.filter("id % 3 <> 2"), rows.filter("id % 3 <> 1")
+    new = reconcile.renumbered(rows.filter("id % 3 = 2"), origin).select(F.col("new_id").alias("id"), "s", "p")
+    return base, origin, local, origin.unionByName(new)
+
+
+@query(f"""WITH {_RUN_SIDES} SELECT id AS local_id, id AS merged_id, 'inherited' AS how FROM o WHERE id % 3 = 0 UNION ALL SELECT id, new_id, 'matched' FROM moved""")
+def run_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local runs in a merge, recovered from payloads that a fifteenth of all runs share."""
+    return lineage.recovered(*_run_sides(spark, sf_dir), ["s", "p"])
+
+
+@query(f"""WITH {_RUN_SIDES}, m AS (SELECT id, CASE WHEN id % 50 = 1 THEN 'X' ELSE s END AS s, p FROM o WHERE id % 3 <> 2 AND id % 40 <> 4 UNION ALL SELECT new_id, CASE WHEN new_id % 50 = 1 THEN 'X' ELSE s END, p FROM moved WHERE new_id % 40 <> 4 UNION ALL SELECT 1000000000 + id, s, p FROM o WHERE id % 900 = 0),
+a AS (SELECT s, p, count(*) AS n FROM own GROUP BY 1, 2), b AS (SELECT s, p, count(*) AS n FROM m WHERE id NOT IN (SELECT id FROM o WHERE id % 3 <> 2) GROUP BY 1, 2),
+lost AS (SELECT s, p, count(*) AS n FROM o WHERE id % 3 = 0 AND id % 40 = 4 GROUP BY 1, 2),
+need AS (SELECT s, p, sum(n) AS n FROM (FROM a UNION ALL FROM lost) GROUP BY 1, 2),
+u AS (SELECT sum(greatest(coalesce(need.n, 0) - coalesce(b.n, 0), 0)) AS unproven, sum(greatest(coalesce(b.n, 0) - coalesce(need.n, 0), 0)) AS unexplained FROM need FULL JOIN b ON need.s = b.s AND need.p = b.p)
+SELECT unnest(['origin_lost', 'origin_altered', 'inherited_altered', 'merged_unexplained', 'repeated_id', 'local_unproven']) AS name,
+  unnest([(SELECT count(*) FROM o WHERE id % 3 <> 2 AND id % 40 = 4), (SELECT count(*) FROM o WHERE id % 3 <> 2 AND id % 40 <> 4 AND id % 50 = 1), 0, CAST(unexplained AS BIGINT), 0, CAST(unproven AS BIGINT)]) AS violations FROM u""")
+def lineage_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proof on a merge that was tampered with: runs lost, altered and invented must show."""
+    base, origin, local, merged = _run_sides(spark, sf_dir)
+    bad = merged.filter("id % 40 <> 4").withColumn("s", F.when(F.col("id") % 50 == 1, "X").otherwise(F.col("s")))
+    more = table(spark, sf_dir, "orders").filter("o_orderkey % 900 = 0").select((F.col("o_orderkey") + 1_000_000_000).alias("id"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
+    return lineage.explained(base, origin, local, bad.unionByName(more), ["s", "p"])
 
 
 @query(f"""{w('articles')}, e AS (SELECT CAST(date_trunc('week', published_date) AS DATE) AS week, count(*) AS n, count(*) FILTER (is_significant) AS s FROM articles GROUP BY 1), r AS (SELECT week, n, s, n % 9 = 0 AS short, n % 10 = 0 AS late, n % 7 = 0 AS out FROM e)

@@ -66,17 +66,20 @@ def publish(tables: dict[str, DataFrame], root: str, gates: DataFrame | None = N
     return folder
 
 
+def fingerprint_words(df: DataFrame) -> DataFrame:
+    """df with h0..h3: the first four words of 48 bits of each row's SHA-256, of its values by column name, U+001F between them and U+0000 for null."""
+    row = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in sorted(df.columns)]), 256)
+    return df.withColumns({f"h{k}": F.conv(F.substring(row, 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)") for k in range(4)})
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row (n, h0, h1, h2, h3) that depends on the rows of df alone, all columns of them, not on their order or partitions.
 
-    A row's digest is the SHA-256 of its values by column name, U+001F between
-    them and U+0000 for null. Its first four words of 48 bits are summed,
-    modulo 2^48 each, which combines before the shuffle: 192 bits in all.
+    The words of the rows are summed, modulo 2^48 each, which combines before
+    the shuffle: 192 bits in all.
     """
-    row = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in sorted(df.columns)]), 256)
-    word = lambda k: F.conv(F.substring(row, 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)")
-    sums = [F.coalesce((F.sum(word(k)) % F.lit(1 << 48)).cast("long"), F.lit(0)).alias(f"h{k}") for k in range(4)]
-    return df.agg(F.count("*").alias("n"), *sums)
+    sums = [F.coalesce((F.sum(f"h{k}") % F.lit(1 << 48)).cast("long"), F.lit(0)).alias(f"h{k}") for k in range(4)]
+    return fingerprint_words(df).agg(F.count("*").alias("n"), *sums)
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

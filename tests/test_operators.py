@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import text as fx
-from foliant.operators import dedup, extraction, filters, gates, queue, reconcile, runs, store, views
+from foliant.operators import dedup, extraction, filters, gates, queue, lineage, reconcile, runs, store, views
 from foliant.sources import snapshots
 
 
@@ -125,7 +125,7 @@ def test_reconcile_and_tampering(spark):
     with pytest.raises(ValueError, match="relevance_score"):
         reconcile.reconcile_articles(origin, local)
     assert tuple(reconcile.accounting(origin, merged, ["url"], ["passed_relevance"]).first()) == (0, 2, 1)
-    pairs = reconcile.nth_match(origin.select("id", "source"), local.select("id", "source"), ["source"], "id").collect()
+    pairs = lineage.nth_match(origin.select("id", "source"), local.select("id", "source"), ["source"], "id").collect()
     assert {(r.left_id, r.right_id) for r in pairs} == {(1, 1), (2, 3), (9, 5)}
 
 
