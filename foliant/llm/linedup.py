@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.components import connected_components, joined_further
 from foliant.llm.groups import TREE, block_links, group_trees, in_units, open_members, star_pairs, tree_rows
-from foliant.llm.shared import PREFILTER_BITS, bitmap, materialize, possible_ids, release
+from foliant.llm.shared import PREFILTER_BITS, bitmap, free, materialize, possible_ids, release
 from foliant.llm.textops import U64, _splitmix, chunks, mix, span_hashes
 
 #: One changed character inside a line kills six shingles: lines of 47 characters or more stay linked.
@@ -34,6 +34,8 @@ LEAST = 0.75
 TOKEN_BITS = 44
 #: Bytes of text that are signed at a time: arrays of eight bytes for each stay in a core's cache.
 CHUNK = 1 << 17
+#: Lines that are signed at a time; their numbers must fit beside TOKEN_BITS in 64 bits.
+LINES = 1 << 15
 #: Memberships that are put into trees at a time, and pairs, and shingles of pairs, that are compared at a time.
 MEMBERS, PAIRS, _AT_ONCE = 1 << 19, 1 << 12, 1 << 20
 
@@ -147,6 +149,16 @@ def _bands(line: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
     return mix(keys + np.arange(1, BANDS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
 
 
+def _keys(marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bands of any number of lines, in runs of LINES: a set's row packs its line's number above TOKEN_BITS bits."""
+    parts = [np.zeros((0, BANDS), U64)]
+    for k in range(0, len(starts), LINES):
+        a, b = starts[k : k + LINES], ends[k : k + LINES]
+        low = a[0]
+        parts.append(_bands(*_sets(marks[low : b[-1]], a - low, b - low), len(a)))
+    return np.concatenate(parts)
+
+
 def _names(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each line the hash that names its class, and what equal lines agree in besides: their length and the sum of their folded code points."""
     upper = (codes >= 65) & (codes <= 90)
@@ -187,8 +199,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = seen.first(node)
             node, starts, ends = node[first], starts[first], ends[first]
             if len(node):
-                keys = _bands(*_sets(marks, starts, ends), len(node))
-                bands.append(keys.ravel().view(np.int64))
+                bands.append(_keys(marks, starts, ends).ravel().view(np.int64))
                 nodes.append(np.repeat(node.view(np.int64), BANDS))
                 if sum(map(len, nodes)) >= MEMBERS:
                     yield tree_rows(np.concatenate(bands), np.concatenate(nodes))
@@ -301,11 +312,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     gone = line_decisions(plain).withColumnRenamed("id", "_id")
     # Documents that surely keep all lines don't move; the others meet their decisions.
-    rows = docs.withColumn("_id", F.col(key).cast("long"))
-    touched = possible_ids(rows, "_id", gone.select("_id"), mark="_touched")
+    own, mark = free(docs, "_id", "_touched")
+    gone = gone.withColumnRenamed("_id", own)
+    rows = docs.withColumn(own, F.col(key).cast("long"))
+    touched = possible_ids(rows, own, gone.select(own), mark=mark)
     none = F.array().cast("array<int>")
-    still = touched.filter(~F.col("_touched")).withColumn("removed", none)
-    moved = touched.filter("_touched").join(gone, "_id", "left").withColumn("removed", F.coalesce("removed", none))
+    still = touched.filter(~F.col(mark)).withColumn("removed", none)
+    moved = touched.filter(F.col(mark)).join(gone, own, "left").withColumn("removed", F.coalesce("removed", none))
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
     moved = moved.withColumn(text, F.when(F.size("removed") > 0, left).otherwise(F.col(text)))
     columns = [*docs.columns, "removed"]

@@ -45,6 +45,16 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of df."""
+    out = []
+    for name in names:
+        while name in df.columns:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def possible_ids(df: DataFrame, key: str, ids: DataFrame, mark: str | None = None) -> DataFrame:
     """The rows of df whose key may be among ids (all that are, and some that aren't); with mark, all rows and that column.
 
@@ -53,19 +63,20 @@ def possible_ids(df: DataFrame, key: str, ids: DataFrame, mark: str | None = Non
     many ids more rows pass, and the exact join that follows drops them. It
     saves the shuffle of long texts which that join doesn't need.
     """
+    bucket, part = free(df, "_bucket", "_bits")
     slot = F.pmod(F.xxhash64(key), F.lit(PREFILTER_BITS))
     bits = (
         ids.select(slot.alias("slot"))
-        .groupBy((F.col("slot") / _BUCKET).cast("int").alias("_bucket"))
-        .agg(F.bitmap_construct_agg((F.col("slot") % _BUCKET).cast("int")).alias("_bits"))
+        .groupBy((F.col("slot") / _BUCKET).cast("int").alias(bucket))
+        .agg(F.bitmap_construct_agg((F.col("slot") % _BUCKET).cast("int")).alias(part))
     )
     at = (slot % _BUCKET).cast("int")
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    kept = df.withColumn("_bucket", (slot / _BUCKET).cast("int")).join(F.broadcast(bits), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring(part, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    kept = df.withColumn(bucket, (slot / _BUCKET).cast("int")).join(F.broadcast(bits), bucket, "left")
     test = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
     if mark:
-        return kept.withColumn(mark, test).drop("_bucket", "_bits")
-    return kept.filter(test).drop("_bucket", "_bits")
+        return kept.withColumn(mark, test).drop(bucket, part)
+    return kept.filter(test).drop(bucket, part)
 
 
 def bitmap(hashes: DataFrame, key: str) -> bytes:

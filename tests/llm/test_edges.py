@@ -106,3 +106,22 @@ def test_pages(spark):
     got = html.extract(df, ["page_id"]).collect()
     assert [r.text for r in got if r.page_id == 1] == [f"Head\n{LONG}\ntail of the page"] * 2
     assert [(r.text, r.n_chars) for r in got if r.page_id != 1] == [("", 0)] * 2
+
+
+def test_columns_named_like_work_columns(spark):
+    """Whatever the other columns are called, they come back as they were."""
+    from pyspark.sql import functions as F
+
+    from foliant.llm import linedup, shared
+
+    line = "one line of text that stands in two of the documents here"
+    df = spark.createDataFrame([(1, line), (2, f"{line}\nand more"), (3, None)], "doc_id long, text string")
+    odd = ["_id", "_touched", "_bucket", "_bits", "__id", "id", "line", "node", "_text", "_n", "_n_words", "_words", "_lines", "_wins", "_order", "_same", "_places", "_row", "_t"]
+    df = df.select("*", *[F.lit(f"old {c}").alias(c) for c in odd])
+    got = {r.doc_id: r for r in linedup.dedup_lines(df).collect()}
+    assert [got[k].removed for k in (1, 2, 3)] == [[], [0], []] and got[2].text == "and more"
+    assert all(r[c] == f"old {c}" for r in got.values() for c in odd)
+    ids = spark.createDataFrame([(2,)], "doc_id long")
+    assert {r.doc_id for r in shared.possible_ids(df, "doc_id", ids).collect()} >= {2}
+    rows = quality.quality_rules(df).collect()
+    assert all(r[c] == f"old {c}" for r in rows for c in odd) and sorted(r.n_words for r in rows) == [0, 12, 14]

@@ -190,3 +190,18 @@ def test_leaks_against_all_pairs(spark):
     assert {(r.id, r.item) for r in got.collect()} == want and len(want) > 20
 
 
+
+
+def test_lines_of_a_text_beyond_a_million():
+    """Bands don't depend on how many lines stand before a line."""
+    lines = [f"{k:07d}{'x' * (k % 9)}" for k in range(1_100_000)]
+    codes, heads = linedup._code_points(np.frombuffer("\n".join(lines).encode(), np.uint8), np.array([0, sum(map(len, lines)) + len(lines) - 1]))
+    _, number, starts, ends = linedup._lines(codes, heads)
+    assert len(number) == len(lines) and number[-1] == len(lines) - 1
+    keys = linedup._keys(linedup._folded(codes), starts, ends)
+    assert len(keys) == len(lines)
+    for k in (0, linedup.LINES - 1, linedup.LINES, (1 << 20) - 1, 1 << 20, len(lines) - 1):
+        alone, at = linedup._code_points(np.frombuffer(lines[k].encode(), np.uint8), np.array([0, len(lines[k])]))
+        assert (linedup._keys(linedup._folded(alone), at[:-1], at[1:])[0] == keys[k]).all()
+    beyond = keys[1 << 20 :, 0]
+    assert len(np.unique(beyond)) > len(beyond) // 2  # they share no band for being far down
