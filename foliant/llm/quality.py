@@ -98,7 +98,10 @@ def quality_rules(
     and equal windows or lines count alike whatever their order; an empty table gives
     an empty one.
     """
-    row = with_measures(docs, text)
+    # The caller's columns travel as one struct, so that none of them meets a work column.
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_chars", "symbols_per_word", "stop_word_share", "dup_line_share", "upper_share", "base_failed", "kept"]
+    own = [c for c in docs.columns if c not in names]
+    row = with_measures(docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own)]).alias("own"), F.col(text).alias("text")), "text")
     n = F.col("_n_words")
     counts = {c: F.col(f"_{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
     per = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole))
@@ -112,4 +115,4 @@ def quality_rules(
     base = (n < 10) | (100 * F.col("_n_repeat_words") > 20 * n)
     verdict = compile_rules(thresholds or THRESHOLDS, counts | ratios)
     new = counts | ratios | {"base_failed": base, "kept": ~base & verdict}
-    return row.select(*[c for c in docs.columns if c not in new], *[x.alias(c) for c, x in new.items()])
+    return row.select(*[F.col(f"own.c{k}").alias(c) for k, c in enumerate(own)], *[x.alias(c) for c, x in new.items()])
