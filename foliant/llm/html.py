@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm import layouts
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Elements whose content is no text of the page (fixed values).
 _SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "title", "math", "audio", "video"}
@@ -37,8 +37,14 @@ _STRONG_NAMES = set(
 _ADVERT_NAMES = {x for x in _STRONG_NAMES if x.startswith(("ad", "sponsor"))}
 #: Names that often mark such parts, and often main text too (fixed values).
 _WEAK_NAMES = set("notice notices notification alert promo promotion share sharing social related recommended recommendations subscribe subscription widget toolbar legal disclaimer search form".split())
-#: Beginnings of names that tell what a page has, not what an element is (fixed values).
+#: Beginnings and ends of names that tell what a page has or how it stands, not what an element is (fixed values).
 _STATES = ("has-", "has_", "no-", "no_", "with-", "with_", "is-", "is_", "not-")
+_STATE_ENDS = tuple(
+    f"{sign}{end}" for sign in "-_" for end in "free less closed close open opened enabled disabled active inactive visible hidden ready loaded fixed on off collapsed expanded shown yes no true false".split()
+)
+#: How a notice of rights begins or ends (fixed values), in a block of NOTICE_WORDS words or fewer outside an article.
+_NOTICE = re.compile(r"^(?:©|\(c\)\s|copyright\s+(?:©|\(c\)|\d{4}))|\ball rights reserved\.?$", re.I)
+NOTICE_WORDS = 40
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 #: Pages of each layout in the table that the tree is trained on.
@@ -109,7 +115,7 @@ def _names(attributes: str) -> tuple[set[str], bool]:
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
             for token in value.split():
-                if not token.startswith(_STATES):
+                if not token.startswith(_STATES) and not token.endswith(_STATE_ENDS):
                     parts.update(_SPLIT.split(token))
         hidden |= name == "hidden" or (name == "style" and "display:none" in value.replace(" ", ""))
     return parts, hidden
@@ -124,6 +130,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int, int, bool]]:
     """
     out: list[tuple[str, int, int, bool, int, int, bool]] = []
     plain = (False, 0, 0, False)
+    in_forms: list[bool] = []  # of each block, whether a form is around it
     stack: list[tuple[str, tuple[bool, int, int, bool]]] = []  # open block elements with what is around their content
     pieces: list[str] = []
     linked, in_link = 0, False
@@ -145,7 +152,11 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int, int, bool]]:
         pieces.clear()
         if text:
             words = text.count(" ") + 1
-            out.append((text, words, min(linked, words), *(stack[-1][1] if stack else plain)))
+            tag, strength, outside, article = stack[-1][1] if stack else plain
+            if not article and words <= NOTICE_WORDS and _NOTICE.search(text):
+                strength = 2
+            out.append((text, words, min(linked, words), tag, strength, outside, article))
+            in_forms.append(any(name == "form" for name, _ in stack))
         linked = 0
 
     def text(part: str) -> None:
@@ -206,10 +217,14 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int, int, bool]]:
         if not top and (name in ("article", "main") or names & {"main", "articlebody", "article"}):
             article, outside, strength = True, max(outside, strength), 0
         if not top and name != "main":
-            strength = max(strength, 2 if names & _STRONG_NAMES else 1 if names & _WEAK_NAMES or name == "form" else 0)
+            strength = max(strength, 2 if names & _STRONG_NAMES else 1 if names & _WEAK_NAMES else 0)
         header = not article and (name == "header" or ("header" in names and not top))
         stack.append((name, (tag or name in _BOILER_TAGS or hidden or header, strength, outside, article)))
     flush()
+    # A form counts as a weak name, but not one around most of the page's words.
+    inside = sum(b[1] for b, form in zip(out, in_forms) if form)
+    if 2 * inside <= sum(b[1] for b in out):
+        out = [(*b[:4], max(b[4], 1), *b[5:]) if form else b for b, form in zip(out, in_forms)]
     return out
 
 

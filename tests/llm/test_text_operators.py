@@ -211,3 +211,19 @@ def test_toxicity_chain(spark):
     assert {r.id: r.toxic for r in toxicity.score(fresh, chain, ["id"]).collect()} == {1: False, 2: True, 3: False, 4: False}
     none = toxicity.train(d, spark.createDataFrame([], "id long, quality int, toxic int"))
     assert {r.p_toxic for r in toxicity.score(fresh, none, ["id"]).collect()} == {0.0}
+
+
+def test_pages_that_the_layouts_did_not_make():
+    """Quotes without a value, names of states, a form around the page, notices of rights without a name."""
+    tree = html.train()
+    kept = lambda page: html.main_text(page, tree).split("\n")
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    assert kept(f'<article><p title=5">{a}</p><p>{b}</p><p title=6">{c}</p></article>') == [a, b, c]
+    assert kept(f"<article><p alt=it's>{a}</p><p>{b}</p><p alt=it's>{c}</p></article>") == [a, b, c]
+    assert kept(f"<article><p data-x='a>b' title=\"x>y\" >{a}</p><p title = 'q>'>{b}</p></article>") == [a, b]
+    for name in ("content ad-free", "site menu-closed", "post related-enabled", "page nav_open sidebar-collapsed", "has-ads with-comments"):
+        assert kept(f'<div class="{name}"><h1>Head of it</h1><p>{a}</p><p>{b}</p></div>') == ["Head of it", a, b], name
+    assert kept(f'<form action="/"><h1>Head of it</h1><div>{a}</div><div>{b}</div><p>{c}</p></form>')[1:] == [a, b, c]
+    for notice in ("© 2024 The Example Company", "Copyright 2023-2024 Example. Terms apply.", "Example Media Group. All rights reserved."):
+        assert kept(f"<article><h1>Head of it</h1><p>{a}</p><p>{b}</p></article><div>{notice}</div>") == ["Head of it", a, b], notice
+    assert kept(f"<article><p>{a}</p><p>Copyright law changed in many ways {b}</p></article>") == [a, f"Copyright law changed in many ways {b}"]
