@@ -188,7 +188,7 @@ def _page_form(p: Page) -> None:
     for _ in range(p.rng.randint(4, 8)):
         p.block(True, 30, 140)
     if p.rng.random() < 0.5:
-        p.block(False, 1, 8)
+        p.block(False, 1, 8, "div", 'class="toolbar"')
     p.block(False, 1, 3, "button")
     p.raw("</form>")
 
@@ -216,11 +216,13 @@ def _bare(p: Page) -> None:
 
 
 def _ending(p: Page) -> None:
-    """An article that ends the page with a short block."""
+    """An article that ends the page with short blocks."""
     p.raw(f"<{p.rng.choice(['article', 'main'])}>")
     p.block(True, 1, 12, "h1")
     for _ in range(p.rng.randint(0, 3)):
         p.block(True, 1, p.rng.choice([12, 140, 2000]))
+    for _ in range(p.rng.randint(0, 2)):
+        p.block(True, 1, 8)
     p.block(True, 1, p.rng.choice([4, 12, 30]), links=p.rng.choice([0.0, 0.0, 0.2]))
 
 
