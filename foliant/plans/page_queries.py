@@ -41,11 +41,14 @@ def _unescaped(x: str) -> str:
     return f"regexp_replace({x}, '&amp;?', '&', 'g')"  # a cut text may end without the semicolon
 
 
+def stripped(x: str) -> str:
+    space = "[\\s\\x{00a0}\\x{3000}\\x1c-\\x1f]+"
+    return f"regexp_replace({x}, '^{space}|{space}$', '', 'g')"
+
+
 def _texts(x: str) -> str:
     """The texts of an element: cut at tags and comments, each stripped, the blank ones left out."""
-    space = "[\\s\\x{00a0}\\x{3000}\\x1c-\\x1f]+"
-    stripped = f"regexp_replace({_unescaped('y')}, '^{space}|{space}$', '', 'g')"
-    return f"list_filter(list_transform(string_split_regex({x}, '(?s)<[^>]*>'), lambda y: {stripped}), lambda y: y <> '')"
+    return f"list_filter(list_transform(string_split_regex({x}, '(?s)<[^>]*>'), lambda y: {stripped(_unescaped('y'))}), lambda y: y <> '')"
 
 
 def _joined(x: str) -> str:
