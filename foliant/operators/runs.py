@@ -137,3 +137,25 @@ def run_rows(entries: DataFrame) -> DataFrame:
     found = entries.groupBy("run_id").agg(F.min(F.when(F.col("event") == "opened", F.col("at"))).alias("started_at"), F.min(closing).alias("completed_at"), F.min_by(body, closing).alias("c"))
     counts = [F.col(f"c.{c}").alias(c) for c in last[:3]]
     return found.select("run_id", "started_at", "completed_at", *counts, F.to_json("c.errors").alias("errors"), F.when(F.col("completed_at").isNull(), "running").otherwise(F.col("c.status")).alias("status"))
+
+
+def collected(captures: DataFrame, extracted: DataFrame, registry: DataFrame) -> DataFrame:
+    """(source, status, references, fetched, extracted, failed, note) of every source in the registry (source, enabled, implemented).
+
+    captures (source, status, url) has a row for each reference, OK if it was
+    fetched, and a LISTING_FAILURE without a url where the listing broke off; extracted
+    (source, url) the documents that came out. The note tells how many
+    captures gave no document where some did. Captures of sources that the
+    registry lacks are no source's; repeated references count once.
+    """
+    one = captures.filter("url is not null").groupBy("source", "url").agg(F.max((F.col("status") == "OK").cast("int")).alias("ok"))
+    listings = captures.filter("url is null and status = 'LISTING_FAILURE'").groupBy("source").agg(F.count("*").alias("broken"))
+    documents = extracted.select("source", "url").distinct().withColumn("out", F.lit(1))
+    found = one.join(documents, ["source", "url"], "left").groupBy("source")
+    counts = found.agg(F.count("*").alias("references"), F.sum("ok").alias("fetched"), F.coalesce(F.sum(F.when(F.col("ok") == 1, F.col("out"))), F.lit(0)).alias("extracted"))
+    rows = registry.join(counts, "source", "left").join(listings, "source", "left").fillna(0, ["references", "fetched", "extracted", "broken"])
+    rows = rows.withColumn("failed", F.col("references") - F.col("fetched"))
+    status = outcome(F.col("enabled"), F.col("implemented"), F.col("broken") == 0, F.col("references"), F.col("fetched"), F.col("extracted"), F.col("failed"))
+    lost = F.col("fetched") - F.col("extracted")
+    note = F.when((status == "OK") & (lost > 0), F.concat(lost.cast("string"), F.lit(" of "), F.col("fetched").cast("string"), F.lit(" items failed extraction")))
+    return rows.select("source", status.alias("status"), "references", "fetched", "extracted", "failed", note.alias("note"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import ladders
+from foliant.functions import text as fx
+from foliant.operators import ladders, runs
 from foliant.plans.registry import query
+from foliant.sources.landing import with_text
 from foliant.sources.snapshots import table
 
 #: By page_id modulo 4: publisher, address, container tags, paragraph tag, title tag of the pages in its markup.
@@ -99,3 +101,28 @@ SELECT ['pla_daily', 'mod_china', 'global_times_mil', 'china_mil_online'][k + 1]
   trim(regexp_replace({_unescaped("label")} || CASE WHEN k = 0 THEN ' 2024-01-09' WHEN k = 1 THEN strftime(day, '%Y-%m-%d 10:30') WHEN k = 3 THEN '2024-01-09 08:00' ELSE '' END, '\\s+', ' ', 'g')) AS label, CASE WHEN dated THEN day END AS day FROM w WHERE wanted""")
 def listed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ladders.listed_links(listing_pages(spark, sf_dir), ladders.listing_rules(spark), F.lit("2024-01-09").cast("date"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 1 THEN 'utf-16le' ELSE 'utf-8' END AS charset, md5(html) AS digest FROM pages")
+def decoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as bytes in the charsets that their headers or their markup declare, decoded again."""
+    key = F.col("page_id") % 3
+    content = F.when(key == 1, F.encode("html", "UTF-16LE")).otherwise(F.encode("html", "UTF-8"))
+    kind = F.when(key == 0, "text/html; charset=UTF-8").when(key == 1, "text/html; charset=utf-16le").otherwise("text/html")
+    rows = with_text(table(spark, sf_dir, "pages").select("page_id", content.alias("content"), kind.alias("kind")), "content", "kind")
+    return rows.select("page_id", "charset", F.md5("text").alias("digest"))
+
+
+@query("""WITH c AS (SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS source, url, page_id % 7 <> 0 AS ok, contains(html, '</html>') AS out FROM pages),
+u AS (SELECT source, url, bool_or(ok) AS ok, bool_or(ok AND out) AS out FROM c GROUP BY 1, 2), n AS (SELECT source, count(*) AS refs, count(*) FILTER (ok) AS fetched, count(*) FILTER (out) AS extracted FROM u GROUP BY 1),
+r AS (SELECT source, refs, fetched, extracted FROM n UNION ALL SELECT unnest(['quiet', 'stub', 'broken', 'off']), 0, 0, 0)
+SELECT source, CASE source WHEN 'off' THEN 'SKIPPED_DISABLED' WHEN 'broken' THEN 'LISTING_FAILURE' WHEN 'stub' THEN 'NOT_IMPLEMENTED' WHEN 'quiet' THEN 'OK_NO_PUBLICATIONS' ELSE CASE WHEN fetched = 0 THEN 'FETCH_FAILURE' WHEN extracted = 0 THEN 'EXTRACTION_FAILURE' ELSE 'OK' END END AS status,
+refs AS "references", fetched, extracted, refs - fetched AS failed, CASE WHEN extracted > 0 AND fetched > extracted THEN (fetched - extracted) || ' of ' || fetched || ' items failed extraction' END AS note FROM r""")
+def collected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as captures of their hosts: every seventh failed, those cut off before the end gave no document."""
+    pages = table(spark, sf_dir, "pages").select(fx.url_host(F.col("url")).alias("source"), "url", (F.col("page_id") % 7 != 0).alias("ok"), F.contains("html", F.lit("</html>")).alias("out"))
+    more = spark.range(1).select(F.explode(F.array(F.lit("quiet"), F.lit("stub"), F.lit("broken"), F.lit("off"))).alias("source"))
+    captures = pages.select("source", F.when(F.col("ok"), "OK").otherwise("FETCH_FAILURE").alias("status"), "url")
+    captures = captures.union(more.filter("source = 'broken'").select("source", F.lit("LISTING_FAILURE"), F.lit(None).cast("string")))
+    registry = pages.select("source").distinct().union(more).select("source", (F.col("source") != "off").alias("enabled"), (F.col("source") != "stub").alias("implemented"))
+    return runs.collected(captures, pages.filter("ok and out").select("source", "url"), registry)
