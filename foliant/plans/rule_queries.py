@@ -14,7 +14,7 @@ from foliant.plans.corpus import EDITIONS, RECORDS, editions, records
 from foliant.plans.registry import query
 from foliant.plans.store import with_tables as w
 from foliant.sources.snapshots import table
-from foliant.streaming import clock
+from foliant.streaming import clock, intake
 
 
 @query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 7 AS refs, c_custkey % 5 AS fetched, c_custkey % 3 AS extracted, c_custkey % 2 AS failed FROM customer)
@@ -222,3 +222,22 @@ def source_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _user_runs(spark, sf_dir)
     found = clock.day_rows(rows).unionByName(clock.overdue_rows(rows, 5, datetime(2024, 1, 29)))
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("at", "day_zero")})
+
+
+#: orders as publications found again on other days, one to ten days late or two early, under fewer URLs than rows.
+_ARRIVALS = """a AS (SELECT o_orderkey AS id, 'u' || (o_orderkey % 9000) AS url, CAST(o_orderdate AS DATE) AS published, CAST(o_orderdate AS DATE) + CAST(o_custkey % 12 - 2 AS INTEGER) AS arrived FROM orders)"""
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    published = F.col("o_orderdate").cast("date")
+    shift = (F.col("o_custkey") % 12 - 2).cast("int")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("u"), (F.col("o_orderkey") % 9000).cast("string")).alias("url"), published.alias("published"), F.date_add(published, shift).alias("arrived"))
+
+
+@query(f"""WITH {_ARRIVALS}, f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY arrived, id) AS k FROM a WHERE arrived - published BETWEEN 0 AND 6)
+SELECT id, 'accepted' AS verdict FROM f WHERE k = 1 AND url NOT LIKE '%7' UNION ALL SELECT id, CASE WHEN arrived < published THEN 'future' ELSE 'late' END FROM a WHERE arrived - published NOT BETWEEN 0 AND 6""")
+def intake_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late, future, repeated and known publications of seven-day windows."""
+    rows = _arrivals(spark, sf_dir)
+    accepted, rejected = intake.windowed(rows, rows.filter("url like '%7'").select("url"))
+    return accepted.select("id", F.lit("accepted").alias("verdict")).union(rejected.select("id", "verdict"))

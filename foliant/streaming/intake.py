@@ -31,6 +31,54 @@ def append_unseen(stream: DataFrame, store: str, checkpoint: str, key: str) -> S
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Days before a row's arrival in which its publication counts, the day of arrival included (fixed value).
+WINDOW_DAYS = 7
+
+
+def judged(rows: DataFrame, published: str = "published", arrived: str = "arrived") -> DataFrame:
+    """rows with verdict: undated, future (published after the day of arrival), late (more than six days before it) or fresh.
+
+    Each row is judged by its own arrival, so that batches, their borders and
+    their order change nothing; a row without an arrival is undated.
+    """
+    days = F.datediff(F.col(arrived).cast("date"), F.col(published).cast("date"))
+    verdict = F.when(days.isNull(), "undated").when(days < 0, "future").when(days >= WINDOW_DAYS, "late").otherwise("fresh")
+    return rows.withColumn("verdict", verdict)
+
+
+def windowed(rows: DataFrame, store: DataFrame, key: str = "url", published: str = "published", arrived: str = "arrived") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): the fresh rows whose key the store lacks, the first arrival of each key; and all that aren't fresh.
+
+    Of rows of one key and arrival the least by their other columns is taken.
+    Fresh rows without a key are rejected as 'keyless'. A repeated key is in
+    neither result, nor is one that the store has.
+    """
+    told = judged(rows, published, arrived).withColumn("verdict", F.when((F.col("verdict") == "fresh") & F.col(key).isNull(), "keyless").otherwise(F.col("verdict")))
+    columns = [c for c in rows.columns if c not in (key, arrived)]
+    fresh = told.filter("verdict = 'fresh'").groupBy(key).agg(F.min(F.struct(arrived, *columns)).alias("first"))
+    fresh = fresh.select(*[F.col(key) if c == key else F.col(f"first.{c}").alias(c) for c in rows.columns])
+    return fresh.join(store.select(key).distinct(), key, "left_anti").select(rows.columns), told.filter("verdict <> 'fresh'")
+
+
+def append_windowed(
+    stream: DataFrame, store: str, rejected: str, checkpoint: str, key: str = "url", published: str = "published", arrived: str = "arrived"
+) -> tuple[StreamingQuery, StreamingQuery]:
+    """windowed() as two streams for all files there are now: one appends to the store, the other writes what it rejects.
+
+    A publication is found again on each of the seven days of its window, so
+    that keys are remembered as state for six days of arrivals and asked of
+    the store only then. Rows that arrive more than six days after the latest
+    arrival of earlier batches are dropped by the watermark: bring those in by
+    windowed(), as a batch with bounds of its own. Rejected rows keep no
+    state and pass in whatever order they come.
+    """
+    told = judged(stream, published, arrived)
+    told = told.withColumn("verdict", F.when((F.col("verdict") == "fresh") & F.col(key).isNull(), "keyless").otherwise(F.col("verdict")))
+    out = told.filter("verdict <> 'fresh'").writeStream.format("parquet").option("path", rejected).option("checkpointLocation", f"{checkpoint}/rejected").trigger(availableNow=True).start()
+    once = told.filter("verdict = 'fresh'").drop("verdict").withColumn("at_", F.col(arrived).cast("timestamp")).withWatermark("at_", f"{WINDOW_DAYS - 1} days").dropDuplicatesWithinWatermark([key]).drop("at_")
+    return append_unseen(once, store, f"{checkpoint}/accepted", key), out
+
+
 def _epochs(spark: SparkSession, store: str) -> list[int]:
     """The batches in a store, by its folder names as Spark's own file source lists their files (it hides _SUCCESS)."""
     try:
