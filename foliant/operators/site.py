@@ -80,35 +80,6 @@ def dominant(articles: DataFrame, links: DataFrame, n: int = 3) -> DataFrame:
     return links.join(clean, "article_id").groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(n)
 
 
-def readout(articles: DataFrame) -> DataFrame:
-    """(day, branch, n_clean, n_flagged, lead, only_source) of each day.
-
-    branch is no_clean, flagged or routine; lead is the first flagged article,
-    else the first clean one, by score and id; only_source is the source of a
-    day whose clean articles all come from one.
-    """
-    clean = ~extraction_issue(F.col("summary_english"))
-    flagged = clean & F.coalesce("is_significant", F.lit(False))
-    order = F.struct(F.when(flagged, 0).otherwise(1), -F.coalesce("relevance_score", F.lit(0.0)), F.col("id"))
-    rows = articles.groupBy(F.col("published_date").alias("day")).agg(
-        F.count_if(clean).alias("n_clean"),
-        F.count_if(flagged).alias("n_flagged"),
-        F.min_by(F.when(clean, F.col("id")), F.when(clean, order)).alias("lead"),
-        F.count_distinct(F.when(clean, F.col("source_slug"))).alias("_n"),
-        F.min(F.when(clean, F.col("source_slug"))).alias("_one"),
-    )
-    branch = F.when(F.col("n_clean") == 0, "no_clean").when(F.col("n_flagged") > 0, "flagged").otherwise("routine")
-    return rows.select("day", branch.alias("branch"), "n_clean", "n_flagged", "lead", F.when(F.col("_n") == 1, F.col("_one")).alias("only_source"))
-
-
-def readout_text(branch: Column, n_flagged: Column, pattern: Column, only_source: Column, templates: dict[str, str]) -> Column:
-    """The day's sentence of a branch with {n}, {s} and {pattern} filled in, and the one on a single source ({source})."""
-    fill = lambda t: F.replace(F.replace(F.replace(F.lit(t), F.lit("{n}"), n_flagged.cast("string")), F.lit("{s}"), F.when(n_flagged == 1, "").otherwise("s")), F.lit("{pattern}"), F.coalesce(pattern, F.lit("")))
-    text = F.when(branch == "no_clean", fill(templates["no_clean"])).when(branch == "flagged", fill(templates["flagged"])).otherwise(fill(templates["routine"]))
-    single = F.when(only_source.isNotNull() & (branch != "no_clean"), F.replace(F.lit(templates["single"]), F.lit("{source}"), only_source)).otherwise("")
-    return F.concat(text, single)
-
-
 def archive_rows(articles: DataFrame) -> DataFrame:
     """The columns of the public archive, nulls as empty values."""
     text = lambda c, name: F.coalesce(c, F.lit("")).alias(name)

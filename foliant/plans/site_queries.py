@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as fx
 from foliant.operators import extraction, site, store, views
+from foliant.operators import readout as daily
 from foliant.plans import store as t
 from foliant.plans.corpus import EDITIONS, editions
 from foliant.plans.registry import query
@@ -77,35 +78,58 @@ def source_mix_30d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.top_values(_named(spark, sf_dir).filter(F.col("published_date").between(F.date_sub(day, 30), day)), "source_slug", 10)
 
 
-_READOUT = f"""{w('articles', 'sources')}, {_NAMED}, c AS (SELECT *, NOT {_ISSUE} AS clean, NOT {_ISSUE} AND coalesce(is_significant, false) AS flagged FROM named WHERE analyzed_at IS NOT NULL),
-g AS (SELECT published_date AS day, count(*) FILTER (clean) AS n_clean, count(*) FILTER (flagged) AS n_flagged, (list(id ORDER BY flagged DESC, relevance_score DESC, id) FILTER (clean))[1] AS lead, count(DISTINCT source_slug) FILTER (clean) AS k, min(source_slug) FILTER (clean) AS one FROM c GROUP BY 1),
-readout AS (SELECT day, CASE WHEN n_clean = 0 THEN 'no_clean' WHEN n_flagged > 0 THEN 'flagged' ELSE 'routine' END AS branch, n_clean, n_flagged, lead, CASE WHEN k = 1 THEN one END AS only_source FROM g)"""
+#: Five categories with a priority; the others come last.
+_PRIORITY = {"Brand#11": 1, "Brand#23": 2, "Brand#35": 3, "Brand#44": 4, "Brand#52": 5}
+_RANK = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _PRIORITY.items()) + " ELSE 99 END"
+_SHORT = "CASE WHEN coalesce(title_english, '') <> '' THEN title_english ELSE title_original END"
+#: The parts of each day's readout by windows and sorted lists.
+_READOUT = f"""{w('articles', 'sources', 'article_categories')}, {_NAMED}, k AS (SELECT article_id, list(category ORDER BY category) AS cats, min({_RANK}) AS rank, arg_min(category, ({_RANK}, category)) AS best FROM article_categories GROUP BY 1),
+c AS (SELECT n.*, coalesce(cats, []) AS cats, best, coalesce(rank, 99) AS rank, NOT {_ISSUE} AS clean, NOT {_ISSUE} AND coalesce(is_significant, false) AS flagged, {_SHORT} AS short, row_number() OVER (PARTITION BY published_date ORDER BY coalesce(is_significant, false) DESC, coalesce(rank, 99), relevance_score DESC, id) AS place FROM named n LEFT JOIN k ON id = article_id WHERE analyzed_at IS NOT NULL),
+g AS (SELECT published_date AS day, count(*) FILTER (clean) AS n_clean, count(*) FILTER (flagged) AS n_flagged, arg_min(id, place) FILTER (clean) AS lead, arg_min(short, place) FILTER (clean) AS lead_title, arg_min(cats, place) FILTER (clean) AS lead_categories, arg_min(coalesce(best, ''), place) FILTER (clean) AS lead_category,
+  count(DISTINCT source_slug) FILTER (clean) AS n_names, min(source_slug) FILTER (clean) AS one, coalesce((list(short ORDER BY place) FILTER (flagged))[:2], []) AS mattered FROM c GROUP BY 1),
+x AS (SELECT published_date AS day, flagged, unnest(cats) AS category FROM c WHERE clean),
+y AS (SELECT day, category, count(*) AS a, count(*) FILTER (flagged) AS b, count(*) FILTER (NOT flagged) AS r FROM x GROUP BY 1, 2),
+z AS (SELECT day, (list(category ORDER BY a DESC, category))[:3] AS dominant, coalesce((list(category ORDER BY b DESC, category) FILTER (b > 0))[:3], []) AS flagged_categories, coalesce((list(category ORDER BY r DESC, category) FILTER (r > 0))[:3], []) AS routine_categories FROM y GROUP BY 1),
+readout AS (SELECT g.day, CASE WHEN n_clean = 0 THEN 'no_clean' WHEN n_flagged > 0 THEN 'flagged' ELSE 'routine' END AS branch, n_clean, n_flagged, lead, lead_title, lead_categories, nullif(lead_category, '') AS lead_category, CASE WHEN n_names = 1 THEN one END AS only_source, mattered, coalesce(dominant, []) AS dominant, coalesce(flagged_categories, []) AS flagged_categories, coalesce(routine_categories, []) AS routine_categories FROM g LEFT JOIN z ON g.day = z.day)"""
 
 
 @query(f"{_READOUT} SELECT * FROM readout")
 def daily_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.readout(_named(spark, sf_dir).filter("analyzed_at is not null"))
+    rows = _named(spark, sf_dir).filter("analyzed_at is not null")
+    return daily.readout(rows, t.article_categories(spark, sf_dir), _PRIORITY)
+
+
+_WORDING = {
+    "overview.no_clean": "No clean text.", "overview.flagged": "{n} flagged item{s} on {pattern}.", "overview.routine": "Nothing flagged; mostly {pattern}.", "single": " All from {source}.",
+    "pattern.flagged.none": "no theme", "pattern.routine.none": "the usual", "mattered.no_clean": "Nothing.", "mattered.routine": "{title}{labels}.", "mattered.labels": " ({labels})",
+    "routine.no_clean": "Unknown.", "routine.flagged": "The rest: {pattern}.", "routine.flagged.none": "Little else.", "routine.routine": "Mostly {pattern}.", "watch": "Watch for repeats.",
+}
+_LABELS = {"Brand#11": "Eleven", "Brand#12": "Twelve"}
+_WATCH = {"Brand#11": "Watch eleven.", "Brand#35": "Watch thirty-five."}
+_LABEL = "array_to_string(list_transform({x}, lambda c: CASE c WHEN 'Brand#11' THEN 'Eleven' WHEN 'Brand#12' THEN 'Twelve' ELSE c END), ', ')"
 
 
-_TEMPLATES = {"no_clean": "No clean text.", "flagged": "{n} flagged item{s}.", "routine": "Nothing flagged.", "single": " All from {source}."}
+def _or(x: str, none: str) -> str:
+    return f"CASE WHEN len({x}) > 0 THEN {_LABEL.format(x=x)} ELSE '{none}' END"
 
 
-@query(f"""{_READOUT} SELECT day, CASE branch WHEN 'no_clean' THEN 'No clean text.' WHEN 'flagged' THEN n_flagged || ' flagged item' || CASE WHEN n_flagged = 1 THEN '' ELSE 's' END || '.' ELSE 'Nothing flagged.' END
-|| CASE WHEN only_source IS NOT NULL AND branch <> 'no_clean' THEN ' All from ' || only_source || '.' ELSE '' END AS text FROM readout""")
+@query(f"""{_READOUT}, s AS (SELECT *, CASE WHEN only_source IS NOT NULL THEN ' All from ' || only_source || '.' ELSE '' END AS single FROM readout)
+SELECT day, CASE branch WHEN 'no_clean' THEN 'No clean text.' WHEN 'flagged' THEN n_flagged || ' flagged item' || CASE WHEN n_flagged = 1 THEN '' ELSE 's' END || ' on ' || {_or("flagged_categories", "no theme")} || '.' || single ELSE 'Nothing flagged; mostly ' || {_or("dominant", "the usual")} || '.' || single END AS overview,
+CASE branch WHEN 'no_clean' THEN 'Nothing.' WHEN 'flagged' THEN array_to_string(mattered, '; ') ELSE lead_title || CASE WHEN len(lead_categories) > 0 THEN ' (' || {_LABEL.format(x="lead_categories")} || ')' ELSE '' END || '.' END AS what_mattered,
+CASE branch WHEN 'no_clean' THEN 'Unknown.' WHEN 'flagged' THEN CASE WHEN len(routine_categories) > 0 THEN 'The rest: ' || {_LABEL.format(x="routine_categories")} || '.' ELSE 'Little else.' END ELSE 'Mostly ' || {_or("dominant", "the usual")} || '.' END AS what_was_routine,
+CASE lead_category WHEN 'Brand#11' THEN 'Watch eleven.' WHEN 'Brand#35' THEN 'Watch thirty-five.' ELSE 'Watch for repeats.' END AS what_to_watch FROM s""")
 def readout_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = site.readout(_named(spark, sf_dir).filter("analyzed_at is not null"))
-    return rows.select("day", site.readout_text(F.col("branch"), F.col("n_flagged"), F.lit(None).cast("string"), F.col("only_source"), _TEMPLATES).alias("text"))
+    return daily.texts(daily_readout(spark, sf_dir), _WORDING, _LABELS, _WATCH)
 
 
-@query(f"""{w('articles', 'sources')}, {_NAMED}, d AS (SELECT * FROM named WHERE analyzed_at IS NOT NULL AND published_date = (SELECT max(published_date) FROM articles WHERE analyzed_at IS NOT NULL))
-SELECT published_date AS day, count(*) AS n, count(*) FILTER (is_significant) AS n_significant, count(DISTINCT source_slug) AS n_sources, list(id ORDER BY is_significant DESC, relevance_score DESC, id) AS ids FROM d GROUP BY 1""")
+@query(f"""{_READOUT}, d AS (SELECT max(published_date) AS day FROM c), l AS (SELECT c.* FROM c JOIN d ON published_date = day),
+st AS (SELECT list(display_name || '|' || CASE WHEN n > 0 THEN 'articles collected' ELSE 'nothing yet' END || '|' || coalesce(n, 0) ORDER BY display_name) AS statuses FROM sources LEFT JOIN (SELECT source_slug, count(*) AS n FROM l GROUP BY 1) ON slug = source_slug),
+rs AS (SELECT list(id ORDER BY k) AS recent_signals FROM (SELECT id, row_number() OVER (ORDER BY published_date DESC, relevance_score DESC, id) AS k FROM c WHERE flagged) WHERE k <= 3)
+SELECT r.*, n, n_significant, n_sources, ids, statuses, recent_signals FROM (SELECT published_date AS day, count(*) AS n, count(*) FILTER (is_significant) AS n_significant, count(DISTINCT source_slug) AS n_sources, list(id ORDER BY place) AS ids FROM l GROUP BY 1) JOIN readout r USING (day), st, rs""")
 def daily_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _named(spark, sf_dir).filter("analyzed_at is not null")
-    newest = rows.agg(F.max("published_date").alias("published_date"))
-    of_day = rows.join(F.broadcast(newest), "published_date")
-    order = F.struct(F.when(F.col("is_significant"), 0).otherwise(1), -F.col("relevance_score"), F.col("id").alias("id"))
-    found = of_day.groupBy(F.col("published_date").alias("day")).agg(F.count("*").alias("n"), F.count_if("is_significant").alias("n_significant"), F.count_distinct("source_slug").alias("n_sources"), F.array_sort(F.collect_list(order)).alias("o"))
-    return found.select("day", "n", "n_significant", "n_sources", F.col("o.id").alias("ids"))
+    configured = t.sources(spark, sf_dir).select("slug", F.col("display_name").alias("name"), F.lit("nothing yet").alias("fallback"))
+    found = daily.brief(_named(spark, sf_dir).filter("analyzed_at is not null"), t.article_categories(spark, sf_dir), _PRIORITY, configured)
+    return found.withColumn("statuses", F.transform("statuses", lambda s: F.concat_ws("|", s["name"], s["status"], s["count"].cast("string"))))
 
 
 @query(f"""{w('articles', 'sources')}, {_NAMED} SELECT id, coalesce(title_english, '') AS title_en, title_original AS title_zh, coalesce(summary_english, '') AS summary, CAST(published_date AS VARCHAR) AS date, strftime(published_date, '%-d %B %Y') AS date_fmt,
