@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,3 +171,40 @@ def guide_stats(corpus: DataFrame) -> DataFrame:
         F.max("published_date").alias("last_date"),
     )
     return row.join(F.broadcast(top)).withColumn("top_share", F.round(F.col("top_n") * 100 / F.col("n"), 1))  # one row each
+
+
+def corpus_guide(corpus: DataFrame, run_days: DataFrame, outage: tuple[str, str]) -> DataFrame:
+    """Every figure of the corpus guide in one row, from records (id, state, source_name, institution, published_date, title_english, summary_english, model_id, text_original, prompt_version) and the days of runs (day).
+
+    no_english, no_summary and no_model are the records whose title, summary
+    or model is blank, english_sets_identical whether these and the records
+    that aren't analyzed are the same. outage_records were published in the
+    days of outage; gap_from, gap_to and gap_days are the first gap of the
+    runs. An empty corpus counts 0, with a share of 0 and no institution.
+    """
+    blank = {"no_english": "title_english", "no_summary": "summary_english", "no_model": "model_id"}
+    is_blank = {name: fx.is_blank(F.col(c)) for name, c in blank.items()}
+    other = F.col("state") != "analyzed"
+    differ = reduce(or_, [test != other for test in is_blank.values()])
+    state = lambda *s: F.count_if(F.col("state").isin(*s))
+    row = corpus.agg(
+        F.count("*").alias("total"),
+        F.coalesce(F.max("id"), F.lit(0)).alias("max_id"),
+        *[state(s).alias(s) for s in ("awaiting_screening", "analysis_incomplete", "not_selected", "analyzed")],
+        state("awaiting_screening", "analysis_incomplete").alias("backlog"),
+        *[F.count_if(test).alias(name) for name, test in is_blank.items()],
+        F.count_if(other).alias("non_analyzed"),
+        (F.count_if(differ) == 0).alias("english_sets_identical"),
+        F.count_if(F.col("published_date").between(*[F.lit(d).cast("date") for d in outage])).alias("outage_records"),
+        F.count_if(fx.is_blank(F.col("text_original"))).alias("empty_text"),
+        F.count_if(~other & fx.is_blank(F.col("prompt_version"))).alias("prompt_version_missing"),
+        F.count_distinct(F.nullif("institution", F.lit(""))).alias("institutions"),
+        F.count_distinct("source_name").alias("outlets"),
+        F.min("published_date").alias("first_date"),
+        F.max("published_date").alias("last_date"),
+    )
+    by_institution = corpus.filter(F.coalesce("institution", F.lit("")) != "").groupBy("institution").agg(F.count("*").alias("n"))
+    top = by_institution.agg(F.min_by("institution", F.struct(-F.col("n"), "institution")).alias("top_institution"), F.coalesce(F.max("n"), F.lit(0)).alias("top_institution_count"))
+    gap = collection_gaps(run_days).agg(F.min(F.struct("gap_from", "gap_to", "n_days")).alias("g")).select("g.gap_from", "g.gap_to", F.col("g.n_days").alias("gap_days"))
+    found = row.join(F.broadcast(top)).join(F.broadcast(gap))  # one row each
+    return found.withColumn("top_institution_pct", F.when(F.col("total") > 0, F.round(F.col("top_institution_count") * 100 / F.col("total"), 1)).otherwise(0.0))

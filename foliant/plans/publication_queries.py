@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import feeds, findings, runs
+from foliant.operators import feeds, findings, runs, views
 from foliant.operators.lineage import numbered
 from foliant.plans import store as t
 from foliant.plans.corpus import EDITIONS, editions
@@ -187,3 +187,20 @@ def store_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """region's keys as the migrations of a ledger that should have seven."""
     ledger = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("version"))
     return findings.currency(spark, [*findings.CORE_TABLES, "region"], ledger, [str(k) for k in range(7)])
+
+
+@query(f"""{w('articles', 'sources', 'runs')}, c AS (SELECT a.*, CASE WHEN passed_relevance IS NULL THEN 'awaiting_screening' WHEN NOT passed_relevance THEN 'not_selected' WHEN analyzed_at IS NULL THEN 'analysis_incomplete' ELSE 'analyzed' END AS state, display_name AS source_name, institution_id AS institution,
+  CASE WHEN analyzed_at IS NOT NULL THEN 'm' END AS model_id, CASE WHEN a.id % 9 <> 0 THEN 'v1' END AS prompt_version FROM articles a LEFT JOIN sources s ON a.source_id = s.id),
+i AS (SELECT CAST(institution AS VARCHAR) AS institution, count(*) AS n FROM c WHERE institution IS NOT NULL GROUP BY 1), d AS (SELECT DISTINCT CAST(started_at AS DATE) AS a FROM runs WHERE id % 9 > 1), g AS (SELECT a + 1 AS f, lead(a) OVER (ORDER BY a) - 1 AS t FROM d)
+SELECT count(*) AS total, max(id) AS max_id, count(*) FILTER (state = 'awaiting_screening') AS awaiting_screening, count(*) FILTER (state = 'analysis_incomplete') AS analysis_incomplete, count(*) FILTER (state = 'not_selected') AS not_selected, count(*) FILTER (state = 'analyzed') AS analyzed,
+  count(*) FILTER (state IN ('awaiting_screening', 'analysis_incomplete')) AS backlog, count(*) FILTER (trim(coalesce(title_english, '')) = '') AS no_english, count(*) FILTER (trim(coalesce(summary_english, '')) = '') AS no_summary, count(*) FILTER (model_id IS NULL) AS no_model, count(*) FILTER (state <> 'analyzed') AS non_analyzed, false AS english_sets_identical,
+  count(*) FILTER (published_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-01') AS outage_records, count(*) FILTER (trim(text_original) = '') AS empty_text, count(*) FILTER (state = 'analyzed' AND prompt_version IS NULL) AS prompt_version_missing, count(DISTINCT institution) AS institutions, count(DISTINCT source_name) AS outlets, min(published_date) AS first_date, max(published_date) AS last_date,
+  (SELECT arg_min(institution, (-n, institution)) FROM i) AS top_institution, (SELECT max(n) FROM i) AS top_institution_count, round((SELECT max(n) FROM i) * 100 / count(*), 1) AS top_institution_pct,
+  (SELECT min(f) FROM g WHERE t >= f + 1) AS gap_from, (SELECT arg_min(t, f) FROM g WHERE t >= f + 1) AS gap_to, (SELECT CAST(arg_min(t - f + 1, f) AS INTEGER) FROM g WHERE t >= f + 1) AS gap_days FROM c""")
+def corpus_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = t.sources(spark, sf_dir).select(F.col("id").alias("source_id"), F.col("display_name").alias("source_name"), F.col("institution_id").cast("string").alias("institution"))
+    passed, done = F.col("passed_relevance"), F.col("analyzed_at").isNotNull()
+    state = F.when(passed.isNull(), "awaiting_screening").when(~passed, "not_selected").when(~done, "analysis_incomplete").otherwise("analyzed")
+    rows = t.articles(spark, sf_dir).join(sources, "source_id", "left").withColumns({"state": state, "model_id": F.when(done, "m"), "prompt_version": F.when(F.col("id") % 9 != 0, "v1")})
+    days = t.runs(spark, sf_dir).filter("id % 9 > 1").select(F.col("started_at").cast("date").alias("day"))
+    return views.corpus_guide(rows, days, ("1998-01-01", "1998-03-01"))

@@ -13,7 +13,7 @@ from foliant.plans import store as t
 from foliant.plans.corpus import EDITIONS, RECORDS, editions, records
 from foliant.plans.registry import query
 from foliant.plans.store import with_tables as w
-from foliant.sources.snapshots import table
+from foliant.sources.snapshots import fingerprint, table
 from foliant.streaming import clock, intake
 
 
@@ -198,11 +198,19 @@ def institution_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(F.broadcast(parents), "parent_id", "left").select("id", "name", "parent")
 
 
-@query(f"WITH {RECORDS} SELECT 'record_count' AS name, CAST(CASE WHEN count(*) <> 1 THEN 1 ELSE 0 END AS BIGINT) AS violations FROM records UNION ALL SELECT 'fingerprint', 0")
+@query(f"""WITH {RECORDS}, c AS (SELECT (SELECT count(*) FROM records) AS a, (SELECT count(*) FROM records WHERE id % 100 <> 7) AS b)
+SELECT 'right' AS declared, unnest(['record_count', 'fingerprint']) AS name, unnest([CAST(a <> a AS BIGINT), 0]) AS violations FROM c UNION ALL SELECT 'altered', unnest(['record_count', 'fingerprint']), unnest([0, CAST(b < a AS BIGINT)]) FROM c
+UNION ALL SELECT 'shorter', unnest(['record_count', 'fingerprint']), unnest([CAST(a <> b AS BIGINT), CAST(a <> b AS BIGINT)]) FROM c""")
 def declared_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from foliant.sources.snapshots import fingerprint
-
-    return gates.declared_snapshot(fingerprint(records(spark, sf_dir).select("id", "url")), 1, None)
+    """The corpus against declarations: its own, that of rows with one URL altered, that of fewer rows."""
+    rows = records(spark, sf_dir).select("id", "url")
+    altered = rows.withColumn("url", F.when(F.col("id") % 100 == 7, F.concat("url", F.lit("/"))).otherwise(F.col("url")))
+    found = fingerprint(rows)
+    parts = []
+    for name, df in (("right", rows), ("altered", altered), ("shorter", rows.filter("id % 100 <> 7"))):
+        n, *words = fingerprint(df).first()
+        parts.append(gates.declared_snapshot(found, n, words).select(F.lit(name).alias("declared"), "name", "violations"))
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 #: Runs by user: every event is a run of its user, a purchase a success.
