@@ -9,8 +9,14 @@ ITEM = "struct<path:string,value:variant>"
 
 
 def parsed(text: Column) -> Column:
-    """The document of a JSON text, null if it isn't one."""
-    return F.try_parse_json(text)
+    """The document of a JSON text, null if it isn't one, or has more behind it.
+
+    The parser stops after one value. A text that is the one item of a list,
+    and the value of a field too, has nothing behind its value.
+    """
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    named = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    return F.when((F.size(listed) == 1) & named.isNotNull(), F.get(listed, 0))
 
 
 def field(document: Column, paths: list[str], kind: str = "string") -> Column:

@@ -333,4 +333,4 @@ def spend_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir).filter("state = 'awaiting_screening'").groupBy("source").agg(F.sum(F.length("text")).cast("long").alias("n_chars"))
     return rows.withColumn("n_output", F.floor(F.col("n_chars") * 13 / 10))
 
-from foliant.plans import document_queries, page_queries, publication_queries, reconcile_queries, rule_queries, site_queries, store_queries  # noqa: E402, F401  they register their queries
+from foliant.plans import document_queries, page_queries, publication_queries, reconcile_queries, record_queries, rule_queries, site_queries, store_queries  # noqa: E402, F401  they register their queries

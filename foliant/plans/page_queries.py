@@ -38,7 +38,7 @@ def publisher_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _unescaped(x: str) -> str:
-    for mark, sign in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&copy;", "'©'")):
+    for mark, sign in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&copy;", "'©'"), ("&middot;", "'·'")):
         x = f"replace({x}, '{mark}', {sign})"
     return f"regexp_replace({x}, '&amp;?', '&', 'g')"  # a cut text may end without the semicolon
 
