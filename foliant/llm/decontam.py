@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -29,27 +29,43 @@ BLOCK_WORDS = 500_000
 RARE_ONCE_IN = 1_000_000
 #: Alignment: a match counts 1, a mismatch or a gap of one word costs 1.
 LEAST_SHARE, LEAST_SCORE = 0.4, 8
+#: So many items that a text opens are looked at one by one; of more, their words are counted first.
+FEW_ITEMS = 16
 _FILTER_BITS = 22
 
 
+def _lists(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(distinct keys in order, n + 1 heads of their runs, the values run by run)."""
+    order = np.argsort(keys, kind="stable")
+    own, first = np.unique(keys[order], return_index=True)
+    return own, np.append(first, len(keys)), [v[order] for v in values]
+
+
+def _runs(heads: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The places of all values of the runs which, one run after the other."""
+    sizes = heads[which + 1] - heads[which]
+    return np.repeat(heads[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 @dataclass
 class Block:
-    """The items of a block as word hashes, and their seeds."""
+    """The items of a block as word hashes, with lists by seed (item, place in it) and by word (item, how often)."""
 
     ids: list
     words: list[np.ndarray]
-    seeds: np.ndarray = field(init=False)
-    places: dict[int, list[tuple[int, int]]] = field(init=False)
 
     def __post_init__(self) -> None:
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, own in enumerate(self.words):
-            if len(own) >= SEED_WORDS:
-                hashes, _ = shingle_hashes(own, np.array([0, len(own)]), SEED_WORDS)
-                for at, h in enumerate(hashes.tolist()):
-                    found[h].append((item, at))
-        self.seeds = np.array(sorted(found), U64)
-        self.places = {k: found[h] for k, h in enumerate(self.seeds.tolist())}
+        n = np.array([len(w) for w in self.words], np.int64)
+        rows = np.concatenate([[0], np.cumsum(n)])
+        every = np.concatenate([*self.words, np.zeros(0, U64)])
+        hashes, heads = shingle_hashes(every, rows, SEED_WORDS)
+        seeds = np.diff(heads)
+        item = np.repeat(np.arange(len(n)), seeds)
+        place = np.arange(len(hashes)) - np.repeat(heads[:-1], seeds)
+        whole = n[item] >= SEED_WORDS  # an item of fewer words is no passage
+        self.seeds, self.seed_heads, (self.seed_item, self.seed_place) = _lists(hashes[whole], [item[whole], place[whole]])
+        self.vocabulary, self.word_heads, (self.word_item,) = _lists(every, [np.repeat(np.arange(len(n)), n)])
+        self.least = np.maximum(np.minimum(LEAST_SCORE, n), LEAST_SHARE * n)
         self.bits = np.zeros(1 << _FILTER_BITS, bool)
         self.bits[(self.seeds >> U64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
@@ -64,16 +80,49 @@ class Block:
 
     def rare(self, counts: np.ndarray, n_words: int) -> np.ndarray:
         rare = counts * RARE_ONCE_IN <= n_words
-        by_item: dict[int, list[int]] = defaultdict(list)
-        for seed, places in self.places.items():
-            for item, _ in places:
-                if counts[seed]:
-                    by_item[item].append(seed)
+        by_item: dict[int, set[int]] = defaultdict(set)
+        for seed in np.flatnonzero(counts).tolist():
+            for item in self.seed_item[self.seed_heads[seed] : self.seed_heads[seed + 1]].tolist():
+                by_item[item].add(seed)
         for seeds in by_item.values():
-            rarer = sorted(set(seeds), key=lambda x: (counts[x], x))
+            rarer = sorted(seeds, key=lambda x: (counts[x], x))
             rare[rarer[: (len(rarer) + 1) // 2]] = True
         return rare
 
+    def words_in(self, text: np.ndarray) -> np.ndarray:
+        """How many of each item's words stand in a text, by one pass over the lists of the text's words."""
+        own = np.unique(text)
+        at = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
+        at = at[self.vocabulary[at] == own]
+        return np.bincount(self.word_item[_runs(self.word_heads, at)], minlength=len(self.words))
+
+    def opened(self, text: np.ndarray, seeds: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(open, sure) by item: open are those with a seed in the text, sure those with a rare one.
+
+        Of more than FEW_ITEMS only those are open of which enough words stand
+        in the text. A word of an item adds 1 to a score at most, and only if it
+        stands there: no item that is left out reaches its least score. Seeds
+        that very many items share cost one look at their lists, not one for
+        each item.
+        """
+        sure, open_ = np.zeros(len(self.words), bool), np.zeros(len(self.words), bool)
+        sure[self.seed_item[_runs(self.seed_heads, seeds[rare[seeds]])]] = True
+        open_[self.seed_item[_runs(self.seed_heads, seeds)]] = True
+        if np.count_nonzero(open_) > FEW_ITEMS:
+            open_ &= self.words_in(text) >= self.least
+        return open_, sure
+
+    def starts(self, places: np.ndarray, seeds: np.ndarray, open_: np.ndarray) -> dict[int, list[int]]:
+        """Where the open items should begin, by the places in a text where their seeds stand."""
+        out: dict[int, list[int]] = defaultdict(list)
+        order = np.argsort(seeds, kind="stable")
+        which, first = np.unique(seeds[order], return_index=True)
+        for k, at in zip(which.tolist(), np.split(places[order], first[1:])):
+            own = slice(self.seed_heads[k], self.seed_heads[k + 1])
+            for item, q in zip(self.seed_item[own][open_[self.seed_item[own]]].tolist(), self.seed_place[own][open_[self.seed_item[own]]].tolist()):
+                out[item] += (at - q).tolist()
+        return out
+
 
 def _seeds_of(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     for i, j, data, offsets in chunks(text):
@@ -130,19 +179,15 @@ def _search(block: Block, rare: np.ndarray, batches: Iterator[pa.RecordBatch]) -
             owner = np.searchsorted(heads, at, "right") - 1
             for r in np.unique(owner):
                 own = words[rows[r] : rows[r + 1]]
-                begin: dict[int, list[int]] = defaultdict(list)
-                sure: set[int] = set()
-                for p, k in zip((at[owner == r] - heads[r]).tolist(), seed[owner == r].tolist()):
-                    for item, q in block.places[k]:
-                        begin[item].append(p - q)
-                        if rare[k]:
-                            sure.add(item)
+                places, seeds = at[owner == r] - heads[r], seed[owner == r]
+                open_, sure = block.opened(own, np.unique(seeds), rare)
+                begin = block.starts(places, seeds, open_)
                 for item, starts in begin.items():
                     target, best = block.words[item], (0, 0, 0)
-                    least = max(min(LEAST_SCORE, len(target)), LEAST_SHARE * len(target))
+                    least = block.least[item]
                     for a, b in _windows(starts, len(target), len(own)):
                         # A word of the item adds 1 to a score at most, and only if it stands in the window.
-                        if item not in sure and np.isin(target, own[a:b]).sum() < least:
+                        if not sure[item] and np.isin(target, own[a:b]).sum() < least:
                             continue
                         score, end = align(target, own[a:b])
                         best = max(best, (score, -a, a + end))

@@ -191,6 +191,47 @@ def test_leaks_against_all_pairs(spark):
 
 
 
+def _plain_words(t):
+    raw = t.encode()
+    return word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), plain=True)[0]
+
+
+def test_leaks_of_items_that_share_an_opening(spark):
+    """Hundreds of items begin alike: the result is that of all pairs that share a seed, copies found, openings alone not."""
+    rng = random.Random(17)
+    opening = "which of the following is true about"
+    items = [(k, f"{opening} {text(9000 + k, rng.randrange(4, 30))}") for k in range(300)] + [(1000, "two words"), (1001, "")]
+    docs = []
+    for k in range(30):
+        words = items[rng.randrange(300)][1].split()
+        words = [w if k % 3 or rng.random() >= 0.2 else f"new{rng.randrange(10**6)}" for w in words]
+        docs.append((k, f"{text(20000 + k, 40)} {opening} {text(21000 + k, 40)} {' '.join(words) if k % 2 else ''}"))
+    hashed = {i: _plain_words(s) for i, s in items}
+    seeds = {i: set(shingle_hashes(w, np.array([0, len(w)]), decontam.SEED_WORDS)[0].tolist()) if len(w) >= decontam.SEED_WORDS else set() for i, w in hashed.items()}
+    want = set()
+    for k, t in docs:
+        b = _plain_words(t)
+        own = set(shingle_hashes(b, np.array([0, len(b)]), decontam.SEED_WORDS)[0].tolist())
+        want |= {(k, i) for i, a in hashed.items() if seeds[i] & own and decontam.align(a, b)[0] >= max(min(decontam.LEAST_SCORE, len(a)), decontam.LEAST_SHARE * len(a))}
+    got = decontam.leaks(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(items, "item long, text string")).collect()
+    assert {(r.id, r.item) for r in got} == want and len(want) >= 15 and len(got) == len(want)
+
+
+def test_leaks_against_pairs_without_seeds():
+    """Of edited copies that reach the score, seeds or not, those are found that keep three words in a row."""
+    rng = random.Random(18)
+    found = reached = 0
+    for k in range(400):
+        a = text(30000 + k, rng.randrange(15, 40)).split()
+        rate = (0.1, 0.2, 0.3, 0.4)[k % 4]
+        b = [w if rng.random() >= rate else f"new{rng.randrange(10**6)}" for w in a]
+        x, y = _plain_words(" ".join(a)), _plain_words(" ".join(b))
+        if decontam.align(x, y)[0] >= max(decontam.LEAST_SCORE, decontam.LEAST_SHARE * len(x)):
+            reached += 1
+            found += bool(set(shingle_hashes(x, np.array([0, len(x)]), 3)[0].tolist()) & set(shingle_hashes(y, np.array([0, len(y)]), 3)[0].tolist()))
+    print(found, reached)
+    assert reached > 200 and found >= 0.99 * reached
+
 
 def test_lines_of_a_text_beyond_a_million():
     """Bands don't depend on how many lines stand before a line."""
