@@ -182,12 +182,13 @@ def _search(block: Block, rare: np.ndarray, batches: Iterator[pa.RecordBatch]) -
                 places, seeds = at[owner == r] - heads[r], seed[owner == r]
                 open_, sure = block.opened(own, np.unique(seeds), rare)
                 begin = block.starts(places, seeds, open_)
+                crowded = len(begin) > FEW_ITEMS
                 for item, starts in begin.items():
                     target, best = block.words[item], (0, 0, 0)
                     least = block.least[item]
                     for a, b in _windows(starts, len(target), len(own)):
                         # A word of the item adds 1 to a score at most, and only if it stands in the window.
-                        if not sure[item] and np.isin(target, own[a:b]).sum() < least:
+                        if (crowded or not sure[item]) and np.isin(target, own[a:b]).sum() < least:
                             continue
                         score, end = align(target, own[a:b])
                         best = max(best, (score, -a, a + end))
