@@ -304,7 +304,16 @@ def snapshot_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint(records(spark, sf_dir).select(_FIELDS))
 
 
-@query()
+#: Short markup in one line, without tags and with the five named references.
+_PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_OWN = "regexp_extract(x, '(?is)^(.*?)(?:</p|</article|</body|$)', 1)"
+_HEAD, _TITLE = "regexp_extract(page, '(?is)<h1[^>]*>(.*?)</h1>', 1)", "regexp_extract(page, '(?is)<title[^>]*>(.*?)</title>', 1)"
+
+
+@query(f"""WITH p AS (SELECT page_id, url, regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g') AS page FROM pages),
+t AS (SELECT *, list_transform(string_split_regex(page, '(?i)<p\\b[^>]*>')[2:], lambda x: {_PLAIN.format(x=_OWN)}) AS ps, coalesce(nullif({_PLAIN.format(x=_HEAD)}, ''), nullif({_PLAIN.format(x=_TITLE)}, '')) AS title FROM p),
+b AS (SELECT page_id, url, title, array_to_string(list_filter(ps, lambda x: length(x) >= 30 AND NOT regexp_matches(x, '(?i)copyright|all rights reserved')), chr(10)) AS body FROM t)
+SELECT page_id, url, title, body, '' AS published, CASE WHEN title IS NULL THEN 'no title' WHEN length(body) < 200 THEN 'no body' END AS refusal FROM b""")
 def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.article(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
