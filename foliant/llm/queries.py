@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import decontam, fim, html, langid, linedup, neardup, passages, pieces, quality, resample, secrets, toxicity, warc
+from foliant.llm.shared import release
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,8 +90,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.records(table(spark, sf_dir, "pages"))
-    written = warc.write(rows, warc.archive_folder(spark))
+    folder = warc.archive_folder(spark)
+    written = warc.write(rows, folder)
     found = warc.read(written)
+    warc.remove(spark, folder)
+    release(written)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 

@@ -294,4 +294,11 @@ def read(files: DataFrame, columns: list[str] | None = None, range_bytes: int =
 
 
 def archive_folder(spark: SparkSession) -> str:
+    """A new folder for archives, among the application's own in the shared one."""
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/archives-{uuid.uuid4().hex[:12]}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of archives. What read() has given doesn't need them any more: it is written apart."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

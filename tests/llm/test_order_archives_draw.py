@@ -167,6 +167,14 @@ def test_archives(spark, tmp_path, least, file_bytes, range_bytes):
     assert again.count() == len(rows)
 
 
+def test_archives_are_removed(spark, tmp_path):
+    df = spark.createDataFrame([(k, "u", f"page {k}") for k in range(20)], "page_id long, url string, html string")
+    made = warc.write(warc.records(df), f"{tmp_path}/gone")
+    found = warc.read(made, ["page_id"])
+    warc.remove(spark, f"{tmp_path}/gone")
+    assert found.count() == 20 and not (tmp_path / "gone").exists()
+
+
 def test_archives_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     made = warc.write(warc.records(df), f"{tmp_path}/none")
