@@ -3,7 +3,6 @@
 import datetime as dt
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import ladders
@@ -14,62 +13,61 @@ LONG = "a paragraph of rather more than forty characters in all"
 CJK = "这是一段超过三十个字符的正文内容，用来检验最后一级规则是否只保留足够长的段落，其余一概不收。"
 
 
-def read(spark, url, html):
-    pages = spark.createDataFrame([(url, html, "old")], "url string, html string, title string")
-    rows = ladders.articles(pages, ladders.article_rules(spark), F.lit(DAY)).collect()
-    assert len(rows) == 1
-    return rows[0]
+def read(spark, cases):
+    """The rows of many pages (url, html), by their place."""
+    pages = spark.createDataFrame([(k, url, html, "old") for k, (url, html) in enumerate(cases)], "k int, url string, html string, title string")
+    rows = {r.k: r for r in ladders.articles(pages, ladders.article_rules(spark), F.lit(DAY)).collect()}
+    assert len(rows) == len(cases)
+    return [rows[k] for k in range(len(cases))]
 
 
 PLA, MOD, GT, CMO = "http://www.81.cn/yw/1.html", "http://www.mod.gov.cn/gfbw/a/2.html", "https://www.globaltimes.cn/page/202605/3.shtml", "http://eng.chinamil.com.cn/2025xb/N/4.html"
 
 
-@pytest.mark.parametrize(
-    "url, html, want",
-    [
-        # display paragraphs of the container, blank ones included, nested lists inside it
-        (PLA, '<h2> 标题 <b>二</b></h2><h1>other</h1><ul class="row m-t-list"><li><ul><li>x</ul><p class="ueditor-text-p_display"> 第一 </p><p class="plain">no</p><p class="ueditor-x"></p></ul><p class="ueditor-y">outside</p>', ("标题二", "h2", "第一\n", "display")),
-        (PLA, "<h2> 　</h2><h1>一</h1><ul class='m-t-list'><li>" + LONG + "<li> second item </ul><p>" + CJK + "</p>", ("一", "h1", f"{LONG}\nsecond item", "container")),
-        (PLA, "<h2>t</h2><ul class='m-t-list'><li>short</ul><p>" + CJK + "<p>版权" + CJK + "<p>责任编辑" + CJK + "<p>短</p>", ("t", "h2", CJK, "long")),
-        (PLA, "<p>" + CJK, (None, None, CJK, "long")),
-        (PLA, "<h2>t</h2>", ("t", "h2", "", None)),
-        # display paragraphs anywhere, captions and short ones left out; taken even if none is left
-        (MOD, f"<h2>b</h2><h1>a</h1><div><p class='ueditor-text-p_display'>{LONG}</p></div><p class='ueditor-text-tushuo ueditor-x'>{LONG} caption</p><p class='ueditor-z'>ten chars.</p>", ("a", "h1", LONG, "display")),
-        (MOD, f"<h1></h1><h2>b</h2><p class='ueditor-z'>short</p><p>{LONG}</p>", ("b", "h2", "", "display")),
-        (MOD, f"<h1>a</h1><p>{LONG}</p>", ("a", "h1", LONG, "long")),
-        # the first content block alone, nested blocks in it included
-        (GT, f"<h1>other</h1><div class='x article_title'>T</div><div class='article_content'><div><p>{LONG}</p></div><p class='picture'>{LONG} pic</p><p class='picture big'>{LONG} kept</p><p>short</p></div><div class='article_content'><p>{LONG} related</p></div>", ("T", "div", f"{LONG}\n{LONG} kept", "content")),
-        (GT, f"<h1>h</h1><div class='article_content'><p>short</p></div><p class='c'>{LONG} c</p><p class>{LONG}</p>", ("h", "h1", LONG, "long")),
-        (GT, f"<div class='article_titles'>T</div><p>{LONG}</p>", (None, None, LONG, "long")),
-        (CMO, f"<h1>China Military</h1><div class='article-header'><h1> Head </h1></div><p class='ueditor-text'>{LONG}</p>", ("Head", "header", LONG, "display")),
-        (CMO, f"<h1>China Military</h1><h1>second</h1><p>{LONG}</p>", (None, None, LONG, "long")),
-        (CMO, f"<h1>Real</h1><div class='article-header'></div><p>{LONG}</p>", ("Real", "h1", LONG, "long")),
-        (CMO, "", (None, None, "", None)),
-        (CMO, None, (None, None, "", None)),
-    ],
-)
-def test_rungs(spark, url, html, want):
-    r = read(spark, url, html)
-    assert (r.title, r.title_rung, r.body, r.body_rung) == want
-    assert r.published == "2026-05-08" or r.published_rung
-
-
-@pytest.mark.parametrize(
-    "url, html, want",
-    [
-        (PLA, '<div class="container artichle-info"><p>来源</p><p>发布：<b>2026-05-07</b> 10:00</p></div>', ("2026-05-07", "info")),
-        (PLA, "<p>2026-01-01 发布: 2026-05-06</p>", ("2026-01-01", "stamp")),
-        (PLA, "<p>2026-01-01</p>", ("2026-05-08", None)),
-        (MOD, "<script>var d='2026-04-30'</script><p>2026-05-01</p>", ("2026-04-30", "page")),
-        (GT, '<div class="source_time">By X</div><div class="a source_time">By Y | 2026/5/7 18:37:07</div>', ("2026-05-07", "source")),
-        (GT, "<p>2026/5/7</p>", ("2026-05-08", None)),
-        (CMO, '<div class="pub-info"><dl><dt>Time<dd>x 2026-05-01<dd> 2026-05-02 10:34:11</dl></div>', ("2026-05-02", "info")),
-        (CMO, "<p>seen 2026-05-03</p>", ("2026-05-03", "page")),
-    ],
-)
-def test_dates(spark, url, html, want):
-    r = read(spark, url, html)
-    assert (r.published, r.published_rung) == want
+RUNGS = [
+    # display paragraphs of the container, blank ones included, nested lists inside it
+    (PLA, '<h2> 标题 <b>二</b></h2><h1>other</h1><ul class="row m-t-list"><li><ul><li>x</ul><p class="ueditor-text-p_display"> 第一 </p><p class="plain">no</p><p class="ueditor-x"></p></ul><p class="ueditor-y">outside</p>', ("标题二", "h2", "第一\n", "display")),
+    (PLA, "<h2> 　</h2><h1>一</h1><ul class='m-t-list'><li>" + LONG + "<li> second item </ul><p>" + CJK + "</p>", ("一", "h1", f"{LONG}\nsecond item", "container")),
+    (PLA, "<h2>t</h2><ul class='m-t-list'><li>short</ul><p>" + CJK + "<p>版权" + CJK + "<p>责任编辑" + CJK + "<p>短</p>", ("t", "h2", CJK, "long")),
+    (PLA, "<p>" + CJK, (None, None, CJK, "long")),
+    (PLA, "<h2>t</h2>", ("t", "h2", "", None)),
+    # display paragraphs anywhere, captions and short ones left out; taken even if none is left
+    (MOD, f"<h2>b</h2><h1>a</h1><div><p class='ueditor-text-p_display'>{LONG}</p></div><p class='ueditor-text-tushuo ueditor-x'>{LONG} caption</p><p class='ueditor-z'>ten chars.</p>", ("a", "h1", LONG, "display")),
+    (MOD, f"<h1></h1><h2>b</h2><p class='ueditor-z'>short</p><p>{LONG}</p>", ("b", "h2", "", "display")),
+    (MOD, f"<h1>a</h1><p>{LONG}</p>", ("a", "h1", LONG, "long")),
+    # the first content block alone, nested blocks in it included
+    (GT, f"<h1>other</h1><div class='x article_title'>T</div><div class='article_content'><div><p>{LONG}</p></div><p class='picture'>{LONG} pic</p><p class='picture big'>{LONG} kept</p><p>short</p></div><div class='article_content'><p>{LONG} related</p></div>", ("T", "div", f"{LONG}\n{LONG} kept", "content")),
+    (GT, f"<h1>h</h1><div class='article_content'><p>short</p></div><p class='c'>{LONG} c</p><p class>{LONG}</p>", ("h", "h1", LONG, "long")),
+    (GT, f"<div class='article_titles'>T</div><p>{LONG}</p>", (None, None, LONG, "long")),
+    (CMO, f"<h1>China Military</h1><div class='article-header'><h1> Head </h1></div><p class='ueditor-text'>{LONG}</p>", ("Head", "header", LONG, "display")),
+    (CMO, f"<h1>China Military</h1><h1>second</h1><p>{LONG}</p>", (None, None, LONG, "long")),
+    (CMO, f"<h1>Real</h1><div class='article-header'></div><p>{LONG}</p>", ("Real", "h1", LONG, "long")),
+    (CMO, "", (None, None, "", None)),
+    (CMO, None, (None, None, "", None)),
+]
+
+
+def test_rungs(spark):
+    for r, (url, html, want) in zip(read(spark, [c[:2] for c in RUNGS]), RUNGS):
+        assert (r.title, r.title_rung, r.body, r.body_rung) == want, (url, html)
+        assert r.published == "2026-05-08" or r.published_rung
+
+
+DATES = [
+    (PLA, '<div class="container artichle-info"><p>来源</p><p>发布：<b>2026-05-07</b> 10:00</p></div>', ("2026-05-07", "info")),
+    (PLA, "<p>2026-01-01 发布: 2026-05-06</p>", ("2026-01-01", "stamp")),
+    (PLA, "<p>2026-01-01</p>", ("2026-05-08", None)),
+    (MOD, "<script>var d='2026-04-30'</script><p>2026-05-01</p>", ("2026-04-30", "page")),
+    (GT, '<div class="source_time">By X</div><div class="a source_time">By Y | 2026/5/7 18:37:07</div>', ("2026-05-07", "source")),
+    (GT, "<p>2026/5/7</p>", ("2026-05-08", None)),
+    (CMO, '<div class="pub-info"><dl><dt>Time<dd>x 2026-05-01<dd> 2026-05-02 10:34:11</dl></div>', ("2026-05-02", "info")),
+    (CMO, "<p>seen 2026-05-03</p>", ("2026-05-03", "page")),
+]
+
+
+def test_dates(spark):
+    for r, (url, html, want) in zip(read(spark, [c[:2] for c in DATES]), DATES):
+        assert (r.published, r.published_rung) == want, (url, html)
 
 
 def test_other_hosts_repeated_pages_and_columns(spark):
