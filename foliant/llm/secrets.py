@@ -60,7 +60,12 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(blobs: DataFrame, text: str = "text") -> DataFrame:
-    """blobs with base (spans of BASE_RULES) and spans (of all rules), sorted by start, then kind as listed."""
+    """blobs with base (spans of BASE_RULES) and found (of all rules), sorted by start, then kind as listed.
+
+    Texts are scanned whole, whatever their length; a null one has no spans.
+    Older columns base, found and _s0 to _s7 are replaced or go; rows that
+    stand twice are scanned each; an empty table gives an empty one.
+    """
     t = F.col(text)
     rules = [*BASE_RULES, *MORE_RULES]
     every = blobs.withColumns({f"_s{i}": spans_of(t, i, *rule) for i, rule in enumerate(rules)})
@@ -87,7 +92,13 @@ def unseen(docs: DataFrame, ledger: DataFrame | None, path: str = "doc_id", text
 
 
 def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """The ledger (blob, rule_version, base, found) after a scan of what it lacks; None is an empty ledger."""
+    """The ledger (blob, rule_version, base, found) after a scan of what it lacks; None is an empty ledger.
+
+    Equal texts of any number of paths are one blob, a null text is the empty
+    one; very long texts are scanned whole. Other columns of docs are not
+    read; without rows the ledger stays as it is. A ledger of another rule
+    version is kept and its blobs are scanned again.
+    """
     new = scan(unseen(docs, ledger, path, text)).select("blob", F.lit(RULE_VERSION).alias("rule_version"), "base", "found")
     return new if ledger is None else ledger.unionByName(new)
 
@@ -104,7 +115,13 @@ def findings(docs: DataFrame, ledger: DataFrame, text: str = "text") -> DataFram
 
 
 def digest(found: DataFrame, path: str = "doc_id") -> DataFrame:
-    """Counts by base kind, the SHA-256 of the joined base spans and all joined spans."""
+    """Counts by base kind, the SHA-256 of the joined base spans and all joined spans.
+
+    One row for each row, in the columns named alone, whatever others there
+    are; spans that start at one place stand in the order of their rules. A
+    row without findings has counts of 0 and the digest of the empty text; an
+    empty table gives an empty one.
+    """
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         path,

@@ -127,7 +127,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
     At most sample labelled ids are used (a documented bound, which is what
     makes the broadcast of their labels and the matrix on the driver bounded);
     the words are chosen on the sample's whole texts. Of several label rows of
-    an id a positive one counts. Without labelled rows every probability is 0.
+    an id a positive one counts; document rows that repeat a labelled id are
+    rows of the sample each. Null texts and null ids teach nothing, empty and
+    very long texts are rows like others; equal scores of words go by the
+    word's hash. Further columns of docs go. Without labelled rows every
+    probability is 0.
     """
     categories = categories or CATEGORIES
     names = [f"y{k}" for k in range(len(categories))]
@@ -165,7 +169,10 @@ def score(docs: DataFrame, chain: Chain, keys: list[str], text: str = "text") ->
     """The columns keys of each row with p_<category> for each category of the chain and flags p >= THRESHOLD named by category.
 
     A null text counts as empty and gets the probabilities of a text without
-    known words; repeated rows are scored each.
+    known words. Very long texts are counted whole; equal texts, and rows that
+    stand twice, are scored each, alike. Columns other than keys go, whatever
+    their names; a key may not be named like a result. An empty table gives an
+    empty one.
     """
     rows = docs.select(*keys, F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(chain)
