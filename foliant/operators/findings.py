@@ -146,7 +146,7 @@ def edition_findings(sidecars: DataFrame, files: DataFrame) -> DataFrame:
     return own.unionByName(orphans).unionByName(series)
 
 
-def image_findings(pages: DataFrame, manifest: DataFrame, files: DataFrame) -> DataFrame:
+def image_findings(pages: DataFrame, manifest: DataFrame, files: DataFrame, veils: str = "media") -> DataFrame:
     """What is wrong with editorial pictures on rendered pages (name, text).
 
     manifest (id, file, source_page, treatment, routes, article_urls) lists
@@ -155,8 +155,8 @@ def image_findings(pages: DataFrame, manifest: DataFrame, files: DataFrame) -> D
     unknown_picture, no_credit, no_aria_label, no_context ('not evidence'
     nowhere), no_article_url (on article/ pages, where the entry names some)
     and retired_pattern. Pictures named src-{date} belong to an edition's own
-    article: their derivative must be published and their article, given as an
-    entry of the manifest under that id, linked.
+    article: their derivative, veils/{date}-veil.jpg, must be published and their
+    article, given as an entry of the manifest under that id, linked.
     """
     names = files.select("name").distinct()
     routes = F.coalesce("routes", F.array().cast("array<string>"))
@@ -165,8 +165,8 @@ def image_findings(pages: DataFrame, manifest: DataFrame, files: DataFrame) -> D
     curated = manifest.filter(~F.col("id").startswith("src-"))
     derived = curated.select("id", F.explode(F.array_compact(F.array(duo, navy))).alias("file")).select("id", F.concat(F.lit("assets/editorial/derivatives/"), "file").alias("name"), F.lit("derivative_missing").alias("rule"))
     sources = curated.filter((F.size(routes) > 0) & F.col("file").isNotNull()).select("id", F.concat(F.lit("assets/editorial/"), "file").alias("name"), F.lit("file_missing").alias("rule"))
-    veils = manifest.filter(F.col("id").startswith("src-")).select("id", F.concat(F.lit("the-pla-watch/media/"), F.substr("id", F.lit(5)), F.lit("-veil.jpg")).alias("name"), F.lit("derivative_missing").alias("rule"))
-    lost = derived.unionByName(sources).unionByName(veils).join(names, "name", "left_anti").select(F.col("id").alias("subject"), "rule", F.lit(ERROR).alias("severity"), F.col("name").alias("detail"))
+    own = manifest.filter(F.col("id").startswith("src-")).select("id", F.concat(F.lit(f"{veils}/"), F.substr("id", F.lit(5)), F.lit("-veil.jpg")).alias("name"), F.lit("derivative_missing").alias("rule"))
+    lost = derived.unionByName(sources).unionByName(own).join(names, "name", "left_anti").select(F.col("id").alias("subject"), "rule", F.lit(ERROR).alias("severity"), F.col("name").alias("detail"))
 
     page, text = F.col("name"), F.col("text")
     # ../ at the front of a reference climbs from the page's folder; the rest is below the root or that folder

@@ -106,7 +106,7 @@ def test_pictures(spark):
         ("posts/c.html", "no_credit", "error", "src-2026-05-09"),
         ("p1", "derivative_missing", "error", "assets/editorial/derivatives/p1-duo-navy.jpg"),
         ("p2", "file_missing", "error", "assets/editorial/p2.jpg"),
-        ("src-2026-05-09", "derivative_missing", "error", "the-pla-watch/media/2026-05-09-veil.jpg"),
+        ("src-2026-05-09", "derivative_missing", "error", "media/2026-05-09-veil.jpg"),
     ])
 
 
