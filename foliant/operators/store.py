@@ -90,7 +90,7 @@ def named_sources(sources: DataFrame, desks: DataFrame, institutions: DataFrame)
     """All sources with the names of their desk and institution, null where they have none."""
     d = desks.select(F.col("id").alias("desk_id"), F.col("name").alias("desk"))
     i = institutions.select(F.col("id").alias("institution_id"), F.col("name").alias("institution"))
-    return sources.join(F.broadcast(d), "desk_id", "left").join(F.broadcast(i), "institution_id", "left")
+    return sources.join(d, "desk_id", "left").join(i, "institution_id", "left")  # broadcast where Spark finds them small
 
 
 def results_of(results: DataFrame, run: int) -> DataFrame:

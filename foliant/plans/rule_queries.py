@@ -195,7 +195,7 @@ def institution_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.institutions(spark, sf_dir)
     parents = rows.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
     own = rows.withColumn("parent_id", F.when(F.col("id") % 5 != 0, F.col("id") - F.col("id") % 5))
-    return own.join(F.broadcast(parents), "parent_id", "left").select("id", "name", "parent")
+    return own.join(parents, "parent_id", "left").select("id", "name", "parent")
 
 
 @query(f"""WITH {RECORDS}, c AS (SELECT (SELECT count(*) FROM records) AS a, (SELECT count(*) FROM records WHERE id % 100 <> 7) AS b)
