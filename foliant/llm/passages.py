@@ -341,7 +341,7 @@ def _beside(w: dict, got: list[tuple[int, int, int, int]]) -> bool:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, spans_a, spans_b, rest): the verified passages of two texts in words, end exclusive, and the collisions that aren't beside one of them.
+    """(a, b, spans_a, spans_b, rest): the verified passages of two texts in words, end exclusive, and the collisions outside them.
 
     good are the collisions to verify, rest others of the two texts.
     """
@@ -351,12 +351,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, (own, others) in enumerate(zip(batch.column("good").to_pylist(), batch.column("rest").to_pylist())):
             x, y = (np.asarray(col[r].values) for col in (xs, ys))
             got: list[tuple[int, int, int, int]] = []
-            missed, failed = [], set()
+            failed = set()
             for w in sorted(own, key=lambda w: (w["l"] - w["r"], w["c"])):
                 if _beside(w, got):  # the longest passage there is found already
                     continue
                 if (w["c"], w["c2"]) in failed:  # by another signature, in a wider window
-                    missed.append(w)
                     continue
                 # A changed token may be less than the shared one and end the window inside the passage.
                 left, left2 = max(0, w["l"] - AROUND), max(0, w["l2"] - AROUND)
@@ -365,11 +364,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     a, b, c, d = part
                     got.append((left + a, left + b, left2 + c, left2 + d))
                 else:
-                    missed.append(w)
                     failed.add((w["c"], w["c2"]))
             for side, k in zip(spans, (0, 2)):
                 side.append(_in_words(got, k))
-            left_over.append([w for w in (*missed, *others) if not _beside(w, got)])
+            left_over.append([w for w in (*own, *others) if not any(a <= w["c"] < b for a, b, _, _ in got)])
         columns = [batch.column("a"), batch.column("b"), *[pa.array(x, _SPAN_TYPE) for x in spans], pa.array(left_over, batch.column("rest").type)]
         yield pa.RecordBatch.from_arrays(columns, ["a", "b", "spans_a", "spans_b", "rest"])
 
@@ -408,27 +406,30 @@ def _spans(found: DataFrame) -> DataFrame:
 
 
 def _around_missed(groups: DataFrame, rests: list[DataFrame], found: DataFrame) -> DataFrame:
-    """(band, n, node, k, l, c, r, open) of the groups of three windows or more that have open ones.
+    """(band, n, node, k, l, c, r, open, comp) of the groups of three windows or more that have open ones or several components.
 
-    A window is open if it failed with its leader, not beside a passage of the
-    same two texts, and no passage of its text that was found with whatever
-    other text covers its centre.
+    A window is open if it failed with its leader and no passage of its text
+    that was found with whatever other text covers its centre. comp is the
+    component of the text by the passages found so far: windows that are
+    covered on both sides may still hold a link between two of them.
     """
     missed = groups.filter("node = leader").select("band", "node", "c")
     for df in rests:
         missed = missed.union(df.select(F.col("a").alias("node"), F.explode("rest").alias("w")).select("w.band", "node", "w.c"))
+    missed = materialize(missed.distinct(), "missed")
     spans = _merged_spans(_spans(found)).withColumnRenamed("mark", "node")
     covers = F.exists("spans", lambda x: (x["start"] <= F.col("c")) & (F.col("c") < x["end"] - (SHINGLE_WORDS - 1)))
-    missed = missed.distinct().join(spans, "node", "left").filter(~F.coalesce(covers, F.lit(False))).select("band", "node", "c")
-    missed = materialize(missed, "missed")
+    uncovered = missed.join(spans, "node", "left").filter(~F.coalesce(covers, F.lit(False))).select("band", "node", "c", F.lit(True).alias("open"))
     near = groups.join(missed.select("band").distinct(), "band", "left_semi")
     members = near.select("band", "node", "k", "l", "c", "r").union(near.select("band", "leader", "k", "l2", "c2", "r2"))
     members = members.groupBy("band", "node", "c").agg(*[F.min(x).alias(x) for x in ("k", "l", "r")])
-    large = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 2")
-    members = members.join(large, "band").join(missed.withColumn("open", F.lit(True)), ["band", "node", "c"], "left")
-    members = materialize(members.withColumn("open", F.coalesce("open", F.lit(False))), "members")
-    release(missed)
-    return members
+    joined = connected_components(found.select("a", "b"))
+    members = members.join(uncovered, ["band", "node", "c"], "left").join(joined, "node", "left")
+    members = materialize(members.select("band", "node", "c", "k", "l", "r", F.coalesce("open", F.lit(False)).alias("open"), F.coalesce("component", "node").alias("comp")), "members")
+    large = members.groupBy("band").agg(F.count("*").alias("n"), F.bool_or("open").alias("some"), (F.min("comp") != F.max("comp")).alias("several"))
+    out = materialize(members.join(large.filter("n > 2 and (some or several)").select("band", "n"), "band"), "members")
+    release(missed, members)
+    return out
 
 
 def _dense(there: np.ndarray, near: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -448,12 +449,12 @@ def _dense(there: np.ndarray, near: np.ndarray, at: np.ndarray, i: np.ndarray, j
 def _compare_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, spans_a, spans_b) of windows (node, at, c, near, open) of one signature, a unit at a time.
 
-    A pair is compared if one of its windows is open and both are dense() in
-    the other, the more tokens in common the sooner; not if a passage already
-    covers both and links lead from one to the other.
+    A pair is compared if one of its windows is open or no links lead from one
+    text to the other (comp), and both are dense() in the other, the more tokens in common
+    the sooner; not if a passage already covers both and links lead from one to the other.
     """
     for table in unit_tables(batches):
-        node, own, opened, c, at = (table.column(x).to_numpy() for x in ("node", "own", "open", "c", "at"))
+        node, own, opened, comp, c, at = (table.column(x).to_numpy() for x in ("node", "own", "open", "comp", "c", "at"))
         lists = table.column("near").combine_chunks()
         starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         known, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
@@ -464,7 +465,7 @@ def _compare_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         there = np.zeros((n, len(known)), bool)
         there[row, number] = True
         common = common_counts(*np.nonzero(there)[::-1], n)
-        able = (node[:, None] != node[None, :]) & (opened[:, None] | opened[None, :])
+        able = (node[:, None] != node[None, :]) & (opened[:, None] | opened[None, :] | (comp[:, None] != comp[None, :]))
         if own.min() != own.max():
             able &= own[:, None] != own[None, :]
         i, j = np.nonzero(np.triu(able & (common > 0), 1))
@@ -473,7 +474,8 @@ def _compare_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         dense = _dense(there, near, at, j, i)
         i, j = i[dense], j[dense]
         order = np.argsort(-common[i, j], kind="stable")
-        covered, root = [False] * n, dict(zip(node.tolist(), node.tolist()))
+        covered = (~opened.astype(bool)).tolist()
+        root = dict(zip(node.tolist(), comp.tolist())) | {k: k for k in comp.tolist()}
 
         def find(k: int) -> int:
             while root[k] != k:
@@ -543,7 +545,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         texts = _tokens_of(members.select(F.col("node").alias("mark")).distinct(), classes, rows).withColumnRenamed("mark", "node")
         low = F.greatest(F.col("c") - AROUND, F.lit(0))
         placed = members.join(texts, "node").withColumns({"near": F.slice("items", low + 1, F.col("c") - low + AROUND + 1), "at": F.col("c") - low})
-        units = in_units(placed.select("band", "n", "node", "c", "at", "near", "open"), "node")
+        units = in_units(placed.select("band", "n", "node", "c", "at", "near", "open", "comp"), "node")
         found = found.union(materialize(units.mapInArrow(_compare_units, f"a long, b long, spans_a {_SPANS}, spans_b {_SPANS}"), "more"))
     joined = connected_components(found.select("a", "b"))
     release(again, members)

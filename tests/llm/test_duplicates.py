@@ -143,3 +143,36 @@ def test_second_passage_of_linked_texts(spark):
     assert len(got) == len(rows) and {r.class_id for r in got.values()} == {0}
     for i, at in places.items():
         assert any(s.start <= at and at + 60 <= s.end for s in got[i].spans)
+
+
+def test_link_between_covered_windows(spark):
+    """Two windows that passages with other texts cover may still hold the only link between two classes."""
+    window = "band long, node long, k int, l int, c int, r int, leader long, l2 int, c2 int, r2 int"
+    groups = spark.createDataFrame([(9, n, 0, 0, 50, 99, 1, 0, 50, 99) for n in (2, 3)], window)
+    cand = "array<struct<band:bigint,k:int,l:int,c:int,r:int,l2:int,c2:int,r2:int>>"
+    rest = spark.createDataFrame([(n, 1, [(9, 0, 0, 50, 99, 0, 50, 99)]) for n in (2, 3)], f"a long, b long, rest {cand}")
+    found = lambda rows: spark.createDataFrame([(a, b, [(20, 90)], [(20, 90)]) for a, b in rows], "a long, b long, spans_a array<struct<start:int,end:int>>, spans_b array<struct<start:int,end:int>>")
+    members = passages._around_missed(groups, [rest], found([(2, 4), (3, 5)]))
+    assert {(r.node, r.open, r.comp) for r in members.collect()} == {(1, False, 1), (2, False, 2), (3, False, 3)}
+    assert passages._around_missed(groups, [rest], found([(2, 4), (3, 5), (2, 3), (1, 2)])).count() == 0  # linked and covered
+    near, other = list(range(91)), list(range(1000, 1091))
+    other[45] = 45
+    rows = [(9, n, 50, 45, x, False, n, 0, 0) for n, x in ((1, other), (2, near), (3, near))]
+    table = spark.createDataFrame(rows, "band long, node long, c int, at int, near array<int>, open boolean, comp long, own int, unit long")
+    got = table.coalesce(1).mapInArrow(passages._compare_units, f"a long, b long, spans_a {passages._SPANS}, spans_b {passages._SPANS}").collect()
+    assert [(r.a, r.b) for r in got] == [(2, 3)]
+
+
+def test_window_beside_a_passage_meets_other_texts():
+    """A collision near a passage of its two texts, but outside it, is left over for other partners."""
+    import pyarrow as pa
+
+    x, y = list(range(200)), [*range(100), *range(5000, 5045), 145, *range(5046, 5100)]
+    w = lambda l, c, r: {"band": c, "k": 0, "l": l, "c": c, "r": r, "l2": l, "c2": c, "r2": r}  # noqa: E731, E741
+    kind = pa.list_(pa.struct([("band", pa.int64()), *[(f, pa.int32()) for f in ("k", "l", "c", "r", "l2", "c2", "r2")]]))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1], pa.int64()), pa.array([2], pa.int64()), pa.array([x], pa.list_(pa.int32())), pa.array([y], pa.list_(pa.int32())), pa.array([[w(0, 50, 199)]], kind), pa.array([[w(101, 145, 199)]], kind)],
+        ["a", "b", "x", "y", "good", "rest"],
+    )
+    (got,) = passages._verify([batch])
+    assert got.column("spans_a").to_pylist()[0] and [v["c"] for v in got.column("rest").to_pylist()[0]] == [145]
