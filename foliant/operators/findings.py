@@ -23,6 +23,7 @@ BODY_FIELDS = ["opening_note", "what_stood_out", "why_it_matters", "what_was_rou
 DESK_FIELDS = ["desk_id", "display_name", "jurisdiction_code", "default_timezone", "public_status", "supported_language_tags"]
 INSTITUTION_FIELDS = ["institution_id", "display_name", "institution_type"]
 SOURCE_FIELDS = ["slug", "institution_id", "display_name", "base_url", "language_tag", "access_method", "authority_tier", "source_type", "originality"]
+LISTS = ["listing_endpoints", "article_url_patterns"]
 PERMITTED = {
     "public_status": ["legacy", "shadow", "public", "paused"],
     "authority_tier": ["A", "B", "C", "D"],
@@ -221,59 +222,65 @@ def manifest_findings(manifests: DataFrame) -> DataFrame:
     manifest or among all), repeated_desk; unknown_institution, unknown_parent.
     All findings of all manifests are told, not the first alone.
     """
-    doc = F.col("doc")
-    rows = manifests.select("name", vx.parsed(F.col("text")).alias("doc"))
-    is_object = F.try_variant_get(doc, "$.desk", "map<string,variant>").isNotNull()
-    broken = _told(rows.filter(~F.coalesce(is_object, F.lit(False))), F.col("name"), [_finding(F.lit(True), "no_parse")])
-    rows = rows.filter(is_object)
-    desk_id = vx.field(doc, ["$.desk.desk_id"])
-    tags = F.transform(vx.items(doc, "$.desk.supported_language_tags"), lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))
-    base = rows.withColumns({"desk_id": desk_id, "tags": tags})
-    lacks = lambda e, fields: F.transform(F.filter(F.array(*[F.when(fx.is_blank(vx.field(e, [f"$.{f}"])), f) for f in fields]), lambda x: x.isNotNull()), lambda f: _finding(F.lit(True), "missing_field", ERROR, f))
     at = lambda e, name: vx.field(e, [f"$.{name}"])
+    doc, e = F.col("doc"), F.col("e.e")
+    # Parsed once, and each part of it looked at once: what is asked of an exploded column is not moved below the parse.
+    rows = manifests.select("name", F.explode(F.array(vx.parsed(F.col("text")))).alias("doc"))
     desk = F.try_variant_get(doc, "$.desk", "variant")
-    on_desk = _told(
-        base.withColumn("e", desk), F.concat("name", F.lit(":desk")),
-        [_enum(at(F.col("e"), "public_status"), "public_status"), _enum(at(F.col("e"), "default_calendar"), "default_calendar", "calendar"), _finding(F.size("tags") == 0, "missing_field", ERROR, F.lit("supported_language_tags"))],
-        [lacks(F.col("e"), DESK_FIELDS[:-1]), F.transform("tags", lambda x: _finding(~fx.is_language_tag(x), "language_tag", ERROR, x))],
+    whole = F.try_variant_get(desk, "$", "map<string,variant>").isNotNull()
+    part = lambda kind, i, x: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), x.alias("e"))
+    listed = lambda kind: F.transform(vx.items(doc, f"$.{kind}"), lambda x, i: part(kind, i, x))
+    parts = F.when(F.coalesce(whole, F.lit(False)), F.concat(F.array(part("desk", F.lit(0), desk)), listed("institutions"), listed("sources"))).otherwise(F.array(part("none", F.lit(0), F.lit(None).cast("variant"))))
+    tags = F.transform(vx.items(doc, "$.desk.supported_language_tags"), lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))
+    kind, i = F.col("e.kind"), F.col("e.i").cast("string")
+    names = sorted({*DESK_FIELDS[:-1], "default_calendar", *INSTITUTION_FIELDS, "parent_institution_id", *SOURCE_FIELDS, "calendar"})
+    rows = rows.select("name", tags.alias("tags"), F.explode(parts).alias("e"))
+    fields = rows.select(
+        "name", "tags", kind.alias("kind"), *[at(e, f).alias(f) for f in names],
+        F.concat("name", F.when(kind == "none", "").when(kind == "desk", ":desk").otherwise(F.concat(F.lit(":"), kind, F.lit("["), i, F.lit("]")))).alias("subject"),
+        F.try_variant_get(e, "$.expected_cadence_days", "variant").alias("cadence"),
+        *[(F.try_variant_get(e, f"$.{f}", "variant").isNotNull() & F.try_variant_get(e, f"$.{f}", "array<variant>").isNull()).alias(f"no_{f}") for f in LISTS],
     )
-    flat = lambda kind: base.select("name", "desk_id", "tags", F.posexplode(vx.items(doc, f"$.{kind}")).alias("i", "e")).withColumn("subject", F.concat("name", F.lit(f":{kind}["), F.col("i").cast("string"), F.lit("]")))
-    institutions, sources = flat("institutions"), flat("sources")
-    e = F.col("e")
-    ids = institutions.select("name", at(e, "institution_id").alias("own"), "subject", at(e, "parent_institution_id").alias("parent"))
-    known = ids.select("name", F.col("own").alias("ref")).filter("ref is not null").distinct()
-    on_institutions = _told(institutions, F.col("subject"), [_enum(at(e, "institution_type"), "institution_type")], [lacks(e, INSTITUTION_FIELDS)])
-    cadence = F.try_variant_get(e, "$.expected_cadence_days", "variant")
+    lacks = lambda wanted: [_finding(fx.is_blank(F.col(f)), "missing_field", ERROR, F.lit(f)) for f in wanted]
+    cadence = F.col("cadence")
     stated = cadence.isNotNull() & (F.schema_of_variant(cadence) != "VOID")
     days = F.coalesce(F.try_variant_get(cadence, "$", "double"), F.try_variant_get(cadence, "$", "string").try_cast("double"))
-    no_list = lambda f: _finding(F.try_variant_get(e, f"$.{f}", "variant").isNotNull() & F.try_variant_get(e, f"$.{f}", "array<variant>").isNull(), "not_a_list", ERROR, F.lit(f))
-    tag = at(e, "language_tag")
+    tag = F.col("language_tag")
     shaped = fx.is_language_tag(tag)
-    on_sources = _told(
-        sources, F.col("subject"),
-        [
-            *[_enum(at(e, f), f) for f in ("access_method", "authority_tier", "originality", "calendar")],
-            _finding(tag.isNotNull() & ~shaped, "language_tag", ERROR, tag),
-            _finding(shaped & ~F.array_contains("tags", tag), "undeclared_language", ERROR, tag),
-            _finding(stated & ~F.coalesce(days > 0, F.lit(False)), "cadence"),
-            no_list("listing_endpoints"), no_list("article_url_patterns"),
-        ],
-        [lacks(e, SOURCE_FIELDS)],
-    )
-    used = sources.select("name", "subject", at(e, "slug").alias("slug"), at(e, "institution_id").alias("ref"))
-    plain = lambda df, rule, detail: df.select("subject", F.lit(rule).alias("rule"), F.lit(ERROR).alias("severity"), F.col(detail).alias("detail"))
-    # the first in order stays; the others repeat it
-    later = lambda df, keys: df.filter(F.col(keys[-1]).isNotNull()).withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("subject"))).filter("k > 1")
-    desks = base.filter("desk_id is not null").select("desk_id", F.concat("name", F.lit(":desk")).alias("subject"))
-    parts = [
-        broken, on_desk, on_institutions, on_sources,
-        plain(later(ids, ["name", "own"]), "repeated_institution", "own"),
-        plain(later(used, ["slug"]), "repeated_slug", "slug"),
-        plain(later(desks, ["desk_id"]), "repeated_desk", "desk_id"),
-        plain(used.filter("ref is not null").join(known, ["name", "ref"], "left_anti"), "unknown_institution", "ref"),
-        plain(ids.withColumnRenamed("parent", "ref").filter("ref is not null").join(known, ["name", "ref"], "left_anti"), "unknown_parent", "ref"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    on_desk = F.concat(
+        F.array(_enum(F.col("public_status"), "public_status"), _enum(F.col("default_calendar"), "default_calendar", "calendar"), _finding(F.size("tags") == 0, "missing_field", ERROR, F.lit("supported_language_tags")), *lacks(DESK_FIELDS[:-1])),
+        F.transform("tags", lambda x: _finding(~fx.is_language_tag(x), "language_tag", ERROR, x)),
+    )
+    on_institution = F.array(_enum(F.col("institution_type"), "institution_type"), *lacks(INSTITUTION_FIELDS))
+    on_source = F.array(
+        *[_enum(F.col(f), f) for f in ("access_method", "authority_tier", "originality", "calendar")],
+        _finding(tag.isNotNull() & ~shaped, "language_tag", ERROR, tag),
+        _finding(shaped & ~F.array_contains("tags", tag), "undeclared_language", ERROR, tag),
+        _finding(stated & ~F.coalesce(days > 0, F.lit(False)), "cadence"),
+        *[_finding(F.col(f"no_{f}"), "not_a_list", ERROR, F.lit(f)) for f in LISTS],
+        *lacks(SOURCE_FIELDS),
+    )
+    found = F.when(F.col("kind") == "desk", on_desk).when(F.col("kind") == "institutions", on_institution).when(F.col("kind") == "sources", on_source).otherwise(F.array(_finding(F.lit(True), "no_parse")))
+    # What must stand once, or be declared: (space, scope, key), where a later row of one space repeats the first, and a reference wants a row that isn't one.
+    mark = lambda space, scope, key, rule, refers: F.struct(F.lit(space).alias("space"), scope.alias("scope"), key.alias("key"), F.lit(rule).alias("rule"), F.lit(ERROR).alias("severity"), key.alias("detail"), F.lit(refers).alias("refers"))
+    none = F.lit(None).cast("string")
+    name = F.col("name").cast("string")
+    marks = {
+        "desk": [mark("desk", none, F.col("desk_id"), "repeated_desk", False)],
+        "institutions": [mark("institution", name, F.col("institution_id"), "repeated_institution", False), mark("institution", name, F.col("parent_institution_id"), "unknown_parent", True)],
+        "sources": [mark("slug", none, F.col("slug"), "repeated_slug", False), mark("institution", name, F.col("institution_id"), "unknown_institution", True)],
+    }
+    keyed = F.array().cast("array<struct<space:string,scope:string,key:string,rule:string,severity:string,detail:string,refers:boolean>>")
+    for k, own in marks.items():
+        keyed = F.when(F.col("kind") == k, F.filter(F.array(*own), lambda x: x["key"].isNotNull())).otherwise(keyed)
+    told = F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: F.struct(F.lit("told").alias("space"), none.alias("scope"), none.alias("key"), x["rule"].alias("rule"), x["severity"].alias("severity"), x["detail"].alias("detail"), F.lit(False).alias("refers")))
+    every = fields.select(F.col("subject").cast("string").alias("subject"), F.explode(F.concat(told, keyed)).alias("f")).select("subject", "f.*")
+    # Findings that need no other row have keys of their own, so that one shuffle deals them all.
+    every = every.withColumn("key", F.coalesce("key", "subject"))
+    group = Window.partitionBy("space", "scope", "key")
+    placed = every.withColumns({"k": F.row_number().over(group.orderBy("refers", "subject")), "declared": F.first(~F.col("refers")).over(group.orderBy("refers", "subject"))})
+    wrong = (F.col("space") == "told") | (~F.col("refers") & (F.col("k") > 1)) | (F.col("refers") & ~F.col("declared"))
+    return placed.filter(wrong).select("subject", "rule", "severity", "detail")
 
 
 def spend(stages: DataFrame, prices: DataFrame, chars_per_token: float = 1.0) -> DataFrame:

@@ -12,7 +12,7 @@ from foliant.plans.corpus import EDITIONS, editions
 from foliant.plans.registry import query
 from foliant.plans.site_queries import _ISSUE
 from foliant.plans.store import with_tables as w
-from foliant.sources.snapshots import table
+from foliant.sources.snapshots import spread, table
 
 _URLS = "u AS (SELECT id, row_number() OVER (ORDER BY id) AS n, replace('https://site.example/article/' || id || '.html?a=1&b=2', '&', '&amp;') AS loc FROM articles WHERE analyzed_at IS NOT NULL)"
 
@@ -168,7 +168,7 @@ def manifest_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("news").alias("source_type"), F.lit("mirror").alias("originality"), F.when(k % 23 == 0, -1).otherwise(2).alias("expected_cadence_days"),
     )
     text = F.to_json(F.struct(desk.alias("desk"), F.array(institution).alias("institutions"), F.array(source).alias("sources")))
-    return findings.manifest_findings(table(spark, sf_dir, "customer").select(F.concat(F.lit("m"), key).alias("name"), text.alias("text")))
+    return findings.manifest_findings(spread(table(spark, sf_dir, "customer"), "c_custkey").select(F.concat(F.lit("m"), key).alias("name"), text.alias("text")))
 
 
 @query("""WITH s AS (SELECT lang AS label, CAST(sum(length(text)) AS BIGINT) AS chars, CASE WHEN lang = 'en' THEN 'small' ELSE 'large' END AS model, CASE WHEN lang = 'en' THEN 0.1::DOUBLE ELSE 1.3::DOUBLE END AS ratio FROM documents WHERE lang IS NOT NULL GROUP BY 1)

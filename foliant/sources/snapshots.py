@@ -16,6 +16,15 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by a hash of the keys into as many tasks as the session shuffles into.
+
+    A small file may hold a million narrow rows; as it is read it is one task
+    or two, whatever each row costs. Keys should differ from row to row.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a reliable checkpoint in the session's shared folder; a local one only in local mode where none is set."""
     context = df.sparkSession.sparkContext
