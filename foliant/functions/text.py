@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ def collapse(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, SPACE, " "))
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(x), lambda v: f(v)), 0)
+
+
 def is_blank(x: Column) -> Column:
     return F.coalesce(collapse(x), F.lit("")) == ""
 

@@ -77,7 +77,7 @@ HEADINGS = {
 
 
 def _classed(n: Column, name: str) -> Column:
-    return (n["tag"] == "div") & F.array_contains(F.split(F.coalesce(n["class"], F.lit("")), "\\s+"), name)
+    return (n["tag"] == "div") & F.contains(n["class"], F.lit(name)) & F.array_contains(F.split(F.coalesce(n["class"], F.lit("")), "\\s+"), name)
 
 
 def _paragraphs(nodes: Column, n: Column) -> Column:
@@ -111,10 +111,13 @@ def sections(trees: DataFrame, nodes: str = "nodes") -> DataFrame:
     told = lambda n: F.coalesce(F.nullif(_paragraphs(tree, n), F.lit("")), plain(n))
     single = [("term_to_know_term", first("term-word", plain)), ("term_to_know_explanation", first("term-explanation", told)), ("signal", first("signal-text", plain))]
     every = F.concat(F.transform(headings, section), F.array(*[F.struct(F.lit(k).alias("field"), v.alias("text")) for k, v in single]))
+
+    def last(full: Column) -> Column:
+        fields = F.array_distinct(F.transform(full, lambda s: s["field"]))
+        return F.transform(fields, lambda f: F.struct(f.alias("key"), F.element_at(F.filter(full, lambda s: s["field"] == f), -1)["text"].alias("value")))
+
     full = F.filter(every, lambda s: s["field"].isNotNull() & (F.coalesce(s["text"], F.lit("")) != ""))
-    fields = F.array_distinct(F.transform(full, lambda s: s["field"]))
-    last = F.transform(fields, lambda f: F.struct(f.alias("key"), F.element_at(F.filter(full, lambda s: s["field"] == f), -1)["text"].alias("value")))
-    return trees.withColumn("fields", F.map_from_entries(last))
+    return trees.withColumn("fields", F.map_from_entries(fx.bound(full, last)))
 
 
 def candidates(metadata: DataFrame, text: str = "text", title: str = "title") -> DataFrame:
@@ -124,13 +127,15 @@ def candidates(metadata: DataFrame, text: str = "text", title: str = "title") ->
     else the licence field, else Unknown; a page without an address of its own
     has one made of the title. Numbers that are missing are 0.
     """
-    doc = vx.parsed(F.col(text))
+    # A document is parsed once: what is asked of an exploded column is not moved below the parse.
+    metadata = metadata.select(F.col(title).alias("title"), F.explode(F.array(vx.parsed(F.col(text)))).alias("doc"))
+    doc = F.col("doc")
     about = lambda name: F.coalesce(fx.plain_text(F.coalesce(vx.field(doc, [f"$.extmetadata.{name}.value"]), F.lit(""))), F.lit(""))
     short, licence = about("LicenseShortName"), about("License")
     number = lambda p: F.coalesce(F.try_variant_get(doc, p, "int"), F.lit(0))
     url, mime = vx.field(doc, ["$.url"]), vx.field(doc, ["$.mime"])
     rows = metadata.select(
-        F.col(title).alias("title"),
+        "title",
         url.alias("url"),
         mime.alias("mime"),
         number("$.width").alias("width"),
@@ -138,6 +143,6 @@ def candidates(metadata: DataFrame, text: str = "text", title: str = "title") ->
         F.coalesce(F.nullif(short, F.lit("")), F.nullif(licence, F.lit("")), F.lit("Unknown")).alias("license_label"),
         about("Artist").alias("artist"),
         about("ImageDescription").alias("description"),
-        F.coalesce(vx.field(doc, ["$.descriptionurl"]), F.concat(F.lit("https://commons.wikimedia.org/wiki/"), F.replace(F.col(title), F.lit(" "), F.lit("_")))).alias("description_url"),
+        F.coalesce(vx.field(doc, ["$.descriptionurl"]), F.concat(F.lit("https://commons.wikimedia.org/wiki/"), F.replace(F.col("title"), F.lit(" "), F.lit("_")))).alias("description_url"),
     )
     return rows.filter(F.col("mime").isin(PICTURES) & F.col("url").isNotNull())

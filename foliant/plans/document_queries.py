@@ -11,7 +11,7 @@ from foliant.plans.corpus import EDITIONS, editions
 from foliant.plans.page_queries import stripped
 from foliant.plans.registry import query
 from foliant.sources.markup import trees
-from foliant.sources.snapshots import table
+from foliant.sources.snapshots import spread, table
 
 
 def _drifting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,5 +98,5 @@ def media_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(key % 2 == 0, F.concat(F.lit("http://d.example/"), key.cast("string"))).alias("descriptionurl"),
         )
     )
-    rows = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" "), key.cast("string")).alias("title"), doc.alias("text"))
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select(F.concat("p_name", F.lit(" "), key.cast("string")).alias("title"), doc.alias("text"))
     return sidecars.candidates(rows).select("title", "url", "mime", "width", "license_label", "artist", "description_url")
