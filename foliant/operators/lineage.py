@@ -78,7 +78,8 @@ def explained(base: DataFrame, origin: DataFrame, local: DataFrame, merged: Data
     named = found.filter("how = 'matched'").select(F.col("merged_id").alias("id"), F.lit("named").alias("side"), F.lit(None).cast(packed(local, "l").schema["p"].dataType).alias("p"))
     sides = packed(origin, "origin").unionByName(packed(kept, "kept")).unionByName(packed(merged, "merged")).unionByName(named)
     at = lambda side: F.when(F.col("side") == side, F.col("p"))
-    by_id = sides.groupBy("id").agg(*[F.count_if(F.col("side") == s).alias(f"n_{s}") for s in ("origin", "kept", "merged", "named")], *[F.min(at(s)).alias(f"p_{s}") for s in ("origin", "kept", "merged")])
+    # Dealt by id first: a group has a few rows, and combining them as they are read would sort all that a task reads.
+    by_id = sides.repartition("id").groupBy("id").agg(*[F.count_if(F.col("side") == s).alias(f"n_{s}") for s in ("origin", "kept", "merged", "named")], *[F.min(at(s)).alias(f"p_{s}") for s in ("origin", "kept", "merged")])
     there, n = F.col("n_merged") > 0, lambda s: F.col(f"n_{s}") > 0
     rules = {
         "origin_lost": n("origin") & ~there,
