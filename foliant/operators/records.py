@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -109,19 +110,24 @@ def summary_lint(title: Column, summary: Column, openers: list[str], phrases: li
 
     An empty summary is the one finding 'empty summary'.
     """
-    s = fx.collapse(F.coalesce(summary, F.lit("")))
-    low = F.lower(s)
+    words = lambda x: F.filter(F.split(F.regexp_replace(F.lower(x), "[^a-z0-9 ]", ""), " +"), lambda w: w != "")
+    told = lambda s, head: fx.bound(F.struct(s.alias("s"), head.alias("head"), F.lower(s).alias("low"), fx.sentences(s).alias("parts"), fx.n_words(s).alias("n")), checks)
+
+    def checks(x: Column) -> Column:
+        return _lint(x["s"], x["low"], x["parts"], x["n"], x["head"], words, openers, phrases, most_sentences, most_words, excerpt)
+
+    return fx.bound(F.struct(fx.collapse(F.coalesce(summary, F.lit(""))).alias("s"), words(F.coalesce(title, F.lit(""))).alias("head")), lambda x: told(x["s"], x["head"]))
+
+
+def _lint(s: Column, low: Column, parts: Column, n: Column, head: Column, words: Callable[[Column], Column], openers: list[str], phrases: list[str], most_sentences: int, most_words: int, excerpt: int) -> Column:
     opened = reduce(lambda a, b: F.coalesce(a, b), [F.when(low.startswith(o), F.lit(f"opener: {o}")) for o in openers], F.lit(None).cast("string"))
     found = [F.when(F.contains(low, F.lit(p)), f"phrase: {p}") for p in phrases]
-    parts = fx.sentences(s)
-    words = lambda x: F.filter(F.split(F.regexp_replace(F.lower(x), "[^a-z0-9 ]", ""), " +"), lambda w: w != "")
-    head = words(F.coalesce(title, F.lit("")))
     repeats = (F.size(head) >= 8) & (F.slice(words(s), F.lit(1), F.greatest(F.size(head), F.lit(1))) == head)
     first = F.length(F.get(parts, 0))
     checks = [
         opened, *found,
         F.when(F.size(parts) > most_sentences, F.concat(F.size(parts).cast("string"), F.lit(" sentences"))),
-        F.when(fx.n_words(s) > most_words, F.concat(fx.n_words(s).cast("string"), F.lit(" words"))),
+        F.when(n > most_words, F.concat(n.cast("string"), F.lit(" words"))),
         F.when(repeats, "repeats the headline"),
         F.when(first > excerpt, F.concat(F.lit("first sentence of "), first.cast("string"), F.lit(" characters"))),
     ]
