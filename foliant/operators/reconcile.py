@@ -137,21 +137,25 @@ def gates(base: DataFrame, origin: DataFrame, local: DataFrame, merged: DataFram
     """(name, violations) of the merged articles; all must be 0 before they are published. Ids may not move against base.
 
     Violations count URLs (duplicate_id: ids). The four snapshots are grouped
-    by URL once, with what each has there; a null source is a source of its own.
+    once, by URL and, for merged, by id, with what each has there; a null source is a source of its own.
     """
     names = ["base", "origin", "local", "merged"]
     no_source = lambda df: df if source in df.columns else df.withColumn(source, F.lit(None).cast("string"))
     sides = {k: no_source(df) for k, df in zip(names, (base, origin, local, merged))}
-    every = _sides(sides, [url], [F.col("id"), F.col("passed_relevance").isNotNull().alias("decided"), F.struct(F.col(source).cast("string").alias("s")).alias("v")])
+    # A merged row stands under its URL and under its id, so that the merge is computed once.
+    under = F.array(F.struct(F.lit("url").alias("by"), F.lit(None).cast(merged.schema["id"].dataType).alias("key")), F.struct(F.lit("id").alias("by"), F.col("id").alias("key")))
+    sides = {k: df.withColumn("_at", F.explode(under if k == "merged" else F.slice(under, 1, 1))) for k, df in sides.items()}
+    sides = {k: df.withColumns({"_by": F.col("_at.by"), "_key": F.col("_at.key").cast("string"), url: F.when(F.col("_at.by") == "url", F.col(url))}) for k, df in sides.items()}
+    every = _sides(sides, ["_by", "_key", url], [F.col("id"), F.col("passed_relevance").isNotNull().alias("decided"), F.struct(F.col(source).cast("string").alias("s")).alias("v")])
     at = lambda side, x: F.when(F.col("side") == side, x)
     figures = [f for k in names for f in (F.count(at(k, F.lit(1))).alias(f"n_{k}"), F.min(at(k, F.col("v"))).alias(f"least_{k}"), F.max(at(k, F.col("v"))).alias(f"most_{k}"))]
     figures += [f for k in ("base", "merged") for f in (F.min(at(k, F.col("id"))).alias(f"least_id_{k}"), F.max(at(k, F.col("id"))).alias(f"most_id_{k}"))]
     figures += [F.count_if((F.col("side") == k) & F.col("decided")).alias(f"decided_{k}") for k in names]
-    by_url = every.groupBy(url).agg(*figures)
+    grouped = every.groupBy("_by", "_key", url).agg(*figures)
     has = {k: F.col(f"n_{k}") > 0 for k in names}
     undecided = F.col("decided_merged") < F.col("n_merged")
     rules = {
-        "duplicate_url": F.col("n_merged") > 1,
+        "duplicate_url": (F.col("_by") == "url") & (F.col("n_merged") > 1),
         "id_drift": has["base"] & has["merged"] & ((F.col("least_id_base") != F.col("least_id_merged")) | (F.col("most_id_base") != F.col("most_id_merged"))),
         "origin_url_lost": has["origin"] & ~has["merged"],
         "local_url_lost": has["local"] & ~has["merged"],
@@ -160,9 +164,9 @@ def gates(base: DataFrame, origin: DataFrame, local: DataFrame, merged: DataFram
         "source_conflict": has["origin"] & has["local"] & _differ("origin", "local"),
         "origin_source_changed": has["origin"] & has["merged"] & _differ("origin", "merged"),
         "local_source_changed": has["local"] & ~has["origin"] & has["merged"] & _differ("local", "merged"),
+        "duplicate_id": (F.col("_by") == "id") & (F.col("n_merged") > 1),
     }
-    repeated = merged.groupBy("id").agg(F.count("*").alias("n"))
-    return _counted(by_url, rules).union(_counted(repeated, {"duplicate_id": F.col("n") > 1}))
+    return _counted(grouped, rules)
 
 
 def result_gates(origin: DataFrame, placed: DataFrame, merged: DataFrame, runs: DataFrame, payload: list[str], keys: tuple[str, str] = ("scrape_run_id", "source_slug")) -> DataFrame:

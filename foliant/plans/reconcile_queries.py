@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators import reconcile as ops
-from foliant.operators.store import attribution
 from foliant.plans import store as t
 from foliant.plans.registry import query
 from foliant.plans.store import with_tables
@@ -120,7 +119,8 @@ def reconcile_article_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     snaps = snapshots(spark, sf_dir)
     origin, local, _ = _articles(snaps)
     sources = snaps["origin"]["sources"]
-    named = lambda df: df.join(attribution(df, sources), "url")
+    slugs = sources.select(F.col("id").alias("source_id"), F.col("slug").alias("source_slug"))
+    named = lambda df: df.join(slugs, "source_id", "left")
     merged = named(ops.reconcile_articles(origin, local, fields=FIELDS))
     key = F.col("id")
     bad = merged.filter("url not like '%7'").withColumns({"id": F.when(key % 40 == 0, key + 1).otherwise(key), "passed_relevance": F.when(key % 24 != 0, F.col("passed_relevance"))})
