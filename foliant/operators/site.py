@@ -145,6 +145,8 @@ def kept_in_order(rows: DataFrame, group: str, key: Column, position: str = "pos
 def distinct_in_order(values: DataFrame, group: str, value: str, position: str = "position", cap: int = 8) -> DataFrame:
     """The first cap different values of each group, blank ones left out, compared in any case, in their order, ties by value."""
     rows = values.withColumn(value, fx.collapse(F.col(value))).filter(F.coalesce(value, F.lit("")) != "")
+    # Dealt before they are combined: a task sorts what it combines, and a split of a large file is a large sort.
+    rows = rows.repartition(F.xxhash64(group, value, position))
     first = rows.groupBy(group, F.lower(value).alias("_low")).agg(F.min_by(value, position).alias(value), F.min(position).alias(position))
     placed = first.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(position, "_low")))
     return placed.filter(F.col("place") <= cap).drop("_low")
