@@ -47,6 +47,12 @@ def nth_match(left: DataFrame, right: DataFrame, payload: list[str], order: str
     return a.join(b, F.col("_p").eqNullSafe(F.col("_q")) & (F.col("_n") == F.col("_m"))).select("left_id", "right_id")
 
 
+def _dealt(id: str, *sides: DataFrame) -> list[DataFrame]:
+    """The sides by id, in as many tasks as the session shuffles into: joins and groups by id need no further shuffle, and each task holds a small share."""
+    n = int(sides[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return [df.repartition(n, id) for df in sides]
+
+
 def recovered(base: DataFrame, origin: DataFrame, local: DataFrame, merged: DataFrame, payload: list[str], id: str = "id") -> DataFrame:
     """(local_id, merged_id, how) of all rows of local, found from the four tables alone.
 
@@ -55,9 +61,10 @@ def recovered(base: DataFrame, origin: DataFrame, local: DataFrame, merged: Data
     merge that stand in neither base nor origin: 'matched', or else merged_id
     and how are null, and nothing is known about the row.
     """
+    base, origin, local, merged = _dealt(id, base, origin, local, merged)
     ids = lambda df: df.select(F.col(id)).distinct()
     kept = ids(local).join(ids(base), id, "left_semi").join(ids(merged), id, "left_semi")
-    new = merged.join(ids(base).union(ids(origin)).distinct(), id, "left_anti")
+    new = merged.join(ids(base), id, "left_anti").join(ids(origin), id, "left_anti")
     own = local.join(kept, id, "left_anti")
     found = nth_match(own, new, payload, id).select(F.col("left_id").alias(id), F.col("right_id").alias("merged_id"))
     rest = ids(own).join(found, id, "left").select(F.col(id).alias("local_id"), "merged_id", F.when(F.col("merged_id").isNotNull(), "matched").alias("how"))
@@ -72,6 +79,7 @@ def explained(base: DataFrame, origin: DataFrame, local: DataFrame, merged: Data
     carried with neither origin's payload nor its own; merged_unexplained for rows of the merge
     that no input accounts for; repeated_id for ids that stand twice.
     """
+    base, origin, local, merged = _dealt(id, base, origin, local, merged)
     found = recovered(base, origin, local, merged, payload, id)
     packed = lambda df, side: df.select(F.col(id).alias("id"), F.lit(side).alias("side"), F.struct(*payload).alias("p"))
     kept = local.join(found.filter("how = 'inherited'").select(F.col("local_id").alias(id)), id, "left_semi")
@@ -79,7 +87,7 @@ def explained(base: DataFrame, origin: DataFrame, local: DataFrame, merged: Data
     sides = packed(origin, "origin").unionByName(packed(kept, "kept")).unionByName(packed(merged, "merged")).unionByName(named)
     at = lambda side: F.when(F.col("side") == side, F.col("p"))
     # Dealt by id first: a group has a few rows, and combining them as they are read would sort all that a task reads.
-    by_id = sides.repartition("id").groupBy("id").agg(*[F.count_if(F.col("side") == s).alias(f"n_{s}") for s in ("origin", "kept", "merged", "named")], *[F.min(at(s)).alias(f"p_{s}") for s in ("origin", "kept", "merged")])
+    by_id = _dealt("id", sides)[0].groupBy("id").agg(*[F.count_if(F.col("side") == s).alias(f"n_{s}") for s in ("origin", "kept", "merged", "named")], *[F.min(at(s)).alias(f"p_{s}") for s in ("origin", "kept", "merged")])
     there, n = F.col("n_merged") > 0, lambda s: F.col(f"n_{s}") > 0
     rules = {
         "origin_lost": n("origin") & ~there,
