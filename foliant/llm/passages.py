@@ -100,8 +100,8 @@ def compact_windows(values: list[int], places: list[int], rows: list[tuple[int,
     return out
 
 
-def _text_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(mark of the text, key, hash function, left, centre, right) of the windows of all rows."""
+def _row_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, its first token, mark of the text, key, hash function, left, centre, right) of the windows of all rows; places are counted over all rows."""
     words, rows = word_hashes(data, offsets)
     tokens, heads = shingle_hashes(words, rows)
     marks = span_hashes(words, rows[:-1], rows[1:])
@@ -118,9 +118,14 @@ def _text_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ..
     flat = np.concatenate(found)
     flat = flat[enough[flat[:, 0]]]
     row, k, left, centre, right = flat.T
-    base = heads[row]
     keys = mix(tokens[centre] ^ _KEYS[k])
-    return marks[row].view(np.int64), keys.view(np.int64), k, left - base, centre - base, right - base
+    return row, heads[row], marks[row].view(np.int64), keys.view(np.int64), k, left, centre, right
+
+
+def _text_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(mark of the text, key, hash function, left, centre, right) of the windows of all rows."""
+    _, base, node, keys, k, left, centre, right = _row_windows(data, offsets)
+    return node, keys, k, left - base, centre - base, right - base
 
 
 def _with_leaders(band: np.ndarray, node: np.ndarray, rest: list[np.ndarray]) -> pa.RecordBatch:
@@ -174,15 +179,18 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["band", "node", "k", "l", "c", "r", *names])
 
 
-def _pairs_within(keys: np.ndarray, k: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, key) of a text's windows of different hash functions, i of the lower, that some range of WIDTH tokens lies in with both centres."""
+def _pairs_within(keys: np.ndarray, k: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, key) of windows of different hash functions, i of the lower, one of them asked, that some range of WIDTH tokens lies in with both centres."""
     order = np.argsort(c, kind="stable")
-    low, high = np.searchsorted(c[order], c - AROUND), np.searchsorted(c[order], c + AROUND, "right")
+    own = np.flatnonzero(asked)
+    low, high = np.searchsorted(c[order], c[own] - AROUND), np.searchsorted(c[order], c[own] + AROUND, "right")
     n = high - low
-    i = np.repeat(np.arange(len(c)), n)
+    i = np.repeat(own, n)
     j = order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    fit = (k[i] < k[j]) & (np.minimum(r[i], r[j]) - np.maximum(l[i], l[j]) >= AROUND)
+    fit = (k[i] != k[j]) & (np.minimum(r[i], r[j]) - np.maximum(l[i], l[j]) >= AROUND)
+    fit &= (k[i] < k[j]) | ~asked[j]  # two that are asked meet twice
     i, j = i[fit], j[fit]
+    i, j = np.where(k[i] < k[j], i, j), np.where(k[i] < k[j], j, i)
     return i, j, mix(keys[i].view(U64) * U64(0x9E3779B97F4A7C15) + keys[j].view(U64)).view(np.int64)
 
 
@@ -191,15 +199,17 @@ def _paired_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         parts = []
         wanted = batch.column("wanted")
-        for r in range(batch.num_rows):
-            for _, _, data, offsets in chunks(batch.column("text").slice(r, 1)):
-                node, keys, k, left, c, right = _text_windows(data, offsets)
-                own = wanted[r].values
-                asked = np.isin(c * HASHES + k, own.field("c").to_numpy().astype(np.int64) * HASHES + own.field("k").to_numpy())
-                i, j, key = _pairs_within(keys, k, left, c, right)
-                keep = asked[i] | asked[j]
-                i, key = i[keep], key[keep]
-                parts.append((node[i], key, k[i], left[i], c[i], right[i]))
+        flat, sizes = wanted.flatten(), wanted.value_lengths().to_numpy()
+        row, want_c, want_k = np.repeat(np.arange(len(sizes)), sizes), flat.field("c").to_numpy().astype(np.int64), flat.field("k").to_numpy()
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        for first, last, data, offsets in chunks(batch.column("text")):
+            own, base, node, keys, k, left, c, right = _row_windows(data, offsets)
+            heads = np.zeros(last - first, np.int64)  # of the rows that have windows; of no use for others
+            heads[own] = base
+            a, b = starts[first], starts[last]
+            asked = np.isin(c * HASHES + k, (want_c[a:b] + heads[row[a:b] - first]) * HASHES + want_k[a:b]) if b > a else np.zeros(len(c), bool)
+            i, _, key = _pairs_within(keys, k, left, c, right, asked)  # windows of two rows have no token in common
+            parts.append((node[i], key, k[i], (left - base)[i], (c - base)[i], (right - base)[i]))
         if parts:
             node, band, *rest = (np.concatenate(x) for x in zip(*parts))
             yield _with_leaders(band, node, rest)
@@ -263,9 +273,9 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _reach(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lengths of a side, and their scores, that no longer one equals or beats: a side ends with tokens in common."""
     total = np.cumsum(score)
-    beyond = np.maximum.accumulate(total[::-1])[::-1]
-    at = np.flatnonzero(total > np.append(beyond[1:], np.iinfo(np.int64).min))
-    at = at[score[at] > 0]
+    best = score > 0
+    best[:-1] &= total[:-1] > np.maximum.accumulate(total[:0:-1])[::-1]
+    at = np.flatnonzero(best)
     return at + 1, total[at]
 
 
@@ -278,8 +288,8 @@ def _member(values: np.ndarray, size: int) -> np.ndarray:
 
 def _best_range(hit: np.ndarray, at: int) -> tuple[int, int]:
     """The range around a place with the greatest 4 common - 3 union: a token in common adds 4, another takes 3."""
-    score = np.where(hit, 4, -3)
-    return at - int(np.cumsum(score[at::-1]).argmax()), int(np.cumsum(score[at:]).argmax()) + at + 1
+    score = hit * np.int64(7) - 3
+    return at - int(score[at::-1].cumsum().argmax()), int(score[at:].cumsum().argmax()) + at + 1
 
 
 def _filled(hit: np.ndarray, a: int, b: int) -> tuple[int, int]:
@@ -301,7 +311,7 @@ def numbered_part(x: np.ndarray, y: np.ndarray, cx: int, cy: int, size: int) ->
     """
     if len(x) < WIDTH or len(y) < WIDTH:
         return None
-    score = np.where(_member(y, size)[x], 1, -3)
+    score = _member(y, size)[x] * np.int64(4) - 3
     left, ls = _reach(score[cx::-1])
     right, rs = _reach(score[cx:])
     length = left[:, None] + right[None, :] - 1
@@ -335,9 +345,38 @@ def _in_words(got: list[tuple[int, int, int, int]], k: int) -> list[dict[str, in
     return [{"start": g[k], "end": g[k + 1] + SHINGLE_WORDS - 1} for g in got]
 
 
-def _beside(w: dict, got: list[tuple[int, int, int, int]]) -> bool:
-    """Whether a collision lies in a passage of its two texts or, in both, within AROUND tokens of the same one: an edited place of a longer copy."""
-    return any(a - AROUND <= w["c"] < b + AROUND and c - AROUND <= w["c2"] < d + AROUND for a, b, c, d in got)
+def _beside(c: np.ndarray, c2: np.ndarray, part: tuple[int, int, int, int]) -> np.ndarray:
+    """Which collisions lie in a passage of their two texts or, in both, within AROUND tokens of it: an edited place of a longer copy."""
+    a, b, a2, b2 = part
+    return (a - AROUND <= c) & (c < b + AROUND) & (a2 - AROUND <= c2) & (c2 < b2 + AROUND)
+
+
+def _passages_of(x: np.ndarray, y: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray, l2: np.ndarray, c2: np.ndarray, r2: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """The passages of two texts that their collisions lead to, the widest windows first."""
+    order = np.lexsort((c, l - r))
+    l, c, r, l2, c2, r2 = (v[order] for v in (l, c, r, l2, c2, r2))
+    # A changed token may be less than the shared one and end the window inside the passage.
+    low, high, low2, high2 = np.maximum(0, l - AROUND).tolist(), (r + AROUND + 1).tolist(), np.maximum(0, l2 - AROUND).tolist(), (r2 + AROUND + 1).tolist()
+    got: list[tuple[int, int, int, int]] = []
+    done = np.zeros(len(c), bool)
+    left, number, size = len(x) + len(y), None, 0
+    for k, (at, at2) in enumerate(zip(c.tolist(), c2.tolist())):
+        if done[k]:  # the longest passage there is found already, or it failed by another signature, in a wider window
+            continue
+        u, v = x[low[k] : high[k]], y[low2[k] : high2[k]]
+        left -= len(u) + len(v)
+        if left < 0 and number is None:  # as much as both texts was numbered: number them once
+            known, number = np.unique(np.concatenate([x, y]), return_inverse=True)
+            x, y, size = number[: len(x)], number[len(x) :], len(known)
+            u, v = x[low[k] : high[k]], y[low2[k] : high2[k]]
+        part = common_part(u, v, at - low[k], at2 - low2[k]) if number is None else numbered_part(u, v, at - low[k], at2 - low2[k], size)
+        if part:
+            a, b, a2, b2 = part
+            got.append((low[k] + a, low[k] + b, low2[k] + a2, low2[k] + b2))
+            done |= _beside(c, c2, got[-1])
+        else:
+            done |= (c == at) & (c2 == at2)
+    return got
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,29 +385,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     good are the collisions to verify, rest others of the two texts.
     """
     for batch in batches:
-        spans, left_over = ([], []), []
-        xs, ys = batch.column("x"), batch.column("y")
-        for r, (own, others) in enumerate(zip(batch.column("good").to_pylist(), batch.column("rest").to_pylist())):
-            x, y = (np.asarray(col[r].values) for col in (xs, ys))
-            got: list[tuple[int, int, int, int]] = []
-            failed = set()
-            for w in sorted(own, key=lambda w: (w["l"] - w["r"], w["c"])):
-                if _beside(w, got):  # the longest passage there is found already
-                    continue
-                if (w["c"], w["c2"]) in failed:  # by another signature, in a wider window
-                    continue
-                # A changed token may be less than the shared one and end the window inside the passage.
-                left, left2 = max(0, w["l"] - AROUND), max(0, w["l2"] - AROUND)
-                part = common_part(x[left : w["r"] + AROUND + 1], y[left2 : w["r2"] + AROUND + 1], w["c"] - left, w["c2"] - left2)
-                if part:
-                    a, b, c, d = part
-                    got.append((left + a, left + b, left2 + c, left2 + d))
-                else:
-                    failed.add((w["c"], w["c2"]))
-            for side, k in zip(spans, (0, 2)):
-                side.append(_in_words(got, k))
-            left_over.append([w for w in (*own, *others) if not any(a <= w["c"] < b for a, b, _, _ in got)])
-        columns = [batch.column("a"), batch.column("b"), *[pa.array(x, _SPAN_TYPE) for x in spans], pa.array(left_over, batch.column("rest").type)]
+        spans, left_over = ([], []), [np.zeros(0, np.int64)]
+        xs, ys, good, rest = (batch.column(c) for c in ("x", "y", "good", "rest"))
+        flat = pa.concat_arrays([good.flatten().cast(rest.type.value_type), rest.flatten()])
+        places = [flat.field(v).to_numpy() for v in ("l", "c", "r", "l2", "c2", "r2")]
+        ends, others = (np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy())]) for col in (good, rest))
+        others = others + ends[-1]
+        for k in range(batch.num_rows):
+            own = slice(int(ends[k]), int(ends[k + 1]))
+            got = _passages_of(xs[k].values.to_numpy(), ys[k].values.to_numpy(), *(v[own] for v in places))
+            for side, j in zip(spans, (0, 2)):
+                side.append(_in_words(got, j))
+            at = np.concatenate([np.arange(own.start, own.stop), np.arange(others[k], others[k + 1])])
+            for a, b, _, _ in got:
+                at = at[(places[1][at] < a) | (places[1][at] >= b)]
+            left_over.append(at)
+        lists = pa.ListArray.from_arrays(np.cumsum([len(at) for at in left_over]).astype(np.int32), flat.take(pa.array(np.concatenate(left_over))))
+        columns = [batch.column("a"), batch.column("b"), *[pa.array(x, _SPAN_TYPE) for x in spans], lists]
         yield pa.RecordBatch.from_arrays(columns, ["a", "b", "spans_a", "spans_b", "rest"])
 
 
@@ -432,17 +465,70 @@ def _around_missed(groups: DataFrame, rests: list[DataFrame], found: DataFrame)
     return out
 
 
-def _dense(there: np.ndarray, near: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether of WIDTH places of near[i] around its shared token three quarters hold tokens of window j; there: (windows, numbers), near: -1 beyond a text."""
+def _dense(place: np.ndarray, near: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether of WIDTH places of near[i] around its shared token three quarters hold tokens of window j; place: (windows, numbers), near: -1 beyond a text."""
     out = np.zeros(len(i), bool)
-    starts = np.arange(near.shape[1] - WIDTH + 1)
     for part in np.array_split(np.arange(len(i)), -(-len(i) // 4096) or 1):
         own = near[i[part]]
-        hits = there[j[part][:, None], own] & (own >= 0)
+        hits = (place[j[part][:, None], own] >= 0) & (own >= 0)
         total = np.pad(np.cumsum(hits, axis=1, dtype=np.int16), ((0, 0), (1, 0)))
-        most = total[:, WIDTH:] - total[:, :-WIDTH]
-        around = (starts <= at[i[part]][:, None]) & (at[i[part]][:, None] < starts + WIDTH)
-        out[part] = ((4 * most >= 3 * WIDTH - 3) & around).any(axis=1)
+        out[part] = 4 * (total[:, WIDTH:] - total[:, :-WIDTH]).max(axis=1) >= 3 * WIDTH - 3
+    return out
+
+
+def _reaches(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lengths of each row _reach() gives, and the scores of all."""
+    total = np.cumsum(score, axis=1, dtype=np.int16)
+    later = np.full_like(total, np.iinfo(np.int16).min)
+    later[:, :-1] = np.maximum.accumulate(total[:, ::-1], axis=1)[:, ::-1][:, 1:]
+    return (total > later) & (score > 0), total
+
+
+def _widened(hit: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_filled() of many rows, whose texts go from low to high."""
+    common = np.pad(np.cumsum(hit, axis=1, dtype=np.int16), ((0, 0), (1, 0)))
+    common = common[:, WIDTH:] - common[:, :-WIDTH]
+    start = np.arange(common.shape[1])
+    common[(start < np.maximum(low, b - WIDTH)[:, None]) | (start > np.minimum(a, high - WIDTH)[:, None])] = -1
+    short = b - a < WIDTH
+    a = np.where(short, common.argmax(axis=1), a)
+    return a, np.where(short, a + WIDTH, b)
+
+
+def _passing(place: np.ndarray, near: np.ndarray, low: np.ndarray, high: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For which pairs of windows i and j without repeated tokens numbered_part() finds passages: its steps for all ways at once.
+
+    near has the shared token of every window in the column AROUND and -1 beyond
+    its range low to high; place gives the column of a token number in a window, or -1.
+    """
+    out = np.zeros(len(i), bool)
+    length = np.add.outer(np.arange(1, AROUND + 2), np.arange(AROUND + 1))
+    lacking = (1 + 3 * np.maximum(0, WIDTH - length)).astype(np.int16)
+    here, beyond = np.int16(-3), np.int16(-100)  # beyond the texts no range gains
+    for part in np.array_split(np.arange(len(i)), -(-len(i) // 1024) or 1):
+        p, q = i[part], j[part]
+        x, y = near[p], near[q]
+        in_y = np.where(x >= 0, place[q[:, None], x], np.int8(-1))  # where a token of x is in y
+        in_x = np.where(y >= 0, place[p[:, None], y], np.int8(-1))
+        score = np.where(in_y >= 0, np.int16(1), np.where(x >= 0, here, beyond))
+        (left, ls), (right, rs) = _reaches(score[:, AROUND::-1]), _reaches(score[:, AROUND:])
+        # Lengths that are none have no score that is enough.
+        able = np.where(left, ls, np.int16(-9999))[:, :, None] + np.where(right, rs, np.int16(-9999))[:, None, :] >= lacking
+        w, u, v = np.nonzero(able)
+        if not len(w):
+            continue
+        in_y, in_x, p, q = in_y[w], in_x[w], p[w], q[w]
+        a, b = AROUND - u, AROUND + v + 1
+        hit = (in_x >= a[:, None]) & (in_x < b[:, None])
+        score = np.where(hit, np.int16(4), np.where(near[q] >= 0, here, beyond))
+        c = AROUND - np.cumsum(score[:, AROUND::-1], axis=1, dtype=np.int16).argmax(axis=1)
+        d = AROUND + np.cumsum(score[:, AROUND:], axis=1, dtype=np.int16).argmax(axis=1) + 1
+        c, d = _widened(hit, c, d, low[q], high[q])
+        theirs = (in_y >= c[:, None]) & (in_y < d[:, None])
+        a, b = _widened(theirs, a, b, low[p], high[p])
+        column = np.arange(near.shape[1])
+        common = np.count_nonzero(theirs & (column >= a[:, None]) & (column < b[:, None]), axis=1)
+        out[part[w[100 * common >= round(100 * LEAST) * (b - a + d - c - common)]]] = True
     return out
 
 
@@ -455,24 +541,41 @@ def _compare_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """
     for table in unit_tables(batches):
         node, own, opened, comp, c, at = (table.column(x).to_numpy() for x in ("node", "own", "open", "comp", "c", "at"))
+        n = len(node)
+        able = (node[:, None] != node[None, :]) & (opened[:, None] | opened[None, :] | (comp[:, None] != comp[None, :]))
+        if own.min() != own.max():
+            able &= own[:, None] != own[None, :]
+        if not able.any():
+            continue
         lists = table.column("near").combine_chunks()
         starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         known, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        n, sizes = len(node), np.diff(starts)
-        near = np.full((n, max(2 * AROUND + 1, int(sizes.max()))), -1, np.int64)
+        sizes = np.diff(starts)
+        low = AROUND - at  # the shared token of each window is in the column AROUND
+        near = np.full((n, 2 * AROUND + 1), -1, np.int32)
         row = np.repeat(np.arange(n), sizes)
-        near[row, np.arange(len(number)) - np.repeat(starts[:-1], sizes)] = number
-        there = np.zeros((n, len(known)), bool)
-        there[row, number] = True
-        common = common_counts(*np.nonzero(there)[::-1], n)
-        able = (node[:, None] != node[None, :]) & (opened[:, None] | opened[None, :] | (comp[:, None] != comp[None, :]))
-        if own.min() != own.max():
-            able &= own[:, None] != own[None, :]
-        i, j = np.nonzero(np.triu(able & (common > 0), 1))
-        dense = _dense(there, near, at, i, j)
-        i, j = i[dense], j[dense]
-        dense = _dense(there, near, at, j, i)
-        i, j = i[dense], j[dense]
+        column = np.arange(len(number)) - np.repeat(starts[:-1] - low, sizes)
+        near[row, column] = number
+        place = np.full((n, len(known)), -1, np.int8)
+        place[row, number] = column
+        common = common_counts(*np.nonzero(place >= 0)[::-1], n)
+        again = np.count_nonzero(place >= 0, axis=1) < sizes  # windows that repeat a token
+        able &= (sizes >= WIDTH)[:, None] & (sizes >= WIDTH)[None, :] & (common > 0)
+        able &= again[:, None] | again[None, :] | (4 * common >= 3 * WIDTH - 3)
+        i, j = np.nonzero(np.triu(able, 1))
+        # Windows of equal tokens around the shared one fare alike.
+        _, kind = np.unique(near.view(f"V{near.shape[1] * near.itemsize}").ravel(), return_inverse=True)
+        _, first, alike = np.unique(kind[i] * n + kind[j], return_index=True, return_inverse=True)
+        u, v = i[first], j[first]
+        able = np.zeros(len(u), bool)
+        dense = np.flatnonzero(_dense(place, near, u, v))
+        dense = dense[_dense(place, near, v[dense], u[dense])]
+        able[dense] = True
+        plain = dense[~(again[u[dense]] | again[v[dense]])]  # the others are compared one by one
+        able[plain] = _passing(place, near, low, low + sizes, u[plain], v[plain])
+        i, j = i[able[alike]], j[able[alike]]
+        if not len(i):
+            continue
         order = np.argsort(-common[i, j], kind="stable")
         covered = (~opened.astype(bool)).tolist()
         root = dict(zip(node.tolist(), comp.tolist())) | {k: k for k in comp.tolist()}
@@ -488,7 +591,7 @@ def _compare_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             p, q = find(int(node[x])), find(int(node[y]))
             if p == q and covered[x] and covered[y]:
                 continue
-            part = numbered_part(near[x, : sizes[x]], near[y, : sizes[y]], int(at[x]), int(at[y]), len(known))
+            part = numbered_part(near[x, low[x] : low[x] + sizes[x]], near[y, low[y] : low[y] + sizes[y]], int(at[x]), int(at[y]), len(known))
             if part:
                 root[p] = q
                 covered[x] = covered[y] = True
