@@ -21,7 +21,7 @@ import math
 import re
 from array import array
 from bisect import insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,17 @@ def zipf_scores(order: list[int]) -> dict[int, float]:
     return {i: -math.log(k + ZIPF_SHIFT) - total for k, i in enumerate(order)}
 
 
+class _Known(dict):
+    """Numbers of chunks; a chunk that has none yet is segmented."""
+
+    def __init__(self, number: Callable[[str], int]) -> None:
+        self.number = number
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = k = self.number(chunk)
+        return k
+
+
 class Vocabulary:
     """Pieces with their scores, read once on the driver (its size is the model's) and sent to the executors."""
 
@@ -53,6 +64,7 @@ class Vocabulary:
         self.table: dict[str, tuple] = {p[:k]: () for p in pieces for k in range(1, len(p))} | {p: (s, (i,)) for p, (i, s) in pieces.items()}
         self.fallback = min((s for _, s in pieces.values()), default=0.0) - PENALTY
         self.text = {i: p.encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in byte_ids.items()}
+        self.text.setdefault(unknown, b"")
         #: Whether a piece crosses the beginning of a run of spaces, so that a text is one chunk.
         self.whole = any(SPACE in p.lstrip(SPACE) for p in pieces)
         # A chunk also ends between a letter or digit and another character, but for those with which a piece goes across.
@@ -63,7 +75,7 @@ class Vocabulary:
 
     def forget(self) -> None:
         """Of known segmentations of chunks, by number: their ids' place in flat, score, what the second best loses, and whether the ids give the chunk back."""
-        self.known: dict[str, int] = {}
+        self.known = _Known(self.number)
         self.others: dict[str, list[tuple[float, int]]] = {}  # of a chunk's n best, what each loses and its number
         self.flat, self.start, self.score, self.loss, self.exact = array("i"), array("q", [0]), array("d"), array("d"), array("b")
 
@@ -147,31 +159,30 @@ class Vocabulary:
         n, get = len(chunk), self.table.get
         low = float("-inf")
         first, second = [0.0] + [low] * n, [low] * (n + 1)
-        back: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (n + 1)
+        starts, parts = [0] * (n + 1), [()] * (n + 1)
         for i in range(n):
             j, best, other = i + 1, first[i], second[i]
             found = get(chunk[i])
             entry = found or (self.fallback, self.spelled(chunk[i]))
             while True:
                 if entry:
-                    score, ids = entry
-                    x = best + score
-                    if x > first[j]:
-                        second[j], first[j], back[j] = first[j], x, (i, ids)
-                    elif x > second[j]:
+                    score = entry[0]
+                    x, old = best + score, first[j]
+                    if x > old:
+                        y = other + score
+                        second[j] = old if old > y else y
+                        first[j], starts[j], parts[j] = x, i, entry[1]
+                    elif x > second[j]:  # the second way to i is no better than the first
                         second[j] = x
-                    x = other + score
-                    if x > second[j]:
-                        second[j] = x
-                j += 1
-                if found is None or j > n:  # no piece begins so
+                if found is None or j == n:  # no piece begins so
                     break
+                j += 1
                 entry = found = get(chunk[i:j])
-        at, parts = n, []
+        at, way = n, []
         while at:
-            at, ids = back[at]
-            parts.append(ids)
-        return first[n], tuple([i for ids in reversed(parts) for i in ids]), second[n]
+            way.append(parts[at])
+            at = starts[at]
+        return first[n], tuple([i for ids in reversed(way) for i in ids]), second[n]
 
     def add(self, chunk: str, score: float, ids: tuple[int, ...], loss: float) -> int:
         """The number of a segmentation, which is new."""
@@ -179,14 +190,13 @@ class Vocabulary:
         self.start.append(len(self.flat))
         self.score.append(score)
         self.loss.append(loss)
-        self.exact.append(b"".join([self.text.get(i, b"") for i in ids]) == chunk.encode("utf-8", "surrogatepass"))
+        self.exact.append(b"".join(map(self.text.__getitem__, ids)) == chunk.encode("utf-8", "surrogatepass"))
         return len(self.score) - 1
 
     def number(self, chunk: str) -> int:
-        """The number of a chunk's best segmentation."""
+        """The number of a chunk's best segmentation, which is new."""
         score, ids, second = self.two_best(chunk)
-        self.known[chunk] = k = self.add(chunk, score, ids, score - second)
-        return k
+        return self.add(chunk, score, ids, score - second)
 
     def alternatives(self, chunk: str, n: int) -> list[tuple[float, int]]:
         """What each of the n best segmentations of a chunk loses, and its number, best first."""
@@ -202,8 +212,7 @@ class Vocabulary:
             return []
         normal = SPACE + text.replace(" ", SPACE)
         chunks = [normal] if self.whole else self.chunk.findall(normal)
-        get, number = self.known.get, self.number
-        own = np.array([number(c) if (k := get(c)) is None else k for c in chunks], np.int64)
+        own = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
         best = float(np.frombuffer(self.score)[own].sum())
         loss = np.frombuffer(self.loss)[own]
         # Only the n - 1 chunks whose second best costs least can differ among the n best.
