@@ -26,20 +26,25 @@ TREE = "band long, node long, leader long"
 
 
 def tree_rows(band: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-    """Memberships (band, node) as rows of a tree: the least node of each band here leads itself, other ones follow it."""
+    """Memberships (band, node) as rows of a tree: the least node of each band here leads itself, other ones follow it.
+
+    The leader of one that leads itself is null: most do, and zeros take no place in a shuffle.
+    """
     order = np.argsort(band)
     band, node = band[order], node[order]
     first = np.ones(len(band), bool)
     first[1:] = band[1:] != band[:-1]
     leader = np.minimum.reduceat(node, np.flatnonzero(first))[np.cumsum(first) - 1] if len(band) else node
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (band, node, leader)], ["band", "node", "leader"])
+    return pa.RecordBatch.from_arrays([pa.array(band), pa.array(node), pa.array(leader, mask=leader == node)], ["band", "node", "leader"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of bands: those that lead themselves follow the first of their band; a band's first gives no row."""
+    """Of rows in the order of bands: those that lead themselves (or have no leader) follow the first of their band; a band's first gives no row."""
     last_band, last_leader = None, 0
     for batch in batches:
-        band, node, leader = (batch.column(c).to_numpy() for c in ("band", "node", "leader"))
+        band, node = (batch.column(c).to_numpy() for c in ("band", "node"))
+        alone = batch.column("leader").is_null().to_numpy(zero_copy_only=False)
+        leader = np.where(alone, node, batch.column("leader").fill_null(0).to_numpy())
         own = np.flatnonzero(node == leader)
         heads, nodes = band[own], node[own]
         first = np.ones(len(own), bool)
@@ -64,7 +69,7 @@ def group_trees(rows: DataFrame) -> DataFrame:
     that a band with a third of all rows is spread out; one row for each
     task's share meets the others of its band, in order, a batch at a time.
     """
-    deal = F.when(F.col("node") == F.col("leader"), F.xxhash64("band")).otherwise(F.xxhash64("band", "node"))
+    deal = F.when(F.col("leader").isNull(), F.xxhash64("band")).otherwise(F.xxhash64("band", "node"))
     return rows.repartition(deal).sortWithinPartitions("band", "node").mapInArrow(_merge, TREE)
 
 

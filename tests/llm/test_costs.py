@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from foliant.llm import passages
+from foliant.llm import groups, passages
 
 
 def windows(rng, n):
@@ -92,3 +92,13 @@ def test_pairs_of_windows_of_many_texts():
                 if k[i] < k[j] and near and ((k[i], c[i]) in asked or (k[j], c[j]) in asked):
                     brute.add((node[i], k[i], left[i], c[i], right[i]))
     assert {r[1:] for r in together} == brute
+
+
+def test_rows_of_trees_name_no_leader_but_another(spark):
+    """Members that lead themselves are dealt without a leader, whose bytes would be shuffled; the trees hold every member but the first."""
+    first = groups.tree_rows(np.array([7, 7, 8, 9]), np.array([5, 3, 4, 1]))
+    second = groups.tree_rows(np.array([7, 8, 10]), np.array([2, 4, 6]))
+    rows = [r for b in (first, second) for r in b.to_pylist()]
+    assert {(r["band"], r["node"], r["leader"]) for r in rows} == {(7, 5, 3), (7, 3, None), (8, 4, None), (9, 1, None), (7, 2, None), (10, 6, None)}
+    got = groups.group_trees(spark.createDataFrame([tuple(r.values()) for r in rows], groups.TREE)).collect()
+    assert {(r.band, r.node, r.leader) for r in got} == {(7, 5, 3), (7, 3, 2)}
