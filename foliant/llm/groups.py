@@ -23,6 +23,10 @@ BLOCK = 512
 _STRIP = 4096
 
 TREE = "band long, node long, leader long"
+#: Bits of a band that are kept where memberships are packed, and those by which they are dealt.
+BAND_BITS, PART_BITS = 44, 12
+PACKED = "part int, low array<int>, lead array<long>, band array<long>, node array<long>, leader array<long>"
+_PACKED_LISTS = ("low", "lead", "band", "node", "leader")
 
 
 def tree_rows(band: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
@@ -73,6 +77,65 @@ def group_trees(rows: DataFrame) -> DataFrame:
     return rows.repartition(deal).sortWithinPartitions("band", "node").mapInArrow(_merge, TREE)
 
 
+def packed_rows(band: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Memberships (band, node) as in tree_rows, many to a row: the least nodes of bands by part of the bands, those that follow them by part of the nodes.
+
+    Bands count by their first BAND_BITS bits, so that a membership takes 12 bytes in a shuffle. Of n
+    bands, a share of n / 2^BAND_BITS meets another by chance; members of one group are compared in any case.
+    """
+    rows = tree_rows(band >> (64 - BAND_BITS), node)
+    alone = rows.column("leader").is_null().to_numpy(zero_copy_only=False)
+    band, node = (rows.column(c).to_numpy()[alone] for c in ("band", "node"))
+    cuts = _cuts(band >> 32)
+    yield _packed(band[cuts[:-1]] >> 32, cuts, {"low": band.astype(np.int32), "lead": node})  # the last 32 bits
+    if alone.all():
+        return
+    rows = rows.filter(pa.array(~alone))
+    rows = rows.take(pa.array(np.argsort(rows.column("node").to_numpy())))
+    node = rows.column("node").to_numpy()
+    cuts = _cuts(node >> (64 - PART_BITS))
+    yield _packed(node[cuts[:-1]] >> (64 - PART_BITS), cuts, {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("band", "node", "leader")})
+
+
+def _cuts(part: np.ndarray) -> np.ndarray:
+    """Where the runs of sorted parts begin, and the end."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
+
+
+def _packed(part: np.ndarray, cuts: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    lists = {c: pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x)) for c, x in columns.items()}
+    none = lambda kind: pa.nulls(len(part), pa.list_(kind))
+    own = [lists[c] if c in lists else none(pa.int32() if c == "low" else pa.int64()) for c in _PACKED_LISTS]
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *own], ["part", *_PACKED_LISTS])
+
+
+def _merge_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The trees of packed_rows of all tasks, in the order of parts: of each band's members those but the least."""
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # the last part: more of it may come
+    for batch in batches:
+        followers = [batch.column(c).flatten() for c in ("band", "node", "leader")]
+        if len(followers[0]):
+            yield pa.RecordBatch.from_arrays(followers, ["band", "node", "leader"])
+        low, lead = batch.column("low"), batch.column("lead").flatten().to_numpy()
+        part = np.repeat(batch.column("part").to_numpy().astype(np.int64), low.value_lengths().fill_null(0).to_numpy())
+        band = np.concatenate([held[0], (part << 32) | low.flatten().to_numpy().view(np.uint32)])
+        node = np.concatenate([held[1], lead])
+        whole = int(np.searchsorted(band >> 32, band[-1] >> 32)) if len(band) else 0
+        held = (band[whole:], node[whole:])
+        yield _followers(band[:whole], node[:whole])
+    yield _followers(*held)
+
+
+def _followers(band: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    rows = tree_rows(band, node)
+    return rows.filter(rows.column("leader").is_valid())
+
+
+def packed_trees(rows: DataFrame) -> DataFrame:
+    """group_trees() from the rows of packed_rows of all tasks: a task holds one of 2^PART_BITS parts of the bands at a time, whatever their sizes."""
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_merge_packed, TREE)
+
+
 def star_pairs(trees: DataFrame) -> DataFrame:
     """The distinct pairs (a, b), a < b, of members and their leaders."""
     return trees.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()

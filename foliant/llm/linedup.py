@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.components import connected_components, joined_further
-from foliant.llm.groups import TREE, block_links, group_trees, in_units, open_members, star_pairs, tree_rows
+from foliant.llm.groups import PACKED, block_links, in_units, open_members, packed_rows, packed_trees, star_pairs
 from foliant.llm.shared import PREFILTER_BITS, bitmap, free, materialize, possible_ids, release
 from foliant.llm.textops import U64, _splitmix, chunks, mix, span_hashes
 
@@ -187,7 +187,7 @@ def _line_rows(bits: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of tree_rows of the bands of a task's distinct lines, a batch at a time."""
+    """Rows of packed_rows of the bands of a task's distinct lines, a batch at a time."""
     seen = _Seen()
     for batch in batches:
         bands, nodes = [], []
@@ -202,10 +202,10 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands.append(_keys(marks, starts, ends).ravel().view(np.int64))
                 nodes.append(np.repeat(node.view(np.int64), BANDS))
                 if sum(map(len, nodes)) >= MEMBERS:
-                    yield tree_rows(np.concatenate(bands), np.concatenate(nodes))
+                    yield from packed_rows(np.concatenate(bands), np.concatenate(nodes))
                     bands, nodes = [], []
         if nodes:
-            yield tree_rows(np.concatenate(bands), np.concatenate(nodes))
+            yield from packed_rows(np.concatenate(bands), np.concatenate(nodes))
 
 
 def _sets_of(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +261,7 @@ def _confirm(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _linked(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, joined): all lines (id, line, node, mark, x) and the (node, component) of their classes that are linked with others."""
-    trees = materialize(group_trees(texts.select("text").mapInArrow(_band_rows, TREE)), "trees")
+    trees = materialize(packed_trees(texts.select("text").mapInArrow(_band_rows, PACKED)), "trees")
     pairs = materialize(star_pairs(trees), "pairs")
     nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     bits = texts.sparkSession.sparkContext.broadcast(bitmap(nodes, "node"))

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from foliant.llm import groups, passages
+from foliant.llm import groups, linedup, passages
 
 
 def windows(rng, n):
@@ -102,3 +102,38 @@ def test_rows_of_trees_name_no_leader_but_another(spark):
     assert {(r["band"], r["node"], r["leader"]) for r in rows} == {(7, 5, 3), (7, 3, None), (8, 4, None), (9, 1, None), (7, 2, None), (10, 6, None)}
     got = groups.group_trees(spark.createDataFrame([tuple(r.values()) for r in rows], groups.TREE)).collect()
     assert {(r.band, r.node, r.leader) for r in got} == {(7, 5, 3), (7, 3, 2)}
+
+
+def test_bands_are_packed_before_they_are_shuffled(spark):
+    rng = np.random.default_rng(5)
+    text = "\n".join("".join(map(chr, rng.integers(97, 123, 40))) for _ in range(2000))
+    rows = list(linedup._band_rows(iter([pa.RecordBatch.from_pydict({"text": [text]})])))
+    assert sum(r.num_rows for r in rows) <= 1 << groups.PART_BITS  # and not 2000 * BANDS
+    assert sum(len(r.column("lead").flatten()) for r in rows) == 2000 * linedup.BANDS
+
+
+def test_packed_trees_are_the_trees_of_all_memberships(spark):
+    rng = np.random.default_rng(6)
+    hashes = np.array([*rng.integers(-(2**63), 2**63 - 1, 400), -(2**63), 2**63 - 1, -1, 0])
+    band, node = rng.choice(hashes, 5000), rng.integers(-(2**63), 2**63 - 1, 5000)
+    hot = np.concatenate([np.full(3000, hashes[0]), band])  # one band with a third of all
+    node = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 3000), node])
+    packed = [r for part in np.array_split(np.arange(len(hot)), 5) for r in groups.packed_rows(hot[part], node[part])]
+    frames = spark.createDataFrame(pa.Table.from_batches(packed), groups.PACKED)
+    got = groups.packed_trees(frames).collect()
+    want: dict[int, set[int]] = {}
+    for b, x in zip((hot >> (64 - groups.BAND_BITS)).tolist(), node.tolist()):
+        want.setdefault(b, set()).add(x)
+    found: dict[int, dict[int, int]] = {}
+    for row in got:
+        assert row.node not in found.setdefault(row.band, {})
+        found[row.band][row.node] = row.leader
+    assert set(found) == {b for b, x in want.items() if len(x) > 1}
+    for b, tree in found.items():
+        least = min(want[b])
+        assert set(tree) == want[b] - {least}
+        for x in tree:
+            while x in tree:
+                assert tree[x] < x
+                x = tree[x]
+            assert x == least
