@@ -74,30 +74,45 @@ def wide_nodes(x: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return np.flatnonzero((_sliding(padded, WIDTH, False) == x) & (x > 0))
 
 
-def compact_windows(values: list[int], places: list[int], rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+def _nearest(values: np.ndarray, equal: bool) -> np.ndarray:
+    """For each value but -1, of which the first is one, the last place before it with a smaller one, or, with equal, one that is no greater."""
+    near = np.arange(-1, len(values) - 1)
+    left = np.flatnonzero(values >= 0)
+    while len(left):  # what lies between a place and the one it points to is greater, so that pointers are followed
+        there = values[near[left]]
+        left = left[there > values[left] if equal else there >= values[left]]
+        near[left] = near[near[left]]
+    return near
+
+
+def windows_of(values: np.ndarray, places: np.ndarray, cuts: np.ndarray, heads: np.ndarray) -> np.ndarray:
     """(row, left, centre, right) of the Cartesian trees' nodes of WIDTH or more; equal values in one range are one node.
 
-    values and places are the wide nodes of all rows; rows gives for each its
-    first and last (exclusive) of these and the range it spans. All smaller
-    neighbours of a wide node are wide themselves.
+    values and places are the wide nodes of all rows; cuts gives the first of
+    these of each row, heads the first place of each row (and both the end).
+    All smaller neighbours of a wide node are wide themselves.
     """
-    out = []
-    for row, (a, b, start, end) in enumerate(rows):
-        stack: list[list[int]] = []  # value, left, centre, last place
-        for v, p in zip(values[a:b], places[a:b]):
-            while stack and stack[-1][0] > v:
-                _, left, centre, _ = stack.pop()
-                if p - left >= WIDTH:
-                    out.append((row, left, centre, p - 1))
-            if stack and stack[-1][0] == v:
-                stack[-1][3] = p
-            else:
-                stack.append([v, stack[-1][3] + 1 if stack else start, p, p])
-        while stack:
-            _, left, centre, _ = stack.pop()
-            if end - left >= WIDTH:
-                out.append((row, left, centre, end - 1))
-    return out
+    # Before and after each row stands a value that is less than all: its own place ends all ranges.
+    own = np.arange(len(values)) + 1 + np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    value = np.full(len(values) + len(cuts), -1, np.int64)
+    place = np.empty(len(value), np.int64)
+    value[own], place[own] = values, places
+    edges = cuts + np.arange(len(cuts))
+    place[edges] = heads
+    before = _nearest(value, True)[own]
+    after = len(value) - 1 - _nearest(value[::-1], False)[::-1][own]
+    edge = np.zeros(len(value), bool)
+    edge[edges] = True
+    left, right = place[before] + ~edge[before], place[after] - 1
+    keep = np.flatnonzero((value[before] < values) & (right - left >= AROUND))
+    row = np.searchsorted(cuts, keep, "right") - 1
+    return np.column_stack([row, left[keep], places[keep], right[keep]])
+
+
+def compact_windows(values: list[int], places: list[int], rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """windows_of() rows that follow one another, given by their first and last (exclusive) wide nodes and the ranges they span."""
+    cuts, heads = ([*(row[k] for row in rows), rows[-1][k + 1]] for k in (0, 2))
+    return list(map(tuple, windows_of(np.array(values, np.int64), np.array(places, np.int64), np.array(cuts), np.array(heads)).tolist()))
 
 
 def _row_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -112,8 +127,7 @@ def _row_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
         x = (short ^ _SALT[k]) * _ODD[k]
         at = wide_nodes(x, heads)
         cuts = np.searchsorted(at, heads)
-        own = compact_windows(x[at].tolist(), at.tolist(), list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), heads[:-1].tolist(), heads[1:].tolist())))
-        flat = np.array(own, np.int64).reshape(-1, 4)
+        flat = windows_of(x[at], at, cuts, heads)
         found.append(np.column_stack([flat[:, 0], np.full(len(flat), k), flat[:, 1:]]))
     flat = np.concatenate(found)
     flat = flat[enough[flat[:, 0]]]
@@ -194,11 +208,11 @@ def _pairs_within(keys: np.ndarray, k: np.ndarray, l: np.ndarray, c: np.ndarray,
     return i, j, mix(keys[i].view(U64) * U64(0x9E3779B97F4A7C15) + keys[j].view(U64)).view(np.int64)
 
 
-def _paired_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of texts (mark, text) by pairs of signatures of which one is wanted (k and c of windows)."""
+def _paired_windows(batches: Iterator[pa.RecordBatch], told: bool = False) -> Iterator[pa.RecordBatch]:
+    """The windows of texts (mark, text) by pairs of signatures of which one is wanted (k and c of windows); told: only of texts that have the mark."""
     for batch in batches:
         parts = []
-        wanted = batch.column("wanted")
+        wanted, marks = batch.column("wanted"), batch.column("mark").to_numpy()
         flat, sizes = wanted.flatten(), wanted.value_lengths().to_numpy()
         row, want_c, want_k = np.repeat(np.arange(len(sizes)), sizes), flat.field("c").to_numpy().astype(np.int64), flat.field("k").to_numpy()
         starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -209,6 +223,9 @@ def _paired_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             a, b = starts[first], starts[last]
             asked = np.isin(c * HASHES + k, (want_c[a:b] + heads[row[a:b] - first]) * HASHES + want_k[a:b]) if b > a else np.zeros(len(c), bool)
             i, _, key = _pairs_within(keys, k, left, c, right, asked)  # windows of two rows have no token in common
+            if told:
+                mine = node[i] == marks[first + own[i]]
+                i, key = i[mine], key[mine]
             parts.append((node[i], key, k[i], (left - base)[i], (c - base)[i], (right - base)[i]))
         if parts:
             node, band, *rest = (np.concatenate(x) for x in zip(*parts))
@@ -262,12 +279,13 @@ def _interval_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mark, items): the mark of each text and its tokens."""
     for batch in batches:
-        for i, j, data, offsets in chunks(batch.column("text")):
+        for _, _, data, offsets in chunks(batch.column("text")):
             words, rows = word_hashes(data, offsets)
             tokens, heads = shingle_hashes(words, rows)
             items = pa.ListArray.from_arrays(pa.array(heads.astype(np.int32)), pa.array((tokens >> U64(32)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("mark").slice(i, j - i), items], ["mark", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(span_hashes(words, rows[:-1], rows[1:]).view(np.int64)), items], ["mark", "items"])
 
 
 def _reach(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -405,16 +423,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["a", "b", "spans_a", "spans_b", "rest"])
 
 
-def _texts_of(marks: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(mark, text) of marks."""
-    wanted = materialize(possible_ids(classes.select("mark", "id"), "mark", marks).join(marks, "mark", "left_semi").groupBy("mark").agg(F.min("id").alias("id")), "wanted")
-    texts = possible_ids(docs.select("id", "text"), "id", wanted.select("id")).join(wanted, "id").dropDuplicates(["mark"])
-    return texts.select("mark", "text")
+def _ids_of(marks: DataFrame, classes: DataFrame) -> DataFrame:
+    """(mark, id): of marks the least id whose text has it."""
+    own = possible_ids(classes.select("mark", "id"), "mark", marks).join(marks, "mark", "left_semi")
+    return materialize(own.groupBy("mark").agg(F.min("id").alias("id")), "wanted")
 
 
 def _tokens_of(marks: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(mark, items) of the texts of marks."""
-    return _texts_of(marks, classes, docs).mapInArrow(_tokens, "mark long, items array<int>")
+    """(mark, items) of the texts of marks; an id may have several texts, so that each tells its own mark."""
+    wanted = _ids_of(marks, classes)
+    items = possible_ids(docs.select("id", "text"), "id", wanted.select("id")).select("text").mapInArrow(_tokens, "mark long, items array<int>")
+    return items.join(wanted.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -637,8 +656,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     members = _around_missed(groups, [pairs.filter(F.size("good") == 0), met], found)
     wanted = members.groupBy(F.col("node").alias("mark")).agg(F.collect_set(F.struct("k", "c")).alias("wanted"))
-    texts = _texts_of(wanted.select("mark"), classes, rows).join(wanted, "mark")
-    again = materialize(window_groups(texts.mapInArrow(_paired_windows, _WINDOW)), "groups")
+    asked = wanted.join(_ids_of(wanted.select("mark"), classes), "mark")
+    # An id may have several texts.
+    texts = possible_ids(rows, "id", asked.select("id")).join(asked, "id").select("mark", "text", "wanted")
+    again = materialize(window_groups(texts.mapInArrow(lambda it: _paired_windows(it, told=True), _WINDOW)), "groups")
     release(groups, pairs, members)
     met = _verified(_followers(again).select("a", "b", F.col("cands").alias("good"), F.array().cast(f"array<{_CAND}>").alias("rest")), classes, rows)
     found = found.union(passages(met))

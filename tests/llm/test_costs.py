@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from foliant.llm import groups, linedup, passages
+from foliant.llm.textops import span_hashes, word_hashes
 
 
 def windows(rng, n):
@@ -137,3 +138,17 @@ def test_packed_trees_are_the_trees_of_all_memberships(spark):
                 assert tree[x] < x
                 x = tree[x]
             assert x == least
+
+
+def test_tokens_of_an_id_with_several_texts(spark):
+    """Each mark gets the tokens of its own text, and not those of another text of the same id."""
+    texts = [" ".join(f"{a}{k}" for k in range(60)) for a in "uvwxyz"]
+    docs = spark.createDataFrame([(1, t) for t in texts], "id long, text string")
+    marked = docs.mapInArrow(passages._marks, "id long, mark long, mark2 long, n_words long")
+    got = {r.mark: r["items"] for r in passages._tokens_of(marked.select("mark"), marked, docs).collect()}
+    want = {}
+    for t in texts:
+        own = next(passages._tokens(iter([pa.RecordBatch.from_pydict({"mark": [0], "text": [t]})])))
+        words, rows = word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        want[int(span_hashes(words, rows[:-1], rows[1:]).view(np.int64)[0])] = own.column("items")[0].as_py()
+    assert got == want
