@@ -62,6 +62,7 @@ class Vocabulary:
         self.pieces, self.byte_ids, self.unknown = pieces, byte_ids, unknown
         #: Pieces with score and ids; beginnings of pieces that are none themselves with an empty entry.
         self.table: dict[str, tuple] = {p[:k]: () for p in pieces for k in range(1, len(p))} | {p: (s, (i,)) for p, (i, s) in pieces.items()}
+        self.root: dict[str, tuple] | None = None  # the trie, which each worker makes for itself
         self.fallback = min((s for _, s in pieces.values()), default=0.0) - PENALTY
         self.text = {i: p.encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in byte_ids.items()}
         self.text.setdefault(unknown, b"")
@@ -154,30 +155,44 @@ class Vocabulary:
                     del queue[room:]
         return out
 
+    def trie(self) -> dict[str, tuple]:
+        """The pieces by characters: of each the score, None where no piece ends, the ids, and what goes on from there."""
+        root: dict[str, tuple] = {}
+        nodes = {"": (None, (), root)}
+        for p in sorted(self.table):  # beginnings come before what goes on from them
+            score, ids = self.table[p] or (None, ())
+            nodes[p] = nodes[p[:-1]][2][p[-1]] = (score, ids, {})
+        return root
+
     def two_best(self, chunk: str) -> tuple[float, tuple[int, ...], float]:
         """(score, ids, score of the second best) by one forward pass that carries two scores."""
-        n, get = len(chunk), self.table.get
-        low = float("-inf")
+        n, chars = len(chunk), list(chunk)
+        if self.root is None:
+            self.root = self.trie()
+        root, low = self.root.get, float("-inf")
         first, second = [0.0] + [low] * n, [low] * (n + 1)
         starts, parts = [0] * (n + 1), [()] * (n + 1)
-        for i in range(n):
+        for i, c in enumerate(chars):
             j, best, other = i + 1, first[i], second[i]
-            found = get(chunk[i])
-            entry = found or (self.fallback, self.spelled(chunk[i]))
+            score, ids, further = root(c) or (None, (), None)
+            if score is None:
+                score, ids = self.fallback, self.spelled(c)
             while True:
-                if entry:
-                    score = entry[0]
+                if score is not None:
                     x, old = best + score, first[j]
                     if x > old:
                         y = other + score
                         second[j] = old if old > y else y
-                        first[j], starts[j], parts[j] = x, i, entry[1]
+                        first[j], starts[j], parts[j] = x, i, ids
                     elif x > second[j]:  # the second way to i is no better than the first
                         second[j] = x
-                if found is None or j == n:  # no piece begins so
+                if not further or j == n:  # no piece goes on so
+                    break
+                found = further.get(chars[j])
+                if found is None:
                     break
+                score, ids, further = found
                 j += 1
-                entry = found = get(chunk[i:j])
         at, way = n, []
         while at:
             way.append(parts[at])

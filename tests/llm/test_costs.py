@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from foliant.llm import groups, linedup, passages
+from foliant.llm import groups, linedup, passages, pieces
 from foliant.llm.textops import span_hashes, word_hashes
 
 
@@ -152,3 +152,15 @@ def test_tokens_of_an_id_with_several_texts(spark):
         words, rows = word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
         want[int(span_hashes(words, rows[:-1], rows[1:]).view(np.int64)[0])] = own.column("items")[0].as_py()
     assert got == want
+
+
+def test_pieces_are_found_character_by_character():
+    """A chunk's two best scores take no look at the table of pieces, each of which costs a slice and its hash."""
+    found = {p: (k, -1.0 - k / 7) for k, p in enumerate(["a", "b", "ab", "abab", "ba", "bab", "▁a", "ж", "bжa"])}
+    plain, other = pieces.Vocabulary(found, {}, 99), pieces.Vocabulary(found, {}, 99)
+    other.table, other.root = {}, other.trie()
+    for chunk in ("a", "ababab", "▁abba", "bжab", "xaxbж", "▁"):
+        best = plain.n_best(chunk, 2)
+        score, ids, second = other.two_best(chunk)
+        assert (round(score, 9), ids) == (round(best[0][0], 9), best[0][1])
+        assert round(second, 9) == round(best[1][0], 9) if len(best) > 1 else second == float("-inf")
