@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from foliant.llm import groups, linedup, passages, pieces
+from foliant.llm import components, groups, linedup, passages, pieces
 from foliant.llm.textops import span_hashes, word_hashes
 
 
@@ -164,3 +164,32 @@ def test_pieces_are_found_character_by_character():
         score, ids, second = other.two_best(chunk)
         assert (round(score, 9), ids) == (round(best[0][0], 9), best[0][1])
         assert round(second, 9) == round(best[1][0], 9) if len(best) > 1 else second == float("-inf")
+
+
+def test_edges_of_a_task_need_no_rounds(spark, monkeypatch):
+    """Each round adds jobs and plans that the driver keeps: a chain that one task has at hand takes none, and the result is a table."""
+    rounds = []
+    plain = components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda e: rounds.append(1) or plain(e))
+    chain = [(k, k + 1) for k in range(200)] + [(900, 900), (70, 30), (901, 950), (901, 950)]
+    edges = spark.createDataFrame(chain, "a long, b long")
+    got = components.connected_components(edges.coalesce(1))
+    want = {k: 0 for k in range(201)} | {900: 900, 901: 901, 950: 901}
+    assert {(r.node, r.component) for r in got.collect()} == set(want.items()) and got.count() == len(want)
+    assert not rounds and hasattr(got, "written_to")
+    again = components.connected_components(edges.repartition(40, "a", "b"))
+    assert {(r.node, r.component) for r in again.collect()} == set(want.items())
+
+
+def test_contracted_edges_keep_their_components(monkeypatch):
+    """However few edges are contracted at a time, nothing is lost."""
+    monkeypatch.setattr(components, "AT_ONCE", 8)
+    rng = np.random.default_rng(3)
+    for n in (5, 40, 200):
+        a, b = rng.integers(-(2**62), 2**62, n)[rng.integers(0, n, (2, n))]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"]) for x, y in zip(np.array_split(a, 7), np.array_split(b, 7))]
+        out = [tuple(batch.column(c).to_numpy() for c in ("a", "b")) for batch in components._contracted(iter(batches))]
+        x, y = map(np.concatenate, zip(*out))
+        assert len(x) <= n and (x > y).all()
+        whole, parts = ({k: v for k, v in zip(*(v.tolist() for v in components.stars(*e)))} for e in ((a, b), (x, y)))
+        assert whole == parts
