@@ -45,3 +45,22 @@ def test_query(spark, db, name):
 
 def test_names_agree():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def cut_pages(spark, folder):
+    """Pages whose heading and first paragraph end inside a reference or after one."""
+    cuts = ["&quot", "&quo", "&lt", "&nbsp", "&copy", "&#39", "&amp", "&am", "&", "&amp;quot", "&amp;lt", "&quot;", "&lt;", "&#39;", "&amp;"]
+    words = "a paragraph of rather more than forty characters in all "
+    page = f"<html><head></head><body><article><h1>token = {{0}}</h1><p>{words}{{0}}</p><p>{words * 5}</p></article></body></html>"
+    rows = [(k, f"https://h.example/{k}", page.format(cuts[k % len(cuts)])) for k in range(20 * len(cuts))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{folder}/pages.parquet/*.parquet'")
+    return con
+
+
+def test_article_ladders_of_cut_references(spark, tmp_path):
+    con = cut_pages(spark, tmp_path)
+    df = catalog.QUERIES["article_ladders"](spark, str(tmp_path))
+    want = con.sql(catalog.ORACLES["article_ladders"]).select(*df.columns).fetchall()
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
