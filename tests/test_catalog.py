@@ -64,3 +64,10 @@ def test_article_ladders_of_cut_references(spark, tmp_path):
     df = catalog.QUERIES["article_ladders"](spark, str(tmp_path))
     want = con.sql(catalog.ORACLES["article_ladders"]).select(*df.columns).fetchall()
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_release_pages_of_cut_references(spark, tmp_path):
+    con = cut_pages(spark, tmp_path)
+    df = catalog.QUERIES["release_pages"](spark, str(tmp_path))
+    want = con.sql(catalog.ORACLES["release_pages"]).select(*df.columns).fetchall()
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
