@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.components import connected_components
-from foliant.llm.groups import common_counts, in_units, unit_tables
+from foliant.llm.groups import in_units, unit_tables
 from foliant.llm.shared import materialize, possible_ids, release
 from foliant.llm.textops import SHINGLE_WORDS, U64, _splitmix, chunks, mix, shingle_hashes, span_hashes, word_hashes
 
@@ -40,6 +40,8 @@ LEAST = 0.75
 HASHES, AGREE = 4, 2
 #: Tokens on either side of a shared one that hold WIDTH tokens of any passage of that width around it.
 AROUND = WIDTH - 1
+#: Rows of units that are compared together, and their pairs that are made at a time.
+_UNIT_ROWS, _PAIRS = 1024, 1 << 18
 
 _SALT = (_splitmix(HASHES, 31) >> U64(32)).astype(np.uint32)
 _ODD = (_splitmix(HASHES, 32) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -490,8 +492,20 @@ def _dense(place: np.ndarray, near: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     for part in np.array_split(np.arange(len(i)), -(-len(i) // 4096) or 1):
         own = near[i[part]]
         hits = (place[j[part][:, None], own] >= 0) & (own >= 0)
-        total = np.pad(np.cumsum(hits, axis=1, dtype=np.int16), ((0, 0), (1, 0)))
-        out[part] = 4 * (total[:, WIDTH:] - total[:, :-WIDTH]).max(axis=1) >= 3 * WIDTH - 3
+        some = np.flatnonzero(4 * np.count_nonzero(hits, axis=1) >= 3 * WIDTH - 3)
+        total = np.zeros((len(some), hits.shape[1] + 1), np.int16)
+        np.cumsum(hits[some], axis=1, out=total[:, 1:])
+        out[part[some]] = 4 * (total[:, WIDTH:] - total[:, :-WIDTH]).max(axis=1) >= 3 * WIDTH - 3
+    return out
+
+
+def _in_common(place: np.ndarray, near: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many different tokens the windows i and j have in common."""
+    out = np.zeros(len(i), np.int64)
+    for part in np.array_split(np.arange(len(i)), -(-len(i) // 4096) or 1):
+        own = near[i[part]]
+        counts = (own >= 0) & (place[i[part][:, None], own] == np.arange(near.shape[1]))  # one place of each token
+        out[part] = np.count_nonzero(counts & (place[j[part][:, None], own] >= 0), axis=1)
     return out
 
 
@@ -551,40 +565,78 @@ def _passing(place: np.ndarray, near: np.ndarray, low: np.ndarray, high: np.ndar
     return out
 
 
+def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole units together, of _UNIT_ROWS rows or one unit, and the first row of each and the end."""
+    held, starts = [], [0]
+    for table in unit_tables(batches):
+        if held and starts[-1] + table.num_rows > _UNIT_ROWS:
+            yield pa.concat_tables(held), np.array(starts)
+            held, starts = [], [0]
+        held.append(table)
+        starts.append(starts[-1] + table.num_rows)
+    if held:
+        yield pa.concat_tables(held), np.array(starts)
+
+
+def _able_pairs(table: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows i < j of one unit and of different texts and, but for a block with itself, blocks, of which one is open or no links lead from text to text."""
+    node, own, opened, comp = (table.column(x).to_numpy() for x in ("node", "own", "open", "comp"))
+    whole = np.minimum.reduceat(own, starts[:-1]) == np.maximum.reduceat(own, starts[:-1])
+    left = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(node)) - 1
+    whole = np.repeat(whole, np.diff(starts))
+    out = []
+    for part in np.split(np.arange(len(node)), np.flatnonzero(np.diff(np.cumsum(left) // _PAIRS)) + 1):
+        n = left[part]
+        i = np.repeat(part, n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        able = (node[i] != node[j]) & (whole[i] | (own[i] != own[j])) & (opened[i] | opened[j] | (comp[i] != comp[j]))
+        out.append((i[able], j[able]))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
 def _compare_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, spans_a, spans_b) of windows (node, at, c, near, open) of one signature, a unit at a time.
+    """(a, b, spans_a, spans_b) of windows (node, at, c, near, open) of one signature, for the pairs of each unit.
 
     A pair is compared if one of its windows is open or no links lead from one
     text to the other (comp), and both are dense() in the other, the more tokens in common
     the sooner; not if a passage already covers both and links lead from one to the other.
+    Small units are screened together: what a unit takes by itself is then spent on those with pairs that pass.
     """
-    for table in unit_tables(batches):
-        node, own, opened, comp, c, at = (table.column(x).to_numpy() for x in ("node", "own", "open", "comp", "c", "at"))
-        n = len(node)
-        able = (node[:, None] != node[None, :]) & (opened[:, None] | opened[None, :] | (comp[:, None] != comp[None, :]))
-        if own.min() != own.max():
-            able &= own[:, None] != own[None, :]
-        if not able.any():
-            continue
+    for table, starts in _unit_batches(batches):
+        i, j = _able_pairs(table, starts)
         lists = table.column("near").combine_chunks()
-        starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        known, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        sizes = np.diff(starts)
+        heads = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        sizes = np.diff(heads)
+        wide = (sizes[i] >= WIDTH) & (sizes[j] >= WIDTH)
+        i, j = i[wide], j[wide]
+        if not len(i):
+            continue
+        at = table.column("at").to_numpy()
         low = AROUND - at  # the shared token of each window is in the column AROUND
-        near = np.full((n, 2 * AROUND + 1), -1, np.int32)
-        row = np.repeat(np.arange(n), sizes)
-        column = np.arange(len(number)) - np.repeat(starts[:-1] - low, sizes)
+        unit = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        column = np.arange(len(row)) - np.repeat(heads[:-1] - low, sizes)
+        tokens = (unit[row] << 32) | lists.flatten().to_numpy().view(np.uint32)
+        order = np.argsort(tokens)
+        new = np.ones(len(order), bool)
+        new[1:] = np.diff(tokens[order]) != 0
+        shared = np.diff(np.append(np.flatnonzero(new), len(order))) > 1
+        # The tokens that a unit has twice are numbered in it, the others have one number, which is nowhere.
+        count = np.concatenate([[0], np.cumsum(shared)])
+        told = tokens[order[new]]
+        firsts = np.searchsorted(told, np.arange(len(starts)) << 32)
+        most = int(np.diff(count[firsts]).max())
+        number = np.empty(len(order), np.int32)
+        number[order] = np.where(shared, count[:-1] - count[firsts[told >> 32]], most)[np.cumsum(new) - 1]
+        near = np.full((len(sizes), 2 * AROUND + 1), -1, np.int32)
         near[row, column] = number
-        place = np.full((n, len(known)), -1, np.int8)
-        place[row, number] = column
-        common = common_counts(*np.nonzero(place >= 0)[::-1], n)
-        again = np.count_nonzero(place >= 0, axis=1) < sizes  # windows that repeat a token
-        able &= (sizes >= WIDTH)[:, None] & (sizes >= WIDTH)[None, :] & (common > 0)
-        able &= again[:, None] | again[None, :] | (4 * common >= 3 * WIDTH - 3)
-        i, j = np.nonzero(np.triu(able, 1))
+        place = np.full((len(sizes), most + 1), -1, np.int8)
+        twice = number < most
+        place[row[twice], number[twice]] = column[twice]
+        again = np.count_nonzero(place >= 0, axis=1) < np.bincount(row[twice], minlength=len(sizes))  # windows that repeat a token
         # Windows of equal tokens around the shared one fare alike.
         _, kind = np.unique(near.view(f"V{near.shape[1] * near.itemsize}").ravel(), return_inverse=True)
-        _, first, alike = np.unique(kind[i] * n + kind[j], return_index=True, return_inverse=True)
+        _, first, alike = np.unique(kind[i] * len(sizes) + kind[j], return_index=True, return_inverse=True)
         u, v = i[first], j[first]
         able = np.zeros(len(u), bool)
         dense = np.flatnonzero(_dense(place, near, u, v))
@@ -595,28 +647,34 @@ def _compare_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         i, j = i[able[alike]], j[able[alike]]
         if not len(i):
             continue
-        order = np.argsort(-common[i, j], kind="stable")
+        common = _in_common(place, near, i, j)
+        order = np.lexsort((-common, unit[i]))
+        i, j = i[order], j[order]
+        node, opened, comp, c = (table.column(x).to_numpy() for x in ("node", "open", "comp", "c"))
+        items = lists.flatten().to_numpy()
         covered = (~opened.astype(bool)).tolist()
-        root = dict(zip(node.tolist(), comp.tolist())) | {k: k for k in comp.tolist()}
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
         out = ([], [], [], [])
-        for x, y in zip(i[order].tolist(), j[order].tolist()):
-            p, q = find(int(node[x])), find(int(node[y]))
-            if p == q and covered[x] and covered[y]:
-                continue
-            part = numbered_part(near[x, low[x] : low[x] + sizes[x]], near[y, low[y] : low[y] + sizes[y]], int(at[x]), int(at[y]), len(known))
-            if part:
-                root[p] = q
-                covered[x] = covered[y] = True
-                got = [(*(int(c[x] - at[x]) + v for v in part[:2]), *(int(c[y] - at[y]) + v for v in part[2:]))]
-                for side, value in zip(out, (int(node[x]), int(node[y]), _in_words(got, 0), _in_words(got, 2))):
-                    side.append(value)
+        for pairs in np.split(np.arange(len(i)), np.flatnonzero(np.diff(unit[i])) + 1):
+            own = slice(starts[unit[i[pairs[0]]]], starts[unit[i[pairs[0]]] + 1])
+            root = dict(zip(node[own].tolist(), comp[own].tolist())) | {k: k for k in comp[own].tolist()}
+
+            def find(k: int) -> int:
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            for x, y in zip(i[pairs].tolist(), j[pairs].tolist()):
+                p, q = find(int(node[x])), find(int(node[y]))
+                if p == q and covered[x] and covered[y]:
+                    continue
+                part = common_part(items[heads[x] : heads[x + 1]], items[heads[y] : heads[y + 1]], int(at[x]), int(at[y]))
+                if part:
+                    root[p] = q
+                    covered[x] = covered[y] = True
+                    got = [(*(int(c[x] - at[x]) + v for v in part[:2]), *(int(c[y] - at[y]) + v for v in part[2:]))]
+                    for side, value in zip(out, (int(node[x]), int(node[y]), _in_words(got, 0), _in_words(got, 2))):
+                        side.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], _SPAN_TYPE), pa.array(out[3], _SPAN_TYPE)], ["a", "b", "spans_a", "spans_b"])
 
 

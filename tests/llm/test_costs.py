@@ -68,6 +68,23 @@ def test_near_misses_cost_no_search(monkeypatch):
     assert sum(b.num_rows for b in passages._compare_units([unit(rows)])) == 0
 
 
+def test_small_units_are_screened_together(monkeypatch):
+    """Hundreds of units take a few screens, whose pairs are those of each unit alone; tokens and windows that two units share link nothing."""
+    calls = []
+    plain = passages._passing
+    monkeypatch.setattr(passages, "_passing", lambda *a: calls.append(1) or plain(*a))
+    units = []
+    for k in range(300):
+        rows = windows(np.random.default_rng(k % 250), 3 + k % 7)  # the last units repeat the windows of the first
+        batch = unit([(1000 * k + node, near, at) for node, near, at in rows])
+        units.append(batch.set_column(0, "band", pa.array([k // 2] * batch.num_rows)).set_column(1, "unit", pa.array([k % 2] * batch.num_rows)))
+    alone = [r for u in units for batch in passages._compare_units([u]) for r in batch.to_pylist()]
+    calls.clear()
+    together = pa.Table.from_batches(units).combine_chunks().to_batches(max_chunksize=100)
+    assert [r for batch in passages._compare_units(together) for r in batch.to_pylist()] == alone
+    assert len(alone) > 50 and 0 < len(calls) < 10
+
+
 def test_pairs_of_windows_of_many_texts():
     """Texts that are windowed together give the pairs of signatures that each gives alone, and all that are wanted."""
     rng = np.random.default_rng(5)
