@@ -21,7 +21,7 @@ one. Texts with equal words are one text throughout.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.components import connected_components
-from foliant.llm.groups import in_units, unit_tables
+from foliant.llm.groups import PART_BITS, in_units, unit_tables
 from foliant.llm.shared import materialize, possible_ids, release
 from foliant.llm.textops import SHINGLE_WORDS, U64, _splitmix, chunks, mix, shingle_hashes, span_hashes, word_hashes
 
@@ -48,6 +48,10 @@ _ODD = (_splitmix(HASHES, 32) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _KEYS = _splitmix(HASHES, 33)
 
 _WINDOW = "band long, node long, k int, l int, c int, r int, leader long, l2 int, c2 int, r2 int"
+#: A window as it is dealt, without a leader and with one, and windows that are packed at a time.
+_OWN = np.dtype([("band", "<i8"), ("node", "<i8"), ("k", "i1"), ("l", "<i4"), ("c", "<i4"), ("r", "<i4")])
+_LED = np.dtype([*_OWN.descr, ("leader", "<i8"), ("l2", "<i4"), ("c2", "<i4"), ("r2", "<i4")])
+_AT_ONCE = 1 << 18
 _CAND = "struct<band:bigint,k:int,l:int,c:int,r:int,l2:int,c2:int,r2:int>"
 
 
@@ -168,31 +172,62 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _with_leaders(band, node, rest)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows by parts of their bands, those that follow a leader by parts of their texts, as records one after the other: many to a row."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, _AT_ONCE):
+            rows = batch.slice(first, _AT_ONCE)
+            alone = rows.column("leader").is_null().to_numpy(zero_copy_only=False)
+            for into, kind, chosen, key in (("own", _OWN, alone, "band"), ("led", _LED, ~alone, "node")):
+                found = np.empty(int(chosen.sum()), kind)
+                for name in kind.names:
+                    found[name] = rows.column(name).filter(pa.array(chosen)).to_numpy()
+                part = (found[key] >> (64 - PART_BITS)).astype(np.int16)
+                order = np.argsort(part, kind="stable")
+                part = part[order]
+                cuts = np.flatnonzero(np.diff(part, prepend=-9999))
+                ends = pa.py_buffer((np.append(cuts, len(part)) * kind.itemsize).astype(np.int32))
+                records = pa.Array.from_buffers(pa.binary(), len(cuts), [None, ends, pa.py_buffer(found[order].tobytes())])
+                none = pa.nulls(len(cuts), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), records if into == "own" else none, records if into == "led" else none], ["part", "own", "led"])
+
+
+def _unpacked(records: pa.Array, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(records.drop_null().to_pylist()), kind)
+
+
+def _window_rows(rows: np.ndarray, leads: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """Windows and their leaders (whose columns are names) as rows; copies of a text's own window are left out."""
+    others = (rows["node"] != leads[names[0]]) | (rows["c"] != leads[names[2]])
+    columns = [rows[x][others] for x in ("band", "node", "k", "l", "c", "r")] + [leads[x][others] for x in names]
+    columns = [x.astype(np.int64 if x.itemsize == 8 else np.int32) for x in columns]
+    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["band", "node", "k", "l", "c", "r", "leader", "l2", "c2", "r2"])
+
+
+def _leading(rows: np.ndarray) -> pa.RecordBatch:
+    """Windows with the first of their band, by text and place, as leader; the first gives no row."""
+    order = np.argsort(rows["band"])
+    band = rows["band"][order]
+    same = np.zeros(len(band) + 1, bool)
+    same[1:-1] = band[1:] == band[:-1]
+    rows = rows[order[same[1:] | same[:-1]]]  # most bands have one window
+    rows = rows[np.lexsort((rows["c"], rows["node"], rows["band"]))]
+    first = np.diff(rows["band"], prepend=~rows["band"][:1]) != 0
+    return _window_rows(rows, rows[np.flatnonzero(first)[np.cumsum(first) - 1]], ["node", "l", "c", "r"])
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows in the order of bands: those without a leader follow the first of their band, which gives no row."""
-    names = ["leader", "l2", "c2", "r2"]
-    held = None  # the last band and its leader's columns
+    """The windows of _packed() rows in the order of parts, each with a leader's: those that have one as they are, the others a part at a time."""
+    held = np.zeros(0, _OWN)  # the last part: more of it may come
     for batch in batches:
-        alone = batch.column("leader").is_null().to_numpy(zero_copy_only=False)
-        own = np.flatnonzero(alone)
-        band = batch.column("band").to_numpy()[own]
-        first = np.ones(len(own), bool)
-        first[1:] = band[1:] != band[:-1]
-        values = [batch.column(c).to_numpy()[own] for c in ("node", "l", "c", "r")]
-        leads = [batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).copy() for c in names]
-        if len(own):
-            if held is not None and held[0] == band[0]:
-                first[0] = False
-            at = np.cumsum(first) - 1
-            for k, (lead, value) in enumerate(zip(leads, values)):
-                lead[own] = np.where(at >= 0, value[first][np.maximum(at, 0)] if first.any() else 0, held[1][k] if held else 0)
-            held = (band[-1], [lead[own[-1]] for lead in leads])
-        keep = np.ones(batch.num_rows, bool)
-        keep[own[first]] = False
-        same = (batch.column("node").to_numpy() == leads[0]) & (batch.column("c").to_numpy() == leads[2])
-        at = pa.array(np.flatnonzero(keep & ~same))
-        columns = [batch.column(c).take(at) for c in ("band", "node", "k", "l", "c", "r")] + [pa.array(x).take(at) for x in leads]
-        yield pa.RecordBatch.from_arrays(columns, ["band", "node", "k", "l", "c", "r", *names])
+        led = _unpacked(batch.column("led"), _LED)
+        yield _window_rows(led, led, ["leader", "l2", "c2", "r2"])
+        rows = np.concatenate([held, _unpacked(batch.column("own"), _OWN)])
+        part = rows["band"] >> (64 - PART_BITS)
+        whole = int(np.searchsorted(part, part[-1])) if len(part) else 0
+        yield _leading(rows[:whole])
+        held = rows[whole:]
+    yield _leading(held)
 
 
 def _pairs_within(keys: np.ndarray, k: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,15 +269,16 @@ def _paired_windows(batches: Iterator[pa.RecordBatch], told: bool = False) -> It
             yield _with_leaders(band, node, rest)
 
 
-def window_groups(rows: DataFrame) -> DataFrame:
-    """One row for every window, but one, of each signature that several windows have, with a leader's window.
+def window_groups(texts: DataFrame, windows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """One row for every window, but one, of each signature that several windows of the texts have, with a leader's window.
 
     As with other groups, only one row of a task's share of a signature is
     dealt by the signature, and the windows that follow a leader of their own
-    task are spread out.
+    task are spread out. Windows are dealt as records in rows of many: a task
+    holds one of 2^PART_BITS parts of the signatures at a time.
     """
-    deal = F.when(F.col("leader").isNull(), F.xxhash64("band")).otherwise(F.xxhash64("band", "node"))
-    return rows.repartition(deal).sortWithinPartitions("band", "node", "c").mapInArrow(_merge, _WINDOW)
+    rows = texts.mapInArrow(lambda batches: _packed(windows(batches)), "part int, own binary, led binary")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_merge, _WINDOW)
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -706,7 +742,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     marked = rows.mapInArrow(_marks, "id long, mark long, mark2 long, n_words long").filter(F.col("n_words") >= LEAST_WORDS)
     marked = materialize(marked.distinct(), "marks")
     classes = materialize(marked.groupBy("mark", "mark2").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("n_words").alias("n_words")), "classes")
-    groups = materialize(window_groups(rows.select("text").mapInArrow(_windows, _WINDOW)), "groups")
+    groups = materialize(window_groups(rows.select("text"), _windows), "groups")
     pairs = materialize(_followers(groups).mapInArrow(_interval_join, f"a long, b long, good array<{_CAND}>, rest array<{_CAND}>"), "pairs")
     met = _verified(pairs.filter(F.size("good") > 0), classes, rows)
     passages = lambda df: df.filter(F.size("spans_a") > 0).select("a", "b", "spans_a", "spans_b")
@@ -717,7 +753,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     asked = wanted.join(_ids_of(wanted.select("mark"), classes), "mark")
     # An id may have several texts.
     texts = possible_ids(rows, "id", asked.select("id")).join(asked, "id").select("mark", "text", "wanted")
-    again = materialize(window_groups(texts.mapInArrow(lambda it: _paired_windows(it, told=True), _WINDOW)), "groups")
+    again = materialize(window_groups(texts, lambda it: _paired_windows(it, told=True)), "groups")
     release(groups, pairs, members)
     met = _verified(_followers(again).select("a", "b", F.col("cands").alias("good"), F.array().cast(f"array<{_CAND}>").alias("rest")), classes, rows)
     found = found.union(passages(met))

@@ -85,6 +85,30 @@ def test_small_units_are_screened_together(monkeypatch):
     assert len(alone) > 50 and 0 < len(calls) < 10
 
 
+def test_windows_are_dealt_as_records(monkeypatch):
+    """Packed by parts, which batches cut anywhere, windows give the rows of all of them put in order at once."""
+    monkeypatch.setattr(passages, "PART_BITS", 4)
+    monkeypatch.setattr(passages, "_AT_ONCE", 500)
+    rng = np.random.default_rng(8)
+    shared = [" ".join(f"s{v}" for v in rng.integers(0, 5000, 120)) for _ in range(4)]
+    text = lambda: " ".join(f"w{v}" for v in rng.integers(0, 5000, 60)) + " " + " ".join(rng.choice(shared, 2))
+    batches = [pa.RecordBatch.from_pydict({"text": [text() for _ in range(n)] + ["short", None]}) for n in (30, 1, 45)]
+    windows = [w for b in batches for w in passages._windows([b])]
+    packed = pa.Table.from_batches(list(passages._packed(windows))).sort_by("part")
+    rows = [r for w in windows for r in w.to_pylist()]
+    assert packed.num_rows < len(rows) / 10
+    want = [r for r in rows if r["leader"] is not None]
+    bands = {}
+    for r in sorted((r for r in rows if r["leader"] is None), key=lambda r: (r["node"], r["c"])):
+        lead = bands.setdefault(r["band"], r)
+        want.append(r | {"leader": lead["node"], "l2": lead["l"], "c2": lead["c"], "r2": lead["r"]})
+    want = sorted(tuple(r.values()) for r in want if (r["node"], r["c"]) != (r["leader"], r["c2"]))
+    for size in (1, 3, 1000):
+        got = [r for b in passages._merge(packed.to_batches(max_chunksize=size)) for r in b.to_pylist()]
+        assert sorted(tuple(r.values()) for r in got) == want
+    assert len(want) > 500 and not any(b.num_rows for b in passages._merge([]))
+
+
 def test_pairs_of_windows_of_many_texts():
     """Texts that are windowed together give the pairs of signatures that each gives alone, and all that are wanted."""
     rng = np.random.default_rng(5)
